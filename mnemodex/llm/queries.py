@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, lines, mixing, near, quality, unigram, warc
+from . import bpe, chat, embed, lines, mixing, near, quality, substrings, unigram, warc
 
 #: The vocabulary's file name in the public tokenizers package; a parameter of the queries.
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -36,6 +36,14 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_groups(_table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup_substrings(_table(spark, sf_dir, "documents"))
+
+
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed.embedding_groups(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
@@ -61,7 +69,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_token_counts, op3_ngram_jaccard_join, op6_chat_formatting, op7_line_dedup, op8_byte_bpe, op9_arc_to_warc, op10_source_mix)
+    f.__name__: f for f in (op1_quality_rules, op2_token_counts, op3_ngram_jaccard_join, op4_suffix_array_dedup, op5_embedding_dedup, op6_chat_formatting, op7_line_dedup, op8_byte_bpe, op9_arc_to_warc, op10_source_mix)
 }
 
 ORACLES: dict[str, str] = {
