@@ -36,9 +36,11 @@ from .shingles import WIDTH, shingle_sets
 _U = np.uint64
 HOT = (1 << 31) - 1
 #: Classes of one batch that make a shingle hot, and bytes of text in a batch.
-HOT_IN_BATCH, BATCH_BYTES = 16, 12 << 20
+HOT_IN_BATCH, BATCH_BYTES = 16, 8 << 20
 #: Shingles of a cluster that one task joins at once.
 BLOCK_SHINGLES = 4 << 20
+#: Parts in which a bucket's shingles are sorted.
+PARTS = 8
 
 
 def _sets(batch: pa.RecordBatch, width: int) -> Iterator[tuple[np.ndarray, ...]]:
@@ -141,23 +143,27 @@ def _count(n: int):
         import pyarrow.compute as pc
 
         own, hot = table.filter(pc.equal(table["kind"], 0)), table.filter(pc.equal(table["kind"], 1))
-        h = _u64(own["hashes"])
-        sig = np.repeat(_u64(own["sigs"]), _u32(own["counts"]))
-        o = np.lexsort((sig, h))
-        h, sig = h[o], sig[o]
-        if len(h):
+        every, classes = _u64(own["hashes"]), np.repeat(_u64(own["sigs"]), _u32(own["counts"]))
+        names = np.unique(_u64(hot["hashes"]))
+        found = []
+        for part in range(PARTS):  # by hash, to bound what is sorted at once
+            some = (every >> _U(36)) % _U(PARTS) == part
+            h, sig = every[some], classes[some]
+            if not len(h):
+                continue
+            o = np.lexsort((sig, h))
+            h, sig = h[o], sig[o]
             new = np.append(True, (h[1:] != h[:-1]) | (sig[1:] != sig[:-1]))
             h, sig = h[new], sig[new]
-        head = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
-        count = np.diff(np.append(head, len(h)))
-        df = np.repeat(count, count)
-        names = np.unique(_u64(hot["hashes"]))
-        if len(names):
-            at = np.minimum(np.searchsorted(names, h), len(names) - 1)
-            df[names[at] == h] = HOT
-        keep = df > 1
-        h, sig, df = h[keep], sig[keep], df[keep].astype(np.uint32)
-        found = [(k, 3, h[at].tobytes(), sig[at].tobytes(), df[at].tobytes()) for k, at in _pieces(_bucket(sig, n), n)]
+            head = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+            count = np.diff(np.append(head, len(h)))
+            df = np.repeat(count, count)
+            if len(names):
+                at = np.minimum(np.searchsorted(names, h), len(names) - 1)
+                df[names[at] == h] = HOT
+            keep = df > 1
+            h, sig, df = h[keep], sig[keep], df[keep].astype(np.uint32)
+            found += [(k, 3, h[at].tobytes(), sig[at].tobytes(), df[at].tobytes()) for k, at in _pieces(_bucket(sig, n), n)]
         passing = table.filter(pc.equal(table["kind"], 2)).select(["bucket", "kind", "hashes", "sigs", "counts"])
         return pa.concat_tables([pa.Table.from_batches([_rows(found)]), passing]) if found else passing
 

@@ -35,7 +35,7 @@ from .pretokens import gather
 _U = np.uint64
 _TABLE = byte_table(61)
 GRAM = 36
-BATCH_BYTES = 12 << 20
+BATCH_BYTES = 8 << 20
 _ROWS = "bucket int, kind int, names binary, docs binary, starts binary, sizes binary"
 _FIELDS = [x.split(" ")[0] for x in _ROWS.split(", ")]
 
