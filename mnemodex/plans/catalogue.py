@@ -1,4 +1,585 @@
-"""Registered queries and their SQL."""
+"""Registered queries of the engine, each with the SQL that an independent system runs on the same tables."""
 
-QUERIES = {}
-ORACLES = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import constants as C
+from ..functions import text as T
+from ..operators import evaluation, listing, logs, retrieval, storage, transcripts
+from . import stand_ins as S
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+QUERY_TEXT = "the and thing ation with heed anthe oned that"
+KINDS = ["memory"]
+TAGS, TYPES = ["en", "src1"], ["fact", "doc"]
+
+
+def query(sql: str = ""):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+# ---- retrieval
+
+STOP = "[" + ", ".join(f"'{w}'" for w in C.STOPWORDS) + "]"
+TERMS = f"list_filter(string_split_regex(lower(text), '[^\\p{{L}}\\p{{Nd}}]+'), lambda t: octet_length(encode(t)) >= 2 AND NOT list_contains({STOP}, t))"
+WANT = T.analyze(QUERY_TEXT)
+_Q = ", ".join(f"('{w}', {WANT.count(w)})" for w in sorted(set(WANT)))
+DENSE = """q AS (SELECT embedding AS qv FROM embeddings WHERE vec_id = 0),
+dense AS (SELECT vec_id AS id, round(list_sum(list_transform(range(1, 65), lambda i: CAST(embedding[i] AS DOUBLE) * CAST(qv[i] AS DOUBLE))), 6) AS similarity FROM embeddings, q)"""
+BM25 = f"""want(term, times) AS (VALUES {_Q}),
+ana AS (SELECT doc_id AS id, {TERMS} AS ts FROM documents),
+has AS (SELECT id, ts, len(ts) AS dl FROM ana WHERE len(ts) > 0),
+st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM has),
+tf AS (SELECT id, dl, term, times, len(list_filter(ts, lambda t: t = term)) AS f FROM has, want),
+df AS (SELECT term, count(*) FILTER (WHERE f > 0) AS nt FROM tf GROUP BY term),
+idf AS (SELECT term, CASE WHEN ln((n - nt + 0.5) / (nt + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - nt + 0.5) / (nt + 0.5)) END AS w FROM df, st),
+lex AS (SELECT id, round(sum(times * w * f * 2.2 / (f + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))), 6) AS score FROM tf JOIN idf USING (term), st WHERE f > 0 GROUP BY id)"""
+
+
+def _parts(spark, sf):
+    rec = S.records(spark, sf)
+    return S.vectors(spark, sf).select("id", "vector"), rec.select("id", "text"), rec.select("id", "kind", "type", "tags", "supersedes")
+
+
+def _request(spark, sf, **how) -> retrieval.Request:
+    return retrieval.Request(S.query_vector(spark, sf), QUERY_TEXT, tags=TAGS, types=TYPES, limit=10, **how)
+
+
+@query(f"WITH {DENSE} SELECT id, similarity FROM dense ORDER BY similarity DESC, id LIMIT 10")
+def dense_topk(spark, sf):
+    return retrieval.dense_topk(_parts(spark, sf)[0], S.query_vector(spark, sf), 10)
+
+
+@query(f"WITH {S.REC}, {DENSE} SELECT id, similarity FROM dense WHERE id IN (SELECT id FROM rec WHERE kind = 'session') ORDER BY similarity DESC, id LIMIT 10")
+def dense_topk_scoped(spark, sf):
+    v, _, m = _parts(spark, sf)
+    return retrieval.dense_topk_scoped(v, m, S.query_vector(spark, sf), 10, ["session"])
+
+
+@query(f"SELECT doc_id AS id, CAST(len(ts) AS INTEGER) AS n, array_to_string(ts, ' ') AS terms FROM (SELECT doc_id, {TERMS} AS ts FROM documents)")
+def terms_analysis(spark, sf):
+    t = S.records(spark, sf).select("id", T.terms(F.col("text")).alias("ts"))
+    return t.select("id", F.size("ts").alias("n"), F.array_join("ts", " ").alias("terms"))
+
+
+@query(f"SELECT id, term, count(*) AS tf FROM (SELECT doc_id AS id, unnest({TERMS}) AS term FROM documents) GROUP BY ALL")
+def postings(spark, sf):
+    return retrieval.postings(_parts(spark, sf)[1])[0]
+
+
+@query(f"WITH {BM25} SELECT id, score FROM lex ORDER BY score DESC, id LIMIT 20")
+def bm25_topk(spark, sf):
+    return retrieval.bm25_topk(_parts(spark, sf)[1], WANT, 20)
+
+
+@query(f"WITH {S.REC}, {BM25} SELECT id, score FROM lex WHERE id IN (SELECT id FROM rec WHERE kind = 'session') ORDER BY score DESC, id LIMIT 20")
+def bm25_topk_scoped(spark, sf):
+    _, t, m = _parts(spark, sf)
+    return retrieval.bm25_topk(t, WANT, 20, m, ["session"])
+
+
+def _pool(scope: str = "") -> str:
+    where = f"WHERE id IN (SELECT id FROM rec WHERE kind IN ({scope}))" if scope else ""
+    return f"""{S.REC}, {DENSE}, {BM25},
+d AS (SELECT id, similarity, row_number() OVER (ORDER BY similarity DESC, id) AS dr FROM dense {where} ORDER BY dr LIMIT 100),
+l AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS lr FROM lex {where} ORDER BY lr LIMIT 100),
+pool AS (SELECT coalesce(d.id, l.id) AS id, coalesce(similarity, 0.0) AS similarity, coalesce(1.0 / (60 + dr), 0.0) + coalesce(CAST(0.03 AS DOUBLE) / (60 + lr), 0.0) AS fused, lr IS NOT NULL AS lexical FROM d FULL JOIN l ON d.id = l.id),
+said AS (SELECT pool.*, kind, type, lang, source, EXISTS (SELECT 1 FROM rec r WHERE r.supersedes = pool.id) AS superseded FROM pool LEFT JOIN rec ON rec.id = pool.id)"""
+
+
+_BOOST = "(CAST(0.002 AS DOUBLE) * (CASE WHEN lang = 'en' OR source = 'en' THEN 1 ELSE 0 END + CASE WHEN lang = 'src1' OR source = 'src1' THEN 1 ELSE 0 END) / 2 + CASE WHEN type IN ('fact', 'doc') THEN CAST(0.00067 AS DOUBLE) ELSE 0 END)"
+_RANK = f"SELECT id, round(fused + {_BOOST}, 9) AS score, similarity, round(fused, 9) AS fused, lexical, round({_BOOST}, 9) AS boost FROM said"
+
+
+@query(f"WITH {_pool()} SELECT id, similarity, round(fused, 9) AS fused, lexical FROM pool")
+def rrf_fuse(spark, sf):
+    v, t, m = _parts(spark, sf)
+    return retrieval.draw(v, t, m, _request(spark, sf)).withColumn("fused", F.round("fused", 9))
+
+
+@query(f"WITH {_pool()} {_RANK} WHERE NOT superseded ORDER BY score DESC, id LIMIT 10")
+def recall_soft_boost(spark, sf):
+    v, t, m = _parts(spark, sf)
+    return retrieval.recall(v, t, m, _request(spark, sf))
+
+
+@query(f"WITH {_pool()} {_RANK} ORDER BY score DESC, id LIMIT 10")
+def recall_include_superseded(spark, sf):
+    v, t, m = _parts(spark, sf)
+    return retrieval.recall(v, t, m, _request(spark, sf, include_superseded=True))
+
+
+@query(f"WITH {_pool(repr('memory'))} {_RANK} WHERE NOT superseded AND kind = 'memory' ORDER BY score DESC, id LIMIT 10")
+def recall_scoped(spark, sf):
+    v, t, m = _parts(spark, sf)
+    return retrieval.recall(v, t, m, _request(spark, sf, kinds=KINDS))
+
+
+@query(f"WITH {_pool()} {_RANK} WHERE NOT superseded ORDER BY score DESC, id LIMIT 10 OFFSET 10")
+def recall_second_page(spark, sf):
+    v, t, m = _parts(spark, sf)
+    return retrieval.recall(v, t, m, _request(spark, sf, offset=10))
+
+
+@query(f"""WITH {_pool(repr('memory'))},
+d2 AS (SELECT id FROM dense ORDER BY similarity DESC, id LIMIT 100), l2 AS (SELECT id FROM lex ORDER BY score DESC, id LIMIT 100),
+u AS (SELECT id FROM d2 UNION SELECT id FROM l2)
+SELECT (SELECT count(*) FROM embeddings) AS searched, (SELECT count(*) FROM said) AS considered, (SELECT count(*) FROM said WHERE lexical) AS lexical_hits,
+ (SELECT count(*) FROM said WHERE superseded) AS superseded_hidden,
+ (SELECT count(*) FROM u LEFT JOIN rec USING (id) WHERE NOT coalesce(kind = 'memory', false) AND NOT EXISTS (SELECT 1 FROM rec r WHERE r.supersedes = u.id)) AS scope_excluded""")
+def recall_counters(spark, sf):
+    v, t, m = _parts(spark, sf)
+    return retrieval.recall_counters(v, t, m, _request(spark, sf, kinds=KINDS))
+
+
+@query(f"WITH {_pool()}, r AS ({_RANK} WHERE NOT superseded ORDER BY score DESC, id LIMIT 10) SELECT r.id, score, octet_length(encode(text)) + octet_length(encode(source)) + 2 > 320 AS truncated FROM r JOIN rec USING (id)")
+def recall_hits(spark, sf):
+    v, t, m = _parts(spark, sf)
+    bodies = S.records(spark, sf).select("id", F.col("text").alias("statement"), F.col("source").alias("context"))
+    return retrieval.hits(retrieval.recall(v, t, m, _request(spark, sf)), bodies).select("id", "score", "truncated")
+
+
+@query("""WITH p AS (SELECT a.vec_id AS id, b.vec_id AS neighbour, round(list_sum(list_transform(range(1, 65), lambda i: CAST(a.embedding[i] AS DOUBLE) * CAST(b.embedding[i] AS DOUBLE))), 6) AS similarity
+  FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)
+SELECT id, neighbour, similarity, CAST(rank AS INTEGER) AS rank, similarity >= 0.9 AS conflict FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, neighbour) AS rank FROM p) WHERE rank <= 5""")
+def neighbours_conflict(spark, sf):
+    v = S.vectors(spark, sf).select("id", "vector")
+    return retrieval.neighbours(v.where("id % 50 = 0"), v)
+
+
+@query(f"""WITH q AS (SELECT item_id AS query_id, {TERMS} AS a FROM benchmark), g AS (SELECT doc_id AS query_id, {TERMS} AS b FROM documents)
+SELECT query_id FROM q JOIN g USING (query_id) GROUP BY query_id HAVING NOT bool_or(len(list_intersect(a, b)) > 0)""")
+def zero_overlap(spark, sf):
+    q = S.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    g = S.table(spark, sf, "documents").select(F.col("doc_id").alias("query_id"), "text")
+    return retrieval.zero_overlap(q, g)
+
+
+@query(f"WITH {_pool()} SELECT id, kind, type, superseded FROM said")
+def describe_pool(spark, sf):
+    v, t, m = _parts(spark, sf)
+    return retrieval.describe(retrieval.draw(v, t, m, _request(spark, sf)), m).select("id", "kind", "type", "superseded")
+
+
+# ---- quality of retrieval
+
+_QUAL = """p AS (SELECT a.vec_id AS query_id, b.vec_id AS id, a.label = b.label AS gold, round(list_sum(list_transform(range(1, 65), lambda i: CAST(a.embedding[i] AS DOUBLE) * CAST(b.embedding[i] AS DOUBLE))), 6) AS similarity
+  FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM p),
+f AS (SELECT query_id, min(rank) FILTER (WHERE gold) AS rank FROM r GROUP BY query_id)"""
+
+
+def _scored(spark, sf):
+    """All scores of the stated queries, with the gold mark of an equal label."""
+    v = S.vectors(spark, sf)
+    n = v.count()
+    s = retrieval.neighbours(v.where("id % 50 = 0"), v.select("id", "vector"), k=n)
+    a, b = v.select("id", "label"), v.select(F.col("id").alias("neighbour"), F.col("label").alias("other"))
+    return s.join(a, "id").join(b, "neighbour").select(F.col("id").alias("query_id"), F.col("neighbour").alias("id"), "similarity", "rank", (F.col("label") == F.col("other")).alias("gold"))
+
+
+@query(f"WITH {_QUAL} SELECT count(*) AS queries, " + ", ".join(f"round(avg(CASE WHEN rank <= {k} THEN 1.0 ELSE 0.0 END), 6) AS hit_{k}" for k in (1, 3, 5, 10)) + ", round(avg(coalesce(1.0 / rank, 0.0)), 6) AS mrr FROM f")
+def hit_at_k_mrr(spark, sf):
+    s = _scored(spark, sf)
+    return evaluation.quality(s.groupBy("query_id").agg(F.min(F.when(F.col("gold"), F.col("rank"))).alias("rank")))
+
+
+_DENS = f"""{_QUAL}, g AS (SELECT query_id, list_sort(list(similarity)) AS s FROM p WHERE gold GROUP BY query_id),
+dens AS (SELECT query_id, count(*) FILTER (WHERE NOT gold AND similarity >= s[1 + len(s) // 2]) AS density FROM p JOIN g USING (query_id) GROUP BY query_id)"""
+
+
+@query(f"WITH {_DENS} SELECT query_id, density FROM dens")
+def density(spark, sf):
+    return evaluation.density(_scored(spark, sf))
+
+
+@query(f"""WITH {_DENS}, h AS (SELECT rank, row_number() OVER (ORDER BY density DESC, query_id) AS place, count(*) OVER () AS n FROM f JOIN dens USING (query_id))
+SELECT CASE WHEN place <= n // 2 THEN 'crowded' ELSE 'sparse' END AS half, count(*) AS queries, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0.0 END), 6) AS hit_5 FROM h GROUP BY 1""")
+def density_halves(spark, sf):
+    s = _scored(spark, sf)
+    first = s.groupBy("query_id").agg(F.min(F.when(F.col("gold"), F.col("rank"))).alias("rank"))
+    return evaluation.density_halves(first, evaluation.density(s))
+
+
+@query("SELECT event_type, list_sort(list(value))[1 + CAST(floor(0.95 * (count(*) - 1)) AS BIGINT)] AS value FROM events WHERE value IS NOT NULL GROUP BY event_type")
+def percentile_report(spark, sf):
+    return evaluation.percentile_lower(S.table(spark, sf, "events"), "value", "event_type", 0.95)
+
+
+# ---- listings and tags
+
+
+@query(f"WITH {S.REC} SELECT id, created_at, true AS more FROM rec WHERE kind = 'memory' AND id NOT IN (SELECT supersedes FROM rec WHERE supersedes IS NOT NULL) AND (created_at < 1704067380 OR created_at IS NULL OR (created_at = 1704067380 AND id > 180)) ORDER BY created_at DESC NULLS LAST, id LIMIT 20")
+def list_records_keyset(spark, sf):
+    r = S.records(spark, sf)
+    return listing.list_records(r, listing.tag_rows(r), kinds=["memory"], after=(S.EPOCH + 180, 180)).select("id", "created_at", "more")
+
+
+@query(f"WITH {S.REC} SELECT id, created_at FROM rec WHERE type IN ('fact', 'doc') AND lang = 'en' AND source = 'src1' ORDER BY created_at DESC NULLS LAST, id LIMIT 200")
+def list_records_all_tags(spark, sf):
+    r = S.records(spark, sf)
+    return listing.list_records(r, listing.tag_rows(r), types=TYPES, want=TAGS, include_superseded=True, page=200).select("id", "created_at")
+
+
+@query(f"WITH {S.REC} SELECT id, lang || ',' || source AS tags FROM (SELECT id, least(lang, source) AS lang, greatest(lang, source) AS source, created_at FROM rec WHERE id NOT IN (SELECT supersedes FROM rec WHERE supersedes IS NOT NULL) ORDER BY created_at DESC NULLS LAST, id LIMIT 20)")
+def attach_tags(spark, sf):
+    r = S.records(spark, sf)
+    tags = listing.tag_rows(r)
+    return listing.attach_tags(listing.list_records(r, tags).select("id"), tags).select("id", F.array_join("tags", ",").alias("tags"))
+
+
+@query(f"WITH {S.SESS} SELECT id, title, updated_at FROM sess WHERE NOT archived AND kind IN ('main', 'subagent') AND tag = 't1' ORDER BY updated_at DESC NULLS LAST, id LIMIT 10 OFFSET 3")
+def list_sessions_page(spark, sf):
+    return listing.list_sessions(S.sessions(spark, sf), 10, 3, kinds=["main", "subagent"], want=["t1"]).select("id", "title", "updated_at")
+
+
+@query(f"WITH {S.SESS} SELECT count(*) AS n FROM sess WHERE NOT archived AND project = 'p2' AND updated_at BETWEEN 1704070000 AND 1704167200")
+def count_matching_sessions(spark, sf):
+    return listing.session_filter(S.sessions(spark, sf), project="p2", since=1704070000, until=1704167200).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {S.REC} SELECT kind, count(*) AS n FROM rec GROUP BY kind")
+def count_by_kind(spark, sf):
+    return listing.count_by_kind(S.records(spark, sf))
+
+
+_FREQ = f"""{S.REC}, want(position, tag) AS (VALUES (0, 'src3'), (1, 'nowhere'), (2, 'en'), (3, 'fr')), tot AS (SELECT count(*) AS total FROM rec WHERE id <> 3),
+freq AS (SELECT position, want.tag, (SELECT count(*) FROM tag WHERE tag.tag = want.tag AND id <> 3) AS n, total FROM want, tot)"""
+_WANTED = ["src3", "nowhere", "en", "fr"]
+
+
+def _freq(spark, sf):
+    r = S.records(spark, sf)
+    return listing.tag_frequencies(listing.tag_rows(r), r, _WANTED, 3)
+
+
+@query(f"WITH {_FREQ} SELECT * FROM freq")
+def tag_frequencies(spark, sf):
+    return _freq(spark, sf)
+
+
+@query(f"WITH {S.REC} SELECT tag, count(*) AS n FROM tag GROUP BY tag ORDER BY n DESC, tag LIMIT 40")
+def tag_vocabulary(spark, sf):
+    return listing.tag_vocabulary(listing.tag_rows(S.records(spark, sf)), C.VOCABULARY_SURFACE)
+
+
+@query(f"WITH {_FREQ} SELECT *, round(n / total, 6) AS share, n = 0 AS is_new, total >= 30 AND n / total > 0.25 AS too_common FROM freq")
+def tag_specificity(spark, sf):
+    return listing.tag_specificity(_freq(spark, sf))
+
+
+@query(f"WITH {_FREQ} SELECT count(*) AS tags, count(*) FILTER (WHERE NOT (total >= 30 AND n / total > 0.25)) AS discriminating, count(*) FILTER (WHERE NOT (total >= 30 AND n / total > 0.25)) = 0 AS needs_narrower FROM freq")
+def tag_advice(spark, sf):
+    return listing.needs_narrower(listing.tag_specificity(_freq(spark, sf)))
+
+
+@query(f"WITH {S.REC} SELECT id, id IN (SELECT supersedes FROM rec WHERE supersedes IS NOT NULL) AS superseded FROM rec")
+def superseded_flag(spark, sf):
+    return listing.superseded_flag(S.records(spark, sf).select("id", "supersedes")).select("id", "superseded")
+
+
+@query(f"WITH {S.REC}, {S.SESS}, ids AS (SELECT vec_id AS id FROM embeddings) SELECT ids.id, coalesce(sess.title, substr(rec.text, 1, 30), '') AS label FROM ids LEFT JOIN sess ON sess.id = ids.id LEFT JOIN rec ON rec.id = ids.id")
+def label_lookup(spark, sf):
+    m = S.records(spark, sf).select("id", F.substring("text", 1, 30).alias("statement"))
+    return listing.labels(S.vectors(spark, sf).select("id"), S.sessions(spark, sf), m)
+
+
+@query(f"WITH {S.REC}, {S.SESS} SELECT rec.id, rec.kind, coalesce(CASE WHEN rec.id % 3 = 0 THEN rec.source END, sess.title) AS body FROM rec LEFT JOIN sess ON sess.id = rec.id")
+def listing_dates_join(spark, sf):
+    r = S.records(spark, sf)
+    b = r.where("id % 3 = 0").select("id", F.col("source").alias("body"))
+    return listing.listing_dates(r.select("id", "kind"), b, S.sessions(spark, sf).select("id", F.col("title").alias("head")))
+
+
+@query(f"""WITH {S.REC}, {S.SESS} SELECT id, bool_or(a) AS in_meta, bool_or(b) AS in_sessions, bool_or(c) AS in_bodies, bool_or(d) AS in_heads FROM
+(SELECT id, true AS a, false AS b, false AS c, false AS d FROM rec WHERE kind = 'memory' UNION ALL SELECT id, false, true, false, false FROM sess
+ UNION ALL SELECT id, false, false, true, false FROM rec WHERE id % 3 = 0 UNION ALL SELECT id, false, false, false, true FROM sess WHERE NOT archived) GROUP BY id""")
+def held_records(spark, sf):
+    r, s = S.records(spark, sf), S.sessions(spark, sf)
+    return listing.held_records(r.where("kind = 'memory'"), s, r.where("id % 3 = 0"), s.where("not archived"))
+
+
+@query("""SELECT doc_id AS id, CASE WHEN trim(coalesce(text, '')) = '' THEN 'empty statement' WHEN octet_length(encode(text)) > 8192 THEN 'statement too long'
+  WHEN doc_id % 7 = 3 THEN 'importance out of range' WHEN doc_id % 11 = 5 THEN 'validity ends before it starts' END AS problem FROM documents""")
+def validation(spark, sf):
+    r = S.records(spark, sf)
+    m = r.select("id", (F.col("id") + S.EPOCH).alias("created_at"), "type", F.col("text").alias("statement"), F.col("source").alias("context"), "tags", F.when(F.col("id") % 7 == 3, 1.5).otherwise(0.5).alias("importance"), F.lit(0.5).alias("confidence"), F.lit(10).alias("valid_from"), F.when(F.col("id") % 11 == 5, 5).otherwise(20).alias("valid_until"))
+    return listing.first_failing_rule(m).select("id", "problem")
+
+
+# ---- logs
+
+
+def _folded(spark, sf):
+    return logs.latest(S.catalog(spark, sf), "id", "seq")
+
+
+@query(f"WITH {S.LOG} SELECT * FROM folded")
+def catalog_fold_latest(spark, sf):
+    return _folded(spark, sf)
+
+
+@query(f"WITH {S.LOG} SELECT id, seq FROM folded WHERE deleted")
+def catalog_tombstones(spark, sf):
+    return logs.tombstones(_folded(spark, sf)).select("id", "seq")
+
+
+@query(f"WITH {S.LOG} SELECT count(*) FILTER (WHERE NOT deleted) AS live, count(*) AS named, count(*) FILTER (WHERE deleted) AS dropped FROM folded")
+def catalog_counts(spark, sf):
+    return logs.catalog_counts(_folded(spark, sf))
+
+
+@query(f"""WITH {S.LOG}, ok AS (SELECT * FROM log WHERE bytes >= 1), k AS (SELECT id, arg_max(deleted, seq) AS gone, count(*) AS n FROM ok GROUP BY id)
+SELECT (SELECT count(*) FROM log) AS events, (SELECT count(*) FROM log WHERE NOT bytes >= 1) AS unreadable, count(*) FILTER (WHERE gone) AS deleted, CAST(sum(n - 1) AS BIGINT) AS superseded, count(*) FILTER (WHERE NOT gone) AS live FROM k""")
+def feed_counters(spark, sf):
+    return logs.feed_counters(S.catalog(spark, sf), "id", "seq", F.col("deleted"), F.col("bytes") >= 1)
+
+
+@query("""WITH w AS (SELECT vec_id AS id, vec_id AS seq, 64 AS dim, label FROM embeddings UNION ALL SELECT vec_id, 1000000 + vec_id, CASE WHEN vec_id % 10 = 5 THEN 0 ELSE 64 END, label + 100 FROM embeddings WHERE vec_id % 5 = 0)
+SELECT id, seq, label FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq DESC) AS r FROM w) WHERE r = 1 AND dim > 0""")
+def vector_fold_lww(spark, sf):
+    v = S.vectors(spark, sf)
+    base = v.select("id", F.lit("m").alias("model"), F.lit(64).alias("dim"), "vector", "label", F.col("id").alias("seq"))
+    delta = base.where("id % 5 = 0").withColumn("dim", F.when(F.col("id") % 10 == 5, 0).otherwise(64)).withColumn("label", F.col("label") + 100).withColumn("seq", F.col("id") + 1_000_000)
+    return logs.vector_state(base, delta).select("id", "seq", "label")
+
+
+@query("SELECT 'm' || (vec_id % 3) AS model, count(*) AS n FROM embeddings WHERE vec_id % 3 <> 0 GROUP BY 1")
+def foreign_vectors(spark, sf):
+    v = S.vectors(spark, sf).select("id", F.concat(F.lit("m"), (F.col("id") % 3).cast("string")).alias("model"), F.size("vector").alias("dim"))
+    return logs.foreign_vectors(v, "m0", 64)
+
+
+@query(f"WITH {S.LOG} SELECT id, arg_min(bytes, seq) AS created_at, max(seq) AS seq, arg_max(object_ref, seq) AS object_ref FROM log GROUP BY id")
+def ranking_meta_first_created(spark, sf):
+    w = S.catalog(spark, sf).select("id", "seq", F.col("bytes").alias("created_at"), "object_ref")
+    return logs.first_created(w, "id", "seq", "created_at").select("id", "created_at", "seq", "object_ref")
+
+
+@query(f"WITH {S.QUEUE} SELECT record_id, min(seq) AS seq, arg_max(payload, seq) AS payload, arg_max(queued_at, seq) AS queued_at FROM queue GROUP BY record_id")
+def queue_upsert(spark, sf):
+    return logs.enqueue(S.queue(spark, sf).select("record_id", "seq", "payload", "queued_at"), "record_id", "seq")
+
+
+@query("""WITH RECURSIVE w AS (SELECT user_id AS id, event_id AS seq, CAST(json_extract(props, '$.k') AS BIGINT) % 4 AS expect, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+s AS (SELECT id, seq, expect, i, expect = 0 AS accepted, CASE WHEN expect = 0 THEN 1 ELSE 0 END AS version FROM w WHERE i = 1
+ UNION ALL SELECT w.id, w.seq, w.expect, w.i, w.expect = s.version, s.version + CASE WHEN w.expect = s.version THEN 1 ELSE 0 END FROM s JOIN w ON w.id = s.id AND w.i = s.i + 1)
+SELECT id, seq, expect, accepted, CAST(version AS BIGINT) AS version FROM s""")
+def head_cas(spark, sf):
+    e = S.table(spark, sf, "events")
+    w = e.select(F.col("user_id").alias("id"), F.col("event_id").alias("seq"), (F.get_json_object("props", "$.k").cast("long") % 4).alias("expect"))
+    return logs.head_cas(w, "id", "seq", "expect")
+
+
+@query(f"WITH {S.LOG} SELECT id, object_ref FROM folded WHERE deleted AND object_ref NOT IN (SELECT object_ref FROM folded WHERE NOT deleted)")
+def forgotten_on_network(spark, sf):
+    return logs.stale_objects(_folded(spark, sf))
+
+
+# ---- transcripts
+
+
+@query(f"WITH {S.TURNS} SELECT session, pos // 4 AS seq, pos % 4 AS at, id, role FROM turns")
+def transcript_flatten(spark, sf):
+    t = S.turns(spark, sf)
+    c = t.groupBy("session", F.floor(F.col("pos") / 4).alias("seq")).agg(F.array_sort(F.collect_list(F.struct("pos", "id", "role"))).alias("messages"))  # four turns at most
+    return transcripts.flatten(c).select("session", "seq", F.col("at").cast("long").alias("at"), "id", "role")
+
+
+@query(f"WITH {S.TURNS}, t AS (SELECT *, count(*) OVER () AS n FROM turns WHERE session = 3 AND pos >= 1) SELECT id, pos, n > 3 AS more FROM t ORDER BY pos LIMIT 3")
+def transcript_page(spark, sf):
+    return transcripts.page(S.turns(spark, sf), 3, "3:1", 3).select("id", "pos", "more")
+
+
+@query(f"WITH {S.TURNS} SELECT session, count(*) AS messages, CAST(sum(bytes) AS BIGINT) AS bytes, arg_min(created, pos) FILTER (WHERE created IS NOT NULL) AS first_dated, arg_max(created, pos) FILTER (WHERE created IS NOT NULL) AS last_dated, arg_max(id, pos) AS head_message FROM turns GROUP BY session")
+def transcript_facts(spark, sf):
+    return transcripts.facts(S.turns(spark, sf))
+
+
+@query(f"WITH {S.TURNS}, k AS (SELECT session, pos AS seq FROM turns WHERE NOT (session % 4 = 1 AND pos = 1)) SELECT session, bool_or(r <> seq) AS gap FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY seq) - 1 AS r FROM k) GROUP BY session")
+def sequence_gaps(spark, sf):
+    c = S.turns(spark, sf).where("not (session % 4 = 1 and pos = 1)").select("session", F.col("pos").alias("seq"))
+    return transcripts.sequence_gaps(c)
+
+
+@query(rf"""WITH {S.TURNS}, f AS (SELECT session, arg_min(text, pos) FILTER (WHERE role = 'user' AND trim(text) <> '') AS t FROM turns GROUP BY session),
+g AS (SELECT session, trim(regexp_replace(t, '\s+', ' ', 'g')) AS t FROM f)
+SELECT session, CASE WHEN t IS NULL THEN 'Recovered session ' || lpad(CAST(session AS VARCHAR), 8, '0') WHEN length(t) > 72 THEN rtrim(substr(t, 1, 72)) || '…' ELSE t END AS title FROM g""")
+def synth_title(spark, sf):
+    return transcripts.titles(S.turns(spark, sf))
+
+
+@query(f"""WITH RECURSIVE {S.TURNS}, o AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY pos) AS i FROM turns),
+s AS (SELECT session, pos, bytes, i, 0 AS chunk, bytes AS held FROM o WHERE i = 1
+ UNION ALL SELECT o.session, o.pos, o.bytes, o.i, s.chunk + CASE WHEN s.held + o.bytes > 600 THEN 1 ELSE 0 END, CASE WHEN s.held + o.bytes > 600 THEN o.bytes ELSE s.held + o.bytes END FROM s JOIN o ON o.session = s.session AND o.i = s.i + 1)
+SELECT session, pos, bytes, CAST(chunk AS BIGINT) AS chunk FROM s""")
+def chunk_pack(spark, sf):
+    return transcripts.chunk_numbers(S.turns(spark, sf), target=600)
+
+
+@query(f"WITH {S.TURNS} SELECT session, pos // 4 AS seq, arg_min(id, pos) AS first, arg_max(id, pos) AS last, count(*) AS n, CAST(sum(bytes) AS BIGINT) AS bytes FROM turns GROUP BY 1, 2")
+def chunk_refs(spark, sf):
+    return transcripts.chunk_refs(S.turns(spark, sf).withColumn("chunk", F.floor(F.col("pos") / 4)))
+
+
+@query(f"WITH {S.TURNS} SELECT session, id, pos FROM turns WHERE pos >= 1 AND pos <= CASE WHEN session % 2 = 0 THEN CASE WHEN EXISTS (SELECT 1 FROM turns u WHERE u.session = turns.session AND u.pos = 3) THEN 3 ELSE 1 END ELSE 1 END")
+def span_select(spark, sf):
+    t = S.turns(spark, sf)
+    s = F.col("session").cast("string")
+    spans = t.select("session").distinct().select("session", F.concat(s, F.lit(":1")).alias("first"), F.when(F.col("session") % 2 == 0, F.concat(s, F.lit(":3"))).otherwise(F.lit("absent")).alias("last"))
+    return transcripts.select_span(t, spans).select("session", "id", "pos")
+
+
+@query(f"""WITH {S.TURNS}, p AS (SELECT session, pos, CASE WHEN role = 'assistant' THEN 'tool_result' ELSE 'tool_call' END AS kind, CAST(pos // 3 AS VARCHAR) AS call_id, substr(text, 1, 10) AS x FROM turns),
+c AS (SELECT session, call_id, arg_min(x, pos) AS name, min(pos) AS called FROM p WHERE kind = 'tool_call' GROUP BY 1, 2), r AS (SELECT session, call_id, arg_max(x, pos) AS result, max(pos) AS answered FROM p WHERE kind = 'tool_result' GROUP BY 1, 2)
+SELECT coalesce(c.session, r.session) AS session, coalesce(c.call_id, r.call_id) AS call_id, name, coalesce(called, -1) AS called, result, coalesce(answered, -1) AS answered, called IS NULL AS orphan FROM c FULL JOIN r ON c.session = r.session AND c.call_id = r.call_id""")
+def tool_pairs(spark, sf):
+    t = S.turns(spark, sf)
+    x = F.substring("text", 1, 10)
+    parts = t.select("session", "pos", F.when(F.col("role") == "assistant", "tool_result").otherwise("tool_call").alias("kind"), F.floor(F.col("pos") / 3).cast("string").alias("call_id"), x.alias("name"), x.alias("text"))
+    return transcripts.tool_pairs(parts).withColumns({c: F.coalesce(c, F.lit(-1)) for c in ("called", "answered")})
+
+
+@query(f"WITH {S.TURNS} SELECT session, pos, id FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY pos DESC) AS r FROM turns) WHERE r <= 3")
+def resume_tail(spark, sf):
+    return transcripts.tail(S.turns(spark, sf), 3).select("session", "pos", "id")
+
+
+@query(f"WITH {S.REC} SELECT id % 97 AS session, count(*) AS n, min(id) AS first FROM rec WHERE id % 3 <> 0 GROUP BY 1")
+def memory_backlinks(spark, sf):
+    m = S.records(spark, sf).select("id", F.when(F.col("id") % 3 != 0, F.col("id") % 97).alias("session"))
+    return transcripts.backlinks(m)
+
+
+@query("SELECT event_type AS field, ['chunk', 'derived', 'observed', 'reverse', 'synthesised', 'lost'][1 + max(user_id % 6)] AS origin FROM events WHERE user_id % 6 <= length(event_type) - 3 GROUP BY event_type")
+def merge_origins(spark, sf):
+    e = S.table(spark, sf, "events").where(F.col("user_id") % 6 <= F.length("event_type") - 3)
+    origin = F.element_at(F.array(*map(F.lit, C.ORIGINS)), (F.col("user_id") % 6 + 1).cast("int"))
+    return transcripts.merge_origins(e.select(F.col("event_type").alias("field"), origin.alias("origin")))
+
+
+# ---- storage
+
+_OWN = "own AS (SELECT s_suppkey AS slab FROM supplier WHERE s_suppkey % 3 <> 0)"
+
+
+@query(f"WITH {S.OBJ}, {_OWN} SELECT ref, slab FROM obj WHERE ref NOT IN (SELECT ref FROM obj WHERE live) AND slab IN (SELECT slab FROM own)")
+def sweep_plan_dead_objects(spark, sf):
+    o = S.objects(spark, sf)
+    return storage.dead_objects(o, S.slabs(spark, sf).where("slab % 3 <> 0"), o.where("live"))
+
+
+@query(f"WITH {S.OBJ}, {_OWN} SELECT slab FROM own WHERE slab NOT IN (SELECT slab FROM obj WHERE live AND bytes > 49)")
+def sweep_plan_slabs(spark, sf):
+    return storage.releasable_slabs(S.slabs(spark, sf).where("slab % 3 <> 0"), S.objects(spark, sf).where("live and bytes > 49"))
+
+
+@query(f"WITH {S.OBJ}, {_OWN} SELECT count(*) AS n FROM obj WHERE slab NOT IN (SELECT slab FROM own)")
+def foreign_objects(spark, sf):
+    return storage.foreign_objects(S.objects(spark, sf), S.slabs(spark, sf).where("slab % 3 <> 0"))
+
+
+@query(f"WITH {S.OBJ} SELECT s_suppkey AS slab, s_suppkey % 2 = 0 AS tracked, s_suppkey % 5 = 0 AS named FROM supplier WHERE s_suppkey NOT IN (SELECT slab FROM obj WHERE bytes = 50 AND live)")
+def orphans(spark, sf):
+    s = S.slabs(spark, sf)
+    return storage.orphans(s, S.objects(spark, sf).where("bytes = 50 and live"), s.where("slab % 2 = 0"), s.where("slab % 5 = 0"))
+
+
+@query(f"WITH {S.OBJ} SELECT s_suppkey AS slab, s_suppkey NOT IN (SELECT slab FROM obj WHERE bytes = 50 AND live) AS empty FROM supplier WHERE s_suppkey % 2 <> 0")
+def unledgered(spark, sf):
+    s = S.slabs(spark, sf)
+    return storage.unledgered(s, s.where("slab % 2 = 0"), S.objects(spark, sf).where("bytes = 50 and live"))
+
+
+@query(f"WITH {S.LOG} SELECT kind, count(*) AS n FROM folded WHERE NOT deleted AND id % 4 <> 0 AND id % 7 <> 0 GROUP BY kind")
+def restoration_gap(spark, sf):
+    f = logs.live(_folded(spark, sf))
+    return storage.restoration_gap(f, f.where("id % 4 = 0"), f.where("id % 7 = 0"))
+
+
+@query(f"""WITH {S.REC}, r AS (SELECT coalesce(rec.id, vec_id) AS id, vec_id IS NOT NULL AS has, coalesce(rec.id % 4 = 0, false) AS head, coalesce(rec.id % 3 = 0, false) AS body, rec.id IS NOT NULL AS listed, coalesce(rec.id % 2 = 0, false) AS catalogued,
+  coalesce(rec.text, '') AS text, coalesce(rec.id % 10 = 9, false) AS pass FROM rec FULL JOIN (SELECT vec_id FROM embeddings WHERE vec_id % 8 <> 6) v ON v.vec_id = rec.id)
+SELECT id, action FROM (SELECT id, CASE WHEN has AND NOT (head OR body OR (listed AND catalogued)) THEN 'drop' WHEN NOT has AND listed AND text <> '' AND NOT pass THEN 'embed' END AS action FROM r) WHERE action IS NOT NULL""")
+def index_repair_plan(spark, sf):
+    flag = lambda n: F.col("id") % n == 0
+    r = S.records(spark, sf).select("id", F.lit(True).alias("listed"), flag(4).alias("head"), flag(3).alias("body"), flag(2).alias("catalogued"), "text", (F.col("id") % 10 == 9).alias("pass_over"))
+    return storage.index_repair(r, S.vectors(spark, sf).where("id % 8 <> 6"))
+
+
+@query(f"WITH {S.OBJ} SELECT CAST(sum(bytes + 24) AS BIGINT) AS bytes, count(DISTINCT slab) AS slabs, CAST(ceil(sum(bytes + 24) / 100000.0) AS BIGINT) AS writes FROM obj WHERE live")
+def repack_writes(spark, sf):
+    return storage.repack_writes(S.objects(spark, sf).where("live"), 24, 100_000)
+
+
+@query(f"WITH {S.OBJ}, a AS (SELECT slab, CAST(sum(bytes) AS BIGINT) AS pinned, CAST(20000 AS BIGINT) AS max, count(*) AS writes FROM obj GROUP BY slab) SELECT *, round(pinned / max, 6) AS used, pinned / max >= 0.75 AS due, greatest(max - pinned, 0) >= writes * 10 AS affordable FROM a")
+def watermark(spark, sf):
+    a = S.objects(spark, sf).groupBy("slab").agg(F.sum("bytes").alias("pinned"), F.lit(20000).cast("long").alias("max"), F.count("*").alias("writes"))
+    return storage.watermark(a, 10)
+
+
+@query(f"WITH {S.LOG} SELECT count(DISTINCT object_ref) FILTER (WHERE NOT deleted) AS objects, count(DISTINCT slab_id) FILTER (WHERE NOT deleted) AS slabs, count(*) FILTER (WHERE NOT deleted) AS catalogued, CAST(NULL AS VARCHAR) AS refusal FROM folded")
+def keep_set(spark, sf):
+    return storage.check_keep_set(storage.keep_set(_folded(spark, sf)))
+
+
+@query(f"WITH {S.LOG} SELECT slab_id, CAST(sum(CASE WHEN deleted THEN 0 ELSE 1 END) AS BIGINT) AS records, CAST(sum(seq) AS BIGINT) AS bytes, min(seq) AS pinned_at, max(CASE WHEN deleted THEN 'hydrated' ELSE 'pinned' END) AS origin FROM log GROUP BY slab_id")
+def slab_ledger_upsert(spark, sf):
+    e = S.catalog(spark, sf).select("slab_id", F.col("seq").alias("pinned_at"), F.when(F.col("deleted"), 0).otherwise(1).cast("long").alias("records"), F.col("seq").alias("bytes"), F.when(F.col("deleted"), "hydrated").otherwise("pinned").alias("origin"))
+    return storage.slab_ledger(e)
+
+
+@query("""SELECT event_type AS tier, count(*) FILTER (WHERE user_id % 9 <> 0) AS reads, CAST(sum(CASE WHEN user_id % 9 <> 0 THEN event_id ELSE 0 END) AS BIGINT) AS nanos, count(*) FILTER (WHERE user_id % 9 = 0) AS misses,
+  coalesce(CAST(sum(CASE WHEN user_id % 9 <> 0 THEN event_id ELSE 0 END) AS DOUBLE) / nullif(count(*) FILTER (WHERE user_id % 9 <> 0), 0), 0.0) AS mean FROM events GROUP BY event_type""")
+def tier_stats(spark, sf):
+    e = S.table(spark, sf, "events")
+    return storage.tier_stats(e.select(F.col("event_type").alias("tier"), F.col("event_id").alias("nanos"), (F.col("user_id") % 9 == 0).alias("missed")))
+
+
+@query(f"WITH {S.QUEUE} SELECT count(*) AS n, CAST(sum(bytes) AS BIGINT) AS bytes, min(queued_at) AS oldest, max(queued_at) AS newest FROM queue")
+def queue_state(spark, sf):
+    return storage.queue_state(S.queue(spark, sf))
+
+
+@query(f"""WITH {S.QUEUE}, s AS (SELECT key, count(*) AS n, CAST(sum(bytes) AS BIGINT) AS bytes, min(queued_at) AS oldest, max(queued_at) AS newest FROM queue GROUP BY key)
+SELECT key, n, bytes, CASE WHEN n >= 70 THEN 'records' WHEN bytes >= 600 THEN 'bytes' WHEN epoch_us(TIMESTAMP '2024-01-30 12:00:00') - epoch_us(oldest) >= 2505600000000 THEN 'age' WHEN epoch_us(TIMESTAMP '2024-01-30 12:00:00') - epoch_us(newest) >= 300000000 THEN 'idle' ELSE 'none' END AS reason FROM s""")
+def queue_due_reason(spark, sf):
+    q = S.queue(spark, sf)
+    s = q.groupBy("key").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.min("queued_at").alias("oldest"), F.max("queued_at").alias("newest"))
+    return storage.due(s, "2024-01-30 12:00:00", 70, 600, 2_505_600, 300).select("key", "n", "bytes", "reason")
+
+
+@query(f"WITH {S.QUEUE} SELECT seq, record_id FROM queue WHERE claimed_at IS NULL OR claimed_at < TIMESTAMP '2024-01-15 00:00:00' - INTERVAL 600 SECOND ORDER BY seq LIMIT 50")
+def queue_claim_fifo(spark, sf):
+    return storage.claimable(S.queue(spark, sf), "2024-01-15 00:00:00", limit=50).select("seq", "record_id")
+
+
+@query(f"""WITH {S.QUEUE}, o AS (SELECT key, queued_at, bytes, CASE WHEN epoch_us(queued_at) - epoch_us(lag(queued_at) OVER (PARTITION BY key ORDER BY queued_at)) < 3600000000 THEN 0 ELSE 1 END AS new FROM queue),
+g AS (SELECT *, sum(new) OVER (PARTITION BY key ORDER BY queued_at ROWS UNBOUNDED PRECEDING) AS g FROM o)
+SELECT key, min(queued_at) AS first, max(queued_at) + INTERVAL 3600 SECOND AS idle_at, count(*) AS records, CAST(sum(bytes) AS BIGINT) AS bytes FROM g GROUP BY key, g""")
+def idle_session_windows(spark, sf):
+    from ..streaming.flush import idle_windows
+
+    return idle_windows(S.queue(spark, sf), gap="3600 seconds")
+
+
+# ---- scalar functions
+
+
+@query(r"""SELECT doc_id AS id, list_extract(string_split(text, chr(10)), 1) AS first_line, CASE WHEN length(t) > 72 THEN rtrim(substr(t, 1, 72)) || '…' ELSE t END AS title, sha256(text) AS cid, substr(sha256(text), 1, 12) AS short,
+  'mnemodex://memory/' || md5(text) AS uri, lower(source) AS tag FROM (SELECT *, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents) WHERE text IS NOT NULL""")
+def scalar_functions(spark, sf):
+    d = S.table(spark, sf, "documents").where("text is not null")
+    x = F.col("text")
+    cid = T.content_id(x)
+    return d.select(F.col("doc_id").alias("id"), T.first_line(x).alias("first_line"), T.truncate_title(x).alias("title"), cid.alias("cid"), T.short_id(cid).alias("short"), T.uri(F.lit("memory"), F.md5(x)).alias("uri"), T.normalize_tag(F.concat(F.lit(" "), F.upper("source"), F.lit("\t"))).alias("tag"))
