@@ -115,7 +115,8 @@ def mix(docs: DataFrame, block: int = 64, shard_slots: int = 1024, seed: int = 7
     packed = pack(d, block).where("size > 0")
     pieces = packed.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))))
     pieces = pieces.withColumn("first", F.greatest(F.lit(0), F.col("block") * block - F.col("start"))).withColumn("last", F.least(F.col("size"), (F.col("block") + 1) * block - F.col("start")))
-    spans = slots.join(pieces, slots.src.eqNullSafe(pieces.source) & (slots.block == pieces.block))
+    # the planner cannot see how many rows the sequences make, so it is told not to broadcast them
+    spans = slots.hint("merge").join(pieces, slots.src.eqNullSafe(pieces.source) & (slots.block == pieces.block))
     return spans.select("shard", "slot", "source", "pass", "doc_id", "row", "first", "last"), sizes
 
 
