@@ -149,15 +149,20 @@ def measure(buf: np.ndarray, off: np.ndarray, window: int = 8) -> dict[str, np.n
     return out
 
 
+def _verdict(m: dict[str, np.ndarray], max_covered: float, max_longest: int) -> np.ndarray:
+    """Adds base_failed to the figures; the verdict."""
+    n, rep = m["n_words"], m["n_repeat_words"]
+    m["base_failed"] = (n < 20) | (100 * rep > 30 * n)
+    return ~m["base_failed"] & (rep <= max_covered * n) & (m["longest_repeat"] <= max_longest)
+
+
 def _rules(window: int, max_covered: float, max_longest: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, (buf, off) = batch.column(0), utf8(batch.column(1))
             for a, b in chunks(off):
                 m = measure(buf[off[a] : off[b]], off[a : b + 1] - off[a], window)
-                n, rep = m["n_words"], m["n_repeat_words"]
-                m["base_failed"] = (n < 20) | (100 * rep > 30 * n)
-                m["kept"] = ~m["base_failed"] & (rep <= max_covered * n) & (m["longest_repeat"] <= max_longest)
+                m["kept"] = _verdict(m, max_covered, max_longest)
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), *map(pa.array, m.values())], names=["doc_id", *m])
 
     return run
@@ -171,3 +176,17 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     cols = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     return cols.mapInArrow(_rules(window, max_covered, max_longest), SCHEMA)
+
+
+def keep_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 8, max_covered: float = 0.3, max_longest: int = 100) -> DataFrame:
+    """The rows that the rules keep, unchanged; each is judged where it is read, without a shuffle."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buf, off = utf8(batch.column(at))
+            for a, b in chunks(off):
+                m = measure(buf[off[a] : off[b]], off[a : b + 1] - off[a], window)
+                yield batch.slice(a, b - a).filter(pa.array(_verdict(m, max_covered, max_longest)))
+
+    return docs.mapInArrow(run, docs.schema)
