@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import chunks, utf8
+from .common import chunks, trim, utf8
 from .pretokens import CORPUS_BYTES, PATTERN, Corpus, gather
 
 SCHEMA = "doc_id long, n_tokens long, ids binary, decoded binary"
@@ -117,6 +117,9 @@ class Replay:
                 even = (np.arange(len(at)) - heads[np.cumsum(run) - 1]) % 2 == 0
                 at, j = at[even], j[even]
             k = right[j]
+            if (side := np.flatnonzero(k[:-1] == at[1:])).size:  # side by side: the left one's new pair might come first
+                x = pair_ranks(np.full(len(side), r, np.int32), line[k[side]])
+                again.append(at[side[(x >= 0) & (x <= r)]])
             line[at] = r
             line[j] = -2
             right[at] = k
@@ -156,7 +159,7 @@ class Replay:
         done = np.flatnonzero(whole >= 0)
         ids[first[done]] = whole[done]
         ids[np.repeat(first[todo] - (np.cumsum(count[todo]) - count[todo]), count[todo]) + np.arange(int(count[todo].sum()))] = line[stays]
-        if again:
+        if sum(map(len, again)):
             parts = np.split(ids, first[1:])
             for w in np.unique(todo[np.searchsorted(begin, np.concatenate(again), side="right") - 1]).tolist():
                 parts[w] = np.array(self.alone(raw[start[w] : start[w] + size[w]]), np.uint32)
@@ -246,6 +249,7 @@ def _run(ranks, pattern: str, digests: bool):
                     done, out, size = done + len(out), [], 0
             if out:
                 yield flush()
+            trim()
 
     return run
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -38,6 +39,20 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+try:
+    _LIBC = ctypes.CDLL(None)
+    _LIBC.malloc_trim
+except (OSError, AttributeError, TypeError):  # another C library: nothing to do
+    _LIBC = None
+
+
+def trim() -> None:
+    """Give freed memory back, as Python workers live on after a batch and share an executor with others."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
 def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; a null is empty."""
     if isinstance(col, pa.ChunkedArray):

@@ -56,7 +56,7 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) of every node that occurs in (a, b), the component being its smallest id."""
     reduce = lambda e: e.where("a <> b").mapInArrow(_forest, "a long, b long").distinct()
-    e = materialize(reduce(edges.select(F.col("a").cast("long"), F.col("b").cast("long"))))
+    e = materialize(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").distinct())
     while True:
         # large star: greater neighbours of a node move to the smallest of its neighbourhood
         both = e.union(e.select("b", "a"))

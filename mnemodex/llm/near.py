@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, materialize, mix, utf8
+from .common import chunks, materialize, mix, trim, utf8
 from .graph import components, forest
 from .shingles import WIDTH, shingle_sets
 
@@ -58,6 +58,8 @@ def _sets(batch: pa.RecordBatch, width: int) -> Iterator[tuple[np.ndarray, ...]]
         total = np.append(_U(0), np.cumsum(mix(g.copy()), dtype=_U))
         sig = mix((total[o[1:]] - total[o[:-1]]) ^ (n.astype(_U) * _U(0x9E3779B97F4A7C15)))
         yield np.arange(p, q), g, n, sig
+        del parts, g, n, o, total, sig
+        trim()
 
 
 def _classes(width: int):
@@ -165,7 +167,10 @@ def _count(n: int):
             h, sig, df = h[keep], sig[keep], df[keep].astype(np.uint32)
             found += [(k, 3, h[at].tobytes(), sig[at].tobytes(), df[at].tobytes()) for k, at in _pieces(_bucket(sig, n), n)]
         passing = table.filter(pc.equal(table["kind"], 2)).select(["bucket", "kind", "hashes", "sigs", "counts"])
-        return pa.concat_tables([pa.Table.from_batches([_rows(found)]), passing]) if found else passing
+        out = pa.concat_tables([pa.Table.from_batches([_rows(found)]), passing]) if found else passing
+        del found, every, classes, table, own
+        trim()
+        return out
 
     return run
 
@@ -201,6 +206,7 @@ def _alive(percent: int):
             lead = own - need(own, percent) + 1 - (own - size)
             out = [(int(rep[at[i]]), int(own[i]), int(lead[i]), h[head[i] : head[i] + size[i]].tobytes()) for i in np.flatnonzero(lead > 0)]
         cols = [*zip(*out)] or [[], [], [], []]
+        trim()
         return pa.table([pa.array(c, k) for c, k in zip(cols, [pa.int64(), pa.int32(), pa.int32(), pa.binary()])], names=["rep", "n", "lead", "hashes"])
 
     return run

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Ranges, byte_table, chunks, materialize, utf8
+from .common import Ranges, byte_table, chunks, materialize, trim, utf8
 from .lyndon import suffix_array
 from .near import _pieces
 from .pretokens import gather
@@ -118,6 +118,8 @@ def _scan(width: int, n: int):
                     found.append((b, 0, g[at].tobytes() + c[at].tobytes(), doc[at].tobytes(), s[at].astype(np.int32).tobytes(), k[at].astype(np.uint32).tobytes()))
                 if found:
                     yield _pack(found)
+                del parts, g, c, doc, s, k, o, found
+                trim()
 
     return run
 
@@ -151,7 +153,10 @@ def _meet(n: int):
         many = np.append(False, same) | np.append(same, False)
         g, doc, s, k = (x[many] for x in (g, doc, s, k))
         found += [(b, 2, g[at].tobytes(), doc[at].tobytes(), s[at].astype(np.int32).tobytes(), k[at].tobytes()) for b, at in _pieces(_bucket(doc, n), n)]
-        return pa.concat_tables([pa.Table.from_batches([_pack(found)]), passing]) if found else passing
+        out = pa.concat_tables([pa.Table.from_batches([_pack(found)]), passing]) if found else passing
+        del found, own, names, table
+        trim()
+        return out
 
     return run
 
@@ -269,6 +274,7 @@ def _resolve(width: int, n: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         g, doc, s, k, data = (_flat(table[c], t) for c, t in (("names", _U), ("docs", np.int64), ("starts", np.int32), ("sizes", np.int32), ("bytes", np.uint8)))
         d, w = repeated_windows(g, doc, s, k, data, width)
+        trim()
         o = np.lexsort((w, d))
         d, w = d[o], w[o]
         if not len(d):

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .bpe import read_ranks
-from .common import Ranges, byte_table, chunks, utf8
+from .common import Ranges, byte_table, chunks, trim, utf8
 from .pretokens import CORPUS_BYTES, PATTERN, Corpus
 
 SCHEMA = "doc_id long, n_pretokens long, n_tokens long, score long"
@@ -121,6 +121,7 @@ def _run(ranks, pattern: str):
         for batch in batches:
             buf, off = utf8(batch.column(1))
             for a, b in chunks(off, CORPUS_BYTES):
+                trim()
                 c = Corpus(buf[off[a] : off[b]], off[a : b + 1] - off[a], pattern)
                 score, count = _MODELS[key].forward(c.flat, c.size)
                 total = [np.append(0, np.cumsum(x[c.use]))[c.firsts] for x in (count, score)]
