@@ -42,7 +42,7 @@ def boilerplate(docs: DataFrame, site: str = "source", text: str = "text", min_s
     lines = _lines(docs, site, text)
     # several distinct sites need as many occurrences: counts are cheap, sketches are kept for the rest
     often = lines.groupBy("h").agg(F.count("*").alias("n"), F.min("site").alias("p"), F.max("site").alias("q")).where((F.col("n") >= min_sites) & (F.col("p") < F.col("q") if min_sites > 1 else F.lit(True))).select("h")
-    some = lines.join(often, "h", "left_semi").distinct()
+    some = lines.distinct().join(often, "h", "left_semi")  # a line meets its test once for each site, however often it occurs
     spread = some.groupBy("h").agg(F.hll_sketch_agg("site", sketch).alias("s")).select("h", F.hll_sketch_estimate("s").alias("sites"))
     sure = spread.where(F.col("sites") > min_sites * (1 + margin)).select("h")
     near = spread.where((F.col("sites") <= min_sites * (1 + margin)) & (F.col("sites") >= min_sites * (1 - margin))).select("h")
