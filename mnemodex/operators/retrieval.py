@@ -241,3 +241,52 @@ def recall_hint(results: Column, offset: Column, scope_excluded: Column, searche
         .when(hidden > 0, F.lit("every candidate is superseded"))
         .otherwise(F.lit("nothing matched"))
     )
+
+
+def weight_sweep(vectors: DataFrame, texts: DataFrame, meta: DataFrame, req: Request, weights: list[tuple[float, float]]) -> DataFrame:
+    """(tag_weight, type_weight, place, id): the ranked list under each pair of boost weights, from one drawn pool."""
+    pool = describe(draw(vectors, texts, meta, req), meta).where(~F.col("superseded"))
+    w = vectors.sparkSession.createDataFrame(weights, "tag_weight double, type_weight double")
+    tags = boost(F.col("tags"), F.col("type"), req.tags, [], 1.0, 0.0)
+    types = boost(F.col("tags"), F.col("type"), [], req.types, 0.0, 1.0)
+    s = pool.withColumn("a", tags).withColumn("b", types).crossJoin(F.broadcast(w)).withColumn("score", F.round(F.col("fused") + F.col("tag_weight") * F.col("a") + F.col("type_weight") * F.col("b"), 9))  # a pool times a few weights
+    place = F.row_number().over(Window.partitionBy("tag_weight", "type_weight").orderBy(F.desc("score"), "id"))
+    return s.withColumn("place", place).where(F.col("place") <= req.limit).select("tag_weight", "type_weight", "place", "id")
+
+
+def encode_rank_cursor(query: str, offset: int) -> str:
+    import base64
+    import hashlib
+
+    return f"r1:{offset}:{base64.urlsafe_b64encode(hashlib.sha256(query.encode()).digest()[:6]).decode()}"
+
+
+def decode_rank_cursor(cursor: str, query: str) -> int:
+    """The offset; a cursor of another query or form is refused."""
+    parts = cursor.split(":")
+    if len(parts) != 3 or parts[0] != "r1" or not parts[1].isdigit() or encode_rank_cursor(query, int(parts[1])) != cursor:
+        raise ValueError("not a cursor of this query")
+    return int(parts[1])
+
+
+def hashing_embedder(dim: int = C.MODEL_DIM):
+    """A deterministic text embedding in place of a model: signed term hashing, unit length; a Pandas UDF."""
+    import hashlib
+
+    import numpy as np
+    import pandas as pd
+    from pyspark.sql.functions import pandas_udf
+
+    @pandas_udf("array<float>")
+    def embed(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            v = np.zeros(dim)
+            for w in T.analyze(t or ""):
+                h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
+                v[h % dim] += 1 if h >> 63 else -1
+            n = np.linalg.norm(v)
+            out.append((v / n if n else v).astype(np.float32))
+        return pd.Series(out)
+
+    return embed

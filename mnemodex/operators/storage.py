@@ -148,3 +148,41 @@ def ownership(objects: DataFrame, releasable: DataFrame) -> DataFrame:
     """(ref, foreign): slabs of each object that this device may not release."""
     r = releasable.select("slab").distinct().withColumn("mine", F.lit(True))
     return objects.join(r, "slab", "left").groupBy("ref").agg(F.count_if(F.col("mine").isNull()).alias("foreign"))
+
+
+def cache_size(objects: DataFrame, slabs: DataFrame) -> DataFrame:
+    """One row: counts and bytes of cached objects(blob) and slabs(blob), and bytes per object."""
+    size = lambda d, n: d.agg(F.count("*").alias(n), F.coalesce(F.sum(F.octet_length("blob")), F.lit(0)).alias(f"{n}_bytes"))
+    a = size(objects, "objects").crossJoin(size(slabs, "slabs"))  # one row each
+    return a.withColumn("per_object", F.coalesce(F.try_divide(F.col("objects_bytes") + F.col("slabs_bytes"), F.col("objects")), F.lit(0.0)))
+
+
+def take_ownership(ledger: DataFrame) -> DataFrame:
+    """The ledger with every slab pinned by this device, and `taken`: whether that changed it."""
+    return ledger.withColumn("taken", F.col("origin") == "hydrated").withColumn("origin", F.lit("pinned"))
+
+
+def join_locations(objects: DataFrame, slabs: DataFrame) -> DataFrame:
+    """(id, slabs): object rows with their shared slab data in order; a missing slab is an error."""
+    s = slabs.select("slab", "meta").withColumn("there", F.lit(True))
+    j = objects.join(s, "slab", "left").withColumn("meta", F.when(F.col("there"), F.col("meta")).otherwise(F.raise_error(F.lit("a slab is missing"))))
+    return j.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "slab", "meta"))).alias("slabs"))  # a handful of slabs an object
+
+
+def restore_plan(found: DataFrame, forgotten: DataFrame, catalog: DataFrame, depth: str) -> DataFrame:
+    """(id, action) of frames found(id, kind): forgotten ones are skipped, catalogued ones refreshed; deeper restores do more."""
+    f, c = forgotten.select("id").distinct().withColumn("f", F.lit(True)), catalog.select("id").distinct().withColumn("c", F.lit(True))
+    deep = {"catalog": "catalogue", "metadata": "describe", "index": "embed"}[depth]
+    return found.join(f, "id", "left").join(c, "id", "left").select("id", F.when(F.col("f"), "skip").when(F.col("c") & F.lit(depth == "catalog"), "keep").when(F.col("kind") == "chunk", "catalogue").otherwise(deep).alias("action"))
+
+
+def repack_plan(objects: DataFrame, target_bytes: int) -> DataFrame:
+    """(slab, live, bytes, dead, rewrite): slabs whose live share would fit with others into fewer writes."""
+    a = objects.groupBy("slab").agg(F.count_if("live").alias("live"), F.sum(F.when(F.col("live"), F.col("bytes")).otherwise(0)).alias("bytes"), F.count_if(~F.col("live")).alias("dead"))
+    return a.withColumn("rewrite", (F.col("live") > 0) & (F.col("bytes") * 2 < target_bytes))
+
+
+def delete_batches(stale: DataFrame, size: int = 64) -> DataFrame:
+    """(batch, n, first): deletions grouped in batches of about `size` by hash, so no global order is needed."""
+    n = stale.agg(F.greatest(F.ceil(F.count("*") / size), F.lit(1)).alias("parts"))
+    return stale.crossJoin(n).groupBy(F.pmod(F.col("id"), F.col("parts")).alias("batch")).agg(F.count("*").alias("n"), F.min("id").alias("first"))  # one row

@@ -138,3 +138,49 @@ def duplicate_appends(new: DataFrame, refs: DataFrame) -> DataFrame:
     again = new.groupBy("session", "id").agg(F.count("*").alias("n")).where("n > 1").select("session", "id")
     ends = refs.select("session", F.explode(F.array("first", "last")).alias("id"))
     return again.union(new.select("session", "id").join(ends, ["session", "id"], "left_semi")).distinct()
+
+
+def rebuild_heads(turns: DataFrame, links: DataFrame) -> DataFrame:
+    """Heads from stored turns(session, pos, id, role, text, created, bytes) and links(session, n): every field with its origin.
+
+    observed: seen in the turns; derived: counted from them; synthesised: made up; reverse: from records that point here; lost: nothing is left.
+    """
+    f, t = facts(turns), titles(turns)
+    out = f.join(t, "session").join(links.select("session", F.col("n").alias("memories")), "session", "left")
+    recovered = F.col("title").startswith("Recovered session ")
+    return out.select(
+        "session", "title", "messages", "bytes", "first_dated", "last_dated", "head_message", F.coalesce("memories", F.lit(0)).alias("memories"),
+        F.when(recovered, "synthesised").otherwise("derived").alias("title_origin"), F.when(F.col("first_dated").isNull(), "lost").otherwise("observed").alias("created_origin"),
+        F.when(F.col("memories").isNull(), "lost").otherwise("reverse").alias("memories_origin"),
+    )
+
+
+def children(sessions: DataFrame) -> DataFrame:
+    """(id, pos, child, title): subagents of each session in the order of their ids; sessions(id, title, parent)."""
+    c = sessions.where("parent is not null").select(F.col("parent").alias("id"), F.col("id").alias("child"), "title")
+    return c.join(sessions.select("id"), "id", "left_semi").withColumn("pos", F.row_number().over(Window.partitionBy("id").orderBy("child")) - 1)
+
+
+def record_ids(catalogued: DataFrame, held: DataFrame) -> DataFrame:
+    """(id, source): catalogued ids, then those only held."""
+    both = catalogued.select("id", F.lit(0).alias("s")).union(held.select("id", F.lit(1).alias("s")))
+    return both.groupBy("id").agg(F.when(F.min("s") == 0, "catalog").otherwise("held").alias("source"))
+
+
+def revise_edges(current: DataFrame, revisions: DataFrame) -> DataFrame:
+    """(id, child) after revisions(id, child, seq, add): the last revision of an edge decides; edges commute, so nothing is retried."""
+    last = revisions.groupBy("id", "child").agg(F.max_by("add", "seq").alias("add"))
+    kept = current.select("id", "child").distinct().join(last, ["id", "child"], "left").where(F.coalesce("add", F.lit(True))).select("id", "child")
+    return kept.union(last.where("add").select("id", "child")).distinct()
+
+
+def render(turns: DataFrame) -> DataFrame:
+    """(session, pos, line): a turn as shown when a conversation is resumed."""
+    return turns.select("session", "pos", F.concat(F.col("role"), F.lit(": "), F.coalesce("text", F.lit(""))).alias("line"))
+
+
+def import_census(lines: DataFrame) -> DataFrame:
+    """(outcome, n) of agent-log lines(value): refused ones do not parse or lack a session, diverged ones lack a role."""
+    j = F.from_json("value", "type string, uuid string, sessionId string, message struct<role:string>")
+    outcome = F.when(F.col("j.sessionId").isNull(), "refused").when(~F.coalesce(F.col("j.message.role").isin(*C.ROLES), F.lit(False)), "diverged").otherwise("rebuilt")
+    return lines.select(j.alias("j")).groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n"))
