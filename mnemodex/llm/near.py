@@ -147,7 +147,7 @@ def _count(n: int):
         own, hot = table.filter(pc.equal(table["kind"], 0)), table.filter(pc.equal(table["kind"], 1))
         every, classes = _u64(own["hashes"]), np.repeat(_u64(own["sigs"]), _u32(own["counts"]))
         names = np.unique(_u64(hot["hashes"]))
-        found = []
+        shared = []
         for part in range(PARTS):  # by hash, to bound what is sorted at once
             some = (every >> _U(36)) % _U(PARTS) == part
             h, sig = every[some], classes[some]
@@ -164,11 +164,14 @@ def _count(n: int):
                 at = np.minimum(np.searchsorted(names, h), len(names) - 1)
                 df[names[at] == h] = HOT
             keep = df > 1
-            h, sig, df = h[keep], sig[keep], df[keep].astype(np.uint32)
-            found += [(k, 3, h[at].tobytes(), sig[at].tobytes(), df[at].tobytes()) for k, at in _pieces(_bucket(sig, n), n)]
+            shared.append((h[keep], sig[keep], df[keep].astype(np.uint32)))
+        found = []
+        if shared:
+            h, sig, df = map(np.concatenate, zip(*shared))
+            found = [(k, 3, h[at].tobytes(), sig[at].tobytes(), df[at].tobytes()) for k, at in _pieces(_bucket(sig, n), n)]
         passing = table.filter(pc.equal(table["kind"], 2)).select(["bucket", "kind", "hashes", "sigs", "counts"])
         out = pa.concat_tables([pa.Table.from_batches([_rows(found)]), passing]) if found else passing
-        del found, every, classes, table, own
+        del found, shared, every, classes, table, own
         trim()
         return out
 
