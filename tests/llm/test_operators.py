@@ -265,3 +265,14 @@ def test_mixed_documents_keep_words(spark, docs):
     total = spans.agg(F.sum(F.col("last") - F.col("first"))).first()[0]
     m = mixing.mixed_documents(docs, ["doc_id", "text", "lang", "source", "n_chars"])
     assert m.agg(F.sum(mixing.n_words(F.col("text")))).first()[0] == total
+
+
+def test_components(spark):
+    from mnemodex.llm import graph
+
+    r = random.Random(6)
+    edges = [(i, i + 1) for i in range(60)] + [(100 + r.randint(0, 40), 100 + r.randint(0, 40)) for _ in range(30)] + [(200, 300 + i) for i in range(50)] + [(7, 7)]
+    got = {x.id: x.component for x in graph.components(spark.createDataFrame(edges, "a long, b long").repartition(13)).collect()}
+    want = brute.groups({v for e in edges for v in e}, edges)
+    assert got == {k: v for k, v in want.items() if any(k in e and e[0] != e[1] for e in edges)}
+    assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
