@@ -164,3 +164,30 @@ def listing_dates(listing: DataFrame, bodies: DataFrame, heads: DataFrame) -> Da
     b = bodies.select("id", F.col("body").alias("b"))
     h = heads.select("id", F.col("head").alias("h"))
     return listing.join(b, "id", "left").join(h, "id", "left").select("id", "kind", F.coalesce("b", "h").alias("body"))
+
+
+def recent_conversations(sessions: DataFrame, n: int = C.RESUME_CHOICES) -> DataFrame:
+    return sessions.orderBy(F.desc_nulls_last("updated_at"), "id").limit(n).select("id", "title", "updated_at")
+
+
+def browse_hint(shown, matching, total, after: bool):
+    """Which condition emptied a page: columns of counts to a text."""
+    return F.when(shown > 0, F.lit("")).when(F.lit(after) & (matching > 0), F.lit("the cursor is past the last record")).when(total > 0, F.lit("the filters match nothing")).otherwise(F.lit("nothing is stored yet"))
+
+
+def write_advice(conflicts, too_common, tags):
+    """What a writer should know: near duplicates, and tags that tell nothing apart."""
+    dup = F.when(conflicts > 0, F.concat(conflicts.cast("string"), F.lit(" near duplicates")))
+    tag = F.when((tags > 0) & (too_common == tags), F.lit("every tag is common"))
+    return F.concat_ws("; ", dup, tag)
+
+
+def session_problem(sessions: DataFrame) -> DataFrame:
+    """sessions(id, title, summary, kind, parent, chunks array<struct<seq, n>>) with `problem`: the first rule broken, or null."""
+    c = F.col
+    order = F.exists(F.transform("chunks", lambda x, i: x["seq"] != i), lambda b: b)
+    rules = [
+        (c("id").isNull(), "missing id"), (~c("kind").isin(*C.SESSION_KINDS), "unknown kind"), (F.octet_length("title") > C.TITLE_MAX, "title too long"), (F.octet_length("summary") > C.SUMMARY_MAX, "summary too long"),
+        ((c("kind") == "subagent") & c("parent").isNull(), "subagent without parent"), (order, "chunks out of sequence"), (F.exists("chunks", lambda x: x["n"] <= 0), "empty chunk"),
+    ]
+    return sessions.withColumn("problem", F.coalesce(*[F.when(F.coalesce(cond, F.lit(False)), F.lit(name)) for cond, name in rules]))

@@ -290,3 +290,35 @@ def hashing_embedder(dim: int = C.MODEL_DIM):
         return pd.Series(out)
 
     return embed
+
+
+def parse_scope(scope: str | None) -> list[str]:
+    """The kinds of a scope argument; none means no limit, an unknown one is an error."""
+    if not scope:
+        return []
+    known = {"all": [], "memory": ["memory"], "memories": ["memory"], "session": ["session"], "sessions": ["session"]}
+    if scope.strip().lower() not in known:
+        raise ValueError(f"unknown scope: {scope}")
+    return known[scope.strip().lower()]
+
+
+def parse_types(types: list[str] | None) -> list[str]:
+    out = [t.strip().lower() for t in types or []]
+    for t in out:
+        if t not in C.TYPES:
+            raise ValueError(f"unknown type: {t}")
+    return out
+
+
+def read_resume(argument: str, known_ids: set[str]) -> tuple[str, str, int]:
+    """(how, value, turns) of a resume argument: an address, an id, `recent`, else a topic; a trailing number is a turn count."""
+    words = argument.split()
+    turns = C.RESUME_TURNS
+    if len(words) > 1 and words[-1].isdigit():
+        turns = min(int(words.pop()), C.RESUME_MAX)
+    value = " ".join(words)
+    if value.startswith(f"{T.SCHEME}://"):
+        return "address", value, turns
+    if value in known_ids:
+        return "id", value, turns
+    return ("recent", "", turns) if value.lower() == "recent" or not value else ("topic", value, turns)

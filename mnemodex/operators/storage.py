@@ -186,3 +186,13 @@ def delete_batches(stale: DataFrame, size: int = 64) -> DataFrame:
     """(batch, n, first): deletions grouped in batches of about `size` by hash, so no global order is needed."""
     n = stale.agg(F.greatest(F.ceil(F.count("*") / size), F.lit(1)).alias("parts"))
     return stale.crossJoin(n).groupBy(F.pmod(F.col("id"), F.col("parts")).alias("batch")).agg(F.count("*").alias("n"), F.min("id").alias("first"))  # one row
+
+
+def tracked_slabs(ledger: DataFrame) -> DataFrame:
+    """The ledger, oldest pins first."""
+    return ledger.orderBy("pinned_at", "slab_id")
+
+
+def settle(owed: DataFrame) -> DataFrame:
+    """owed(id, owed array, written array) with what is still owed, in order."""
+    return owed.withColumn("left", F.array_except("owed", "written"))

@@ -223,3 +223,27 @@ def vault_summary(spark, sf):
     c = r.agg(F.count("*").alias("records"), F.count_if(F.col("kind") == "memory").alias("memories"), F.count_if(F.col("kind") == "session").alias("sessions"))
     v = listing.tag_vocabulary(listing.tag_rows(r), 1).select(F.col("tag").alias("top_tag"))
     return c.crossJoin(v).crossJoin(S.vectors(spark, sf).agg(F.count("*").alias("indexed")))  # one row each
+
+
+@query(f"WITH {S.SESS} SELECT id, title, updated_at FROM sess ORDER BY updated_at DESC NULLS LAST, id LIMIT 15")
+def recent_conversations(spark, sf):
+    return listing.recent_conversations(S.sessions(spark, sf))
+
+
+@query("SELECT slab_id, pinned_at FROM (SELECT 's' || (event_id % 40) AS slab_id, min(event_id) AS pinned_at FROM events GROUP BY 1) ORDER BY pinned_at, slab_id")
+def tracked_slabs(spark, sf):
+    return storage.tracked_slabs(S.catalog(spark, sf).groupBy("slab_id").agg(F.min("seq").alias("pinned_at")))
+
+
+@query("SELECT user_id AS id, CASE WHEN user_id % 2 = 0 THEN 'b' ELSE 'a,c' END AS left_over FROM (SELECT DISTINCT user_id FROM events)")
+def owed_minus_written(spark, sf):
+    e = S.table(spark, sf, "events").select(F.col("user_id").alias("id")).distinct()
+    owed = e.withColumn("owed", F.when(F.col("id") % 2 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("a"), F.lit("c")))).withColumn("written", F.when(F.col("id") % 2 == 0, F.array(F.lit("a"))).otherwise(F.array(F.lit("b"))))
+    return storage.settle(owed).select("id", F.array_join("left", ",").alias("left_over"))
+
+
+@query(f"WITH {S.SESS} SELECT id, CASE WHEN kind = 'subagent' AND id % 2 = 0 THEN 'subagent without parent' WHEN id % 5 = 2 AND messages > 0 THEN 'chunks out of sequence' END AS problem FROM sess")
+def session_validation(spark, sf):
+    s = S.sessions(spark, sf).withColumn("summary", F.lit("")).withColumn("parent", F.when(~((F.col("kind") == "subagent") & (F.col("id") % 2 == 0)), F.coalesce("parent", F.lit(0).cast("long"))))
+    chunk = lambda seq: F.struct(seq.alias("seq"), F.col("messages").alias("n"))
+    return listing.session_problem(s.withColumn("chunks", F.array(chunk(F.when(F.col("id") % 5 == 2, 1).otherwise(0))))).select("id", "problem")

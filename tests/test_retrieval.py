@@ -140,3 +140,27 @@ def test_withdraw_all_or_none(spark):
     ids_ = spark.createDataFrame([("a",), ("b",)], "record_id string")
     assert storage.withdraw_all(q, ids_, "2024-01-01 00:05:00").count() == 3
     assert storage.withdraw_all(q, ids_, "2024-01-01 01:00:00").count() == 1
+
+
+def test_arguments():
+    assert retrieval.parse_scope(None) == [] and retrieval.parse_scope("Sessions") == ["session"] and retrieval.parse_types([" Fact"]) == ["fact"]
+    for bad in (lambda: retrieval.parse_scope("x"), lambda: retrieval.parse_types(["x"]), lambda: retrieval.decode_rank_cursor("r1:5:AAAAAAAA", "q")):
+        with pytest.raises(ValueError):
+            bad()
+    assert retrieval.decode_rank_cursor(retrieval.encode_rank_cursor("q", 15), "q") == 15
+    assert retrieval.read_resume("recent 7", set()) == ("recent", "", 7) and retrieval.read_resume("plan the trip", set())[0] == "topic" and retrieval.read_resume("ab 500", {"ab"}) == ("id", "ab", 100)
+
+
+def test_hints_and_advice(spark):
+    d = spark.range(1)
+    row = d.select(
+        listing.browse_hint(F.lit(0), F.lit(3), F.lit(9), True).alias("a"), listing.browse_hint(F.lit(0), F.lit(0), F.lit(9), False).alias("b"), listing.write_advice(F.lit(2), F.lit(1), F.lit(1)).alias("c"),
+        retrieval.recall_hint(F.lit(0), F.lit(0), F.lit(4), F.lit(9), F.lit(1)).alias("d"),
+    ).first()
+    assert row.a.startswith("the cursor") and row.b.startswith("the filters") and row.c == "2 near duplicates; every tag is common" and "scope" in row.d
+
+
+def test_hashing_embedder(spark):
+    d = spark.createDataFrame([("apple pear",), ("pear apple",), ("",)], "t string")
+    v = [r.v for r in d.select(retrieval.hashing_embedder(32)(F.col("t")).alias("v")).collect()]
+    assert v[0] == v[1] and abs(sum(x * x for x in v[0]) - 1) < 1e-6 and not any(v[2])
