@@ -143,6 +143,8 @@ def mixed_documents(docs: DataFrame, columns: list[str], **how) -> DataFrame:
     used = used.select(F.col("doc_id").alias("id_"), F.col("row").alias("row_"), F.col("source").alias("source_"), "spans")
     d = docs.select(*columns).withColumn("row_", F.xxhash64("text"))
     d = d.join(used.withColumnRenamed("row_", "row__"), d.doc_id.cast("long").eqNullSafe(F.col("id_")) & (d.row_ == F.col("row__")) & d.source.eqNullSafe(F.col("source_")))
-    d = d.withColumn("words_", F.expr(r"regexp_extract_all(text, '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+', 0)"))
-    text = F.array_join(F.flatten(F.transform("spans", lambda s: F.slice("words_", (s["first"] + 1).cast("int"), (s["last"] - s["first"]).cast("int")))), "")
+    words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    # the words are bound once by the outer transform; as a column the optimizer would copy their extraction into every slice
+    cut = F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.transform("spans", lambda s: F.slice(w, (s["first"] + 1).cast("int"), (s["last"] - s["first"]).cast("int")))), ""))
+    text = F.get(cut, F.lit(0))
     return d.withColumn("text", text).select(*columns)
