@@ -31,9 +31,8 @@ def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near duplicates."""
-    groups = near.near_groups(docs).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(groups, docs.doc_id == groups.kept_id, "left_semi").select(*COLUMNS)
+    """One row, that of the smallest id, of each group of near duplicates; a row without an id is kept if its group has no other."""
+    return near.near_kept(docs.select(*COLUMNS))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

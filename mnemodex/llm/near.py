@@ -16,8 +16,10 @@
 Only shared shingles move after step 2: an intersection has no others, so overlaps are exact.
 
 Defined cases: null and empty texts, and those without words, have n_shingles 0 and stay alone; a text
-of fewer words than the width has one shingle; ties and repeated rows form one class. Empty tables give
-empty results.
+of fewer words than the width has one shingle; ties and repeated rows form one class. A class is a node
+by its name, never by an id: rows without an id take part like others, rows of one id with different
+texts are different documents, and a component's id is its smallest non-null id (null if it has none).
+Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import chunks, materialize, mix, trim, utf8
@@ -66,7 +68,8 @@ def _classes(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, _, n, sig in _sets(batch, width):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(rows[0], len(rows)), pa.array(n), pa.array(sig.view(np.int64))], names=["doc_id", "n_shingles", "sig"])
+                ids, texts = (batch.column(i).slice(rows[0], len(rows)) for i in (0, 2))
+                yield pa.RecordBatch.from_arrays([ids, texts, pa.array(n), pa.array(sig.view(np.int64))], names=["doc_id", "row", "n_shingles", "sig"])
 
     return run
 
@@ -193,9 +196,10 @@ def _alive(percent: int):
         # kind 2 has no counts: its shingles are hot
         df = np.concatenate([np.frombuffer(c, np.uint32) if k == 3 else np.full(len(x) // 8, HOT, np.uint32) for k, c, x in zip(*(shared[c].to_pylist() for c in ("kind", "counts", "hashes")))] or [np.zeros(0, np.uint32)])
         names = reps["sig"].combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64).view(_U)
-        rep, n = (reps[c].combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("rep", "n_shingles"))
+        n = reps["n_shingles"].combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64)
         o = np.argsort(names)
-        names, rep, n = names[o], rep[o], n[o]
+        names, n = names[o], n[o]
+        rep = names.view(np.int64)  # a class's node is its name: it is never null and no other's
         out: list[tuple] = []
         if len(h):
             o = np.lexsort((h, df, sig))
@@ -375,18 +379,20 @@ def _join(percent: int):
     return run
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = 75) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
+def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, classes, best). rows: doc_id, row (the text's hash), n_shingles, sig. classes: sig, n_shingles, component
+    (its smallest sig). best: component, best (the document of the smallest id, ids before null: no_id, doc_id, row)."""
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    own = materialize(d.mapInArrow(_classes(width), "doc_id long, n_shingles long, sig long"))
+    own = materialize(d.withColumn("row", F.xxhash64("text")).mapInArrow(_classes(width), "doc_id long, row long, n_shingles long, sig long"))
     filled = own.where("n_shingles > 0")
-    reps = materialize(filled.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles")))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("best")
+    reps = materialize(filled.groupBy("sig").agg(first, F.max("n_shingles").alias("n_shingles")))
     # the same bucket as _bucket gives in Python
     bucket = F.pmod(F.shiftrightunsigned("sig", 40), F.lit(n)).cast("int")
     counted = d.mapInArrow(_spread(width, n), _PACKED).groupBy("bucket").applyInArrow(_count(n), _PACKED)
-    left, right = counted.groupBy("bucket"), reps.withColumn("bucket", bucket).groupBy("bucket")
+    left, right = counted.groupBy("bucket"), reps.select("sig", "n_shingles", bucket.alias("bucket")).groupBy("bucket")
     alive = materialize(left.cogroup(right).applyInArrow(_alive(percent), _ALIVE))
     links = materialize(alive.select("rep", "lead", "hashes").mapInArrow(_leads(n), _PACKED).groupBy("bucket").applyInArrow(_meet, "a long, b long"))
     clusters = components(links)
@@ -397,6 +403,33 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     c = c.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "n", "hashes")
     found = c.groupBy("component", "i", "j").applyInArrow(_join(percent), "a long, b long")
     labels = components(found)
-    named = reps.join(labels, reps.rep == labels.id, "left").select(F.col("sig").alias("name"), F.col("n_shingles").alias("size"), F.coalesce("component", "rep").alias("component_id"))
+    classes = reps.join(labels, reps.sig == labels.id, "left").select("sig", "n_shingles", "best", F.coalesce("component", "sig").alias("component"))
+    best = materialize(classes.groupBy("component").agg(F.min("best").alias("best")))
+    return own, classes.drop("best"), best
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = 75) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
+    own, classes, best = _grouped(docs, id_col, text_col, width, percent)
+    named = classes.join(best, "component").select(F.col("sig").alias("name"), F.col("n_shingles").alias("size"), F.col("best.doc_id").alias("component_id"))
     out = own.join(named, (own.sig == named.name) & (own.n_shingles == named["size"]), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def near_kept(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = 75) -> DataFrame:
+    """The rows to keep: one of each group, that of the smallest id, and texts without words, which are no one's copies.
+
+    Rows that repeat an id and its text are one document; rows without an id and without words are kept each.
+    """
+    own, _, best = _grouped(docs, id_col, text_col, width, percent)
+    alone = own.where("n_shingles = 0 and doc_id is not null").select("doc_id", "row").distinct()
+    wanted = best.select("best.doc_id", "best.row").union(alone)
+    # a document's key has no null, so that rows of a key meet in the join and stay together for their count
+    key = [F.coalesce("doc_id", F.lit(0)).alias("k_"), F.xxhash64("row", F.col("doc_id").isNull()).alias("t_")]
+    name = docs.select("*", F.col(id_col).cast("long").alias("id_"), F.xxhash64(F.col(text_col).cast("string")).alias("row_"))
+    d = name.select(*docs.columns, F.coalesce("id_", F.lit(0)).alias("k_"), F.xxhash64("row_", F.col("id_").isNull()).alias("t_"))
+    kept = d.join(wanted.select(*key), ["k_", "t_"], "left_semi")
+    order = [c for c in docs.columns if c not in (id_col, text_col)] or [id_col]
+    kept = kept.withColumn("n_", F.row_number().over(Window.partitionBy("k_", "t_").orderBy(*order))).where("n_ = 1").select(*docs.columns)
+    solid = F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), " \t\n\x0b\x0c\r", "") != ""
+    return kept.union(docs.where(F.col(id_col).isNull() & ~solid))

@@ -88,6 +88,21 @@ def test_near(spark, docs, texts):
     assert near.near_groups(empty(spark)).count() == 0
 
 
+def test_near_without_ids(spark):
+    a, b, c = prose(1, 120), prose(2, 120), prose(3, 120)
+    almost = " ".join([*b.split(" ")[:-3], "x"])
+    rows = [(None, a, "en", "s", 0), (None, b, "en", "s", 0), (2**60 + 1, almost, "en", "s", 0), (2**60 + 3, c, "en", "s", 0), (2**60 + 3, a.upper() + " end", "en", "s", 0), (None, c, "en", "s", 0), (4, prose(5, 90), "en", "s", 0), (4, prose(6, 90), "en", "s", 0)]
+    rows += [(None, prose(4, 80), "en", "s", 0)] * 2 + [(None, "", "en", "s", 0)] * 2 + [(9, "", "en", "s", 0), (9, prose(9, 70), "en", "s", 0), (9, prose(9, 70), "en", "t", 0)]
+    d = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in near.near_groups(d).collect()), key=repr)
+    x, y = 2**60 + 1, 2**60 + 3
+    want = [(None, 116, y), (None, 116, x), (x, 114, x), (y, 116, y), (y, 117, y), (None, 116, y), (4, 86, 4), (4, 86, 4), (None, 76, None), (None, 76, None), (None, 0, None), (None, 0, None), (9, 0, 9), (9, 66, 9), (9, 66, 9)]
+    assert got == sorted(want, key=repr)
+    kept = sorted(((r.doc_id, r.text) for r in near.near_kept(d).collect()), key=repr)
+    want = [(x, almost), (y, c), (y, rows[4][1]), (4, rows[6][1]), (4, rows[7][1]), (None, rows[8][1]), (None, ""), (None, ""), (9, ""), (9, prose(9, 70))]
+    assert kept == sorted(want, key=repr)
+
+
 def test_near_in_blocks_and_hot(spark, monkeypatch):
     base = prose(1, 120).split(" ")
     rows = []
