@@ -13,8 +13,12 @@
 
 All messages are packed by bucket and of a size that follows the text. Text is shuffled once.
 
+A document is named by two numbers, its id and a hash of its text, in that order; of messages, `docs` holds
+both, one after the other.
+
 Defined cases: null texts are empty; texts shorter than the width lose nothing; rows that repeat an id
-and its text are one document; a null id comes last. An empty table gives an empty result.
+and its text are one document, also without an id; rows of one id with different texts are different documents,
+ordered by the text's hash; a null id comes last. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -54,6 +58,19 @@ def _flat(col: pa.ChunkedArray, kind) -> np.ndarray:
     return np.concatenate([np.frombuffer(x.as_py() or b"", kind) for x in col] or [np.zeros(0, kind)])
 
 
+def _docs(col: pa.ChunkedArray) -> np.ndarray:
+    return _flat(col, np.int64).reshape(-1, 2)
+
+
+def _home(doc: np.ndarray, n: int) -> np.ndarray:
+    """Buckets of documents."""
+    return _bucket(doc[:, 0] ^ doc[:, 1], n)
+
+
+def _other(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a[:, 0] != b[:, 0]) | (a[:, 1] != b[:, 1])
+
+
 def anchors(buf: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
     """(anchor hash, context hash, row, first window start, number of window starts with the anchor's offset) of each occurrence.
 
@@ -96,7 +113,7 @@ def _scan(width: int, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, off = utf8(batch.column(1))
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            ids = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2)])
             for p, q in chunks(off, BATCH_BYTES):
                 parts = []
                 for a, b in chunks(off[p : q + 1]):
@@ -104,17 +121,17 @@ def _scan(width: int, n: int):
                     g, c, row, s, k = anchors(buf[off[a] : off[b]], off[a : b + 1] - off[a], width)
                     parts.append((g, c, ids[a:b][row], s, k))
                 g, c, doc, s, k = map(np.concatenate, zip(*parts))
-                o = np.lexsort((s, doc, c))
+                o = np.lexsort((s, doc[:, 1], doc[:, 0], c))
                 g, c, doc, s, k = (x[o] for x in (g, c, doc, s, k))
                 again = np.append(False, c[1:] == c[:-1])[: len(c)]
-                again &= ~np.append(False, (doc[1:] == doc[:-1]) & (s[1:] == s[:-1]))[: len(c)]  # the same row twice
+                again &= ~np.append(False, ~_other(doc[1:], doc[:-1]) & (s[1:] == s[:-1]))[: len(c)]  # the same row twice
                 found = []
-                for b, at in _pieces(_bucket(doc[again], n), n):
+                for b, at in _pieces(_home(doc[again], n), n):
                     found.append((b, 1, b"", doc[again][at].tobytes(), s[again][at].astype(np.int32).tobytes(), (k[again][at] & 0xFFFF).astype(np.int32).tobytes()))
                 new = np.append(True, c[1:] != c[:-1])[: len(c)]
                 g, c, doc, s, k = (x[new] for x in (g, c, doc, s, k))
                 for b, at in _pieces(_bucket(g, n), n):
-                    at = at[np.argsort(doc[at], kind="stable")]
+                    at = at[np.lexsort((doc[at, 1], doc[at, 0]))]
                     found.append((b, 0, g[at].tobytes() + c[at].tobytes(), doc[at].tobytes(), s[at].astype(np.int32).tobytes(), k[at].astype(np.uint32).tobytes()))
                 if found:
                     yield _pack(found)
@@ -136,23 +153,23 @@ def _meet(n: int):
             return passing
         names = [np.frombuffer(x.as_py(), _U) for x in own["names"]]
         g, c = (np.concatenate([x[: len(x) // 2] if half else x[len(x) // 2 :] for x in names]) for half in (True, False))
-        doc, s, k = _flat(own["docs"], np.int64), _flat(own["starts"], np.int32).astype(np.int64), _flat(own["sizes"], np.int32)
+        doc, s, k = _docs(own["docs"]), _flat(own["starts"], np.int32).astype(np.int64), _flat(own["sizes"], np.int32)
         o = np.argsort(g, kind="stable")
         same = g[o][1:] == g[o][:-1]
         o = o[np.append(False, same) | np.append(same, False)]  # anchors met once need nothing
         if not len(o):
             return passing
-        o = o[np.lexsort((s[o], doc[o], c[o], g[o]))]
+        o = o[np.lexsort((s[o], doc[o, 1], doc[o, 0], c[o], g[o]))]
         g, c, doc, s, k = (x[o] for x in (g, c, doc, s, k))
         head = np.append(True, (c[1:] != c[:-1]) | (g[1:] != g[:-1]))
         first = np.flatnonzero(head)[np.cumsum(head) - 1]
-        again = ~head & ((doc != doc[first]) | (s != s[first]))
-        found = [(b, 1, b"", doc[again][at].tobytes(), s[again][at].astype(np.int32).tobytes(), (k[again][at] & 0xFFFF).tobytes()) for b, at in _pieces(_bucket(doc[again], n), n)]
+        again = ~head & (_other(doc, doc[first]) | (s != s[first]))
+        found = [(b, 1, b"", doc[again][at].tobytes(), s[again][at].astype(np.int32).tobytes(), (k[again][at] & 0xFFFF).tobytes()) for b, at in _pieces(_home(doc[again], n), n)]
         g, doc, s, k = (x[head] for x in (g, doc, s, k))
         same = g[1:] == g[:-1]
         many = np.append(False, same) | np.append(same, False)
         g, doc, s, k = (x[many] for x in (g, doc, s, k))
-        found += [(b, 2, g[at].tobytes(), doc[at].tobytes(), s[at].astype(np.int32).tobytes(), k[at].tobytes()) for b, at in _pieces(_bucket(doc, n), n)]
+        found += [(b, 2, g[at].tobytes(), doc[at].tobytes(), s[at].astype(np.int32).tobytes(), k[at].tobytes()) for b, at in _pieces(_home(doc, n), n)]
         out = pa.concat_tables([pa.Table.from_batches([_pack(found)]), passing]) if found else passing
         del found, own, names, table
         trim()
@@ -165,20 +182,20 @@ def _by_document(kind: int):
     """Of one bucket of documents: a row for each, its starts and sizes (and names), ordered."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        doc, s, k = _flat(table["docs"], np.int64), _flat(table["starts"], np.int32), _flat(table["sizes"], np.int32)
+        doc, s, k = _docs(table["docs"]), _flat(table["starts"], np.int32), _flat(table["sizes"], np.int32)
         g = _flat(table["names"], _U)
-        o = np.lexsort((s, doc))
+        o = np.lexsort((s, doc[:, 1], doc[:, 0]))
         doc, s, k = doc[o], s[o], k[o]
         g = g[o] if len(g) else g
-        head = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, np.int64)
+        head = np.flatnonzero(np.append(True, _other(doc[1:], doc[:-1]))) if len(doc) else np.zeros(0, np.int64)
         ends = np.append(head[1:], len(doc))
         cut = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(head.tolist(), ends.tolist())], pa.binary())
-        return pa.table({"id": pa.array(doc[head], pa.int64()), "names": cut(g), "starts": cut(s), "sizes": cut(k)})
+        return pa.table({"id": pa.array(doc[head, 0], pa.int64()), "row_": pa.array(doc[head, 1], pa.int64()), "names": cut(g), "starts": cut(s), "sizes": cut(k)})
 
     return run
 
 
-_DOC_ROWS = "id long, names binary, starts binary, sizes binary"
+_DOC_ROWS = "id long, row_ long, names binary, starts binary, sizes binary"
 
 
 def _fetch(width: int, n: int):
@@ -190,7 +207,7 @@ def _fetch(width: int, n: int):
             if not some.num_rows:
                 continue
             buf, off = utf8(some.column(1))
-            ids = some.column(0).to_numpy(zero_copy_only=False)
+            ids = np.column_stack([some.column(i).to_numpy(zero_copy_only=False) for i in (0, 5)])
             for a, b in chunks(off, BATCH_BYTES):
                 g, s, k = (_flat(pa.chunked_array([some.column(i).slice(a, b - a)]), t) for i, t in ((2, _U), (3, np.int32), (4, np.int32)))
                 count = np.array([len(x.as_py()) // 4 for x in some.column(3).slice(a, b - a)])
@@ -229,13 +246,13 @@ def repeated_windows(name_of: np.ndarray, doc: np.ndarray, s: np.ndarray, k: np.
     owner = ctx[head]
     where = s[owner].astype(np.int64) + lo - base[owner]
     name = h(lo, lo + n_win + width - 1)
-    o = np.lexsort((where, doc[owner], name))
+    o = np.lexsort((where, doc[owner, 1], doc[owner, 0], name))
     lo, n_win, owner, where, name = (x[o] for x in (lo, n_win, owner, where, name))
     new = np.append(True, name[1:] != name[:-1])
     first = np.flatnonzero(new)[np.cumsum(new) - 1]
     # later places of an equal fragment are repeats in all their windows
-    again = ~new & ((doc[owner] != doc[owner[first]]) | (where != where[first]))
-    out_doc, out_at = [np.repeat(doc[owner[again]], n_win[again])], [gather(np.arange(int(where.max()) + int(n_win.max()) + 1), where[again], n_win[again])]
+    again = ~new & (_other(doc[owner], doc[owner[first]]) | (where != where[first]))
+    out_doc, out_at = [np.repeat(doc[owner[again]], n_win[again], axis=0)], [gather(np.arange(int(where.max()) + int(n_win.max()) + 1), where[again], n_win[again])]
     lo, n_win, owner, where = (x[new] for x in (lo, n_win, owner, where))
     length = n_win + width - 1
     text = gather(data, lo, length).astype(np.int64)
@@ -262,27 +279,27 @@ def repeated_windows(name_of: np.ndarray, doc: np.ndarray, s: np.ndarray, k: np.
         part = some[i : i + (1 << 14)]
         same[part] = (view[at[part]] == view[at[part + 1]]).all(1)
     group = np.cumsum(np.append(True, ~same))
-    o = np.lexsort((w, d, group))
+    o = np.lexsort((w, d[:, 1], d[:, 0], group))
     d, w, group = d[o], w[o], group[o]
     head = np.append(True, group[1:] != group[:-1])
     f = np.flatnonzero(head)[np.cumsum(head) - 1]
-    late = ~head & ((d != d[f]) | (w != w[f]))
+    late = ~head & (_other(d, d[f]) | (w != w[f]))
     return np.concatenate([*out_doc, d[late]]), np.concatenate([*out_at, w[late]])
 
 
 def _resolve(width: int, n: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        g, doc, s, k, data = (_flat(table[c], t) for c, t in (("names", _U), ("docs", np.int64), ("starts", np.int32), ("sizes", np.int32), ("bytes", np.uint8)))
-        d, w = repeated_windows(g, doc, s, k, data, width)
+        g, s, k, data = (_flat(table[c], t) for c, t in (("names", _U), ("starts", np.int32), ("sizes", np.int32), ("bytes", np.uint8)))
+        d, w = repeated_windows(g, _docs(table["docs"]), s, k, data, width)
         trim()
-        o = np.lexsort((w, d))
+        o = np.lexsort((w, d[:, 1], d[:, 0]))
         d, w = d[o], w[o]
         if not len(d):
             return pa.Table.from_batches([_pack([])])
-        head = np.flatnonzero(np.append(True, (w[1:] > w[:-1] + 1) | (d[1:] != d[:-1])))
+        head = np.flatnonzero(np.append(True, (w[1:] > w[:-1] + 1) | _other(d[1:], d[:-1])))
         last = np.append(head[1:] - 1, len(d) - 1)
         d, a, k = d[head], w[head], w[last] - w[head] + 1
-        return pa.Table.from_batches([_pack([(b, 1, b"", d[i].tobytes(), a[i].astype(np.int32).tobytes(), k[i].astype(np.int32).tobytes()) for b, i in _pieces(_bucket(d, n), n)])])
+        return pa.Table.from_batches([_pack([(b, 1, b"", d[i].tobytes(), a[i].astype(np.int32).tobytes(), k[i].astype(np.int32).tobytes()) for b, i in _pieces(_home(d, n), n)])])
 
     return run
 
@@ -318,16 +335,17 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes)."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     last = (1 << 63) - 1
-    d = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(last)).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    h = F.shiftrightunsigned(F.xxhash64("text"), 1)  # below 0 with an id, so that a null one is behind every other
+    d = d.select(F.coalesce("doc_id", F.lit(last)).alias("doc_id"), "text", F.when(F.col("doc_id").isNull(), h).otherwise(-1 - h).alias("row"))
     met = materialize(d.mapInArrow(_scan(width, n), _ROWS).groupBy("bucket").applyInArrow(_meet(n), _ROWS))
     wanted = met.where("kind = 2").groupBy("bucket").applyInArrow(_by_document(2), _DOC_ROWS)
     # both joins keep all documents, so that their exchange of texts is one and the same
-    asked = d.join(wanted, d.doc_id == wanted.id, "left").select("doc_id", "text", "names", "starts", "sizes")
+    asked = d.join(wanted, (d.doc_id == wanted.id) & (d.row == wanted.row_), "left").select("doc_id", "text", "names", "starts", "sizes", "row")
     parts = asked.mapInArrow(_fetch(width, n), _ROWS + ", bytes binary").groupBy("bucket").applyInArrow(_resolve(width, n), _ROWS)
     spans = met.where("kind = 1").union(parts).groupBy("bucket").applyInArrow(_by_document(1), _DOC_ROWS)
-    full = d.join(spans, d.doc_id == spans.id, "left").select("doc_id", "text", "starts", "sizes")
-    out = full.mapInArrow(_cut(width), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-    return out.withColumn("doc_id", F.when(F.col("doc_id") != last, F.col("doc_id")))
+    full = d.join(spans, (d.doc_id == spans.id) & (d.row == spans.row_), "left").select(F.when(F.col("row") < 0, F.col("doc_id")).alias("doc_id"), "text", "starts", "sizes")
+    return full.mapInArrow(_cut(width), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def dedup_substrings(docs: DataFrame, **how) -> DataFrame:

@@ -137,6 +137,20 @@ def test_substrings(spark, docs, texts):
     assert substrings.dedup_substrings(empty(spark)).count() == 0
 
 
+def test_substrings_without_or_with_repeated_ids(spark):
+    a, b, c, e = (prose(i, 90) for i in range(4))
+    top = (1 << 63) - 1
+    rows = [(None, a + " tail one " + b), (None, c), (None, b + " other"), (7, "x " + a), (7, c[:150] + e), (7, "short"), (8, e), (top, c), (None, c), (8, e), (9, "pre " + c[10:200])]
+    # rows that come first win; of equal ids the order is by the text's hash
+    h = {r.t: r.h for r in spark.createDataFrame([(t,) for _, t in rows], "t string").select("t", F.shiftrightunsigned(F.xxhash64("t"), 1).alias("h")).collect()}
+    order = sorted({*rows}, key=lambda r: (r[0] is None, r[0] or 0, h[r[1]] if r[0] is None else -1 - h[r[1]]))
+    want = brute.substrings(dict(enumerate(t for _, t in order)))
+    want = sorted([(r[0], *want[order.index(r)]) for r in rows], key=repr)
+    for parts in (1, 3):
+        d = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        assert sorted(map(tuple, substrings.dedup_substrings(d).collect()), key=repr) == want
+
+
 def test_lyndon():
     r = random.Random(3)
     for _ in range(300):
