@@ -12,8 +12,8 @@ Running word offsets are two-level sums: within buckets of a source (by hash of
 few buckets of each source; the number of buckets follows the table's partitions.
 
 Defined cases: a null text has no words and takes part with size 0; a null source is a source, the last;
-rows that repeat a doc_id are counted apart when packed and report their id's common taken share by
-row; sources of no words have target 0. An empty table gives an empty result.
+every row has a number, by which it is packed and its words are taken, so rows that repeat others take
+part like others (`taken` shares out what equal rows take among them); sources of no words have target 0. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -67,30 +67,43 @@ def _permute(j: Column, n: Column, seed: Column) -> Column:
     return (((j % n) * (_prime(n) % n)) % n + F.pmod(F.xxhash64(seed, n), n)) % n
 
 
+def numbered(docs: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """doc_id, source, size, row (the text's hash), number (the row's own), and own: a struct of `columns`. Written, so that numbers stay."""
+    d = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text").cast("string")).alias("size"),
+        F.xxhash64("text").alias("row"), F.monotonically_increasing_id().alias("number"), *([F.struct(*columns).alias("own")] if columns else []),
+    )
+    return materialize(d)  # sizes are counted once
+
+
 def pack(docs: DataFrame, block: int) -> DataFrame:
-    """(source, doc_id, row, size, start): each document's first word's place among its source's words.
+    """(source, doc_id, row, number, size, start): each document's first word's place among its source's words.
 
-    docs: source, doc_id, row (tells rows of equal ids apart), size.
+    docs: source, doc_id, row and number (tell rows of equal ids apart), size.
     """
     spread = max(8, docs.sparkSession.sparkContext.defaultParallelism * 8)
     d = docs.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(spread)))
     sums = d.groupBy("source", "bucket").agg(F.sum("size").alias("s"))
     ahead = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(F.col("source").alias("src"), F.col("bucket").alias("bkt"), F.coalesce(F.sum("s").over(ahead), F.lit(0)).alias("base"))
-    inner = Window.partitionBy("source", "bucket").orderBy("doc_id", "row").rowsBetween(Window.unboundedPreceding, -1)
+    inner = Window.partitionBy("source", "bucket").orderBy("doc_id", "row", "number").rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("inner", F.coalesce(F.sum("size").over(inner), F.lit(0)))
     d = d.join(F.broadcast(sums), d.source.eqNullSafe(sums.src) & (d.bucket == sums.bkt))  # sources x buckets rows: bounded
-    return d.select("source", "doc_id", "row", "size", (F.col("base") + F.col("inner")).alias("start"))
+    return d.select("source", "doc_id", "row", "number", "size", (F.col("base") + F.col("inner")).alias("start"))
 
 
 def mix(docs: DataFrame, block: int = 64, shard_slots: int = 1024, seed: int = 7, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> tuple[DataFrame, DataFrame]:
-    """(spans, sizes). spans: shard, slot, source, pass, doc_id, row, first, last (words of the document that the
-    slot takes, 0-based, last exclusive). sizes: doc_id, row, source, size, source_size, target.
+    """(spans, sizes). spans: shard, slot, source, pass, doc_id, row, number, first, last (words of the document that the
+    slot takes, 0-based, last exclusive). sizes: doc_id, row, number, source, size, source_size, target.
 
     docs: doc_id, source, text and anything else.
     """
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text").cast("string")).alias("size"), F.xxhash64("text").alias("row"))
-    d = materialize(d)  # narrow: sizes are counted once
+    return mix_numbered(numbered(docs), block, shard_slots, seed, weights, share, most)
+
+
+def mix_numbered(docs: DataFrame, block: int = 64, shard_slots: int = 1024, seed: int = 7, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> tuple[DataFrame, DataFrame]:
+    """`mix` of documents that `numbered` made."""
+    d = docs.select("doc_id", "source", "size", "row", "number")
     t = materialize(targets(d.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most))
     t = t.select(F.col("source").alias("src"), "source_size", "target")
     sizes = d.join(F.broadcast(t), d.source.eqNullSafe(t.src)).drop("src")  # a row per source
@@ -117,7 +130,7 @@ def mix(docs: DataFrame, block: int = 64, shard_slots: int = 1024, seed: int = 7
     pieces = pieces.withColumn("first", F.greatest(F.lit(0), F.col("block") * block - F.col("start"))).withColumn("last", F.least(F.col("size"), (F.col("block") + 1) * block - F.col("start")))
     # the planner cannot see how many rows the sequences make, so it is told not to broadcast them
     spans = slots.hint("merge").join(pieces, slots.src.eqNullSafe(pieces.source) & (slots.block == pieces.block))
-    return spans.select("shard", "slot", "source", "pass", "doc_id", "row", "first", "last"), sizes
+    return spans.select("shard", "slot", "source", "pass", "doc_id", "row", "number", "first", "last"), sizes
 
 
 def taken(docs: DataFrame, **how) -> DataFrame:
@@ -138,13 +151,12 @@ def mixed_documents(docs: DataFrame, columns: list[str], **how) -> DataFrame:
 
     White space before a taken word is kept, so a document taken whole keeps its text up to the end of its last word.
     """
-    spans, _ = mix(docs, **how)
-    used = spans.groupBy("doc_id", "row", "source", "pass").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("spans"))
-    used = used.select(F.col("doc_id").alias("id_"), F.col("row").alias("row_"), F.col("source").alias("source_"), "spans")
-    d = docs.select(*columns).withColumn("row_", F.xxhash64("text"))
-    d = d.join(used.withColumnRenamed("row_", "row__"), d.doc_id.cast("long").eqNullSafe(F.col("id_")) & (d.row_ == F.col("row__")) & d.source.eqNullSafe(F.col("source_")))
+    d = numbered(docs, columns)
+    spans, _ = mix_numbered(d, **how)
+    used = spans.groupBy("number", "pass").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("spans")).withColumnRenamed("number", "number_")
+    d = d.select("number", "own").join(used, F.col("number") == F.col("number_")).select("own.*", F.col("spans").alias("spans_"))
     words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     # the words are bound once by the outer transform; as a column the optimizer would copy their extraction into every slice
-    cut = F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.transform("spans", lambda s: F.slice(w, (s["first"] + 1).cast("int"), (s["last"] - s["first"]).cast("int")))), ""))
+    cut = F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.transform("spans_", lambda s: F.slice(w, (s["first"] + 1).cast("int"), (s["last"] - s["first"]).cast("int")))), ""))
     text = F.get(cut, F.lit(0))
     return d.withColumn("text", text).select(*columns)

@@ -296,6 +296,16 @@ def test_mixed_documents_keep_words(spark, docs):
     assert m.agg(F.sum(mixing.n_words(F.col("text")))).first()[0] == total
 
 
+def test_mixed_documents_of_repeated_rows(spark):
+    rows = [(i % 7 if i % 3 else None, prose(i % 5, 150), "en", "s", 0) for i in range(40)] + [(1, prose(1, 150), "de", "s", 0)] * 3
+    d = spark.createDataFrame(rows, SCHEMA).repartition(3).localCheckpoint()
+    total = sum(r.taken for r in mixing.taken(d).collect())
+    m = mixing.mixed_documents(d, ["doc_id", "text", "lang", "source", "n_chars"]).select("lang", mixing.n_words(F.col("text")).alias("n")).collect()
+    assert sum(r.n for r in m) == total > 0
+    assert all(r.n <= 150 for r in m)  # a row for each document and pass takes each of its words at most once
+    assert sum(r.n for r in m if r.lang == "de") <= 2 * 3 * 150
+
+
 def test_components(spark):
     from mnemodex.llm import graph
 
