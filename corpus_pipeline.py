@@ -26,8 +26,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without boilerplate lines that are spread over many sources."""
-    return _counted(lines.dedup_lines(docs))
+    """Documents without boilerplate lines that are spread over many sources; one of no other lines stays whole."""
+    return _counted(lines.dedup_lines(docs, max_removed=None))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

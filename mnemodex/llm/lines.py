@@ -50,11 +50,12 @@ def boilerplate(docs: DataFrame, site: str = "source", text: str = "text", min_s
     return sure.unionByName(exact)
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", site: str = "source", text: str = "text", min_sites: int = MIN_SITES, sketch: int = SKETCH, margin: float = MARGIN, max_removed: float = 0.5) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", site: str = "source", text: str = "text", min_sites: int = MIN_SITES, sketch: int = SKETCH, margin: float = MARGIN, max_removed: float | None = 0.5) -> DataFrame:
     """The rows with their text freed of boilerplate lines, and n_lines, n_removed.
 
     Where boilerplate would be more than `max_removed` of a document's characters, the document is a copy
     of others rather than a carrier of boilerplate; it stays whole, for document deduplication to judge.
+    With `max_removed` None only a document that has no line of its own stays whole.
     """
     found = boilerplate(docs, site, text, min_sites, sketch, margin)
     mine = docs.select(F.col(id_col).alias("k_"), F.xxhash64(text).alias("t_"), F.explode(F.split(F.col(text), "\n")).alias("line")).where(_solid(F.col("line"))).select("k_", "t_", _hash(F.col("line")).alias("h"))
@@ -64,7 +65,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", site: str = "source", t
     lines = F.split(F.col(text), "\n")
     kept = F.filter(lines, lambda x: ~(_solid(x) & F.array_contains("bad_", _hash(x))))
     d = d.withColumn("kept_", F.when(F.col("bad_").isNotNull(), F.array_join(kept, "\n")))
-    changed = F.col("kept_").isNotNull() & (F.length(text) - F.length("kept_") <= F.lit(max_removed) * F.length(text))
+    left = F.exists(kept, _solid) if max_removed is None else F.length(text) - F.length("kept_") <= F.lit(max_removed) * F.length(text)
+    changed = F.col("kept_").isNotNull() & left
     n = F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(lines))
     out = d.select(
         *[F.when(changed, F.col("kept_")).otherwise(F.col(text)).alias(text) if c == text else F.col(c) for c in docs.columns],

@@ -30,3 +30,10 @@ def test_stages(spark, sf, tmp_path):
 
 def test_run_matches_stages(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() > 0
+
+
+def test_short_pages_lose_boilerplate(spark, sf):
+    mark = "Subscribe to our newsletter today, and never miss a story again"
+    rows = [(i, f"own {i}\n{mark}", "en", f"s{i}", 0) for i in range(10)] + [(20, mark, "en", "s1", 0), (21, f"{mark}\n \n{mark}", "en", "s2", 0)]
+    out = corpus_pipeline.lines_stage(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), sf)
+    assert {r.doc_id: r.text for r in out.collect()} == {i: f"own {i}" for i in range(10)} | {20: mark, 21: f"{mark}\n \n{mark}"}
