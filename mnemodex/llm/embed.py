@@ -8,8 +8,10 @@ passes gives clusters, and in each cluster every pair is verified by its cosine
 blocks, so links inside large groups are counted in full although windows are bounded. Verified links
 leave a task as counts and a spanning forest.
 
-The number of passes follows the number of vectors: a pair at cosine 0.95 agrees in a sign with
-probability 0.9 and needs about log2(n / window) agreeing ones, so 4 / 0.9**that passes are made.
+The number of passes follows the number of vectors and the limit: a pair at the limit agrees in a sign with
+probability q = 1 - acos(limit) / pi and needs about log2(n / window) agreeing ones, so a pass finds it with
+probability p = q**that, and ln(MISS) / ln(1 - p) passes are made; MISS is the probability that an isolated
+pair at the limit is not found. How far sketches may differ follows the limit likewise.
 
 Defined cases: null vectors, zero vectors and those with null or non-finite components link with
 nothing, nor do vectors of different lengths; equal vectors link with each other; a repeated vec_id
@@ -31,12 +33,29 @@ from .common import Ranges, byte_table, materialize
 from .graph import components, forest
 
 _U = np.uint64
-WINDOW, BITS, SKETCH_WORDS, SKETCH_LIMIT = 16, 60, 2, 44
+WINDOW, BITS, SKETCH_WORDS, MISS = 16, 60, 2, 0.001
 #: Vectors of a cluster that one task holds at once (twice, for a pair of blocks).
 BLOCK = 4096
 _TABLE = byte_table(51)
 
 
+def agreement(limit: float) -> float:
+    """The probability that two vectors of this cosine have the same sign in a random projection."""
+    return 1 - math.acos(min(1.0, max(-1.0, limit))) / math.pi
+
+
+def passes_for(n: int, limit: float, window: int = WINDOW) -> int:
+    """Passes after which an isolated pair at the limit, among n vectors, is missed with probability MISS at most."""
+    p = agreement(limit) ** min(BITS, max(0.0, math.log2(max(n, 1) / window)))
+    return 12 if p >= 1 else max(12, math.ceil(math.log(MISS) / math.log1p(-p)))
+
+
+def sketch_limit(limit: float) -> int:
+    """Differing sketch signs from which a pair is no candidate: 6.4 standard deviations above the mean at the limit."""
+    n, q = SKETCH_WORDS * 64, 1 - agreement(limit)
+    return min(n, math.ceil(n * q + 6.4 * math.sqrt(n * q * (1 - q))))
+
+
 def unit(col: pa.Array) -> tuple[np.ndarray, list[np.ndarray | None]]:
     """(usable, unit vectors in double precision)."""
     out: list[np.ndarray | None] = []
@@ -91,12 +110,12 @@ def _keys(passes: int):
     return run
 
 
-def _pairs(group: np.ndarray, ids: np.ndarray, s0: np.ndarray, s1: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+def _pairs(group: np.ndarray, ids: np.ndarray, s0: np.ndarray, s1: np.ndarray, window: int, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Candidates of sorted rows: pairs up to `window` apart, of one pass, with near sketches."""
     a, b = [], []
     for w in range(1, min(window, len(ids) - 1) + 1):
         far = np.bitwise_count(s0[w:] ^ s0[:-w]) + np.bitwise_count(s1[w:] ^ s1[:-w])
-        at = np.flatnonzero((far <= SKETCH_LIMIT) & (group[w:] == group[:-w]))
+        at = np.flatnonzero((far <= most) & (group[w:] == group[:-w]))
         a.append(ids[at])
         b.append(ids[at + w])
     return forest(np.concatenate(a), np.concatenate(b)) if a else (ids[:0], ids[:0])
@@ -105,7 +124,7 @@ def _pairs(group: np.ndarray, ids: np.ndarray, s0: np.ndarray, s1: np.ndarray, w
 _SORTED = "kind int, side long, pass long, key long, id long, s0 long, s1 long"
 
 
-def _sorted(window: int):
+def _sorted(window: int, most: int):
     def emit(kind: int, side, cols: list[np.ndarray]) -> pa.RecordBatch:
         n = len(cols[1])
         return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(np.full(n, side)), *(pa.array(c.astype(np.int64)) for c in cols)], names=["kind", "side", "pass", "key", "id", "s0", "s1"])
@@ -119,7 +138,7 @@ def _sorted(window: int):
             total += batch.num_rows
             if before is not None:
                 cols = [np.append(x, y) for x, y in zip(before, cols)]
-            a, b = _pairs(cols[0], *cols[2:], window)
+            a, b = _pairs(cols[0], *cols[2:], window, most)
             yield emit(0, 0, [a * 0, b, a, a * 0, a * 0])
             before = [c[-window:] for c in cols]
         if total:
@@ -129,11 +148,11 @@ def _sorted(window: int):
     return run
 
 
-def _border(window: int):
+def _border(window: int, most: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         kind, group, k, ids, s0, s1 = (table[c].combine_chunks().to_numpy(zero_copy_only=False) for c in ("kind", "pass", "key", "id", "s0", "s1"))
         o = np.lexsort((ids, k, group, -kind))  # the end of one partition, then the start of the next
-        a, b = _pairs(group[o], ids[o], s0[o], s1[o], window)
+        a, b = _pairs(group[o], ids[o], s0[o], s1[o], window, most)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
@@ -175,13 +194,14 @@ def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     classes = materialize(own.where("sig is not null").groupBy("sig").agg(F.min("vec_id").alias("rep"), F.count("*").alias("times")))
     n = classes.count()
     if passes is None:
-        passes = max(12, math.ceil(4 / 0.9 ** max(0.0, math.log2(max(n, 1) / window))))
+        passes = passes_for(n, limit, window)
+    most = sketch_limit(limit)
     reps = v.join(classes, v.vec_id == classes.rep, "left_semi").dropDuplicates(["vec_id"])
     keyed = reps.mapInArrow(_keys(passes), "pass long, key long, id long, s0 long, s1 long")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = keyed.repartitionByRange(parts, "pass", "key", "id").sortWithinPartitions("pass", "key", "id")
-    found = materialize(ranged.mapInArrow(_sorted(window), _SORTED))
-    across = found.where("kind > 0").groupBy("side").applyInArrow(_border(window), "a long, b long")
+    found = materialize(ranged.mapInArrow(_sorted(window, most), _SORTED))
+    across = found.where("kind > 0").groupBy("side").applyInArrow(_border(window, most), "a long, b long")
     clusters = components(found.where("kind = 0").select(F.col("id").alias("a"), F.col("key").alias("b")).union(across))
     c = reps.join(clusters, reps.vec_id == clusters.id).join(classes, F.col("vec_id") == classes.rep).select("rep", "times", "vector", "component")
     total = clusters.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))

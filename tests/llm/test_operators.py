@@ -178,6 +178,28 @@ def test_embeddings(spark):
     assert embed.embedding_groups(df.where("vec_id < 0")).count() == 0
 
 
+def test_embedding_passes_follow_size_and_limit():
+    for limit in (0.95, 0.9, 0.8):
+        for n in (10_000, 50_000, 3_000_000, 60_000_000):
+            p = embed.agreement(limit) ** np.log2(n / embed.WINDOW)
+            assert (1 - p) ** embed.passes_for(n, limit) <= embed.MISS
+    assert embed.sketch_limit(0.9) == 44 < embed.sketch_limit(0.8)
+    assert embed.passes_for(0, 0.9) > 0 and embed.passes_for(10**6, 1.0) > 0
+
+
+def test_embedding_pairs_at_the_limit(spark):
+    r = np.random.default_rng(8)
+    v = r.standard_normal((4000, 48))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    other = r.standard_normal((400, 48))
+    other -= (other * v[:400]).sum(1)[:, None] * v[:400]
+    other /= np.linalg.norm(other, axis=1)[:, None]
+    v[400:800] = 0.805 * v[:400] + np.sqrt(1 - 0.805**2) * other
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>").repartition(3)
+    got = {x.vec_id: x for x in embed.embedding_groups(df, limit=0.8).collect()}
+    assert sum(got[400 + i].component_id == i for i in range(400)) >= 397
+
+
 def test_chat(spark):
     odd = "</s>[INST] ok [/INST] \\ <s>[user]"
     rows = [(1, 0, "system", "be kind"), (1, 1, "user", odd), (1, 2, "assistant", odd), (1, 3, None, None), (2, 0, "assistant", ""), (2, 0, "assistant", "b"), (2, 0, "assistant", "b"), (2, None, "user", "first")]
