@@ -15,7 +15,9 @@ pair at the limit is not found. How far sketches may differ follows the limit li
 
 Defined cases: null vectors, zero vectors and those with null or non-finite components link with
 nothing, nor do vectors of different lengths; equal vectors link with each other; a repeated vec_id
-counts as another vector. An empty table gives an empty result.
+counts as another vector, and so does each row without a vec_id. A class is a node by its hash, never by an
+id; a component's id is its smallest non-null vec_id (null if it has none), and one row of a component is
+kept, of that id. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -72,13 +74,13 @@ def unit(col: pa.Array) -> tuple[np.ndarray, list[np.ndarray | None]]:
 
 
 def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Classes: vec_id, sig (null if the vector cannot link)."""
+    """Classes: vec_id, sig (null if the vector cannot link), and the vector."""
     for batch in batches:
         ok, vecs = unit(batch.column(1))
         raw = [x.values.to_numpy(zero_copy_only=False).astype(np.float64).tobytes() if o else b"" for x, o in zip(batch.column(1), ok)]
         off = np.append(0, np.cumsum([*map(len, raw)]))
         h = Ranges(_TABLE[np.frombuffer(b"".join(raw), np.uint8)])(off[:-1], off[1:]) if off[-1] else np.zeros(len(raw), _U)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(h.view(np.int64), mask=~ok)], names=["vec_id", "sig"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(h.view(np.int64), mask=~ok), batch.column(1)], names=["vec_id", "sig", "vector"])
 
 
 _PLANES: dict[tuple[int, int], np.ndarray] = {}
@@ -190,20 +192,24 @@ def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     """Per row: vec_id, n_links, component_id, kept."""
     spark = vectors.sparkSession
     v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
-    own = materialize(v.mapInArrow(_names, "vec_id long, sig long"))
-    classes = materialize(own.where("sig is not null").groupBy("sig").agg(F.min("vec_id").alias("rep"), F.count("*").alias("times")))
+    named = v.mapInArrow(_names, "vec_id long, sig long, vector array<double>")
+    own = materialize(named.select("vec_id", "sig", F.monotonically_increasing_id().alias("number")))
+    filled = own.where("sig is not null")
+    first = F.min(F.struct(F.col("vec_id").isNull().alias("no_id"), "vec_id", "sig", "number")).alias("best")
+    classes = materialize(filled.groupBy("sig").agg(first, F.count("*").alias("times")))
     n = classes.count()
     if passes is None:
         passes = passes_for(n, limit, window)
     most = sketch_limit(limit)
-    reps = v.join(classes, v.vec_id == classes.rep, "left_semi").dropDuplicates(["vec_id"])
+    # the vectors of a class are equal, so any is its own
+    reps = materialize(named.where("sig is not null").groupBy("sig").agg(F.first("vector").alias("vector")))
     keyed = reps.mapInArrow(_keys(passes), "pass long, key long, id long, s0 long, s1 long")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = keyed.repartitionByRange(parts, "pass", "key", "id").sortWithinPartitions("pass", "key", "id")
     found = materialize(ranged.mapInArrow(_sorted(window, most), _SORTED))
     across = found.where("kind > 0").groupBy("side").applyInArrow(_border(window, most), "a long, b long")
     clusters = components(found.where("kind = 0").select(F.col("id").alias("a"), F.col("key").alias("b")).union(across))
-    c = reps.join(clusters, reps.vec_id == clusters.id).join(classes, F.col("vec_id") == classes.rep).select("rep", "times", "vector", "component")
+    c = reps.join(clusters, reps.sig == clusters.id).join(classes, "sig").select(F.col("sig").alias("rep"), "times", "vector", "component")
     total = clusters.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     c = c.join(total, "component").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     c = c.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -211,7 +217,10 @@ def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     checked = materialize(c.groupBy("component", "i", "j").applyInArrow(_verify(limit), "kind int, a long, b long"))
     links = checked.where("kind = 0").groupBy("a").agg(F.sum("b").alias("n"))
     labels = components(checked.where("kind = 1").select("a", "b"))
-    named = classes.join(links, classes.rep == links.a, "left").join(labels, classes.rep == labels.id, "left")
-    named = named.select(F.col("sig").alias("name"), (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    out = own.join(named, own.sig == named.name, "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    labelled = classes.join(labels, classes.sig == labels.id, "left").select("sig", "times", "best", F.coalesce("component", "sig").alias("component"))
+    best = materialize(labelled.groupBy("component").agg(F.min("best").alias("top")))
+    named = labelled.join(best, "component").join(links, F.col("sig") == links.a, "left")
+    named = named.select(F.col("sig").alias("name"), (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.col("top.vec_id").alias("component_id"), F.col("top.number").alias("top"))
+    out = own.join(named, own.sig == named.name, "left")
+    kept = F.coalesce(F.col("number") == F.col("top"), F.lit(True))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"), kept.alias("kept"))

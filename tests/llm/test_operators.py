@@ -200,6 +200,17 @@ def test_embedding_pairs_at_the_limit(spark):
     assert sum(got[400 + i].component_id == i for i in range(400)) >= 397
 
 
+def test_embeddings_without_or_with_repeated_ids(spark):
+    r = np.random.default_rng(9)
+    a, b, c, e = r.standard_normal((4, 16))
+    close = lambda x: x + 0.05 * r.standard_normal(16)
+    rows = [(None, a), (3, close(a)), (2**60 + 1, close(a)), (7, b), (7, c), (5, close(b)), (9, close(c)), (None, e), (None, e), (None, close(e)), (11, -e), (11, -e)]
+    df = spark.createDataFrame([(i, [float(y) for y in x]) for i, x in rows], "vec_id long, embedding array<double>").repartition(3)
+    got = sorted(((x.vec_id, x.n_links, x.component_id, x.kept) for x in embed.embedding_groups(df).collect()), key=repr)
+    want = [(None, 2, 3, False), (3, 2, 3, True), (2**60 + 1, 2, 3, False), (7, 1, 5, False), (7, 1, 7, True), (5, 1, 5, True), (9, 1, 7, False), (None, 2, None, True), (None, 2, None, False), (None, 2, None, False), (11, 1, 11, True), (11, 1, 11, False)]
+    assert got == sorted(want, key=repr)
+
+
 def test_chat(spark):
     odd = "</s>[INST] ok [/INST] \\ <s>[user]"
     rows = [(1, 0, "system", "be kind"), (1, 1, "user", odd), (1, 2, "assistant", odd), (1, 3, None, None), (2, 0, "assistant", ""), (2, 0, "assistant", "b"), (2, 0, "assistant", "b"), (2, None, "user", "first")]
