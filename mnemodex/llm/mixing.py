@@ -1,6 +1,6 @@
 """Operator 10, mixing sources to target weights. DataFrame functions only.
 
-Each source's documents are packed, in doc_id order, into blocks of a fixed number of words. The mix
+Each source's documents are packed, in the order of a hash of doc_id and text, into blocks of a fixed number of words. The mix
 is a sequence of slots in output shards. The uniform line is cut into as many strata as there are
 slots; each stratum draws one hashed uniform and so a source by the cumulated target shares, and a
 pseudorandom permutation deals the strata to slots. A shard's source counts are thus a multinomial
@@ -8,8 +8,9 @@ draw conditioned to near-exact totals. A source's strata, counted from 0, are ma
 affine permutation of block indices, once round for each pass over the source, and slots join blocks by
 (source, index): keys of which each has at most two slots, so a hot source loads no single task.
 
-Running word offsets are two-level sums: within buckets of a source (by hash of doc_id), and over the
-few buckets of each source; the number of buckets follows the table's partitions.
+Running word offsets are two-level sums: within buckets of a source, and over the few buckets of each
+source. A bucket is a range of that hash, so the layout is the same for any number of buckets, and reruns
+agree on other clusters too; the number of buckets follows the cores at hand.
 
 Defined cases: a null text has no words and takes part with size 0; a null source is a source, the last;
 every row has a number, by which it is packed and its words are taken, so rows that repeat others take
@@ -76,17 +77,19 @@ def numbered(docs: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return materialize(d)  # sizes are counted once
 
 
-def pack(docs: DataFrame, block: int) -> DataFrame:
+def pack(docs: DataFrame, block: int, spread: int | None = None) -> DataFrame:
     """(source, doc_id, row, number, size, start): each document's first word's place among its source's words.
 
-    docs: source, doc_id, row and number (tell rows of equal ids apart), size.
+    docs: source, doc_id, row and number (tell rows of equal ids apart), size. spread: buckets of a source; the result does not depend on it.
     """
-    spread = max(8, docs.sparkSession.sparkContext.defaultParallelism * 8)
-    d = docs.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(spread)))
+    spread = spread or max(8, docs.sparkSession.sparkContext.defaultParallelism * 8)
+    # 63 bits, of which the upper 31 give the bucket: buckets are in the order of the hash
+    d = docs.withColumn("place", F.shiftrightunsigned(F.xxhash64("doc_id", "row"), 1))
+    d = d.withColumn("bucket", F.shiftright(F.shiftright("place", 32) * F.lit(spread).cast("long"), 31))
     sums = d.groupBy("source", "bucket").agg(F.sum("size").alias("s"))
     ahead = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(F.col("source").alias("src"), F.col("bucket").alias("bkt"), F.coalesce(F.sum("s").over(ahead), F.lit(0)).alias("base"))
-    inner = Window.partitionBy("source", "bucket").orderBy("doc_id", "row", "number").rowsBetween(Window.unboundedPreceding, -1)
+    inner = Window.partitionBy("source", "bucket").orderBy("place", "doc_id", "row", "number").rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("inner", F.coalesce(F.sum("size").over(inner), F.lit(0)))
     d = d.join(F.broadcast(sums), d.source.eqNullSafe(sums.src) & (d.bucket == sums.bkt))  # sources x buckets rows: bounded
     return d.select("source", "doc_id", "row", "number", "size", (F.col("base") + F.col("inner")).alias("start"))

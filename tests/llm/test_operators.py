@@ -339,6 +339,12 @@ def test_mixed_documents_of_repeated_rows(spark):
     assert sum(r.n for r in m if r.lang == "de") <= 2 * 3 * 150
 
 
+def test_packing_does_not_follow_the_cluster(spark, docs):
+    d = mixing.numbered(docs)
+    got = [sorted(map(tuple, mixing.pack(d, 64, spread).select("source", "doc_id", "row", "size", "start").collect()), key=repr) for spread in (1, 8, 57, 4096)]
+    assert got[0] == got[1] == got[2] == got[3] == sorted(map(tuple, mixing.pack(d, 64).select("source", "doc_id", "row", "size", "start").collect()), key=repr)
+
+
 def test_components(spark):
     from mnemodex.llm import graph
 
