@@ -214,6 +214,7 @@ def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     c = c.join(total, "component").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     c = c.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     c = c.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "times", "vector")
+    c = c.repartition("component", "i", "j")  # else, joined by component, a large cluster's blocks stay in one task
     checked = materialize(c.groupBy("component", "i", "j").applyInArrow(_verify(limit), "kind int, a long, b long"))
     links = checked.where("kind = 0").groupBy("a").agg(F.sum("b").alias("n"))
     labels = components(checked.where("kind = 1").select("a", "b"))
