@@ -46,10 +46,19 @@ def lexical_text(statement: Column, context: Column, keywords: Column, tags: Col
     return joined("\n", statement, context, F.array_join(keywords, " "), F.array_join(tags, " "))
 
 
+def words(x: Column) -> Column:
+    """Lower-cased runs of letters and digits; the pieces at both ends may be empty."""
+    return F.split(F.lower(x), r"[^\p{L}\p{Nd}]+")
+
+
+def is_term(t: Column) -> Column:
+    """Whether a word is a term: two bytes or more, and no stopword (a hash set in the plan)."""
+    return (F.octet_length(t) >= 2) & ~t.isin(*C.STOPWORDS)
+
+
 def terms(x: Column) -> Column:
     """Analysed terms: lower-cased runs of letters and digits of two bytes or more, no stopwords; repeats stay."""
-    stop = F.array(*map(F.lit, C.STOPWORDS))
-    return F.filter(F.split(F.lower(x), r"[^\p{L}\p{Nd}]+"), lambda t: (F.octet_length(t) >= 2) & ~F.array_contains(stop, t))
+    return F.filter(words(x), is_term)
 
 
 def analyze(text: str) -> list[str]:
@@ -71,17 +80,20 @@ def format_span(first: Column, last: Column) -> Column:
 
 
 def snippet(x: Column, limit: int = C.SNIPPET_BYTES) -> Column:
-    """A struct text, truncated: at most `limit` bytes, cut back to white space, or to a whole character when that
-    would lose more than half, with an ellipsis.
+    """A struct text, truncated: the trimmed text, or its start up to the last blank (space, line feed, tab) among its first
+    `limit` bytes and the one after them; where that loses more than half, up to a whole character. With an ellipsis then.
 
     Bytes are cut as binary; a broken last character becomes the replacement character and is dropped.
     """
-    head = F.decode(F.substring(F.encode(x, "UTF-8"), 1, limit), "UTF-8")
-    whole = F.regexp_replace(head, "�+$", "")
-    word = F.regexp_replace(whole, rf"(?s){_SPACE}\S*$", "")
-    cut = F.when((word != whole) & (F.octet_length(word) >= limit // 2), word).otherwise(whole)
-    long = F.octet_length(x) > limit
-    return F.struct(F.when(long, F.concat(F.regexp_replace(cut, f"{_SPACE}+$", ""), F.lit("…"))).otherwise(x).alias("text"), long.alias("truncated"))
+    flat = trimmed(x)
+    raw = F.encode(flat, "UTF-8")
+    # a word that ends exactly at the limit is followed by its blank
+    ahead = F.decode(F.substring(raw, 1, limit + 1), "UTF-8")
+    word = F.regexp_extract(ahead, r"(?s)^(.*)[ \n\t]", 1)
+    whole = F.regexp_replace(F.decode(F.substring(raw, 1, limit), "UTF-8"), "\ufffd+$", "")
+    cut = F.when(F.octet_length(word) >= limit // 2, word).otherwise(whole)
+    long = F.octet_length(flat) > limit
+    return F.struct(F.when(long, F.concat(trimmed(cut), F.lit("…"))).otherwise(flat).alias("text"), long.alias("truncated"))
 
 
 def truncate_title(x: Column, runes: int = C.TITLE_RUNES) -> Column:

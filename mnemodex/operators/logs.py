@@ -81,13 +81,13 @@ def enqueue(writes: DataFrame, key: str, order: str) -> DataFrame:
     return writes.groupBy(key).agg(F.min(order).alias("seq"), F.max_by(F.struct(*rest), order).alias("s")).select(key, "seq", "s.*")
 
 
-def head_cas(writes: DataFrame, key: str, order: str, expect: str, block: int = 4096) -> DataFrame:
+def head_cas(writes: DataFrame, key: str, order: str, expect: str, delete: str | None = None) -> DataFrame:
     """Compare-and-set per key: writes(key, order, expect) in order; one is accepted iff it expects the current version
-    (0 where there is none), which then rises by one.
+    (0 where there is none), which then rises by one. `outcome` tells a refusal's reason: not_found where a version is
+    expected and there is none, else stale. Rows with the boolean column `delete` take the key away at the version they
+    expect; one that is gone already is `absent`, which is no error.
 
-    A rejected write does not change the state, so the sequence of a key is folded: an accepted write of version v needs
-    the first write after the last acceptance that expects v. Sorted partitions are streamed, a key's state is one number,
-    so a key with a third of all writes needs no memory.
+    Sorted partitions are streamed, a key's state is one number, so a key with a third of all writes needs no memory.
     """
     import pyarrow as pa
 
@@ -96,19 +96,58 @@ def head_cas(writes: DataFrame, key: str, order: str, expect: str, block: int =
     def run(batches):
         last, version = object(), 0
         for batch in batches:
-            k, o, e = (batch.column(i).to_pylist() for i in range(3))
-            ok, now = [], []
-            for a, x in zip(k, e):
+            k, e, gone = (batch.column(i).to_pylist() for i in (0, 2, 3))
+            said, now = [], []
+            for a, x, d in zip(k, e, gone):
                 if a != last:
                     last, version = a, 0
-                good = x == version
-                version += good
-                ok.append(good)
+                if d and not version:
+                    said.append("absent")
+                elif x == version:
+                    said.append("accepted")
+                    version = 0 if d else version + 1
+                else:
+                    said.append("stale" if version or not x else "not_found")
                 now.append(version)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(ok), pa.array(now, pa.int64())], names=[key, order, expect, "accepted", "version"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([x == "accepted" for x in said]), pa.array(said), pa.array(now, pa.int64())], names=[key, order, expect, "accepted", "outcome", "version"])
 
-    rows = writes.select(key, order, expect).repartition(key).sortWithinPartitions(key, order)
-    return rows.mapInArrow(run, f"{key} {kinds[key]}, {order} {kinds[order]}, {expect} {kinds[expect]}, accepted boolean, version long")
+    rows = writes.select(key, order, expect, (F.coalesce(delete, F.lit(False)) if delete else F.lit(False)).alias("gone_"))
+    rows = rows.repartition(key).sortWithinPartitions(key, order)
+    return rows.mapInArrow(run, f"{key} {kinds[key]}, {order} {kinds[order]}, {expect} {kinds[expect]}, accepted boolean, outcome string, version long")
+
+
+def remove(folded: DataFrame, asked: DataFrame, key: str, order: str) -> DataFrame:
+    """Log rows that mark the asked keys(key, order) as no longer held: their last entries, deleted, at the new order. Unknown keys give none, as their removal is an error of the caller."""
+    rest = [c for c in folded.columns if c not in (key, order, "deleted", "first_seen")]
+    return folded.drop(order, "deleted", "first_seen").join(asked.select(key, order).groupBy(key).agg(F.max(order).alias(order)), key).select(key, order, F.lit(True).alias("deleted"), *rest)
+
+
+def unknown_keys(folded: DataFrame, asked: DataFrame, key: str) -> DataFrame:
+    return asked.select(key).distinct().join(folded, key, "left_anti")
+
+
+def object_deleted(folded: DataFrame, gone: DataFrame, key: str, order: str) -> DataFrame:
+    """Log rows for removed entries whose object left the network, asked as (key, object_ref, order): the same entry without
+    object and slab. A live entry, one that names another object, and an empty reference change nothing."""
+    rest = [c for c in folded.columns if c not in (key, order, "object_ref", "slab_id", "first_seen")]
+    a = gone.where("object_ref <> ''").groupBy(key, "object_ref").agg(F.max(order).alias(order))
+    f = folded.where("deleted").drop(order, "first_seen", "slab_id")
+    return f.join(a, [key, "object_ref"]).select(key, order, F.lit("").alias("object_ref"), F.lit("").alias("slab_id"), *rest)
+
+
+def number_rows(df: DataFrame, order: str, name: str = "number", rows: int = 1 << 16) -> DataFrame:
+    """Places from 0 by a whole-number column, ties apart by nothing else. Two levels: ranges of the column are counted, and
+    rows are numbered inside each, so no task sees more than a range; the ranges follow the number of rows."""
+    from pyspark.sql import Window
+
+    n, low, high = df.agg(F.count("*"), F.min(order), F.max(order)).first()
+    cells = max(1, -(-n // rows))
+    width = max(1, -(-((high or 0) - (low or 0) + 1) // cells))
+    d = df.withColumn("cell_", F.floor((F.col(order) - F.lit(low or 0)) / width))
+    counts = d.groupBy("cell_").agg(F.count("*").alias("n_"))
+    before = counts.select("cell_", F.coalesce(F.sum("n_").over(Window.orderBy("cell_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base_"))  # a row for each range
+    place = F.row_number().over(Window.partitionBy("cell_").orderBy(order)) - 1
+    return d.withColumn(name, place).join(before, "cell_").withColumn(name, F.col("base_") + F.col(name)).drop("cell_", "base_")
 
 
 def stale_objects(folded: DataFrame) -> DataFrame:

@@ -1,14 +1,19 @@
 """Hybrid retrieval: exact dense and BM25 passes, weighted reciprocal rank fusion, soft boosts, hard scope and supersession.
 
 Frames: vectors(id, vector), meta(id, kind, type, tags, supersedes), texts(id, text). All rankings are by
-score descending, then id ascending. Filters of a request only prefer; scope and supersession exclude.
+score descending, then id ascending, on unrounded doubles; scores are rounded where they are shown. Filters of a
+request only prefer; scope and supersession exclude.
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass, field
 from functools import reduce
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,8 +30,14 @@ def dot(vector: Column, query: list[float]) -> Column:
 
 
 def dense_scores(vectors: DataFrame, query: list[float]) -> DataFrame:
-    """(id, similarity) of usable vectors; a width other than the query's is an error of the caller, so it is filtered."""
-    return vectors.where(F.size("vector") == len(query)).select("id", F.round(dot(F.col("vector"), query), 6).alias("similarity"))
+    """(id, similarity) of all vectors; one of another width than the query's is an error."""
+    other = F.raise_error(F.concat(F.lit(f"the query has {len(query)} dimensions and a vector "), F.size("vector").cast("string")))
+    return vectors.select("id", F.when(F.size("vector") == len(query), dot(F.col("vector"), query)).otherwise(other.cast("double")).alias("similarity"))
+
+
+def shown(df: DataFrame, digits: int = 6, *names: str) -> DataFrame:
+    """Scores as they are shown."""
+    return df.withColumns({c: F.round(c, digits) for c in names or ("similarity", "score") if c in df.columns})
 
 
 def top(df: DataFrame, score: str, k: int) -> DataFrame:
@@ -48,34 +59,49 @@ def dense_topk_scoped(vectors: DataFrame, meta: DataFrame, query: list[float], k
     return top(in_scope(dense_scores(vectors, query), meta, kinds), "similarity", k)
 
 
-def postings(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(id, term, tf) and (id, dl) for a stored lexical index; records without terms are left out."""
-    t = texts.select("id", T.terms(F.col("text")).alias("ts")).where(F.size("ts") > 0)
-    return t.select("id", F.explode("ts").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf")), t.select("id", F.size("ts").alias("dl"))
+def tokens(texts: DataFrame) -> DataFrame:
+    """(id, term), a row for each term of a text: the split stands once in the plan, and a generator keeps it there."""
+    return texts.select("id", F.explode(T.words(F.col("text"))).alias("term")).where(T.is_term(F.col("term")))
 
 
-def _count(term: str) -> Column:
-    return F.size(F.filter("ts", lambda x: x == term))
+def postings(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, term, tf) and (id, dl) for a stored lexical index; records without terms are left out."""
+    t = tokens(texts)
+    return t.groupBy("id", "term").agg(F.count("*").alias("tf")), t.groupBy("id").agg(F.count("*").alias("dl"))
 
 
 def bm25_scores(texts: DataFrame, query: list[str]) -> DataFrame:
     """(id, score) of records with a query term; a repeated query term counts again. IDF and lengths are corpus-wide.
 
-    One scan gives each record's counts of the few query terms, and one row of corpus statistics; the corpus is not shuffled.
+    Each text is analysed once: a partial aggregation counts its terms and the few asked ones where it is read, so that
+    a row of numbers for each record is shuffled; the corpus statistics (one row) are taken from the same exchange.
     """
     want = sorted(set(query))
     if not want:
         return texts.select("id", F.lit(0.0).alias("score")).where(F.lit(False))
-    t = texts.select("id", T.terms(F.col("text")).alias("ts")).where(F.size("ts") > 0)
-    t = t.select("id", F.size("ts").alias("dl"), *[_count(w).alias(f"f{i}") for i, w in enumerate(want)])
-    stats = t.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(len(want))])
+    f = [F.col(f"f{i}") for i in range(len(want))]
+    t = tokens(texts).groupBy("id").agg(F.count("*").alias("dl"), *[F.count_if(F.col("term") == w).alias(f"f{i}") for i, w in enumerate(want)])
+    stats = t.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(x > 0).alias(f"n{i}") for i, x in enumerate(f)])
     score = F.lit(0.0)
     for i, w in enumerate(want):
-        f, raw = F.col(f"f{i}"), F.log((F.col("n") - F.col(f"n{i}") + 0.5) / (F.col(f"n{i}") + 0.5))
+        raw = F.log((F.col("n") - F.col(f"n{i}") + 0.5) / (F.col(f"n{i}") + 0.5))
         idf = F.when(raw <= 0, C.BM25_MIN_IDF).otherwise(raw)
-        score = score + query.count(w) * idf * f * (C.BM25_K1 + 1) / (f + C.BM25_K1 * (1 - C.BM25_B + C.BM25_B * F.col("dl") / F.col("avgdl")))
-    found = reduce(lambda a, b: a | b, (F.col(f"f{i}") > 0 for i in range(len(want))))
-    return t.where(found).crossJoin(F.broadcast(stats)).select("id", F.round(score, 6).alias("score"))  # one row
+        score = score + query.count(w) * idf * f[i] * (C.BM25_K1 + 1) / (f[i] + C.BM25_K1 * (1 - C.BM25_B + C.BM25_B * F.col("dl") / F.col("avgdl")))
+    found = reduce(lambda a, b: a | b, (x > 0 for x in f))
+    return t.where(found).crossJoin(F.broadcast(stats)).select("id", score.alias("score"))  # one row
+
+
+def bm25_indexed(postings: DataFrame, lengths: DataFrame, query: list[str]) -> DataFrame:
+    """The same scores from a stored index: postings(id, term, tf) by term, lengths(id, dl). Only the asked terms' postings are read."""
+    times = {w: query.count(w) for w in query}
+    p = postings.where(F.col("term").isin(list(times)))
+    stats = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    df = p.groupBy("term").agg(F.count("*").alias("nt"))  # a row for each asked term
+    raw = F.log((F.col("n") - F.col("nt") + 0.5) / (F.col("nt") + 0.5))
+    again = reduce(lambda a, w: a.when(F.col("term") == w, times[w]), times, F.when(F.lit(False), 0))
+    part = again * F.when(raw <= 0, C.BM25_MIN_IDF).otherwise(raw) * F.col("tf") * (C.BM25_K1 + 1) / (F.col("tf") + C.BM25_K1 * (1 - C.BM25_B + C.BM25_B * F.col("dl") / F.col("avgdl")))
+    j = p.join(F.broadcast(df.crossJoin(stats)), "term").join(lengths, "id")  # as many rows as the query has terms
+    return j.groupBy("id").agg(F.sum(part).alias("score"))
 
 
 def bm25_topk(texts: DataFrame, query: list[str], k: int, meta: DataFrame | None = None, kinds: list[str] | None = None) -> DataFrame:
@@ -143,8 +169,14 @@ def draw(vectors: DataFrame, texts: DataFrame, meta: DataFrame, req: Request, sc
     return fuse(d, bm25_topk(texts, query, req.pool, meta, kinds) if query else None, req.weight)
 
 
+def bounded(pool: DataFrame) -> DataFrame:
+    """A pool of at most twice its size in rows, computed once: later passes over it draw nothing again."""
+    return pool.sparkSession.createDataFrame(pool.toArrow(), pool.schema)
+
+
 def describe(pool: DataFrame, meta: DataFrame) -> DataFrame:
-    """The pool with its records' metadata, and whether another record supersedes them. The pool is bounded, so it is broadcast to the scans."""
+    """The pool with its records' metadata, and whether another record supersedes them. The pool is drawn once; it is bounded, so it is broadcast to the scans."""
+    pool = bounded(pool)
     ids = F.broadcast(pool.select("id"))
     own = meta.join(ids, "id", "left_semi").select("id", "kind", "type", "tags")
     over = meta.where("supersedes is not null").select(F.col("supersedes").alias("id")).join(ids, "id", "left_semi").distinct().withColumn("superseded", F.lit(True))
@@ -157,9 +189,9 @@ def rank(described: DataFrame, req: Request) -> DataFrame:
     if req.kinds:
         df = df.where(F.coalesce(F.col("kind").isin(req.kinds), F.lit(False)))
     df = df.withColumn("boost", boost(F.col("tags"), F.col("type"), req.tags, req.types, req.tag_weight, req.type_weight))
-    df = df.withColumn("score", F.round(F.col("fused") + F.col("boost"), 9)).withColumn("boost", F.round("boost", 9)).withColumn("fused", F.round("fused", 9))
-    out = df.orderBy(F.desc("score"), "id").select("id", "score", "similarity", "fused", "lexical", "boost")
-    return out.offset(req.offset).limit(req.limit) if req.offset else out.limit(req.limit)
+    out = df.withColumn("score", F.col("fused") + F.col("boost")).orderBy(F.desc("score"), "id").select("id", "score", "similarity", "fused", "lexical", "boost")
+    out = out.offset(req.offset).limit(req.limit) if req.offset else out.limit(req.limit)
+    return shown(shown(out, 9, "score", "fused", "boost"), 6, "similarity")
 
 
 def recall(vectors: DataFrame, texts: DataFrame, meta: DataFrame, req: Request) -> DataFrame:
@@ -168,60 +200,111 @@ def recall(vectors: DataFrame, texts: DataFrame, meta: DataFrame, req: Request)
 
 
 def recall_counters(vectors: DataFrame, texts: DataFrame, meta: DataFrame, req: Request) -> DataFrame:
-    """One row: searched, considered, lexical_hits, superseded_hidden, scope_excluded (of the unscoped pool)."""
-    pool = describe(draw(vectors, texts, meta, req), meta)
+    """One row: searched, considered, lexical_hits, superseded_hidden, scope_excluded; with a scope, lexical hits and what the scope leaves out are of the unscoped pool."""
+    pool = bounded(describe(draw(vectors, texts, meta, req), meta))
     hidden = F.count_if(F.col("superseded")) if not req.include_superseded else F.lit(0).cast("long")
-    a = pool.agg(F.count("*").alias("considered"), F.count_if("lexical").alias("lexical_hits"), hidden.alias("superseded_hidden"))
-    if req.kinds:
-        free = describe(draw(vectors, texts, meta, req, scoped=False), meta)
-        out = ~F.coalesce(F.col("kind").isin(req.kinds), F.lit(False))
-        shown = F.lit(True) if req.include_superseded else ~F.col("superseded")
-        b = free.agg(F.count_if(out & shown).alias("scope_excluded"))
-    else:
-        b = pool.agg(F.lit(0).cast("long").alias("scope_excluded"))
+    free = bounded(describe(draw(vectors, texts, meta, req, scoped=False), meta)) if req.kinds else pool
+    out = ~F.coalesce(F.col("kind").isin(req.kinds), F.lit(False)) if req.kinds else F.lit(False)
+    left = F.lit(True) if req.include_superseded else ~F.col("superseded")
+    a = pool.agg(F.count("*").alias("considered"), hidden.alias("superseded_hidden"))
+    b = free.agg(F.count_if("lexical").alias("lexical_hits"), F.count_if(out & left).alias("scope_excluded"))
     return vectors.agg(F.count("*").alias("searched")).crossJoin(a).crossJoin(b)  # one row each
 
 
 def hits(results: DataFrame, bodies: DataFrame) -> DataFrame:
     """Ranked ids with what is shown of them: title, snippet; bodies(id, statement, context)."""
     b = bodies.join(F.broadcast(results), "id")  # at most MAX_LIMIT results
-    shown = F.concat(F.col("statement"), F.lit(", "), F.col("context"))
-    return b.select(*[c for c in results.columns], T.truncate_title(T.first_line(F.col("statement"))).alias("title"), T.snippet(shown).alias("s")).select("*", F.col("s.text").alias("snippet"), F.col("s.truncated").alias("truncated")).drop("s")
+    said = F.concat(F.col("statement"), F.lit(", "), F.col("context"))
+    return b.select(*[c for c in results.columns], T.truncate_title(T.first_line(F.col("statement"))).alias("title"), T.snippet(said).alias("s")).select("*", F.col("s.text").alias("snippet"), F.col("s.truncated").alias("truncated")).drop("s")
+
+
+def _flat(t: pa.Table) -> np.ndarray:
+    return t["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(t.num_rows, -1)
 
 
-def neighbours(queries: DataFrame, vectors: DataFrame, k: int = C.NEIGHBOUR_LIMIT, conflict: float = C.CONFLICT_SIMILARITY, block: int = 256) -> DataFrame:
+def _exact(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Dot products in one order of summation, so that equal vectors have equal ones."""
+    out = np.zeros(len(v))
+    for d in range(v.shape[1]):
+        out += q[d] * v[:, d]
+    return out
+
+
+def _meet(queries: DataFrame, vectors: DataFrame, score, schema: str, block: int = 4096, rows: int = 1 << 18) -> DataFrame:
+    """score(query rows, vector rows) of every block of the stated queries with every part of the vectors, whose number follows their count."""
+    spark = vectors.sparkSession
+    n, asked = vectors.count(), queries.count()
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // rows))
+    v = vectors.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part"))
+    blocks = max(1, -(-asked // block))
+    v = v.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))) if blocks > 1 else v.withColumn("block", F.lit(0))
+    q = queries.withColumns({"block": F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"), "part": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))})
+    return q.groupBy("part", "block").cogroup(v.groupBy("part", "block")).applyInArrow(lambda key, left, right: score(left, right), schema)
+
+
+def neighbours(queries: DataFrame, vectors: DataFrame, k: int = C.NEIGHBOUR_LIMIT, conflict: float = C.CONFLICT_SIMILARITY) -> DataFrame:
     """(id, rank, neighbour, similarity, conflict): the k nearest others of each query vector.
 
-    The stated queries meet all vectors in blocks: tasks hold `block` queries and keep k of each from their
-    part, so what moves is k rows per query and part. A matrix product per Arrow batch does the work.
+    The stated queries meet all vectors in blocks, and k rows of each query and part move on. A matrix product finds what
+    may be among the k; those few are scored again in one order of summation, so equal vectors tie and ids decide.
     """
-    import numpy as np
-    import pyarrow as pa
-
-    def scored(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        q, v = (np.array(t["vector"].to_pylist(), np.float64) for t in (left, right))
-        qi, vi = (t["id"].to_numpy() for t in (left, right))
-        out: list[tuple] = []
-        if len(q) and len(v):
+
+    def scored(left: pa.Table, right: pa.Table) -> pa.Table:
+        (qi, vi), out = (t["id"].to_numpy() for t in (left, right)), []
+        if len(qi) and len(vi):
+            q, v = _flat(left), _flat(right)
+            m = min(k + 1, len(vi))  # a vector may meet itself
             for a in range(0, len(q), 64):
-                s = np.round(q[a : a + 64] @ v.T, 6)
-                s[qi[a : a + 64, None] == vi[None, :]] = -np.inf
-                m = min(k, len(v))
-                for r, row in enumerate(s):
-                    cut = np.partition(row, len(v) - m)[len(v) - m]
-                    near = np.flatnonzero(row >= cut)
-                    near = near[np.lexsort((vi[near], -row[near]))][:k]
-                    out += [(int(qi[a + r]), int(vi[x]), float(row[x])) for x in near if row[x] > -np.inf]
+                for r, row in enumerate(q[a : a + 64] @ v.T, a):
+                    near = np.flatnonzero(row >= np.partition(row, len(vi) - m)[len(vi) - m] - 1e-9)
+                    near = near[vi[near] != qi[r]]
+                    exact = _exact(q[r], v[near])
+                    best = np.lexsort((vi[near], -exact))[:k]
+                    out += zip([int(qi[r])] * len(best), vi[near[best]].tolist(), exact[best].tolist())
         cols = [*zip(*out)] or [[], [], []]
         return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64()))], names=["id", "neighbour", "similarity"])
 
-    spark = vectors.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    v = vectors.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part"))
-    q = queries.select("id", "vector", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"))
-    best = q.groupBy("part").cogroup(v.groupBy("part")).applyInArrow(scored, "id long, neighbour long, similarity double")
+    best = _meet(queries.select("id", "vector"), vectors, scored, "id long, neighbour long, similarity double")
     w = Window.partitionBy("id").orderBy(F.desc("similarity"), "neighbour")
-    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("conflict", F.col("similarity") >= conflict)
+    best = best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("conflict", F.col("similarity") >= conflict)
+    return shown(best)
+
+
+def gold_standing(queries: DataFrame, vectors: DataFrame, gold: DataFrame) -> DataFrame:
+    """(query_id, rank, density) of queries(id, vector) with gold(query_id, id): the best rank of a gold record, and how many
+    others stand at least as near as the upper median gold one; both null without a gold vector.
+
+    Gold similarities are joined; everything else is only counted against the two limits of each query, so what moves is
+    a row for each query and part, not a score for each pair. The query's own record does not count.
+    """
+    own = queries.select(F.col("id").alias("query_id"), F.col("vector").alias("asked"))
+    held = vectors.select(F.col("id").alias("held"), "vector")
+    g = gold.where("query_id <> id").select("query_id", F.col("id").alias("held")).distinct().join(held, "held").join(own, "query_id")
+    pairs = F.zip_with("asked", "vector", lambda x, y: x.cast("double") * y.cast("double"))
+    g = g.select("query_id", F.col("held").alias("id"), F.aggregate(pairs, F.lit(0.0), lambda x, y: x + y).alias("similarity"))
+    w = Window.partitionBy("query_id")
+    g = g.withColumns({"n": F.count("*").over(w), "place": F.row_number().over(w.orderBy("similarity")) - 1})
+    limits = g.groupBy("query_id").agg(F.min(F.struct((-F.col("similarity")).alias("far"), "id")).alias("b"), F.min(F.when(F.col("place") == F.floor(F.col("n") / 2), F.col("similarity"))).alias("median"))
+    inside = g.join(limits.select("query_id", "median"), "query_id").groupBy("query_id").agg(F.count_if(F.col("similarity") >= F.col("median")).alias("inside"))
+    asked = own.join(limits, "query_id").select(F.col("query_id").alias("id"), F.col("asked").alias("vector"), (-F.col("b.far")).alias("best"), F.col("b.id").alias("best_id"), "median")
+
+    def counted(left: pa.Table, right: pa.Table) -> pa.Table:
+        (qi, vi), out = (t["id"].to_numpy() for t in (left, right)), []
+        if len(qi) and len(vi):
+            q, v = _flat(left), _flat(right)
+            best, best_id, median = (left[c].to_numpy() for c in ("best", "best_id", "median"))
+            for a in range(0, len(q), 64):
+                for r, row in enumerate(q[a : a + 64] @ v.T, a):
+                    close = np.flatnonzero((np.abs(row - best[r]) < 1e-9) | (np.abs(row - median[r]) < 1e-9))
+                    row[close] = _exact(q[r], v[close])
+                    row[vi == qi[r]] = -np.inf
+                    out.append((int(qi[r]), int(((row > best[r]) | (row == best[r]) & (vi < best_id[r])).sum()), int((row >= median[r]).sum())))
+        cols = [*zip(*out)] or [[], [], []]
+        return pa.table([pa.array(c, pa.int64()) for c in cols], names=["id", "ahead", "around"])
+
+    c = _meet(asked, vectors, counted, "id long, ahead long, around long").groupBy(F.col("id").alias("query_id")).agg(F.sum("ahead").alias("ahead"), F.sum("around").alias("around"))
+    c = c.join(inside, "query_id").select("query_id", (F.col("ahead") + 1).alias("rank"), (F.col("around") - F.col("inside")).alias("density"))
+    return queries.select(F.col("id").alias("query_id")).join(c, "query_id", "left")
 
 
 def zero_overlap(queries: DataFrame, gold: DataFrame) -> DataFrame:
@@ -249,14 +332,26 @@ def weight_sweep(vectors: DataFrame, texts: DataFrame, meta: DataFrame, req: Req
     w = vectors.sparkSession.createDataFrame(weights, "tag_weight double, type_weight double")
     tags = boost(F.col("tags"), F.col("type"), req.tags, [], 1.0, 0.0)
     types = boost(F.col("tags"), F.col("type"), [], req.types, 0.0, 1.0)
-    s = pool.withColumn("a", tags).withColumn("b", types).crossJoin(F.broadcast(w)).withColumn("score", F.round(F.col("fused") + F.col("tag_weight") * F.col("a") + F.col("type_weight") * F.col("b"), 9))  # a pool times a few weights
+    s = pool.withColumn("a", tags).withColumn("b", types).crossJoin(F.broadcast(w)).withColumn("score", F.col("fused") + F.col("tag_weight") * F.col("a") + F.col("type_weight") * F.col("b"))  # a pool times a few weights
     place = F.row_number().over(Window.partitionBy("tag_weight", "type_weight").orderBy(F.desc("score"), "id"))
     return s.withColumn("place", place).where(F.col("place") <= req.limit).select("tag_weight", "type_weight", "place", "id")
 
 
+def lexical_sweep(vectors: DataFrame, texts: DataFrame, req: Request, weights: list[float]) -> DataFrame:
+    """(weight, place, id): the fused list under each lexical weight, without boosts, from one draw of both passes."""
+    d = bounded(dense_topk(vectors, req.vector, req.pool))
+    query = T.analyze(req.text)
+    l = bounded(bm25_topk(texts, query, req.pool))  # noqa: E741
+    both = ranked(d, "similarity", "dr").join(ranked(l, "score", "lr"), "id", "full_outer")
+    w = vectors.sparkSession.createDataFrame([(float(x),) for x in weights], "weight double")
+    fused = F.coalesce(1.0 / (C.RRF_K + F.col("dr")), F.lit(0.0)) + F.coalesce(F.col("weight") / (C.RRF_K + F.col("lr")), F.lit(0.0))
+    s = both.crossJoin(F.broadcast(w)).where(F.col("dr").isNotNull() | (F.col("weight") > 0)).withColumn("fused", fused)  # a pool times a few weights
+    place = F.row_number().over(Window.partitionBy("weight").orderBy(F.desc("fused"), "id"))
+    return s.withColumn("place", place).where(F.col("place") <= req.limit).select("weight", "place", "id")
+
+
 def encode_rank_cursor(query: str, offset: int) -> str:
     import base64
-    import hashlib
 
     return f"r1:{offset}:{base64.urlsafe_b64encode(hashlib.sha256(query.encode()).digest()[:6]).decode()}"
 
@@ -271,13 +366,8 @@ def decode_rank_cursor(cursor: str, query: str) -> int:
 
 def hashing_embedder(dim: int = C.MODEL_DIM):
     """A deterministic text embedding in place of a model: signed term hashing, unit length; a Pandas UDF."""
-    import hashlib
-
-    import numpy as np
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
 
-    @pandas_udf("array<float>")
+    @F.pandas_udf("array<float>")
     def embed(texts: pd.Series) -> pd.Series:
         out = []
         for t in texts:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
@@ -106,9 +106,19 @@ def keep_set(catalog: DataFrame) -> DataFrame:
     return catalog.agg(F.count_distinct(F.when(on, F.nullif("object_ref", F.lit("")))).alias("objects"), F.count_distinct(F.when(on, F.nullif("slab_id", F.lit("")))).alias("slabs"), F.count_if(on).alias("catalogued"))
 
 
-def check_keep_set(keep: DataFrame) -> DataFrame:
-    """The keep-set with `refusal`: why a sweep must not run, or null."""
-    return keep.withColumn("refusal", F.when((F.col("catalogued") == 0), F.lit("nothing is catalogued")).when(F.col("objects") == 0, F.lit("no live object is named")).when(F.col("slabs") == 0, F.lit("no live slab is named")))
+def check_keep_set(keep: DataFrame, pinned: str = "pinned", release_all: bool = False) -> DataFrame:
+    """keep(objects, slabs, catalogued, pinned) with `refusal`: why a sweep must not run, or null.
+
+    Nothing catalogued is fine where nothing is pinned, or where the caller says that all is to go; otherwise every
+    catalogued record needs an object that the set names, and some slab.
+    """
+    c = F.col
+    none = (c("catalogued") == 0) & ((c(pinned) == 0) | F.lit(release_all))
+    return keep.withColumn(
+        "refusal",
+        F.when(c("catalogued") < 0, F.lit("a negative number of records is catalogued")).when(none, F.lit(None).cast("string")).when(c("catalogued") == 0, F.lit("nothing is catalogued"))
+        .when(c("objects") == 0, F.lit("no live object is named")).when(c("objects") < c("catalogued"), F.lit("fewer objects are named than records are catalogued")).when(c("slabs") == 0, F.lit("no live slab is named")),
+    )
 
 
 def check_occupancy(pinned: int, occupied: int, forced: bool = False) -> None:
@@ -169,23 +179,92 @@ def join_locations(objects: DataFrame, slabs: DataFrame) -> DataFrame:
     return j.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "slab", "meta"))).alias("slabs"))  # a handful of slabs an object
 
 
-def restore_plan(found: DataFrame, forgotten: DataFrame, catalog: DataFrame, depth: str) -> DataFrame:
-    """(id, action) of frames found(id, kind): forgotten ones are skipped, catalogued ones refreshed; deeper restores do more."""
-    f, c = forgotten.select("id").distinct().withColumn("f", F.lit(True)), catalog.select("id").distinct().withColumn("c", F.lit(True))
-    deep = {"catalog": "catalogue", "metadata": "describe", "index": "embed"}[depth]
-    return found.join(f, "id", "left").join(c, "id", "left").select("id", F.when(F.col("f"), "skip").when(F.col("c") & F.lit(depth == "catalog"), "keep").when(F.col("kind") == "chunk", "catalogue").otherwise(deep).alias("action"))
+DEPTHS = ("catalog", "metadata", "index")
+
+
+def restore_plan(found: DataFrame, forgotten: DataFrame, depth: str = "metadata") -> DataFrame:
+    """found(ref, slab, id, kind, opened) with what a restore does with each frame: `outcome` (foreign: it does not open;
+    forgotten; restored) and, for restored ones, whether it is catalogued, and from deeper levels on has its body stored,
+    its metadata ranked and its vector made. Chunks are bodies only."""
+    level = DEPTHS.index(depth)
+    f = forgotten.select("id").distinct().withColumn("f_", F.lit(True))
+    out = F.when(~F.col("opened"), "foreign").when(F.col("f_"), "forgotten").otherwise("restored")
+    done, searched = F.col("outcome") == "restored", F.col("kind") != "chunk"
+    return found.join(f, "id", "left").withColumn("outcome", out).drop("f_").withColumns({"catalogued": done, "body": done & F.lit(level > 0), "ranked": done & F.lit(level > 0) & searched, "embedded": done & F.lit(level > 1) & searched})
+
+
+def restore_report(plan: DataFrame) -> DataFrame:
+    """One row of a restore's counters."""
+    done = F.when(F.col("catalogued"), F.col("slab"))
+    return plan.agg(
+        F.count_distinct("ref").alias("objects"), F.count("*").alias("frames"), F.count_if(F.col("outcome") == "foreign").alias("foreign"), F.count_if(F.col("outcome") == "forgotten").alias("forgotten"),
+        F.count_if("catalogued").alias("records"), F.count_distinct(done).alias("slabs"), F.count_if("body").alias("bodies"), F.count_if("embedded").alias("embedded"),
+    )
+
+
+def adopted_slabs(plan: DataFrame) -> DataFrame:
+    """Ledger rows of a restore: slabs taken on for reading, with records and sealed bytes, of a plan that has `bytes`."""
+    return plan.where("catalogued").groupBy(F.col("slab").alias("slab_id")).agg(F.count("*").alias("records"), F.sum("bytes").alias("bytes")).withColumn("origin", F.lit("hydrated"))
+
+
+def _on_slab() -> Column:
+    return F.coalesce(F.col("slab").cast("string"), F.lit("")) != ""
+
+
+def repack_refusal(held: DataFrame, ledger: DataFrame) -> DataFrame:
+    """One row: slabs of held(slab), those that this device did not pin (ledger(slab, origin)), and whether a repack is refused for them."""
+    ours = ledger.where("origin = 'pinned'").select("slab").distinct().withColumn("ours_", F.lit(True))
+    a = held.where(_on_slab()).select("slab").distinct().join(ours, "slab", "left").agg(F.count("*").alias("slabs"), F.count_if(F.col("ours_").isNull()).alias("foreign"))
+    return a.withColumn("refused", F.col("foreign") > 0)
+
+
+def repack_moves(held: DataFrame, gone: DataFrame, written: DataFrame) -> DataFrame:
+    """(id, cid, from, to, slab, bytes): held(id, cid, ref) whose object is not gone(ref), with where written(cid, ref, slab, bytes) put it; one that was not written is an error."""
+    w = written.select("cid", F.col("ref").alias("to"), F.col("slab").alias("slab"), "bytes")
+    m = held.select("id", "cid", F.col("ref").alias("from")).join(gone.select(F.col("ref").alias("from")).distinct(), "from", "left_anti").join(w, "cid", "left")
+    return m.select("id", "cid", "from", F.when(F.col("to").isNull(), F.raise_error(F.concat(F.lit("not written: "), F.col("cid").cast("string"))).cast("string")).otherwise(F.col("to")).alias("to"), "slab", "bytes")
+
+
+def repack_release(held: DataFrame, gone: DataFrame, written: DataFrame, owed: DataFrame) -> DataFrame:
+    """Slabs that a repack lets go: those it read from, but for ones that it wrote to, ones with a record left behind, and ones that owe a deletion."""
+    left = held.join(gone.select("ref").distinct(), "ref", "left_semi").select("slab")
+    moved = held.join(gone.select("ref").distinct(), "ref", "left_anti").limit(1).select(F.lit(True).alias("any_"))
+    stay = written.select("slab").union(left).union(owed.select("slab")).distinct()
+    return held.where(_on_slab()).select("slab").distinct().join(stay, "slab", "left_anti").crossJoin(moved).select("slab")  # one row: nothing goes if nothing moved
+
+
+def repack_report(held: DataFrame, gone: DataFrame, written: DataFrame) -> DataFrame:
+    """One row: moved and gone records, slabs before and after, and the peak while both stand."""
+    g = gone.select("ref").distinct().withColumn("gone_", F.lit(True))
+    h = held.join(g, "ref", "left").withColumn("gone_", F.col("gone_").isNotNull())
+    a = h.agg(F.count_if(~F.col("gone_")).alias("moved"), F.count_if("gone_").alias("gone"), F.count_distinct(F.when(_on_slab(), F.col("slab"))).alias("before"))
+    w = written.select("slab").distinct()
+    after = w.union(h.where(F.col("gone_") & _on_slab()).select("slab")).distinct().agg(F.count("*").alias("after"))
+    return a.crossJoin(after).crossJoin(w.agg(F.count("*").alias("new"))).select("moved", "gone", "before", "after", (F.col("before") + F.col("new")).alias("peak"))  # one row each
+
+
+def delete_batches(stale: DataFrame, order: str = "seq", size: int = 64) -> DataFrame:
+    """Deletions with `batch`: at most `size` of them in each, in order."""
+    from .logs import number_rows
+
+    return number_rows(stale, order, "place_").withColumn("batch", F.floor(F.col("place_") / size)).drop("place_")
+
+
+def release_claims(queue: DataFrame, ids: DataFrame) -> DataFrame:
+    """The queue after a failed flush: these records are unclaimed again."""
+    asked = ids.select("record_id").distinct().withColumn("asked_", F.lit(True))
+    return queue.join(asked, "record_id", "left").withColumn("claimed_at", F.when(F.col("asked_").isNull(), F.col("claimed_at"))).drop("asked_").select(*queue.columns)
 
 
-def repack_plan(objects: DataFrame, target_bytes: int) -> DataFrame:
-    """(slab, live, bytes, dead, rewrite): slabs whose live share would fit with others into fewer writes."""
-    a = objects.groupBy("slab").agg(F.count_if("live").alias("live"), F.sum(F.when(F.col("live"), F.col("bytes")).otherwise(0)).alias("bytes"), F.count_if(~F.col("live")).alias("dead"))
-    return a.withColumn("rewrite", (F.col("live") > 0) & (F.col("bytes") * 2 < target_bytes))
+def drop_queued(queue: DataFrame, ids: DataFrame) -> DataFrame:
+    """The queue without records that reached the network, claimed or not."""
+    return queue.join(ids.select("record_id").distinct(), "record_id", "left_anti").select(*queue.columns)
 
 
-def delete_batches(stale: DataFrame, size: int = 64) -> DataFrame:
-    """(batch, n, first): deletions grouped in batches of about `size` by hash, so no global order is needed."""
-    n = stale.agg(F.greatest(F.ceil(F.count("*") / size), F.lit(1)).alias("parts"))
-    return stale.crossJoin(n).groupBy(F.pmod(F.col("id"), F.col("parts")).alias("batch")).agg(F.count("*").alias("n"), F.min("id").alias("first"))  # one row
+def mark_claims(queue: DataFrame, claimed: DataFrame, now, by: str) -> DataFrame:
+    """The queue with the rows of `claimed`(seq) under a claim."""
+    c = claimed.select("seq").distinct().withColumn("mine_", F.lit(True))
+    return queue.join(c, "seq", "left").withColumn("claimed_at", F.when(F.col("mine_"), F.lit(now).cast("timestamp")).otherwise(F.col("claimed_at"))).withColumn("claimed_by", F.when(F.col("mine_"), F.lit(by))).drop("mine_")
 
 
 def tracked_slabs(ledger: DataFrame) -> DataFrame:

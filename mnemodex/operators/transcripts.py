@@ -53,16 +53,18 @@ def flatten(chunks: DataFrame) -> DataFrame:
 
 
 def page(turns: DataFrame, session, start=None, limit: int = 0) -> DataFrame:
-    """A session's turns from message `start` (inclusive) with `more`; limit 0 takes all. An unknown start gives no rows."""
+    """A session's turns from message `start` (inclusive) with `more` and the message that the next page starts from (`next`,
+    null on the last one); limit 0 takes all. An unknown start is an error."""
     t = turns.where(F.col("session") == session)
     if start is not None:
-        first = t.where(F.col("id") == start).agg(F.min("pos").alias("p"))
+        absent = F.raise_error(F.lit(f"session {session} holds no message {start}")).cast("long")
+        first = t.where(F.col("id") == start).agg(F.coalesce(F.min("pos").cast("long"), absent).alias("p"))
         t = t.crossJoin(F.broadcast(first)).where("pos >= p").drop("p")  # one row
     t = t.orderBy("pos")
     if not limit:
-        return t.withColumn("more", F.lit(False))
-    n = t.limit(limit + 1).agg(F.count("*").alias("n"))
-    return t.limit(limit).crossJoin(n).withColumn("more", F.col("n") > limit).drop("n")  # one row
+        return t.withColumns({"more": F.lit(False), "next": F.lit(None).cast("string")})
+    ahead = t.limit(limit + 1).agg(F.count("*").alias("n"), F.max_by("id", "pos").alias("last_"))
+    return t.limit(limit).crossJoin(ahead).withColumns({"more": F.col("n") > limit, "next": F.when(F.col("n") > limit, F.col("last_"))}).drop("n", "last_")  # one row
 
 
 def start_chunk(refs: DataFrame, message) -> DataFrame:
@@ -106,12 +108,55 @@ def select_span(turns: DataFrame, spans: DataFrame) -> DataFrame:
     return turns.join(s, "session").where("pos >= a and pos <= b").drop("a", "b")
 
 
+_PART = "path array<int>, type string, call_id string, name string, text string"
+
+
+def walk_parts(messages: DataFrame) -> DataFrame:
+    """(session, pos, id, at, path, type, call_id, name, text): every part of messages(session, pos, id, parts: JSON array), nested
+    ones behind the part that holds them; `at` counts a message's parts in that order."""
+    import json
+
+    import pyarrow as pa
+
+    kinds = dict(messages.dtypes)
+    schema = f"session {kinds['session']}, pos {kinds['pos']}, id {kinds['id']}, at int, {_PART}"
+
+    def walk(parts, path, out):
+        for i, p in enumerate(parts or []):
+            here = [*path, i]
+            out.append((here, p.get("type"), p.get("call_id"), p.get("name"), p.get("text")))
+            walk(p.get("content"), here, out)
+        return out
+
+    def run(batches):
+        for batch in batches:
+            rows, which = [], []
+            for i, raw in enumerate(batch.column(3).to_pylist()):
+                found = walk(json.loads(raw) if raw else [], [], [])
+                rows += [(n, *p) for n, p in enumerate(found)]
+                which += [i] * len(found)
+            own = [batch.column(i).take(pa.array(which, pa.int64())) for i in range(3)]
+            cols = [*zip(*rows)] or [[]] * 6
+            types = [pa.int32(), pa.list_(pa.int32()), *[pa.string()] * 4]
+            yield pa.RecordBatch.from_arrays([*own, *(pa.array(c, t) for c, t in zip(cols, types))], names=["session", "pos", "id", "at", "path", "type", "call_id", "name", "text"])
+
+    return messages.select("session", "pos", "id", "parts").mapInArrow(run, schema)
+
+
 def tool_pairs(parts: DataFrame) -> DataFrame:
-    """parts(session, pos, kind, call_id, name, text): the first call of an id with its last result; orphans of either side stay."""
+    """parts(session, pos, kind, call_id, name, text), pos in reading order: what was met of each call id, by first appearance.
+
+    The first call gives the name, unless a result of that id came before it: then the call stays empty (an orphan). Of
+    several results the last one counts. Nested parts come from `walk_parts`.
+    """
     key = ["session", "call_id"]
-    calls = parts.where("kind = 'tool_call'").groupBy(*key).agg(F.min_by("name", "pos").alias("name"), F.min("pos").alias("called"))
-    results = parts.where("kind = 'tool_result'").groupBy(*key).agg(F.max_by("text", "pos").alias("result"), F.max("pos").alias("answered"))
-    return calls.join(results, key, "full_outer").select(*key, "name", "called", "result", "answered", F.col("called").isNull().alias("orphan"))
+    is_result = F.col("kind") == "tool_result"
+    p = parts.where(F.col("kind").isin("tool_call", "tool_result"))
+    a = p.groupBy(*key).agg(
+        F.min("pos").alias("met"), F.min_by(F.struct("kind", "name"), "pos").alias("f"), F.max_by("text", F.when(is_result, F.col("pos"))).alias("result"), F.max(F.when(is_result, F.col("pos"))).alias("answered"),
+    )
+    call = F.col("f.kind") == "tool_call"
+    return a.select(*key, "met", F.when(call, F.col("f.name")).alias("name"), F.when(call, F.col("met")).alias("called"), "result", "answered", (~call).alias("orphan"))
 
 
 def backlinks(memories: DataFrame) -> DataFrame:

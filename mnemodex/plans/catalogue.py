@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,7 +37,7 @@ TERMS = f"list_filter(string_split_regex(lower(text), '[^\\p{{L}}\\p{{Nd}}]+'),
 WANT = T.analyze(QUERY_TEXT)
 _Q = ", ".join(f"('{w}', {WANT.count(w)})" for w in sorted(set(WANT)))
 DENSE = """q AS (SELECT embedding AS qv FROM embeddings WHERE vec_id = 0),
-dense AS (SELECT vec_id AS id, round(list_sum(list_transform(range(1, 65), lambda i: CAST(embedding[i] AS DOUBLE) * CAST(qv[i] AS DOUBLE))), 6) AS similarity FROM embeddings, q)"""
+dense AS (SELECT vec_id AS id, list_sum(list_transform(range(1, 65), lambda i: CAST(embedding[i] AS DOUBLE) * CAST(qv[i] AS DOUBLE))) AS similarity FROM embeddings, q)"""
 BM25 = f"""want(term, times) AS (VALUES {_Q}),
 ana AS (SELECT doc_id AS id, {TERMS} AS ts FROM documents),
 has AS (SELECT id, ts, len(ts) AS dl FROM ana WHERE len(ts) > 0),
@@ -44,7 +45,7 @@ st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM has),
 tf AS (SELECT id, dl, term, times, len(list_filter(ts, lambda t: t = term)) AS f FROM has, want),
 df AS (SELECT term, count(*) FILTER (WHERE f > 0) AS nt FROM tf GROUP BY term),
 idf AS (SELECT term, CASE WHEN ln((n - nt + 0.5) / (nt + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - nt + 0.5) / (nt + 0.5)) END AS w FROM df, st),
-lex AS (SELECT id, round(sum(times * w * f * 2.2 / (f + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))), 6) AS score FROM tf JOIN idf USING (term), st WHERE f > 0 GROUP BY id)"""
+lex AS (SELECT id, list_sum(list(times * w * f * CAST(2.2 AS DOUBLE) / (f + CAST(1.2 AS DOUBLE) * (1 - CAST(0.75 AS DOUBLE) + CAST(0.75 AS DOUBLE) * dl / avgdl)) ORDER BY term)) AS score FROM tf JOIN idf USING (term), st WHERE f > 0 GROUP BY id)"""
 
 
 def _parts(spark, sf):
@@ -56,15 +57,15 @@ def _request(spark, sf, **how) -> retrieval.Request:
     return retrieval.Request(S.query_vector(spark, sf), QUERY_TEXT, tags=TAGS, types=TYPES, limit=10, **how)
 
 
-@query(f"WITH {DENSE} SELECT id, similarity FROM dense ORDER BY similarity DESC, id LIMIT 10")
+@query(f"WITH {DENSE} SELECT id, round(similarity, 6) AS similarity FROM dense ORDER BY dense.similarity DESC, id LIMIT 10")
 def dense_topk(spark, sf):
-    return retrieval.dense_topk(_parts(spark, sf)[0], S.query_vector(spark, sf), 10)
+    return retrieval.shown(retrieval.dense_topk(_parts(spark, sf)[0], S.query_vector(spark, sf), 10))
 
 
-@query(f"WITH {S.REC}, {DENSE} SELECT id, similarity FROM dense WHERE id IN (SELECT id FROM rec WHERE kind = 'session') ORDER BY similarity DESC, id LIMIT 10")
+@query(f"WITH {S.REC}, {DENSE} SELECT id, round(similarity, 6) AS similarity FROM dense WHERE id IN (SELECT id FROM rec WHERE kind = 'session') ORDER BY dense.similarity DESC, id LIMIT 10")
 def dense_topk_scoped(spark, sf):
     v, _, m = _parts(spark, sf)
-    return retrieval.dense_topk_scoped(v, m, S.query_vector(spark, sf), 10, ["session"])
+    return retrieval.shown(retrieval.dense_topk_scoped(v, m, S.query_vector(spark, sf), 10, ["session"]))
 
 
 @query(f"SELECT doc_id AS id, CAST(len(ts) AS INTEGER) AS n, array_to_string(ts, ' ') AS terms FROM (SELECT doc_id, {TERMS} AS ts FROM documents)")
@@ -78,15 +79,21 @@ def postings(spark, sf):
     return retrieval.postings(_parts(spark, sf)[1])[0]
 
 
-@query(f"WITH {BM25} SELECT id, score FROM lex ORDER BY score DESC, id LIMIT 20")
+@query(f"WITH {BM25} SELECT id, round(score, 6) AS score FROM lex ORDER BY lex.score DESC, id LIMIT 20")
 def bm25_topk(spark, sf):
-    return retrieval.bm25_topk(_parts(spark, sf)[1], WANT, 20)
+    return retrieval.shown(retrieval.bm25_topk(_parts(spark, sf)[1], WANT, 20))
 
 
-@query(f"WITH {S.REC}, {BM25} SELECT id, score FROM lex WHERE id IN (SELECT id FROM rec WHERE kind = 'session') ORDER BY score DESC, id LIMIT 20")
+@query(f"WITH {S.REC}, {BM25} SELECT id, round(score, 6) AS score FROM lex WHERE id IN (SELECT id FROM rec WHERE kind = 'session') ORDER BY lex.score DESC, id LIMIT 20")
 def bm25_topk_scoped(spark, sf):
     _, t, m = _parts(spark, sf)
-    return retrieval.bm25_topk(t, WANT, 20, m, ["session"])
+    return retrieval.shown(retrieval.bm25_topk(t, WANT, 20, m, ["session"]))
+
+
+@query(f"WITH {BM25} SELECT id, round(score, 6) AS score FROM lex ORDER BY lex.score DESC, id LIMIT 20")
+def bm25_indexed(spark, sf):
+    p, n = retrieval.postings(_parts(spark, sf)[1])
+    return retrieval.shown(retrieval.top(retrieval.bm25_indexed(p, n, WANT), "score", 20))
 
 
 def _pool(scope: str = "") -> str:
@@ -99,34 +106,35 @@ said AS (SELECT pool.*, kind, type, lang, source, EXISTS (SELECT 1 FROM rec r WH
 
 
 _BOOST = "(CAST(0.002 AS DOUBLE) * (CASE WHEN lang = 'en' OR source = 'en' THEN 1 ELSE 0 END + CASE WHEN lang = 'src1' OR source = 'src1' THEN 1 ELSE 0 END) / 2 + CASE WHEN type IN ('fact', 'doc') THEN CAST(0.00067 AS DOUBLE) ELSE 0 END)"
-_RANK = f"SELECT id, round(fused + {_BOOST}, 9) AS score, similarity, round(fused, 9) AS fused, lexical, round({_BOOST}, 9) AS boost FROM said"
+_RANK = f"SELECT id, round(fused + {_BOOST}, 9) AS score, round(similarity, 6) AS similarity, round(fused, 9) AS fused, lexical, round({_BOOST}, 9) AS boost FROM said"
+_BEST = f"ORDER BY said.fused + {_BOOST} DESC, id"
 
 
-@query(f"WITH {_pool()} SELECT id, similarity, round(fused, 9) AS fused, lexical FROM pool")
+@query(f"WITH {_pool()} SELECT id, round(similarity, 6) AS similarity, round(fused, 9) AS fused, lexical FROM pool")
 def rrf_fuse(spark, sf):
     v, t, m = _parts(spark, sf)
-    return retrieval.draw(v, t, m, _request(spark, sf)).withColumn("fused", F.round("fused", 9))
+    return retrieval.shown(retrieval.draw(v, t, m, _request(spark, sf)).withColumn("fused", F.round("fused", 9)))
 
 
-@query(f"WITH {_pool()} {_RANK} WHERE NOT superseded ORDER BY score DESC, id LIMIT 10")
+@query(f"WITH {_pool()} {_RANK} WHERE NOT superseded {_BEST} LIMIT 10")
 def recall_soft_boost(spark, sf):
     v, t, m = _parts(spark, sf)
     return retrieval.recall(v, t, m, _request(spark, sf))
 
 
-@query(f"WITH {_pool()} {_RANK} ORDER BY score DESC, id LIMIT 10")
+@query(f"WITH {_pool()} {_RANK} {_BEST} LIMIT 10")
 def recall_include_superseded(spark, sf):
     v, t, m = _parts(spark, sf)
     return retrieval.recall(v, t, m, _request(spark, sf, include_superseded=True))
 
 
-@query(f"WITH {_pool(repr('memory'))} {_RANK} WHERE NOT superseded AND kind = 'memory' ORDER BY score DESC, id LIMIT 10")
+@query(f"WITH {_pool(repr('memory'))} {_RANK} WHERE NOT superseded AND kind = 'memory' {_BEST} LIMIT 10")
 def recall_scoped(spark, sf):
     v, t, m = _parts(spark, sf)
     return retrieval.recall(v, t, m, _request(spark, sf, kinds=KINDS))
 
 
-@query(f"WITH {_pool()} {_RANK} WHERE NOT superseded ORDER BY score DESC, id LIMIT 10 OFFSET 10")
+@query(f"WITH {_pool()} {_RANK} WHERE NOT superseded {_BEST} LIMIT 10 OFFSET 10")
 def recall_second_page(spark, sf):
     v, t, m = _parts(spark, sf)
     return retrieval.recall(v, t, m, _request(spark, sf, offset=10))
@@ -135,7 +143,7 @@ def recall_second_page(spark, sf):
 @query(f"""WITH {_pool(repr('memory'))},
 d2 AS (SELECT id FROM dense ORDER BY similarity DESC, id LIMIT 100), l2 AS (SELECT id FROM lex ORDER BY score DESC, id LIMIT 100),
 u AS (SELECT id FROM d2 UNION SELECT id FROM l2)
-SELECT (SELECT count(*) FROM embeddings) AS searched, (SELECT count(*) FROM said) AS considered, (SELECT count(*) FROM said WHERE lexical) AS lexical_hits,
+SELECT (SELECT count(*) FROM embeddings) AS searched, (SELECT count(*) FROM said) AS considered, (SELECT count(*) FROM l2) AS lexical_hits,
  (SELECT count(*) FROM said WHERE superseded) AS superseded_hidden,
  (SELECT count(*) FROM u LEFT JOIN rec USING (id) WHERE NOT coalesce(kind = 'memory', false) AND NOT EXISTS (SELECT 1 FROM rec r WHERE r.supersedes = u.id)) AS scope_excluded""")
 def recall_counters(spark, sf):
@@ -143,16 +151,21 @@ def recall_counters(spark, sf):
     return retrieval.recall_counters(v, t, m, _request(spark, sf, kinds=KINDS))
 
 
-@query(f"WITH {_pool()}, r AS ({_RANK} WHERE NOT superseded ORDER BY score DESC, id LIMIT 10) SELECT r.id, score, octet_length(encode(text)) + octet_length(encode(source)) + 2 > 320 AS truncated FROM r JOIN rec USING (id)")
+@query(rf"""WITH {_pool()}, r AS ({_RANK} WHERE NOT superseded {_BEST} LIMIT 10),
+x AS (SELECT r.id, score, regexp_replace(text || ', ' || source, '^\s+|\s+$', '', 'g') AS t, list_filter(list_transform(string_split(text, chr(10)), lambda l: regexp_replace(l, '^\s+|\s+$', '', 'g')), lambda l: l <> '')[1] AS line FROM r JOIN rec USING (id)),
+y AS (SELECT *, substr(t, 1, list_max(list_filter(range(0, 322), lambda i: octet_length(encode(substr(t, 1, i))) <= 321))) AS ahead, substr(t, 1, list_max(list_filter(range(0, 321), lambda i: octet_length(encode(substr(t, 1, i))) <= 320))) AS whole FROM x),
+z AS (SELECT *, regexp_extract(ahead, '(?s)^(.*)[ \n\t]', 1) AS word, trim(regexp_replace(coalesce(line, ''), '\s+', ' ', 'g')) AS flat FROM y)
+SELECT id, score, octet_length(encode(t)) > 320 AS truncated, CASE WHEN length(flat) > 72 THEN rtrim(substr(flat, 1, 72)) || '…' ELSE flat END AS title,
+  CASE WHEN octet_length(encode(t)) <= 320 THEN t ELSE regexp_replace(CASE WHEN octet_length(encode(word)) >= 160 THEN word ELSE whole END, '\s+$', '') || '…' END AS snippet FROM z""")
 def recall_hits(spark, sf):
     v, t, m = _parts(spark, sf)
     bodies = S.records(spark, sf).select("id", F.col("text").alias("statement"), F.col("source").alias("context"))
-    return retrieval.hits(retrieval.recall(v, t, m, _request(spark, sf)), bodies).select("id", "score", "truncated")
+    return retrieval.hits(retrieval.recall(v, t, m, _request(spark, sf)), bodies).select("id", "score", "truncated", "title", "snippet")
 
 
-@query("""WITH p AS (SELECT a.vec_id AS id, b.vec_id AS neighbour, round(list_sum(list_transform(range(1, 65), lambda i: CAST(a.embedding[i] AS DOUBLE) * CAST(b.embedding[i] AS DOUBLE))), 6) AS similarity
+@query("""WITH p AS (SELECT a.vec_id AS id, b.vec_id AS neighbour, list_sum(list_transform(range(1, 65), lambda i: CAST(a.embedding[i] AS DOUBLE) * CAST(b.embedding[i] AS DOUBLE))) AS similarity
   FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)
-SELECT id, neighbour, similarity, CAST(rank AS INTEGER) AS rank, similarity >= 0.9 AS conflict FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, neighbour) AS rank FROM p) WHERE rank <= 5""")
+SELECT id, neighbour, round(similarity, 6) AS similarity, CAST(rank AS INTEGER) AS rank, similarity >= 0.9 AS conflict FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, neighbour) AS rank FROM p) WHERE rank <= 5""")
 def neighbours_conflict(spark, sf):
     v = S.vectors(spark, sf).select("id", "vector")
     return retrieval.neighbours(v.where("id % 50 = 0"), v)
@@ -174,25 +187,23 @@ def describe_pool(spark, sf):
 
 # ---- quality of retrieval
 
-_QUAL = """p AS (SELECT a.vec_id AS query_id, b.vec_id AS id, a.label = b.label AS gold, round(list_sum(list_transform(range(1, 65), lambda i: CAST(a.embedding[i] AS DOUBLE) * CAST(b.embedding[i] AS DOUBLE))), 6) AS similarity
+_QUAL = """p AS (SELECT a.vec_id AS query_id, b.vec_id AS id, a.label = b.label AS gold, list_sum(list_transform(range(1, 65), lambda i: CAST(a.embedding[i] AS DOUBLE) * CAST(b.embedding[i] AS DOUBLE))) AS similarity
   FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM p),
 f AS (SELECT query_id, min(rank) FILTER (WHERE gold) AS rank FROM r GROUP BY query_id)"""
 
 
-def _scored(spark, sf):
-    """All scores of the stated queries, with the gold mark of an equal label."""
+def _standing(spark, sf):
+    """The stated queries; gold is what shares their label."""
     v = S.vectors(spark, sf)
-    n = v.count()
-    s = retrieval.neighbours(v.where("id % 50 = 0"), v.select("id", "vector"), k=n)
-    a, b = v.select("id", "label"), v.select(F.col("id").alias("neighbour"), F.col("label").alias("other"))
-    return s.join(a, "id").join(b, "neighbour").select(F.col("id").alias("query_id"), F.col("neighbour").alias("id"), "similarity", "rank", (F.col("label") == F.col("other")).alias("gold"))
+    q = v.where("id % 50 = 0")
+    gold = q.select(F.col("id").alias("query_id"), "label").join(v.select("id", "label"), "label").select("query_id", "id")
+    return retrieval.gold_standing(q.select("id", "vector"), v.select("id", "vector"), gold)
 
 
 @query(f"WITH {_QUAL} SELECT count(*) AS queries, " + ", ".join(f"round(avg(CASE WHEN rank <= {k} THEN 1.0 ELSE 0.0 END), 6) AS hit_{k}" for k in (1, 3, 5, 10)) + ", round(avg(coalesce(1.0 / rank, 0.0)), 6) AS mrr FROM f")
 def hit_at_k_mrr(spark, sf):
-    s = _scored(spark, sf)
-    return evaluation.quality(s.groupBy("query_id").agg(F.min(F.when(F.col("gold"), F.col("rank"))).alias("rank")))
+    return evaluation.quality(_standing(spark, sf))
 
 
 _DENS = f"""{_QUAL}, g AS (SELECT query_id, list_sort(list(similarity)) AS s FROM p WHERE gold GROUP BY query_id),
@@ -201,15 +212,20 @@ dens AS (SELECT query_id, count(*) FILTER (WHERE NOT gold AND similarity >= s[1
 
 @query(f"WITH {_DENS} SELECT query_id, density FROM dens")
 def density(spark, sf):
-    return evaluation.density(_scored(spark, sf))
+    return _standing(spark, sf).where("density is not null").select("query_id", "density")
 
 
 @query(f"""WITH {_DENS}, h AS (SELECT rank, row_number() OVER (ORDER BY density DESC, query_id) AS place, count(*) OVER () AS n FROM f JOIN dens USING (query_id))
 SELECT CASE WHEN place <= n // 2 THEN 'crowded' ELSE 'sparse' END AS half, count(*) AS queries, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0.0 END), 6) AS hit_5 FROM h GROUP BY 1""")
 def density_halves(spark, sf):
-    s = _scored(spark, sf)
-    first = s.groupBy("query_id").agg(F.min(F.when(F.col("gold"), F.col("rank"))).alias("rank"))
-    return evaluation.density_halves(first, evaluation.density(s))
+    s = _standing(spark, sf).where("density is not null")
+    return evaluation.density_halves(s.select("query_id", "rank"), s.select("query_id", "density"))
+
+
+@query(f"""WITH {_QUAL} SELECT CASE WHEN query_id % 3 = 0 THEN 'short' ELSE 'long' END AS shape, count(*) AS queries, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0.0 END), 6) AS hit_5 FROM f GROUP BY 1""")
+def quality_by_shape(spark, sf):
+    s = _standing(spark, sf)
+    return evaluation.by_shape(s, s.select("query_id", F.when(F.col("query_id") % 3 == 0, "short").otherwise("long").alias("shape")))
 
 
 @query("SELECT event_type, list_sort(list(value))[1 + CAST(floor(0.95 * (count(*) - 1)) AS BIGINT)] AS value FROM events WHERE value IS NOT NULL GROUP BY event_type")
@@ -372,14 +388,47 @@ def queue_upsert(spark, sf):
     return logs.enqueue(S.queue(spark, sf).select("record_id", "seq", "payload", "queued_at"), "record_id", "seq")
 
 
-@query("""WITH RECURSIVE w AS (SELECT user_id AS id, event_id AS seq, CAST(json_extract(props, '$.k') AS BIGINT) % 4 AS expect, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
-s AS (SELECT id, seq, expect, i, expect = 0 AS accepted, CASE WHEN expect = 0 THEN 1 ELSE 0 END AS version FROM w WHERE i = 1
- UNION ALL SELECT w.id, w.seq, w.expect, w.i, w.expect = s.version, s.version + CASE WHEN w.expect = s.version THEN 1 ELSE 0 END FROM s JOIN w ON w.id = s.id AND w.i = s.i + 1)
-SELECT id, seq, expect, accepted, CAST(version AS BIGINT) AS version FROM s""")
-def head_cas(spark, sf):
+def _cas(gone: str) -> str:
+    """The same fold, a row after the other."""
+    step = "CASE WHEN {d} AND {v} = 0 THEN 'absent' WHEN {w}expect = {v} THEN 'accepted' WHEN {v} > 0 OR {w}expect = 0 THEN 'stale' ELSE 'not_found' END"
+    now = "CASE WHEN {w}expect = {v} AND NOT ({d} AND {v} = 0) THEN CASE WHEN {d} THEN 0 ELSE {v} + 1 END ELSE {v} END"
+    first, then = {"d": "gone", "v": "0", "w": ""}, {"d": "w.gone", "v": "s.version", "w": "w."}
+    return f"""WITH RECURSIVE w AS (SELECT user_id AS id, event_id AS seq, CAST(json_extract(props, '$.k') AS BIGINT) % 4 AS expect, {gone} AS gone, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+s AS (SELECT id, seq, expect, i, {step.format(**first)} AS outcome, CAST({now.format(**first)} AS BIGINT) AS version FROM w WHERE i = 1
+ UNION ALL SELECT w.id, w.seq, w.expect, w.i, {step.format(**then)}, CAST({now.format(**then)} AS BIGINT) FROM s JOIN w ON w.id = s.id AND w.i = s.i + 1)
+SELECT id, seq, expect, outcome = 'accepted' AS accepted, outcome, version FROM s"""
+
+
+def _writes(spark, sf):
     e = S.table(spark, sf, "events")
-    w = e.select(F.col("user_id").alias("id"), F.col("event_id").alias("seq"), (F.get_json_object("props", "$.k").cast("long") % 4).alias("expect"))
-    return logs.head_cas(w, "id", "seq", "expect")
+    return e.select(F.col("user_id").alias("id"), F.col("event_id").alias("seq"), (F.get_json_object("props", "$.k").cast("long") % 4).alias("expect"), (F.col("event_id") % 3 == 0).alias("gone"))
+
+
+@query(_cas("false"))
+def head_cas(spark, sf):
+    return logs.head_cas(_writes(spark, sf), "id", "seq", "expect")
+
+
+@query(_cas("event_id % 3 = 0"))
+def head_delete_cas(spark, sf):
+    return logs.head_cas(_writes(spark, sf), "id", "seq", "expect", "gone")
+
+
+@query(f"WITH {S.LOG}, l2 AS (SELECT id, seq, kind, deleted, object_ref, slab_id, bytes FROM folded WHERE NOT deleted AND id % 4 <> 0 UNION ALL SELECT id, 10000000 + id, kind, true, object_ref, slab_id, bytes FROM folded WHERE id % 4 = 0 UNION ALL SELECT id, seq, kind, deleted, object_ref, slab_id, bytes FROM folded WHERE deleted AND id % 4 <> 0) SELECT id, seq, deleted, object_ref FROM l2")
+def catalog_remove(spark, sf):
+    log = S.catalog(spark, sf)
+    asked = log.select("id").distinct().where("id % 4 = 0").withColumn("seq", F.col("id") + 10_000_000)
+    gone = logs.remove(logs.latest(log, "id", "seq"), asked.union(S.table(spark, sf, "region").select((-1 - F.col("r_regionkey")).cast("long"), F.lit(1).cast("long"))), "id", "seq")
+    return logs.latest(log.unionByName(gone), "id", "seq").select("id", "seq", "deleted", "object_ref")
+
+
+@query(f"WITH {S.LOG} SELECT id, CASE WHEN deleted AND id % 2 = 0 THEN 10000000 + id ELSE seq END AS seq, deleted, CASE WHEN deleted AND id % 2 = 0 THEN '' ELSE object_ref END AS object_ref, CASE WHEN deleted AND id % 2 = 0 THEN '' ELSE slab_id END AS slab_id FROM folded")
+def catalog_object_deleted(spark, sf):
+    log = S.catalog(spark, sf)
+    f = logs.latest(log, "id", "seq")
+    # what is asked of live entries, of other objects and of none changes nothing
+    gone = f.select("id", F.when(F.col("id") % 2 == 0, F.col("object_ref")).when(F.col("id") % 3 == 0, F.lit("other")).otherwise("").alias("object_ref"), (F.col("id") + 10_000_000).alias("seq"))
+    return logs.latest(log.unionByName(logs.object_deleted(f, gone, "id", "seq")), "id", "seq").select("id", "seq", "deleted", "object_ref", "slab_id")
 
 
 @query(f"WITH {S.LOG} SELECT id, object_ref FROM folded WHERE deleted AND object_ref NOT IN (SELECT object_ref FROM folded WHERE NOT deleted)")
@@ -397,9 +446,9 @@ def transcript_flatten(spark, sf):
     return transcripts.flatten(c).select("session", "seq", F.col("at").cast("long").alias("at"), "id", "role")
 
 
-@query(f"WITH {S.TURNS}, t AS (SELECT *, count(*) OVER () AS n FROM turns WHERE session = 3 AND pos >= 1) SELECT id, pos, n > 3 AS more FROM t ORDER BY pos LIMIT 3")
+@query(f"WITH {S.TURNS}, t AS (SELECT *, count(*) OVER () AS n, row_number() OVER (ORDER BY pos) AS r FROM turns WHERE session = 3 AND pos >= 1) SELECT id, pos, n > 3 AS more, (SELECT id FROM t WHERE r = 4) AS next FROM t ORDER BY pos LIMIT 3")
 def transcript_page(spark, sf):
-    return transcripts.page(S.turns(spark, sf), 3, "3:1", 3).select("id", "pos", "more")
+    return transcripts.page(S.turns(spark, sf), 3, "3:1", 3).select("id", "pos", "more", "next")
 
 
 @query(f"WITH {S.TURNS} SELECT session, count(*) AS messages, CAST(sum(bytes) AS BIGINT) AS bytes, arg_min(created, pos) FILTER (WHERE created IS NOT NULL) AS first_dated, arg_max(created, pos) FILTER (WHERE created IS NOT NULL) AS last_dated, arg_max(id, pos) AS head_message FROM turns GROUP BY session")
@@ -441,13 +490,13 @@ def span_select(spark, sf):
     return transcripts.select_span(t, spans).select("session", "id", "pos")
 
 
-@query(f"""WITH {S.TURNS}, p AS (SELECT session, pos, CASE WHEN role = 'assistant' THEN 'tool_result' ELSE 'tool_call' END AS kind, CAST(pos // 3 AS VARCHAR) AS call_id, substr(text, 1, 10) AS x FROM turns),
-c AS (SELECT session, call_id, arg_min(x, pos) AS name, min(pos) AS called FROM p WHERE kind = 'tool_call' GROUP BY 1, 2), r AS (SELECT session, call_id, arg_max(x, pos) AS result, max(pos) AS answered FROM p WHERE kind = 'tool_result' GROUP BY 1, 2)
-SELECT coalesce(c.session, r.session) AS session, coalesce(c.call_id, r.call_id) AS call_id, name, coalesce(called, -1) AS called, result, coalesce(answered, -1) AS answered, called IS NULL AS orphan FROM c FULL JOIN r ON c.session = r.session AND c.call_id = r.call_id""")
+@query(f"""WITH {S.TURNS}, p AS (SELECT session, pos, role = 'assistant' AS answer, CAST((pos + session) // 3 AS VARCHAR) AS call_id, substr(text, 1, 10) AS x, row_number() OVER (PARTITION BY session, (pos + session) // 3 ORDER BY pos) AS i FROM turns),
+c AS (SELECT session, call_id, x AS name, pos AS called FROM p WHERE i = 1 AND NOT answer), r AS (SELECT session, call_id, x AS result, pos AS answered FROM (SELECT *, row_number() OVER (PARTITION BY session, call_id ORDER BY pos DESC) AS j FROM p WHERE answer) WHERE j = 1)
+SELECT p.session, p.call_id, p.pos AS met, name, coalesce(called, -1) AS called, result, coalesce(answered, -1) AS answered, called IS NULL AS orphan FROM p LEFT JOIN c USING (session, call_id) LEFT JOIN r USING (session, call_id) WHERE i = 1""")
 def tool_pairs(spark, sf):
     t = S.turns(spark, sf)
     x = F.substring("text", 1, 10)
-    parts = t.select("session", "pos", F.when(F.col("role") == "assistant", "tool_result").otherwise("tool_call").alias("kind"), F.floor(F.col("pos") / 3).cast("string").alias("call_id"), x.alias("name"), x.alias("text"))
+    parts = t.select("session", "pos", F.when(F.col("role") == "assistant", "tool_result").otherwise("tool_call").alias("kind"), F.floor((F.col("pos") + F.col("session")) / 3).cast("string").alias("call_id"), x.alias("name"), x.alias("text"))
     return transcripts.tool_pairs(parts).withColumns({c: F.coalesce(c, F.lit(-1)) for c in ("called", "answered")})
 
 
@@ -528,9 +577,17 @@ def watermark(spark, sf):
     return storage.watermark(a, 10)
 
 
-@query(f"WITH {S.LOG} SELECT count(DISTINCT object_ref) FILTER (WHERE NOT deleted) AS objects, count(DISTINCT slab_id) FILTER (WHERE NOT deleted) AS slabs, count(*) FILTER (WHERE NOT deleted) AS catalogued, CAST(NULL AS VARCHAR) AS refusal FROM folded")
+@query(f"""WITH {S.LOG}, v AS (SELECT 'all' AS name, * FROM folded UNION ALL SELECT 'own', * REPLACE ('o' || id AS object_ref) FROM folded UNION ALL SELECT 'no objects', * REPLACE ('' AS object_ref) FROM folded
+ UNION ALL SELECT 'no slabs', * REPLACE ('o' || id AS object_ref, '' AS slab_id) FROM folded UNION ALL SELECT 'none', * REPLACE (true AS deleted) FROM folded),
+k AS (SELECT name, count(DISTINCT nullif(object_ref, '')) FILTER (WHERE NOT deleted) AS objects, count(DISTINCT nullif(slab_id, '')) FILTER (WHERE NOT deleted) AS slabs, count(*) FILTER (WHERE NOT deleted) AS catalogued FROM v GROUP BY name)
+SELECT name, objects, slabs, catalogued, CAST(pinned AS INTEGER) AS pinned, CASE WHEN catalogued = 0 AND pinned = 0 THEN NULL WHEN catalogued = 0 THEN 'nothing is catalogued' WHEN objects = 0 THEN 'no live object is named'
+ WHEN catalogued - objects > 0 THEN 'fewer objects are named than records are catalogued' WHEN slabs = 0 THEN 'no live slab is named' END AS refusal FROM k, (VALUES (0), (40)) p(pinned)""")
 def keep_set(spark, sf):
-    return storage.check_keep_set(storage.keep_set(_folded(spark, sf)))
+    f = _folded(spark, sf)
+    own = F.concat(F.lit("o"), F.col("id").cast("string"))
+    variants = {"all": f, "own": f.withColumn("object_ref", own), "no objects": f.withColumn("object_ref", F.lit("")), "no slabs": f.withColumns({"object_ref": own, "slab_id": F.lit("")}), "none": f.withColumn("deleted", F.lit(True))}
+    out = [storage.check_keep_set(storage.keep_set(v).select(F.lit(n).alias("name"), "*", F.lit(p).alias("pinned"))) for n, v in variants.items() for p in (0, 40)]
+    return reduce(lambda a, b: a.unionByName(b), out)
 
 
 @query(f"WITH {S.LOG} SELECT slab_id, CAST(sum(CASE WHEN deleted THEN 0 ELSE 1 END) AS BIGINT) AS records, CAST(sum(seq) AS BIGINT) AS bytes, min(seq) AS pinned_at, max(CASE WHEN deleted THEN 'hydrated' ELSE 'pinned' END) AS origin FROM log GROUP BY slab_id")

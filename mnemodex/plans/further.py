@@ -8,7 +8,7 @@ from ..functions import text as T
 from ..operators import listing, logs, retrieval, storage, transcripts
 from ..sources import formats
 from . import stand_ins as S
-from .catalogue import _BOOST, _OWN, _parts, _pool, _request, query
+from .catalogue import _BOOST, _OWN, BM25, DENSE, _parts, _pool, _request, query
 
 
 @query(f"WITH {S.REC} SELECT id, kind, type FROM rec WHERE id = 42")
@@ -129,15 +129,86 @@ def location_rejoin(spark, sf):
     return j.select("id", F.array_join(F.transform("slabs", lambda x: F.concat(x["slab"], F.lit("="), x["meta"])), ",").alias("slabs"))
 
 
-@query(f"WITH {S.REC}, {S.LOG} SELECT rec.id, CASE WHEN rec.id IN (SELECT id FROM folded WHERE deleted) THEN 'skip' WHEN kind = 'chunk' THEN 'catalogue' ELSE 'describe' END AS action FROM rec")
+def _frames(spark, sf):
+    """records as frames found by a walk: ten to an object, every 13th of another vault."""
+    r = S.records(spark, sf)
+    kind = F.when(F.col("id") % 4 == 3, "chunk").otherwise(F.col("kind"))
+    return r.select(F.floor(F.col("id") / 10).alias("ref"), (F.col("id") % 40).alias("slab"), "id", kind.alias("kind"), (F.col("id") % 13 != 5).alias("opened"), F.col("n_chars").alias("bytes"))
+
+
+_FRAMES = """found AS (SELECT id // 10 AS ref, id % 40 AS slab, id, CASE WHEN id % 4 = 3 THEN 'chunk' ELSE kind END AS kind, n_chars AS bytes,
+  CASE WHEN id % 13 = 5 THEN 'foreign' WHEN id IN (SELECT id FROM folded WHERE deleted) THEN 'forgotten' ELSE 'restored' END AS outcome FROM rec)"""
+
+
+def _restored(spark, sf, depth):
+    return storage.restore_plan(_frames(spark, sf), logs.tombstones(logs.latest(S.catalog(spark, sf), "id", "seq")), depth)
+
+
+@query(f"WITH {S.REC}, {S.LOG}, {_FRAMES} SELECT id, depth, outcome, outcome = 'restored' AS catalogued, outcome = 'restored' AND n > 0 AS body, outcome = 'restored' AND n > 0 AND kind IN ('memory', 'session') AS ranked, outcome = 'restored' AND n = 2 AND kind IN ('memory', 'session') AS embedded FROM found, (VALUES ('catalog', 0), ('metadata', 1), ('index', 2)) d(depth, n)")
 def restore_plan(spark, sf):
-    f = logs.latest(S.catalog(spark, sf), "id", "seq")
-    return storage.restore_plan(S.records(spark, sf), logs.tombstones(f), logs.live(f), "metadata")
+    every = [_restored(spark, sf, d).select("id", F.lit(d).alias("depth"), "outcome", "catalogued", "body", "ranked", "embedded") for d in storage.DEPTHS]
+    return every[0].union(every[1]).union(every[2])
+
+
+@query(f"WITH {S.REC}, {S.LOG}, {_FRAMES}, r AS (SELECT * FROM found WHERE outcome = 'restored') SELECT (SELECT count(DISTINCT ref) FROM found) AS objects, (SELECT count(*) FROM found) AS frames, (SELECT count(*) FROM found WHERE id % 13 = 5) AS foreign, (SELECT count(*) FROM found WHERE outcome = 'forgotten') AS forgotten, count(*) AS records, count(DISTINCT slab) AS slabs, count(*) AS bodies, count(*) FILTER (WHERE kind <> 'chunk') AS embedded FROM r")
+def restore_report(spark, sf):
+    return storage.restore_report(_restored(spark, sf, "index"))
+
+
+@query(f"WITH {S.REC}, {S.LOG}, {_FRAMES} SELECT slab AS slab_id, count(*) AS records, CAST(sum(bytes) AS BIGINT) AS bytes, 'hydrated' AS origin FROM found WHERE outcome = 'restored' GROUP BY slab")
+def restore_adopts(spark, sf):
+    return storage.adopted_slabs(_restored(spark, sf, "catalog"))
+
+
+_HELD = """held AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey || ':' || l_linenumber AS ref, l_suppkey AS slab, l_orderkey % 97 = 0 AS gone FROM lineitem WHERE l_linestatus = 'O'),
+written AS (SELECT id AS cid, 'n' || ref AS ref, CASE WHEN slab % 11 = 0 THEN slab ELSE 1000000 + id % 5 END AS slab FROM held WHERE NOT gone), owed AS (SELECT s_suppkey AS slab FROM supplier WHERE s_suppkey % 7 = 0)"""
+
+
+def _repack(spark, sf):
+    o = S.table(spark, sf, "lineitem").where("l_linestatus = 'O'")
+    id_ = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    held = o.select(id_.alias("id"), id_.alias("cid"), F.concat_ws(":", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("ref"), F.col("l_suppkey").cast("long").alias("slab"), (F.col("l_orderkey") % 97 == 0).alias("lost"))
+    written = held.where("not lost").select("cid", F.concat(F.lit("n"), F.col("ref")).alias("ref"), F.when(F.col("slab") % 11 == 0, F.col("slab")).otherwise(F.col("id") % 5 + 1_000_000).alias("slab"), F.lit(1).alias("bytes"))
+    return held.drop("lost"), held.where("lost").select("ref"), written, S.slabs(spark, sf).where("slab % 7 = 0")
+
+
+@query(f"WITH {_HELD} SELECT DISTINCT slab FROM held WHERE slab NOT IN (SELECT slab FROM written) AND slab NOT IN (SELECT slab FROM owed) AND slab NOT IN (SELECT slab FROM held WHERE gone)")
+def repack_release(spark, sf):
+    return storage.repack_release(*_repack(spark, sf))
 
 
-@query(f"WITH {S.OBJ} SELECT slab, count(*) FILTER (WHERE live) AS live, CAST(sum(CASE WHEN live THEN bytes ELSE 0 END) AS BIGINT) AS bytes, count(*) FILTER (WHERE NOT live) AS dead, count(*) FILTER (WHERE live) > 0 AND sum(CASE WHEN live THEN bytes ELSE 0 END) * 2 < 16000 AS rewrite FROM obj GROUP BY slab")
-def repack_plan(spark, sf):
-    return storage.repack_plan(S.objects(spark, sf), 16_000)
+@query(f"WITH {_HELD}, w AS (SELECT DISTINCT slab FROM written), k AS (SELECT slab FROM w UNION SELECT slab FROM held WHERE gone) SELECT count(*) FILTER (WHERE NOT gone) AS moved, count(*) FILTER (WHERE gone) AS gone, count(DISTINCT slab) AS before, (SELECT count(*) FROM k) AS after, count(DISTINCT slab) + (SELECT count(*) FROM w) AS peak FROM held")
+def repack_report(spark, sf):
+    return storage.repack_report(*_repack(spark, sf)[:3])
+
+
+@query(f"WITH {_HELD} SELECT held.id, 'n' || held.ref AS \"to\", w.slab FROM held JOIN written w ON w.cid = held.id")
+def repack_moves(spark, sf):
+    return storage.repack_moves(*_repack(spark, sf)[:3]).select("id", "to", "slab")
+
+
+@query(f"WITH {_HELD} SELECT count(DISTINCT slab) AS slabs, count(DISTINCT slab) FILTER (WHERE slab % 3 = 0) AS foreign, count(*) FILTER (WHERE slab % 3 = 0) > 0 AS refused FROM held")
+def repack_refusal(spark, sf):
+    ledger = S.slabs(spark, sf).withColumn("origin", F.when(F.col("slab") % 3 == 0, "hydrated").otherwise("pinned"))
+    return storage.repack_refusal(_repack(spark, sf)[0], ledger)
+
+
+@query(f"WITH {S.QUEUE} SELECT seq, record_id, CASE WHEN record_id NOT IN ('r7', 'r8') THEN claimed_at END AS claimed_at FROM queue")
+def queue_release(spark, sf):
+    q = S.queue(spark, sf)
+    return storage.release_claims(q, q.where("record_id in ('r7', 'r8')")).select("seq", "record_id", "claimed_at")
+
+
+@query(f"WITH {S.QUEUE} SELECT seq, record_id FROM queue WHERE record_id NOT IN ('r7', 'r8')")
+def queue_drop(spark, sf):
+    q = S.queue(spark, sf)
+    return storage.drop_queued(q, q.where("record_id in ('r7', 'r8')")).select("seq", "record_id")
+
+
+@query(f"WITH {S.QUEUE}, c AS (SELECT seq FROM queue WHERE claimed_at IS NULL OR claimed_at < TIMESTAMP '2024-01-15 00:00:00' - INTERVAL 600 SECOND ORDER BY seq LIMIT 50) SELECT seq, CASE WHEN seq IN (SELECT seq FROM c) THEN TIMESTAMP '2024-01-15 00:00:00' ELSE claimed_at END AS claimed_at, CASE WHEN seq IN (SELECT seq FROM c) THEN 'me' END AS claimed_by FROM queue")
+def queue_mark_claims(spark, sf):
+    q = S.queue(spark, sf)
+    return storage.mark_claims(q, storage.claimable(q, "2024-01-15 00:00:00", limit=50), "2024-01-15 00:00:00", "me").select("seq", "claimed_at", "claimed_by")
 
 
 @query(f"WITH {S.OBJ}, {_OWN} SELECT ref, count(*) FILTER (WHERE slab NOT IN (SELECT slab FROM own)) AS foreign FROM obj GROUP BY ref")
@@ -145,9 +216,10 @@ def slab_ownership(spark, sf):
     return storage.ownership(S.objects(spark, sf), S.slabs(spark, sf).where("slab % 3 <> 0"))
 
 
-@query(f"WITH {S.LOG}, s AS (SELECT id FROM folded WHERE deleted), n AS (SELECT greatest(ceil(count(*) / 8.0), 1) AS parts FROM s) SELECT CAST(id % CAST(parts AS BIGINT) AS BIGINT) AS batch, count(*) AS n, min(id) AS first FROM s, n GROUP BY 1")
+@query(f"WITH {S.LOG} SELECT id, (row_number() OVER (ORDER BY seq) - 1) // 64 AS batch FROM folded WHERE deleted AND object_ref NOT IN (SELECT object_ref FROM folded WHERE NOT deleted)")
 def delete_batches(spark, sf):
-    return storage.delete_batches(logs.tombstones(logs.latest(S.catalog(spark, sf), "id", "seq")).select("id"), 8)
+    f = logs.latest(S.catalog(spark, sf), "id", "seq")
+    return storage.delete_batches(logs.stale_objects(f).join(f.select("id", "seq"), "id")).select("id", "batch")
 
 
 @query(f"WITH {S.QUEUE} SELECT seq, record_id, record_id IN (SELECT record_id FROM queue WHERE seq % 5 = 0) AS written FROM queue")
@@ -173,13 +245,25 @@ _W = ", ".join(f"(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE))" for a, b in _SWEEP)
 
 
 @query(f"""WITH {_pool()}, w(tag_weight, type_weight) AS (VALUES {_W}),
-s AS (SELECT id, tag_weight, type_weight, round(fused + tag_weight * (CASE WHEN lang = 'en' THEN 1 ELSE 0 END + CASE WHEN source = 'src1' THEN 1 ELSE 0 END) / 2 + type_weight * CASE WHEN type IN ('fact', 'doc') THEN 1 ELSE 0 END, 9) AS score FROM said, w WHERE NOT superseded)
+s AS (SELECT id, tag_weight, type_weight, fused + tag_weight * ((CASE WHEN lang = 'en' THEN 1 ELSE 0 END + CASE WHEN source = 'src1' THEN 1 ELSE 0 END) / 2) + type_weight * CASE WHEN type IN ('fact', 'doc') THEN 1 ELSE 0 END AS score FROM said, w WHERE NOT superseded)
 SELECT tag_weight, type_weight, CAST(place AS INTEGER) AS place, id FROM (SELECT *, row_number() OVER (PARTITION BY tag_weight, type_weight ORDER BY score DESC, id) AS place FROM s) WHERE place <= 10""")
 def weight_sweep(spark, sf):
     return retrieval.weight_sweep(*_parts(spark, sf), _request(spark, sf), _SWEEP)
 
 
-@query(f"WITH {_pool(repr('session'))} SELECT id, similarity FROM said WHERE NOT superseded AND kind = 'session' ORDER BY round(fused + {_BOOST}, 9) DESC, id LIMIT 1")
+_LEX = [0.0, 0.01, 0.02, 0.03, 0.035, 0.04, 0.1, 1.0]
+
+
+@query(f"""WITH {S.REC}, {DENSE}, {BM25}, wt(weight) AS (VALUES {", ".join(f"(CAST({x} AS DOUBLE))" for x in _LEX)}),
+d AS (SELECT id, row_number() OVER (ORDER BY similarity DESC, id) AS dr FROM dense ORDER BY dr LIMIT 100), l AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS lr FROM lex ORDER BY lr LIMIT 100),
+s AS (SELECT weight, coalesce(d.id, l.id) AS id, coalesce(CAST(1.0 AS DOUBLE) / (60 + dr), 0.0) + coalesce(weight / (60 + lr), 0.0) AS fused FROM d FULL JOIN l ON d.id = l.id, wt WHERE dr IS NOT NULL OR weight > 0)
+SELECT weight, CAST(place AS INTEGER) AS place, id FROM (SELECT *, row_number() OVER (PARTITION BY weight ORDER BY fused DESC, id) AS place FROM s) WHERE place <= 10""")
+def lexical_sweep(spark, sf):
+    v, t, _ = _parts(spark, sf)
+    return retrieval.lexical_sweep(v, t, _request(spark, sf), _LEX)
+
+
+@query(f"WITH {_pool(repr('session'))} SELECT id, round(similarity, 6) AS similarity FROM said WHERE NOT superseded AND kind = 'session' ORDER BY fused + {_BOOST} DESC, id LIMIT 1")
 def topic_session(spark, sf):
     req = _request(spark, sf, kinds=["session"])
     req.limit = 1

@@ -53,7 +53,8 @@ def test_no_lexical_pass_and_empty_queries(parts):
     assert not any(r.lexical for r in retrieval.recall(v, t, m, ask(lexical_weight=-1)).collect())
     assert retrieval.bm25_topk(t, T.analyze("the and a"), 5).count() == 0
     assert retrieval.dense_topk(v, [1.0, 0.0], 0).count() == 0
-    assert retrieval.dense_topk(v, [1.0, 0.0, 0.0], 5).count() == 0
+    with pytest.raises(Exception, match="dimensions"):
+        retrieval.dense_topk(v, [1.0, 0.0, 0.0], 5).collect()
 
 
 def test_pages_join_to_the_longer_list(parts):
@@ -164,3 +165,53 @@ def test_hashing_embedder(spark):
     d = spark.createDataFrame([("apple pear",), ("pear apple",), ("",)], "t string")
     v = [r.v for r in d.select(retrieval.hashing_embedder(32)(F.col("t")).alias("v")).collect()]
     assert v[0] == v[1] and abs(sum(x * x for x in v[0]) - 1) < 1e-6 and not any(v[2])
+
+
+def go_snippet(text, limit=320):
+    """The rule by bytes, plainly."""
+    b = text.strip().encode()
+    if len(b) <= limit:
+        return b.decode(), False
+    cut = limit
+    while cut > 0 and b[cut : cut + 1] not in (b" ", b"\n", b"\t"):
+        cut -= 1
+    if cut < limit // 2:
+        cut = limit
+        while cut > 0 and b[cut] & 0xC0 == 0x80:
+            cut -= 1
+    return b[:cut].decode().strip() + "…", True
+
+
+def test_snippet_by_the_byte_rule(spark):
+    import random
+
+    r = random.Random(3)
+    texts = ["a" * 200 + " " + "b" * 119 + " c", "a" * 320 + " b", "a" * 319 + "é" + " tail", "  " + "x" * 400, "x" * 159 + " " + "y" * 400, "x" * 160 + " " + "y" * 400, "é " * 200, "\n\t spaced \n" + "w " * 300]
+    texts += ["".join(r.choice(["a", "é", "😀", " ", "\n", "word"]) for _ in range(r.randint(90, 400))) for _ in range(300)]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.snippet(F.col("t")).alias("s")).collect()
+    assert [(r.s.text, r.s.truncated) for r in got] == [go_snippet(r.t) for r in got]
+
+
+def test_equal_vectors_tie_by_id(spark):
+    import random
+
+    r = random.Random(5)
+    base = [[r.gauss(0, 1) for _ in range(33)] for _ in range(4)]
+    v = spark.createDataFrame([(i, base[i % 4]) for i in range(203)], "id long, vector array<double>").repartition(5)
+    got = retrieval.neighbours(v.where("id in (0, 101)"), v, 60).collect()
+    for q in (0, 101):
+        ids = [x.neighbour for x in sorted((x for x in got if x.id == q), key=lambda x: x.rank)]
+        assert ids[: len([i for i in range(q % 4, 203, 4) if i != q])][:40] == [i for i in range(q % 4, 203, 4) if i != q][:40]
+
+
+def test_wrong_width_is_refused(spark):
+    v = spark.createDataFrame([(1, [1.0, 2.0])], "id long, vector array<double>")
+    with pytest.raises(Exception, match="dimensions"):
+        retrieval.dense_topk(v, [1.0], 3).collect()
+
+
+def test_stored_index_scores_alike(parts):
+    t = parts[1]
+    for q in (["plum"], ["plum", "plum", "tree"], ["absent"]):
+        a = {r.id: round(r.score, 9) for r in retrieval.bm25_scores(t, q).collect()}
+        assert a == {r.id: round(r.score, 9) for r in retrieval.bm25_indexed(*retrieval.postings(t), q).collect()}
