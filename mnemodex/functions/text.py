@@ -88,9 +88,10 @@ def snippet(x: Column, limit: int = C.SNIPPET_BYTES) -> Column:
     flat = trimmed(x)
     raw = F.encode(flat, "UTF-8")
     # a word that ends exactly at the limit is followed by its blank
-    ahead = F.decode(F.substring(raw, 1, limit + 1), "UTF-8")
+    head = lambda n: F.make_valid_utf8(F.substring(raw, 1, n).cast("string"))
+    ahead = head(limit + 1)
     word = F.regexp_extract(ahead, r"(?s)^(.*)[ \n\t]", 1)
-    whole = F.regexp_replace(F.decode(F.substring(raw, 1, limit), "UTF-8"), "\ufffd+$", "")
+    whole = F.regexp_replace(head(limit), "\ufffd+$", "")
     cut = F.when(F.octet_length(word) >= limit // 2, word).otherwise(whole)
     long = F.octet_length(flat) > limit
     return F.struct(F.when(long, F.concat(trimmed(cut), F.lit("…"))).otherwise(flat).alias("text"), long.alias("truncated"))
