@@ -8,7 +8,7 @@ the touched neighbours are indexed anew. A word that is a token itself is taken
 tiktoken library does. If a merge ever makes a pair of a lower rank than its own, which no trained
 vocabulary should, that word is encoded again on its own, so results equal the library's for any ranks.
 
-Defined cases: null and empty texts give no ids; a repeated row is encoded again alike; extra columns
+Words are told apart by their bytes. Defined cases: null and empty texts give no ids; a repeated row is encoded again alike; extra columns
 are left out. An empty table gives an empty result.
 """
 
@@ -23,8 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import chunks, trim, utf8
-from .pretokens import CORPUS_BYTES, PATTERN, Corpus, gather
+from .common import chunks, gather, trim, utf8
+from .pretokens import CORPUS_BYTES, PATTERN, Corpus
 
 SCHEMA = "doc_id long, n_tokens long, ids binary, decoded binary"
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import hashlib
 import uuid
 from collections.abc import Iterator
 
@@ -10,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text handled at once inside a Python worker; a longer single text is one chunk.
 CHUNK_BYTES = 1 << 20
@@ -28,10 +30,22 @@ def shared_dir(spark: SparkSession) -> str:
         if found.isDefined():
             base = found.get()
     if not base:
-        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{base.rstrip('/')}/mnemodex-{uuid.uuid4().hex}"
 
 
+def parts_for(texts: DataFrame, column: str, per: int = 48 << 20) -> int:
+    """A number of buckets that follows the text: at least the shuffle's partitions, and one for each `per` bytes.
+
+    The planner's size of the source is taken where it is known (files); else the texts are measured.
+    """
+    least = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(texts.select(column)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= 1 << 60:  # the planner's mark of an unknown size
+        size = texts.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()[0]
+    return max(least, -(-size // per))
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write a frame to the shared folder and read it back: cuts lineage and survives lost executors."""
     path = shared_dir(df.sparkSession)
@@ -89,12 +103,9 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def byte_table(seed: int = 1, fold_case: bool = False) -> np.ndarray:
-    """A 64-bit value per byte; with fold_case A-Z share the values of a-z."""
-    t = mix(np.arange(256, dtype=_U) * _U(_BASE) + _U(seed * 0x632BE59BD9B4E019 % (1 << 64)))
-    if fold_case:
-        t[65:91] = t[97:123]
-    return t
+def byte_table(seed: int = 1) -> np.ndarray:
+    """A 64-bit value per byte."""
+    return mix(np.arange(256, dtype=_U) * _U(_BASE) + _U(seed * 0x632BE59BD9B4E019 % (1 << 64)))
 
 
 _POWERS: dict[int, np.ndarray] = {}
@@ -112,7 +123,11 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 class Ranges:
-    """Polynomial hashes modulo 2**64 of any ranges of a value sequence, from one prefix sum."""
+    """Polynomial hashes modulo 2**64 of any ranges of a value sequence, from one prefix sum.
+
+    Different ranges can be made to collide (Thue-Morse words do), so equal hashes never decide that bytes are equal:
+    they route, they filter, and bytes or `identities` decide.
+    """
 
     def __init__(self, values: np.ndarray):
         n = len(values)
@@ -126,6 +141,47 @@ class Ranges:
         return mix(h)
 
 
+def gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The pieces flat[start : start + size], one after another."""
+    total = int(size.sum())
+    if not total:
+        return flat[:0]
+    before = np.cumsum(size) - size
+    return flat[np.repeat(start - before, size) + np.arange(total)]
+
+
+def byte_pieces(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The byte ranges as a binary column; without a copy where each ends where the next one starts."""
+    if len(start) and (start[1:] == end[:-1]).all():
+        off, data = np.append(start, end[-1]) - start[0], np.ascontiguousarray(buf[start[0] : end[-1]])
+    else:
+        off, data = np.append(0, np.cumsum(end - start)), gather(buf, start, end - start)
+    return pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(off.astype(np.int64)), pa.py_buffer(data)])
+
+
+def layout(pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, bytes) of a large binary column without nulls."""
+    if not len(pieces):
+        return np.zeros(1, np.int64), np.zeros(0, np.uint8)
+    _, off, data = pieces.buffers()
+    off = np.frombuffer(off, np.int64)[pieces.offset : pieces.offset + len(pieces) + 1]
+    buf = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return off - off[0], buf[off[0] : off[-1]]
+
+
+def identities(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """(number of each byte range, the distinct ranges): equal numbers are equal bytes, compared as such by the hash table."""
+    e = byte_pieces(buf, start, end).dictionary_encode()
+    return e.indices.to_numpy(zero_copy_only=False).astype(np.int64), e.dictionary
+
+
+def digests(buf: np.ndarray, start: np.ndarray, end: np.ndarray, size: int = 16) -> np.ndarray:
+    """BLAKE2b digests of byte ranges as rows of 64-bit numbers: names that hold across tasks and cannot be made to collide."""
+    view, new = memoryview(np.ascontiguousarray(buf)), hashlib.blake2b
+    raw = b"".join([new(view[a:b], digest_size=size).digest() for a, b in zip(start.tolist(), end.tolist())])
+    return np.frombuffer(raw, "<u8").reshape(len(start), size // 8)
+
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 

@@ -1,12 +1,13 @@
 """Operator 5, embedding near-dedup: sorted projection passes.
 
-Equal vectors are one class with a count. Each pass hashes a class by the signs of its own random
-projections, concatenated; classes are sorted by that key, which puts near vectors side by side, and
-each is compared with the next `window` ones, also across partition borders. A 128-bit sign sketch goes
-along to drop pairs that are far apart; what remains is a candidate. The union of the candidates of all
-passes gives clusters, and in each cluster every pair is verified by its cosine in double precision, in
-blocks, so links inside large groups are counted in full although windows are bounded. Verified links
-leave a task as counts and a spanning forest.
+1. Equal vectors are one class with a count. Each pass hashes a class by the signs of its own random
+   projections, concatenated; classes are sorted by that key, which puts near vectors side by side.
+2. Each row is compared with the next `window` ones, also across partition borders. A sign sketch that goes along
+   tells rows that may have a near one among them from the rest; only those ask for their vectors, in runs of the
+   sorted order, and are verified there by their cosine in double precision. Verified pairs leave a task as a
+   spanning forest, and are united across passes. Nothing is united that was not verified.
+3. Windows are bounded, so of a large component they see few of its pairs: its links are counted in blocks of its
+   vectors, whose pairs stay inside a task. A component of two vectors is counted already.
 
 The number of passes follows the number of vectors and the limit: a pair at the limit agrees in a sign with
 probability q = 1 - acos(limit) / pi and needs about log2(n / window) agreeing ones, so a pass finds it with
@@ -15,9 +16,9 @@ pair at the limit is not found. How far sketches may differ follows the limit li
 
 Defined cases: null vectors, zero vectors and those with null or non-finite components link with
 nothing, nor do vectors of different lengths; equal vectors link with each other; a repeated vec_id
-counts as another vector, and so does each row without a vec_id. A class is a node by its hash, never by an
-id; a component's id is its smallest non-null vec_id (null if it has none), and one row of a component is
-kept, of that id. An empty table gives an empty result.
+counts as another vector, and so does each row without a vec_id. A class is a node by the digest of its vector, never by
+an id; a component's id is its smallest non-null vec_id (null if it has none), and one row of a component is
+kept, of that id. Extra columns are left out. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,14 +32,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Ranges, byte_table, materialize
+from .common import digests, materialize
 from .graph import components, forest
 
 _U = np.uint64
-WINDOW, BITS, SKETCH_WORDS, MISS = 16, 60, 2, 0.001
-#: Vectors of a cluster that one task holds at once (twice, for a pair of blocks).
-BLOCK = 4096
-_TABLE = byte_table(51)
+WINDOW, BITS, SKETCH_WORDS, MISS = 64, 60, 4, 0.001
+#: Vectors of a component in a block, and rows of a run that are verified together.
+BLOCK, RUN = 512, 2048
 
 
 def agreement(limit: float) -> float:
@@ -53,9 +53,9 @@ def passes_for(n: int, limit: float, window: int = WINDOW) -> int:
 
 
 def sketch_limit(limit: float) -> int:
-    """Differing sketch signs from which a pair is no candidate: 6.4 standard deviations above the mean at the limit."""
+    """Differing sketch signs up to which a pair is compared: five standard deviations above the mean at the limit."""
     n, q = SKETCH_WORDS * 64, 1 - agreement(limit)
-    return min(n, math.ceil(n * q + 6.4 * math.sqrt(n * q * (1 - q))))
+    return min(n, math.ceil(n * q + 5 * math.sqrt(n * q * (1 - q))))
 
 
 def unit(col: pa.Array) -> tuple[np.ndarray, list[np.ndarray | None]]:
@@ -79,7 +79,7 @@ def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ok, vecs = unit(batch.column(1))
         raw = [x.values.to_numpy(zero_copy_only=False).astype(np.float64).tobytes() if o else b"" for x, o in zip(batch.column(1), ok)]
         off = np.append(0, np.cumsum([*map(len, raw)]))
-        h = Ranges(_TABLE[np.frombuffer(b"".join(raw), np.uint8)])(off[:-1], off[1:]) if off[-1] else np.zeros(len(raw), _U)
+        h = digests(np.frombuffer(b"".join(raw), np.uint8), off[:-1], off[1:], 8)[:, 0]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(h.view(np.int64), mask=~ok), batch.column(1)], names=["vec_id", "sig", "vector"])
 
 
@@ -92,6 +92,9 @@ def _planes(dim: int, n: int) -> np.ndarray:
     return _PLANES[dim, n]
 
 
+_SKETCH = [f"s{i}" for i in range(SKETCH_WORDS)]
+
+
 def _keys(passes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = SKETCH_WORDS * 64
@@ -107,87 +110,143 @@ def _keys(passes: int):
                     sketch = [words(signs[:, 64 * k : 64 * k + 64]) for k in range(SKETCH_WORDS)]
                     for p in range(passes):
                         key = words(signs[:, own + p * BITS : own + (p + 1) * BITS])
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), dim * 100_000 + p)), pa.array(key), pa.array(ids[part]), *map(pa.array, sketch)], names=["pass", "key", "id", "s0", "s1"])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), dim * 100_000 + p)), pa.array(key), pa.array(ids[part]), *map(pa.array, sketch)], names=["pass", "key", "id", *_SKETCH])
 
     return run
 
 
-def _pairs(group: np.ndarray, ids: np.ndarray, s0: np.ndarray, s1: np.ndarray, window: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Candidates of sorted rows: pairs up to `window` apart, of one pass, with near sketches."""
-    a, b = [], []
-    for w in range(1, min(window, len(ids) - 1) + 1):
-        far = np.bitwise_count(s0[w:] ^ s0[:-w]) + np.bitwise_count(s1[w:] ^ s1[:-w])
+def _runs(group: np.ndarray, sketch: list[np.ndarray], window: int, most: int) -> np.ndarray:
+    """Of sorted rows, the number of the run that each is in, -1 for none: runs are rows that pairs up to `window` apart, of
+    one pass and with near sketches, hold together."""
+    n = len(group)
+    inside = np.zeros(n + 1, np.int64)
+    for w in range(1, min(window, n - 1) + 1):
+        far = sum(np.bitwise_count(s[w:] ^ s[:-w]).astype(np.int64) for s in sketch)
         at = np.flatnonzero((far <= most) & (group[w:] == group[:-w]))
-        a.append(ids[at])
-        b.append(ids[at + w])
-    return forest(np.concatenate(a), np.concatenate(b)) if a else (ids[:0], ids[:0])
+        inside[at] += 1
+        inside[at + w] -= 1
+    joined = np.cumsum(inside[:-1]) > 0  # a row and the next one
+    member = joined.copy()
+    member[1:] |= joined[:-1]
+    start = member.copy()
+    start[1:] &= ~joined[:-1]
+    return np.where(member, np.cumsum(start) - 1, -1)
+
 
+_MEMBERS = "run long, place long, pass long, id long"
 
-_SORTED = "kind int, side long, pass long, key long, id long, s0 long, s1 long"
 
+def _windows(window: int, most: int):
+    """Members of runs, by their places in the sorted order; the rows beside a partition's borders are runs of their own."""
 
-def _sorted(window: int, most: int):
-    def emit(kind: int, side, cols: list[np.ndarray]) -> pa.RecordBatch:
-        n = len(cols[1])
-        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(np.full(n, side)), *(pa.array(c.astype(np.int64)) for c in cols)], names=["kind", "side", "pass", "key", "id", "s0", "s1"])
+    def emit(run, place, group, ids) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(x, len(ids)).astype(np.int64)) for x in (run, place, group, ids)], names=["run", "place", "pass", "id"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, before, heads, total = TaskContext.get().partitionId(), None, [], 0
+        number, before, total, count = TaskContext.get().partitionId(), None, 0, 0
+        heads: list[tuple] = []
         for batch in batches:
-            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2, *range(3, 3 + SKETCH_WORDS))]
             if total < window:
-                heads.append([c[: window - total] for c in cols])
+                heads.append((cols[0][: window - total], cols[1][: window - total]))
             total += batch.num_rows
             if before is not None:
                 cols = [np.append(x, y) for x, y in zip(before, cols)]
-            a, b = _pairs(cols[0], *cols[2:], window, most)
-            yield emit(0, 0, [a * 0, b, a, a * 0, a * 0])
+            runs = _runs(cols[0], cols[2:], window, most)
+            at = np.flatnonzero(runs >= 0)
+            if len(at):
+                # long runs are cut, with a window's rows in both pieces
+                begin = np.searchsorted(runs[at], np.arange(runs.max() + 1))
+                offset = np.arange(len(at)) - begin[runs[at]]
+                piece = offset // RUN
+                key = runs[at] * (1 << 20) + piece
+                cut = np.unique(key, return_inverse=True)[1]
+                again = np.flatnonzero((offset % RUN < window) & (piece > 0))
+                twin = np.searchsorted(key[:], key[again] - 1)
+                name = lambda c: ((number << 40) | (count + c)) * 2
+                yield emit(name(cut), at, cols[0][at], cols[1][at])
+                if len(again):
+                    yield emit(name(cut[twin]), at[again], cols[0][at[again]], cols[1][at[again]])
+                count += int(cut.max()) + 1
             before = [c[-window:] for c in cols]
         if total:
-            yield emit(1, number, [np.concatenate(c) for c in zip(*heads)])
-            yield emit(2, number + 1, before)
+            first = [np.concatenate(x) for x in zip(*heads)]
+            yield emit(number * 2 + 1, np.arange(len(first[0])), *first)
+            yield emit(number * 2 + 3, np.arange(-len(before[0]), 0), before[0], before[1])
 
     return run
 
 
-def _border(window: int, most: int):
+def _verify(limit: float, window: int):
+    """Verified pairs of runs that share a bin, as a spanning forest."""
+
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        kind, group, k, ids, s0, s1 = (table[c].combine_chunks().to_numpy(zero_copy_only=False) for c in ("kind", "pass", "key", "id", "s0", "s1"))
-        o = np.lexsort((ids, k, group, -kind))  # the end of one partition, then the start of the next
-        a, b = _pairs(group[o], ids[o], s0[o], s1[o], window, most)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        runs, place, group, ids = (table[c].combine_chunks().to_numpy(zero_copy_only=False) for c in ("run", "place", "pass", "id"))
+        o = np.lexsort((place, runs))
+        runs, group, ids = runs[o], group[o], ids[o]
+        _, vecs = unit(table["vector"].combine_chunks())
+        dims, a, b = np.array([*map(len, vecs)]), [], []
+        flat = np.concatenate(vecs)
+        begin = (np.cumsum(dims) - dims)[o]
+        dims = dims[o]
+        for w in range(1, min(window, len(ids) - 1) + 1):
+            at = np.flatnonzero((runs[w:] == runs[:-w]) & (group[w:] == group[:-w]))
+            for d in np.unique(dims[at]).tolist():
+                some = at[dims[at] == d]
+                for i in range(0, len(some), 1 << 14):
+                    part = some[i : i + (1 << 14)]
+                    x, y = (flat[begin[p][:, None] + np.arange(d)] for p in (part, part + w))
+                    hit = part[np.einsum("ij,ij->i", x, y) >= limit]
+                    a.append(ids[hit])
+                    b.append(ids[hit + w])
+        x, y = forest(np.concatenate(a), np.concatenate(b)) if a else (ids[:0], ids[:0])
+        return pa.table({"a": pa.array(x, pa.int64()), "b": pa.array(y, pa.int64())})
 
     return run
 
 
-def _verify(limit: float):
+def _count(limit: float):
+    """(a, b): members and how many vectors they link with, of all pairs of two blocks of a component; small components share a bin."""
+
     def run(key: tuple, table: pa.Table) -> pa.Table:
         i, j = int(key[1].as_py()), int(key[2].as_py())
-        ids, times, block = (table[c].combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("rep", "times", "block"))
+        comp, ids, times, block = (table[c].combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("component", "rep", "times", "block"))
         _, vecs = unit(table["vector"].combine_chunks())
-        m = np.array(vecs)
-        p, q = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        links, a, b = np.zeros(len(ids), np.int64), [], []
-        for s in range(0, len(p), 512):
-            rows = p[s : s + 512]
-            hit = m[rows] @ m[q].T >= limit
+        out_a, out_b = [], []
+        o = np.argsort(comp, kind="stable")
+        for some in np.split(o, np.flatnonzero(comp[o][1:] != comp[o][:-1]) + 1):
+            p, q = some[block[some] == i], some[block[some] == j]
+            m, n = (np.array([vecs[x] for x in y]) for y in (p, q))
+            if not len(p) or not len(q):
+                continue
+            hit = m @ n.T >= limit
             if i == j:
-                hit[rows[:, None] == q[None, :]] = False
-            links[rows] += hit @ times[q]
+                hit[p[:, None] == q[None, :]] = False
+            out_a.append(ids[p])
+            out_b.append(hit @ times[q])
             if i != j:
-                np.add.at(links, q, times[rows] @ hit)
-            x, y = np.nonzero(hit)
-            x, y = forest(ids[rows[x]], ids[q[y]])
-            a.append(x)
-            b.append(y)
-        some = np.flatnonzero(links)
-        x, y = forest(np.concatenate(a), np.concatenate(b)) if a else (ids[:0], ids[:0])
-        kind = np.append(np.zeros(len(some), np.int32), np.ones(len(x), np.int32))
-        return pa.table({"kind": pa.array(kind), "a": pa.array(np.append(ids[some], x), pa.int64()), "b": pa.array(np.append(links[some], y), pa.int64())})
+                out_a.append(ids[q])
+                out_b.append(times[p] @ hit)
+        a, b = (np.concatenate(x) if x else ids[:0] for x in (out_a, out_b))
+        return pa.table({"a": pa.array(a[b > 0], pa.int64()), "b": pa.array(b[b > 0], pa.int64())})
 
     return run
 
 
+def verified_links(reps: DataFrame, n: int, limit: float, window: int, passes: int) -> DataFrame:
+    """(a, b): a spanning forest of the verified pairs of reps(sig, vector) of each task."""
+    spark = reps.sparkSession
+    keyed = reps.mapInArrow(_keys(passes), "pass long, key long, id long, " + ", ".join(f"{x} long" for x in _SKETCH))
+    # a partition holds some windows at least, so that a border joins two of them
+    parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), n * passes // (4 * window)))
+    ranged = keyed.repartitionByRange(parts, "pass", "key", "id").sortWithinPartitions("pass", "key", "id")
+    members = materialize(ranged.mapInArrow(_windows(window, sketch_limit(limit)), _MEMBERS))
+    full = members.join(reps.select(F.col("sig").alias("id"), "vector"), "id")
+    # runs of one bin are verified by one call; a long run's pieces are apart
+    bins = max(int(spark.conf.get("spark.sql.shuffle.partitions")) * 4, -(-n * passes // 50_000))
+    return full.withColumn("bin", F.pmod(F.xxhash64("run"), F.lit(bins))).groupBy("bin").applyInArrow(_verify(limit, window), "a long, b long")
+
+
 def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", limit: float = 0.9, window: int = WINDOW, passes: int | None = None) -> DataFrame:
     """Per row: vec_id, n_links, component_id, kept."""
     spark = vectors.sparkSession
@@ -200,25 +259,20 @@ def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     n = classes.count()
     if passes is None:
         passes = passes_for(n, limit, window)
-    most = sketch_limit(limit)
     # the vectors of a class are equal, so any is its own
     reps = materialize(named.where("sig is not null").groupBy("sig").agg(F.first("vector").alias("vector")))
-    keyed = reps.mapInArrow(_keys(passes), "pass long, key long, id long, s0 long, s1 long")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = keyed.repartitionByRange(parts, "pass", "key", "id").sortWithinPartitions("pass", "key", "id")
-    found = materialize(ranged.mapInArrow(_sorted(window, most), _SORTED))
-    across = found.where("kind > 0").groupBy("side").applyInArrow(_border(window, most), "a long, b long")
-    clusters = components(found.where("kind = 0").select(F.col("id").alias("a"), F.col("key").alias("b")).union(across))
-    c = reps.join(clusters, reps.sig == clusters.id).join(classes, "sig").select(F.col("sig").alias("rep"), "times", "vector", "component")
-    total = clusters.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    c = c.join(total, "component").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    labels = components(verified_links(reps, n, limit, window, passes))
+    labels = materialize(labels.join(classes.select(F.col("sig").alias("id"), "times"), "id").select("id", "component", "times"))
+    size = labels.groupBy("component").agg(F.count("*").alias("size"), F.sum("times").alias("all"))
+    pairs = labels.join(size.where("size = 2"), "component").select(F.col("id").alias("a"), (F.col("all") - F.col("times")).alias("b"))
+    blocks = size.where("size > 2").select("component", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    c = labels.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     c = c.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    c = c.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "times", "vector")
-    c = c.repartition("component", "i", "j")  # else, joined by component, a large cluster's blocks stay in one task
-    checked = materialize(c.groupBy("component", "i", "j").applyInArrow(_verify(limit), "kind int, a long, b long"))
-    links = checked.where("kind = 0").groupBy("a").agg(F.sum("b").alias("n"))
-    labels = components(checked.where("kind = 1").select("a", "b"))
-    labelled = classes.join(labels, classes.sig == labels.id, "left").select("sig", "times", "best", F.coalesce("component", "sig").alias("component"))
+    bins = int(spark.conf.get("spark.sql.shuffle.partitions")) * 4
+    c = c.select(F.when(F.col("blocks") > 1, F.col("component")).otherwise(F.pmod("component", F.lit(bins))).alias("bin"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "component", "block", F.col("id").alias("rep"), "times")
+    c = c.join(reps, c.rep == reps.sig).select("bin", "i", "j", "component", "block", "rep", "times", "vector")
+    links = pairs.union(c.groupBy("bin", "i", "j").applyInArrow(_count(limit), "a long, b long")).groupBy("a").agg(F.sum("b").alias("n"))
+    labelled = classes.join(labels.select("id", "component"), classes.sig == labels.id, "left").select("sig", "times", "best", F.coalesce("component", "sig").alias("component"))
     best = materialize(labelled.groupBy("component").agg(F.min("best").alias("top")))
     named = labelled.join(best, "component").join(links, F.col("sig") == links.a, "left")
     named = named.select(F.col("sig").alias("name"), (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.col("top.vec_id").alias("component_id"), F.col("top.number").alias("top"))

@@ -1,6 +1,6 @@
 """Operator 3, n-gram Jaccard join: a prefix tree over globally ordered shingle sets.
 
-1. Texts with equal sets are one class, named by a 64-bit sum of mixed hashes and the set's size.
+1. Texts with equal sets are one class, named by a BLAKE2b digest (64 bits) of the sorted set.
 2. Shingles are counted over the classes. Tasks send hashes in buckets, packed; copies inside a batch
    are sent once, and a shingle that many classes of a batch hold goes to the count as one line while
    the classes keep it as "hot", so neither a hot text nor a hot shingle loads one task.
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, materialize, mix, trim, utf8
+from .common import chunks, digests, materialize, parts_for, trim, utf8
 from .graph import components, forest
 from .shingles import WIDTH, shingle_sets
 
@@ -57,10 +57,9 @@ def _sets(batch: pa.RecordBatch, width: int) -> Iterator[tuple[np.ndarray, ...]]
             sizes.append(np.diff(o))
         g, n = np.concatenate(parts), np.concatenate(sizes)
         o = np.append(0, np.cumsum(n))
-        total = np.append(_U(0), np.cumsum(mix(g.copy()), dtype=_U))
-        sig = mix((total[o[1:]] - total[o[:-1]]) ^ (n.astype(_U) * _U(0x9E3779B97F4A7C15)))
+        sig = digests(g.view(np.uint8), 8 * o[:-1], 8 * o[1:], 8)[:, 0].astype(_U)
         yield np.arange(p, q), g, n, sig
-        del parts, g, n, o, total, sig
+        del parts, g, n, o, sig
         trim()
 
 

@@ -1,20 +1,19 @@
 """Pre-tokens of many texts at once, and the distinct ones among them.
 
 The public byte-level pattern is applied with array operations on code points; any other pattern goes
-through the regex module. Tokens are told apart by a 64-bit hash of their bytes within one corpus.
+through the regex module. Tokens are told apart by their bytes.
 """
 
 from __future__ import annotations
 
-
 import numpy as np
+import pyarrow as pa
 import regex
 
-from .common import Ranges, byte_table, chunks
+from .common import byte_pieces, chunks, layout
 
 #: Fixed value: the public byte-level pre-token pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_TABLE = byte_table(21)
 _KINDS: list[np.ndarray] = []
 #: Bytes of text whose distinct pre-tokens form one corpus.
 CORPUS_BYTES = 24 << 20
@@ -90,40 +89,22 @@ def split(buf: np.ndarray, off: np.ndarray, pattern: str = PATTERN) -> tuple[np.
     return starts, np.searchsorted(starts, off)
 
 
-def gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The pieces flat[start : start + size], one after another."""
-    total = int(size.sum())
-    if not total:
-        return flat[:0]
-    before = np.cumsum(size) - size
-    return flat[np.repeat(start - before, size) + np.arange(total)]
-
-
 class Corpus:
     """Some whole texts: their distinct pre-tokens, and each text as indices of them."""
 
     def __init__(self, buf: np.ndarray, off: np.ndarray, pattern: str = PATTERN):
-        seen, flats, sizes, uses, self.firsts = [], [], [], [], [0]
+        seen, uses, self.firsts = [pa.array([], pa.large_binary())], [], [0]
         for a, b in chunks(off):
             part, o = buf[off[a] : off[b]], off[a : b + 1] - off[a]
             starts, first = split(part, o, pattern)
-            ends = np.append(starts[1:], len(part)) if len(starts) else starts
-            h = Ranges(_TABLE[part])(starts, ends) if len(starts) else np.zeros(0, np.uint64)
-            u, where, use = np.unique(h, return_index=True, return_inverse=True)
-            size = ends[where] - starts[where]
-            seen.append(u)
-            flats.append(gather(part, starts[where], size))
-            sizes.append(size)
-            uses.append(use)
+            if len(starts):  # tokens leave no gaps
+                e = byte_pieces(part, starts, np.append(starts[1:], len(part))).dictionary_encode()
+                uses.append(e.indices.to_numpy(zero_copy_only=False).astype(np.int64) + sum(map(len, seen)))
+                seen.append(e.dictionary)
             self.firsts.extend((self.firsts[-1] + first[1:]).tolist())
-        every = np.concatenate(seen) if seen else np.zeros(0, np.uint64)
-        u, where, back = np.unique(every, return_index=True, return_inverse=True)
-        size = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
-        start = np.cumsum(size) - size
-        self.size = size[where]  # bytes of each distinct token
-        self.flat = gather(np.concatenate(flats), start[where], self.size) if flats else np.zeros(0, np.uint8)
-        base = np.cumsum([0, *map(len, seen)])
-        self.use = np.concatenate([back[base[i] + x] for i, x in enumerate(uses)]) if uses else np.zeros(0, np.int64)
+        e = pa.concat_arrays(seen).dictionary_encode()
+        at, self.flat = layout(e.dictionary)
+        self.size = np.diff(at)  # bytes of each distinct token
+        back = e.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        self.use = back[np.concatenate(uses)] if uses else np.zeros(0, np.int64)
         self.firsts = np.array(self.firsts)  # of each text, in use
-
-

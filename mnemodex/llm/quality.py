@@ -1,8 +1,8 @@
 """Operator 1, quality rules: repetition measured on a suffix array of each text's words.
 
-The words of many texts are sorted together, one suffix array for a chunk of whole texts. A word's
-first symbol is its hash salted with its text, and each text ends in a symbol of its own, so a match
-never leaves its text. Prefix doubling refines only groups that are still tied; the ranks kept for
+The words of many texts are sorted together, one suffix array for a chunk of whole texts. A symbol is
+a word's number (words are told apart by their bytes) beside its text's, and each text ends in a symbol of
+its own, so a match never leaves its text. Prefix doubling refines only groups that are still tied; the ranks kept for
 each power of two give the longest common prefix of neighbours by descending the powers. A
 neighbouring pair with a prefix of at least `window` words belongs to a longest-common-prefix
 interval, that is a maximal repeated substring; the spans of all of them are united.
@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import Ranges, byte_table, chunks, mix, utf8, words
+from .common import chunks, identities, utf8, words
 
 #: The symbols counted.
 SYMBOLS = "#*$%&|<>"
@@ -27,9 +27,6 @@ SCHEMA = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
     "longest_repeat long, base_failed boolean, kept boolean"
 )
-_TABLE = byte_table(11)
-_LINE = byte_table(12)
-_U = np.uint64
 
 
 def suffix_array(first: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -91,10 +88,10 @@ def repeats(symbols: np.ndarray, row: np.ndarray, rows: int, window: int) -> tup
     last = np.flatnonzero(np.append(row[1:] != row[:-1], True))
     n = len(symbols) + len(last)
     place = np.arange(len(symbols)) + np.searchsorted(last, np.arange(len(symbols)), side="left")
-    seq = np.empty(n, _U)
-    seq[place] = mix(symbols ^ (row.astype(_U) * _U(0x9FB21C651E98DF25)))
+    seq, every = np.empty(n, np.int64), int(symbols.max()) + 1
+    seq[place] = symbols + row * every
     ends = last + np.arange(len(last)) + 1
-    seq[ends] = mix(np.arange(len(last)).astype(_U) + _U(0xA0761D6478BD642F))
+    seq[ends] = rows * every + np.arange(len(last))
     owner = np.empty(n, np.int64)
     owner[place], owner[ends] = row, row[last]
     order, ranks = suffix_array(seq)
@@ -117,7 +114,6 @@ def measure(buf: np.ndarray, off: np.ndarray, window: int = 8) -> dict[str, np.n
     """The base figures of each text of a chunk."""
     rows = len(off) - 1
     s, e, row = words(buf, off)
-    h = Ranges(_TABLE[buf]) if len(buf) else None
     lead = np.zeros(len(buf) + 1, np.int64)
     np.cumsum((buf & 0xC0) != 0x80, out=lead[1:])
     out = {"n_words": np.bincount(row, minlength=rows).astype(np.int64)}
@@ -139,13 +135,13 @@ def measure(buf: np.ndarray, off: np.ndarray, window: int = 8) -> dict[str, np.n
         used = np.unique(np.searchsorted(begin, s, side="right") - 1)
         lo, hi = begin[used], stop[used]
         mine = np.searchsorted(off, lo, side="right") - 1
-        line = mix(Ranges(_LINE[buf])(lo, hi) ^ (mine.astype(_U) * _U(0x9FB21C651E98DF25)))
+        line = identities(buf, lo, hi)[0] * rows + mine
         _, first = np.unique(line, return_index=True)
         again = np.ones(len(line), bool)
         again[first] = False
         dup = np.bincount(mine[again], minlength=rows).astype(np.int64)
     out["n_dup_lines"] = dup
-    out["n_repeat_words"], out["longest_repeat"] = repeats(h(s, e) if len(s) else np.zeros(0, _U), row, rows, window)
+    out["n_repeat_words"], out["longest_repeat"] = repeats(identities(buf, s, e)[0], row, rows, window)
     return out
 
 

@@ -2,23 +2,25 @@
 
 1. Every window of `width` bytes has an anchor, the 36-byte gram of the smallest hash in it, which depends
    on the window's bytes alone. An anchor occurrence stands for a run of window starts and for their
-   bytes, its context. Of equal contexts all but the first are repeats; inside a batch that is decided
-   at once, so a text with many copies sends one of them.
-2. Occurrences meet by anchor. Repeats of a whole context are decided there by its hash. Where an
-   anchor has several contexts, their windows may agree in part: their bytes are fetched.
-3. Of those, the fragments whose windows occur twice (by hash) are suffix-sorted; suffixes with a
-   common prefix of `width` bytes are equal windows, of which all but the first are repeats. The sorter is
-   `lyndon.suffix_array`: linear grouping construction.
+   bytes, its context, named by a BLAKE2b digest of 128 bits. Copies of a whole context collapse into its first
+   place, in a batch at once, so a text with many copies sends one of them.
+2. Contexts meet by anchor, where copies of other batches collapse too. Where an anchor has several
+   contexts, their windows may agree in part: their bytes are fetched.
+3. Those are suffix-sorted, but for windows that a hash shows to be met once, which cannot repeat. In the suffix
+   array windows with a common prefix of `width` bytes, compared as bytes, are neighbours; all but the first of
+   a run are repeats. The sorter is `lyndon.suffix_array`: linear grouping construction.
 4. Each document's repeated spans are united and cut out.
 
-All messages are packed by bucket and of a size that follows the text. Text is shuffled once.
+So the suffix order decides wherever texts agree in part, and digests where whole contexts are copies. Hashes
+that could be made to collide only route and filter. All messages are packed by bucket, whose number follows the
+text's size; a bucket's contexts are sorted a few megabytes of anchors at a time. Text is shuffled once.
 
 A document is named by two numbers, its id and a hash of its text, in that order; of messages, `docs` holds
 both, one after the other.
 
 Defined cases: null texts are empty; texts shorter than the width lose nothing; rows that repeat an id
 and its text are one document, also without an id; rows of one id with different texts are different documents,
-ordered by the text's hash; a null id comes last. An empty table gives an empty result.
+ordered by the text's hash; a null id comes last; extra columns are left out. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,15 +33,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Ranges, byte_table, chunks, materialize, trim, utf8
+from .common import Ranges, byte_table, chunks, digests, gather, identities, materialize, parts_for, trim, utf8
 from .lyndon import suffix_array
 from .near import _pieces
-from .pretokens import gather
 
 _U = np.uint64
 _TABLE = byte_table(61)
 GRAM = 36
 BATCH_BYTES = 8 << 20
+#: Bytes of contexts whose windows are sorted at once; an anchor's contexts stay together.
+SORT_BYTES = 4 << 20
 _ROWS = "bucket int, kind int, names binary, docs binary, starts binary, sizes binary"
 _FIELDS = [x.split(" ")[0] for x in _ROWS.split(", ")]
 
@@ -72,7 +75,7 @@ def _other(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def anchors(buf: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
-    """(anchor hash, context hash, row, first window start, number of window starts with the anchor's offset) of each occurrence.
+    """(anchor hash, context digest, row, first window start, number of window starts with the anchor's offset) of each occurrence.
 
     Starts count from the row's; the offset from the first start stands above bit 16.
     """
@@ -81,7 +84,7 @@ def anchors(buf: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray, .
     span = width - GRAM + 1
     if n < width:
         e = np.zeros(0, np.int64)
-        return e.astype(_U), e.astype(_U), e, e, e
+        return e.astype(_U), np.zeros((0, 2), _U), e, e, e
     h = Ranges(_TABLE[buf])
     at = np.arange(n - GRAM + 1)
     gram = h(at, at + GRAM)
@@ -99,12 +102,12 @@ def anchors(buf: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray, .
     p = np.flatnonzero(inside)
     if not len(p):
         e = np.zeros(0, np.int64)
-        return e.astype(_U), e.astype(_U), e, e, e
+        return e.astype(_U), np.zeros((0, 2), _U), e, e, e
     a = (best[p] & _U(0xFFFFFFFF)).astype(np.int64)
     head = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (rows[p[1:]] != rows[p[:-1]])))
     s, e = p[head], p[np.append(head[1:] - 1, len(p) - 1)]
     row = rows[s].astype(np.int64)
-    return gram[a[head]], h(s, e + width), row, s - off[row], (e - s + 1) | (a[head] - s) << 16
+    return gram[a[head]], digests(buf, s, e + width), row, s - off[row], (e - s + 1) | (a[head] - s) << 16
 
 
 def _scan(width: int, n: int):
@@ -121,14 +124,14 @@ def _scan(width: int, n: int):
                     g, c, row, s, k = anchors(buf[off[a] : off[b]], off[a : b + 1] - off[a], width)
                     parts.append((g, c, ids[a:b][row], s, k))
                 g, c, doc, s, k = map(np.concatenate, zip(*parts))
-                o = np.lexsort((s, doc[:, 1], doc[:, 0], c))
+                o = np.lexsort((s, doc[:, 1], doc[:, 0], c[:, 1], c[:, 0]))
                 g, c, doc, s, k = (x[o] for x in (g, c, doc, s, k))
-                again = np.append(False, c[1:] == c[:-1])[: len(c)]
+                new = np.append(True, _other(c[1:], c[:-1]))[: len(c)]
+                again = ~new
                 again &= ~np.append(False, ~_other(doc[1:], doc[:-1]) & (s[1:] == s[:-1]))[: len(c)]  # the same row twice
                 found = []
                 for b, at in _pieces(_home(doc[again], n), n):
                     found.append((b, 1, b"", doc[again][at].tobytes(), s[again][at].astype(np.int32).tobytes(), (k[again][at] & 0xFFFF).astype(np.int32).tobytes()))
-                new = np.append(True, c[1:] != c[:-1])[: len(c)]
                 g, c, doc, s, k = (x[new] for x in (g, c, doc, s, k))
                 for b, at in _pieces(_bucket(g, n), n):
                     at = at[np.lexsort((doc[at, 1], doc[at, 0]))]
@@ -152,16 +155,17 @@ def _meet(n: int):
         if not own.num_rows:
             return passing
         names = [np.frombuffer(x.as_py(), _U) for x in own["names"]]
-        g, c = (np.concatenate([x[: len(x) // 2] if half else x[len(x) // 2 :] for x in names]) for half in (True, False))
+        g = np.concatenate([x[: len(x) // 3] for x in names])
+        c = np.concatenate([x[len(x) // 3 :] for x in names]).reshape(-1, 2)
         doc, s, k = _docs(own["docs"]), _flat(own["starts"], np.int32).astype(np.int64), _flat(own["sizes"], np.int32)
         o = np.argsort(g, kind="stable")
         same = g[o][1:] == g[o][:-1]
         o = o[np.append(False, same) | np.append(same, False)]  # anchors met once need nothing
         if not len(o):
             return passing
-        o = o[np.lexsort((s[o], doc[o, 1], doc[o, 0], c[o], g[o]))]
+        o = o[np.lexsort((s[o], doc[o, 1], doc[o, 0], c[o, 1], c[o, 0], g[o]))]
         g, c, doc, s, k = (x[o] for x in (g, c, doc, s, k))
-        head = np.append(True, (c[1:] != c[:-1]) | (g[1:] != g[:-1]))
+        head = np.append(True, _other(c[1:], c[:-1]) | (g[1:] != g[:-1]))
         first = np.flatnonzero(head)[np.cumsum(head) - 1]
         again = ~head & (_other(doc, doc[first]) | (s != s[first]))
         found = [(b, 1, b"", doc[again][at].tobytes(), s[again][at].astype(np.int32).tobytes(), (k[again][at] & 0xFFFF).tobytes()) for b, at in _pieces(_home(doc[again], n), n)]
@@ -222,12 +226,12 @@ def _fetch(width: int, n: int):
     return run
 
 
-def repeated_windows(name_of: np.ndarray, doc: np.ndarray, s: np.ndarray, k: np.ndarray, data: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+def repeated_windows(doc: np.ndarray, s: np.ndarray, k: np.ndarray, data: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(document, window start) of the windows of these contexts that also start earlier.
 
     Fragments with windows met twice, by hash, are candidates; equal fragments are sorted once, under their
     first place. The suffix array of the distinct fragments decides. In it the anchor's gram, which all
-    windows of a fragment hold, is one symbol.
+    windows of a fragment hold, is one symbol. data holds the contexts one after another.
     """
     lead, k = k >> 16, k & 0xFFFF
     size = k.astype(np.int64) + width - 1
@@ -235,8 +239,7 @@ def repeated_windows(name_of: np.ndarray, doc: np.ndarray, s: np.ndarray, k: np.
     at = np.repeat(base - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))  # all windows' places in data
     ctx = np.repeat(np.arange(len(k)), k)
     h = Ranges(_TABLE[data])
-    f = h(at, at + width)
-    _, inv, count = np.unique(f, return_inverse=True, return_counts=True)
+    _, inv, count = np.unique(h(at, at + width), return_inverse=True, return_counts=True)
     hit = count[inv] > 1
     at, ctx = at[hit], ctx[hit]
     if not len(at):
@@ -245,7 +248,7 @@ def repeated_windows(name_of: np.ndarray, doc: np.ndarray, s: np.ndarray, k: np.
     lo, n_win = at[head], np.diff(np.append(head, len(at)))
     owner = ctx[head]
     where = s[owner].astype(np.int64) + lo - base[owner]
-    name = h(lo, lo + n_win + width - 1)
+    name = identities(data, lo, lo + n_win + width - 1)[0]
     o = np.lexsort((where, doc[owner, 1], doc[owner, 0], name))
     lo, n_win, owner, where, name = (x[o] for x in (lo, n_win, owner, where, name))
     new = np.append(True, name[1:] != name[:-1])
@@ -257,11 +260,12 @@ def repeated_windows(name_of: np.ndarray, doc: np.ndarray, s: np.ndarray, k: np.
     length = n_win + width - 1
     text = gather(data, lo, length).astype(np.int64)
     begin = np.cumsum(length) - length
-    gram = begin + base[owner] + lead[owner] - lo
+    anchor = base[owner] + lead[owner]  # of each fragment, in data
+    gram = begin + anchor - lo
     drop = np.zeros(len(text) + 1, np.int32)
     drop[gram + 1] += 1
     drop[gram + GRAM] -= 1
-    text[gram] = 256 + np.unique(name_of[owner], return_inverse=True)[1]
+    text[gram] = 256 + identities(data, anchor, anchor + GRAM)[0]
     length = length - (GRAM - 1)
     order = suffix_array(text[np.cumsum(drop[:-1]) == 0], length)
     start = np.cumsum(length) - length
@@ -270,14 +274,11 @@ def repeated_windows(name_of: np.ndarray, doc: np.ndarray, s: np.ndarray, k: np.
     whole = off < n_win[frag]  # a window begins here, before the gram or with it
     off, frag = off[whole], frag[whole]
     d, w, at = doc[owner[frag]], where[frag] + off, lo[frag] + off
-    # equal windows are neighbours in the order; bytes are compared where hashes agree
-    x = h(at, at + width)
-    same = x[1:] == x[:-1]
+    # windows with a common prefix of `width` bytes are neighbours in the order
     view = np.lib.stride_tricks.sliding_window_view(data, width)
-    some = np.flatnonzero(same)
-    for i in range(0, len(some), 1 << 14):
-        part = some[i : i + (1 << 14)]
-        same[part] = (view[at[part]] == view[at[part + 1]]).all(1)
+    same = np.zeros(len(at) - 1, bool)
+    for i in range(0, len(same), 1 << 14):
+        same[i : i + (1 << 14)] = (view[at[:-1][i : i + (1 << 14)]] == view[at[1:][i : i + (1 << 14)]]).all(1)
     group = np.cumsum(np.append(True, ~same))
     o = np.lexsort((w, d[:, 1], d[:, 0], group))
     d, w, group = d[o], w[o], group[o]
@@ -290,8 +291,21 @@ def repeated_windows(name_of: np.ndarray, doc: np.ndarray, s: np.ndarray, k: np.
 def _resolve(width: int, n: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         g, s, k, data = (_flat(table[c], t) for c, t in (("names", _U), ("starts", np.int32), ("sizes", np.int32), ("bytes", np.uint8)))
-        d, w = repeated_windows(g, _docs(table["docs"]), s, k, data, width)
+        doc = _docs(table["docs"])
+        del table
+        size = (k & 0xFFFF).astype(np.int64) + width - 1
+        base = np.cumsum(size) - size
+        o = np.argsort(g, kind="stable")
+        ends = np.flatnonzero(np.append(g[o][1:] != g[o][:-1], True)) + 1 if len(o) else o
+        total = np.append(0, np.cumsum(size[o]))
+        found, a = [], 0
+        while a < len(o):
+            i = min(int(np.searchsorted(ends, np.searchsorted(total, total[a] + SORT_BYTES))), len(ends) - 1)
+            some = o[a : ends[i]]
+            found.append(repeated_windows(doc[some], s[some], k[some], gather(data, base[some], size[some]), width))
+            a = int(ends[i])
         trim()
+        d, w = (np.concatenate(x) for x in zip(*found)) if found else (doc, s)
         o = np.lexsort((w, d[:, 1], d[:, 0]))
         d, w = d[o], w[o]
         if not len(d):
@@ -333,8 +347,8 @@ def _cut(width: int):
 
 def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 100) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes)."""
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     last = (1 << 63) - 1
+    n = parts_for(docs, text_col)
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     h = F.shiftrightunsigned(F.xxhash64("text"), 1)  # below 0 with an id, so that a null one is behind every other
     d = d.select(F.coalesce("doc_id", F.lit(last)).alias("doc_id"), "text", F.when(F.col("doc_id").isNull(), h).otherwise(-1 - h).alias("row"))

@@ -1,19 +1,22 @@
 """Operator 2, token counts: trie-shared dynamic programming over a unigram vocabulary.
 
-The distinct pre-tokens of up to 24 MB of texts form a trie of bytes, built level by level: a node is
-a distinct prefix. The forward score of a node is the best of its ancestors' scores plus the score of
-the piece between them, so it is computed once for every word that shares the prefix. A word's last
-node stores its token count; texts add up the counts of their pre-tokens.
+The distinct pre-tokens of up to 24 MB of texts form a trie of bytes, laid out depth first: words in order, each
+adding the nodes beyond its common prefix with the word before. The forward score of a node is the best of its
+ancestors' scores plus the score of the piece between them; it is computed when the node is added, so once for every
+word that shares the prefix, and only the open path is held. A word's last node stores its token count (its terminal
+count); texts add up those of their pre-tokens. Words and pieces are told apart by their bytes.
 
 A piece of rank r has the Zipf score -round(1000 * ln(r + 1)) - CONSTANT, in whole thousandths, so
 sums are exact. Between equal scores the segmentation with fewer tokens wins, which the answer shows.
-Defined cases: null and empty texts count 0; repeated rows count alike; extra columns are left out.
+Defined cases: null and empty texts count 0; repeated rows count alike; a word of any length is one path; extra columns
+are left out. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,13 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .bpe import read_ranks
-from .common import Ranges, byte_table, chunks, trim, utf8
+from .common import chunks, trim, utf8
 from .pretokens import CORPUS_BYTES, PATTERN, Corpus
 
 SCHEMA = "doc_id long, n_pretokens long, n_tokens long, score long"
-_TABLE = byte_table(31)
-#: Words longer than this leave the trie at that depth, where hardly any share a prefix, and go on alone.
-SHARED_DEPTH = 64
 LOW = -(1 << 60)
 
 
@@ -37,78 +37,54 @@ def piece_scores(ranks: dict[bytes, int]) -> dict[bytes, int]:
     return {t: -round(1000 * math.log(r + 1)) - constant for t, r in ranks.items()}
 
 
+def common_prefix(a: bytes, b: bytes) -> int:
+    n = min(len(a), len(b))
+    if a[:n] == b[:n]:
+        return n
+    return next(i for i, (x, y) in enumerate(zip(a, b)) if x != y)
+
+
 class Unigram:
     def __init__(self, scores: dict[bytes, int]):
-        self.scores = scores
-        self.longest = max(map(len, scores))
-        self.by_size: list[tuple[np.ndarray, np.ndarray] | None] = [None] * (self.longest + 1)
-        sizes: dict[int, list[bytes]] = {}
-        for t in scores:
-            sizes.setdefault(len(t), []).append(t)
-        for n, group in sizes.items():
-            flat = np.frombuffer(b"".join(group), np.uint8)
-            at = np.arange(len(group)) * n
-            h = Ranges(_TABLE[flat])(at, at + n)
-            o = np.argsort(h)
-            self.by_size[n] = h[o], np.array([scores[t] for t in group], np.int64)[o]
-
-    def forward(self, flat: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(best score, its token count) of each word."""
-        n = len(size)
-        best, count = np.full(n, LOW, np.int64), np.zeros(n, np.int64)
-        if not n:
-            return best, count
-        start = np.cumsum(size) - size
-        order = np.argsort(-size, kind="stable")
-        start, size_ = start[order], size[order]
-        hashed = Ranges(_TABLE[flat])
-        # node_of[d]: the node of depth d of each word long enough, words by falling length
-        node_of, score, tokens = [np.zeros(n, np.int64)], [np.zeros(1, np.int64)], [np.zeros(1, np.int64)]
-        for depth in range(1, min(int(size_[0]), SHARED_DEPTH) + 1):
-            alive = int(np.searchsorted(-size_, -depth, side="right"))
-            end = start[:alive] + depth
-            _, first, node = np.unique(hashed(start[:alive], end), return_index=True, return_inverse=True)
-            s, t = np.full(len(first), LOW, np.int64), np.zeros(len(first), np.int64)
-            for k in range(1, min(depth, self.longest) + 1):
-                if self.by_size[k] is None:
-                    continue
-                known, value = self.by_size[k]
-                h = hashed(end[first] - k, end[first])
-                at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                hit = np.flatnonzero(known[at] == h)
-                if not len(hit):
-                    continue
-                parent = node_of[depth - k][first[hit]]
-                x, y = score[depth - k][parent], tokens[depth - k][parent] + 1
-                ok = x > LOW
-                hit, x, y = hit[ok], x[ok] + value[at[hit[ok]]], y[ok]
-                better = (x > s[hit]) | ((x == s[hit]) & (y < t[hit]))
-                s[hit[better]], t[hit[better]] = x[better], y[better]
-            node_of.append(node)
-            score.append(s)
-            tokens.append(t)
-            done = int(np.searchsorted(-size_, -depth, side="left"))
-            best[order[done:alive]], count[order[done:alive]] = s[node[done:]], t[node[done:]]
-        for w in range(int(np.searchsorted(-size_, -SHARED_DEPTH, side="left"))):
-            seen = [(int(score[d][node_of[d][w]]), int(tokens[d][node_of[d][w]])) for d in range(SHARED_DEPTH + 1)]
-            best[order[w]], count[order[w]] = self.alone(flat[start[w] : start[w] + size_[w]].tobytes(), seen)
+        #: The pieces by their last byte, then the one before: (state << 8 | byte) to the next state, and each state's score.
+        self.back: dict[int, int] = {}
+        self.value: list[int | None] = [None]
+        for piece, v in scores.items():
+            state = 0
+            for b in reversed(piece):
+                key = state << 8 | b
+                if key not in self.back:
+                    self.back[key] = len(self.value)
+                    self.value.append(None)
+                state = self.back[key]
+            self.value[state] = v
+
+    def forward(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(best score, its token count) of each word, LOW and 0 where none leads to its end."""
+        best, count = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        step, value = self.back.get, self.value
+        score, tokens, before = array("q", [0]), array("q", [0]), b""  # of the open path's nodes
+        for i in sorted(range(len(words)), key=words.__getitem__):
+            w = words[i]
+            shared = common_prefix(before, w)
+            del score[shared + 1 :], tokens[shared + 1 :]
+            for d in range(shared, len(w)):
+                top, few, state = LOW, 0, 0
+                for at in range(d, -1, -1):  # pieces that end here, shortest first
+                    state = step(state << 8 | w[at])
+                    if state is None:
+                        break
+                    v = value[state]
+                    if v is not None and (x := score[at]) > LOW:
+                        x += v
+                        if x > top or x == top and tokens[at] + 1 < few:
+                            top, few = x, tokens[at] + 1
+                score.append(top)
+                tokens.append(few)
+            best[i], count[i] = score[-1], tokens[-1]
+            before = w
         return best, count
 
-    def alone(self, word: bytes, seen: list[tuple[int, int]] | None = None) -> tuple[int, int]:
-        """One word, going on from the scores of its first prefixes."""
-        f = list(seen or [(0, 0)])
-        get = self.scores.get
-        for d in range(len(f), len(word) + 1):
-            top = (LOW, 0)
-            for k in range(1, min(d, self.longest) + 1):
-                v = get(word[d - k : d])
-                if v is not None and f[d - k][0] > LOW:
-                    x = (f[d - k][0] + v, f[d - k][1] + 1)
-                    if x[0] > top[0] or x[0] == top[0] and x[1] < top[1]:
-                        top = x
-            f.append(top)
-        return f[-1]
-
 
 _MODELS: dict[str, Unigram] = {}
 
@@ -123,7 +99,8 @@ def _run(ranks, pattern: str):
             for a, b in chunks(off, CORPUS_BYTES):
                 trim()
                 c = Corpus(buf[off[a] : off[b]], off[a : b + 1] - off[a], pattern)
-                score, count = _MODELS[key].forward(c.flat, c.size)
+                raw, ends = c.flat.tobytes(), np.cumsum(c.size).tolist()
+                score, count = _MODELS[key].forward([raw[x:y] for x, y in zip([0, *ends], ends)])
                 total = [np.append(0, np.cumsum(x[c.use]))[c.firsts] for x in (count, score)]
                 cols = [np.diff(c.firsts), *map(np.diff, total)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array(x.astype(np.int64)) for x in cols)], names=["doc_id", "n_pretokens", "n_tokens", "score"])
