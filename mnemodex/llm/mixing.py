@@ -1,20 +1,22 @@
 """Operator 10, mixing sources to target weights. DataFrame functions only.
 
-Each source's documents are packed, in the order of a hash of doc_id and text, into blocks of a fixed number of words. The mix
-is a sequence of slots in output shards. The uniform line is cut into as many strata as there are
-slots; each stratum draws one hashed uniform and so a source by the cumulated target shares, and a
-pseudorandom permutation deals the strata to slots. A shard's source counts are thus a multinomial
-draw conditioned to near-exact totals. A source's strata, counted from 0, are mapped through its own
-affine permutation of block indices, once round for each pass over the source, and slots join blocks by
-(source, index): keys of which each has at most two slots, so a hot source loads no single task.
-
-Running word offsets are two-level sums: within buckets of a source, and over the few buckets of each
-source. A bucket is a range of that hash, so the layout is the same for any number of buckets, and reruns
-agree on other clusters too; the number of buckets follows the cores at hand.
+1. Each source's documents are packed, in the order of a hash of doc_id and text, into blocks of a fixed number of words.
+2. The mix is a sequence of slots in output shards. Every slot draws its source by one hashed uniform number, so the
+   source counts of a shard are a multinomial draw (`shard_counts`). Of a source that was drawn more often than its target
+   has blocks the surplus slots, which a hash picks, go to the sources that were drawn too seldom: a few in ten thousand,
+   and then every source has its target's number of slots.
+3. A source's slots, in the order of a hash, are its passes over its blocks, one after another; each pass maps them through
+   its own pseudorandom permutation of block indices (the published swap-or-not shuffle), and slots join blocks by
+   (source, index): keys of which each has at most two slots, so a hot source loads no single task.
+
+Running counts are two-level sums: within buckets of a source, and over the few buckets of each source. A bucket is a
+range of a hash, and their number follows the rows, so the result is the same for any number of buckets and on any
+cluster. Tables with a row for each source (targets) are windowed by one task; nothing is broadcast by a hint.
 
 Defined cases: a null text has no words and takes part with size 0; a null source is a source, the last;
 every row has a number, by which it is packed and its words are taken, so rows that repeat others take
-part like others (`taken` shares out what equal rows take among them); sources of no words have target 0. An empty table gives an empty result.
+part like others (`taken` shares out what equal rows take among them); sources of no words have target 0; a source whose
+target is less than half a block may get no slot; extra columns are left out. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,9 +28,8 @@ from .common import materialize
 
 #: Fixed value: a word.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Primes below 2**22; at least one of them does not divide a number below 2**63.
-PRIMES = (4194301, 4194287, 4194277)
-BUCKET_ROWS = 4096
+#: Rows of a bucket in which running counts are taken, cells of a stretch, slots of a cell, rounds of a permutation.
+BUCKET_ROWS, STRETCH, CELL, ROUNDS = 4096, 65536, 64, 32
 
 
 def n_words(text: Column) -> Column:
@@ -59,13 +60,19 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float
     return t.select("source", "source_size", F.when(found.isNull() | (F.col("stop") <= found["level"]), F.col("cap")).otherwise(F.col("weight") * found["level"]).alias("target"))
 
 
-def _prime(n: Column) -> Column:
-    return F.when(n % PRIMES[0] != 0, F.lit(PRIMES[0])).when(n % PRIMES[1] != 0, F.lit(PRIMES[1])).otherwise(F.lit(PRIMES[2])).cast("long")
+def permute(x: Column, n: Column, key: Column) -> Column:
+    """A permutation of 0..n-1 keyed by a number: in each round a hash of the greater of x and its mirror image decides which of both goes on."""
 
+    def step(a: Column, r: Column) -> Column:
+        mirror = F.pmod(F.pmod(F.xxhash64(key, r), n) - a, n)
+        return F.when(F.xxhash64(key, F.greatest(a, mirror), r).bitwiseAND(F.lit(1)) == 1, mirror).otherwise(a)
 
-def _permute(j: Column, n: Column, seed: Column) -> Column:
-    """A permutation of 0..n-1: affine with a multiplier prime to n, keyed by seed."""
-    return (((j % n) * (_prime(n) % n)) % n + F.pmod(F.xxhash64(seed, n), n)) % n
+    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), x.cast("long"), step)
+
+
+def _bucket(place: Column, spread: int) -> Column:
+    """Of a hash of 63 bits, the bucket by its upper 31: buckets are in the order of the hash."""
+    return F.shiftright(F.shiftright(place, 32) * F.lit(spread).cast("long"), 31)
 
 
 def numbered(docs: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -77,29 +84,78 @@ def numbered(docs: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return materialize(d)  # sizes are counted once
 
 
-def pack(docs: DataFrame, block: int, spread: int | None = None) -> DataFrame:
+def pack(docs: DataFrame, spread: int | None = None) -> DataFrame:
     """(source, doc_id, row, number, size, start): each document's first word's place among its source's words.
 
     docs: source, doc_id, row and number (tell rows of equal ids apart), size. spread: buckets of a source; the result does not depend on it.
     """
-    spread = spread or max(8, docs.sparkSession.sparkContext.defaultParallelism * 8)
-    # 63 bits, of which the upper 31 give the bucket: buckets are in the order of the hash
+    spread = spread or max(8, -(-docs.count() // BUCKET_ROWS))
     d = docs.withColumn("place", F.shiftrightunsigned(F.xxhash64("doc_id", "row"), 1))
-    d = d.withColumn("bucket", F.shiftright(F.shiftright("place", 32) * F.lit(spread).cast("long"), 31))
+    d = d.withColumn("bucket", _bucket(F.col("place"), spread))
     sums = d.groupBy("source", "bucket").agg(F.sum("size").alias("s"))
     ahead = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(F.col("source").alias("src"), F.col("bucket").alias("bkt"), F.coalesce(F.sum("s").over(ahead), F.lit(0)).alias("base"))
     inner = Window.partitionBy("source", "bucket").orderBy("place", "doc_id", "row", "number").rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("inner", F.coalesce(F.sum("size").over(inner), F.lit(0)))
-    d = d.join(F.broadcast(sums), d.source.eqNullSafe(sums.src) & (d.bucket == sums.bkt))  # sources x buckets rows: bounded
+    d = d.join(sums, d.source.eqNullSafe(sums.src) & (d.bucket == sums.bkt))
     return d.select("source", "doc_id", "row", "number", "size", (F.col("base") + F.col("inner")).alias("start"))
 
 
+def quotas(targets: DataFrame, block: int) -> DataFrame:
+    """(src, blocks, quota, lo, hi) of targets(source, source_size, target): the slots that come nearest to each target, as blocks
+    of a source hold source_size / blocks words each, laid end to end."""
+    up = Window.orderBy(F.col("src").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    q = targets.where("target > 0").select(F.col("source").alias("src"), "source_size", "target", F.ceil(F.col("source_size") / block).cast("long").alias("blocks"))
+    q = q.withColumn("quota", F.round(F.col("target") * F.col("blocks") / F.col("source_size")).cast("long")).where("quota > 0")
+    return q.withColumn("hi", F.sum("quota").over(up)).withColumn("lo", F.col("hi") - F.col("quota")).select("src", "blocks", "quota", "lo", "hi")
+
+
+def draw(quota: DataFrame, total: int, shard_slots: int, seed: int) -> DataFrame:
+    """(id, shard, slot, src, blocks, quota): every slot's source, drawn on its own with probability quota / total."""
+    spark = quota.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // 1_000_000))
+    u = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(total))
+    slots = spark.range(0, total, 1, parts).select("id", F.floor(F.col("id") / shard_slots).alias("shard"), (F.col("id") % shard_slots).alias("slot"), u.alias("u")).withColumn("cell", F.floor(F.col("u") / CELL))
+    # each source's part of the line in cells, so that a number finds its source by an equal key
+    first, last = F.floor(F.col("lo") / CELL), F.floor((F.col("hi") - 1) / CELL)
+    runs = quota.withColumn("run", F.explode(F.sequence(first, last, F.lit(STRETCH).cast("long")))).withColumn("last", last).repartition("src", "run")
+    cells = runs.withColumn("cell", F.explode(F.sequence("run", F.least(F.col("last"), F.col("run") + STRETCH - 1)))).drop("run", "last")
+    return slots.join(cells, "cell").where("u >= lo and u < hi").select("id", "shard", "slot", "src", "blocks", "quota")
+
+
+def shard_counts(drawn: DataFrame) -> DataFrame:
+    """(shard, src, n): the multinomial counts."""
+    return drawn.groupBy("shard", "src").agg(F.count("*").alias("n"))
+
+
+def settle(drawn: DataFrame, quota: DataFrame, total: int, seed: int) -> DataFrame:
+    """(id, shard, slot, src, blocks, j): each source's slots numbered by a hash, 0 to its quota - 1; surplus slots are given to sources that lack some."""
+    spread = max(8, -(-total // BUCKET_ROWS // 16))
+    d = drawn.withColumn("place", F.shiftrightunsigned(F.xxhash64(F.lit(seed + 1), "id"), 1)).withColumn("bucket", _bucket(F.col("place"), spread))
+    counts = d.groupBy("src", "bucket").agg(F.count("*").alias("n"))
+    ahead = Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.select(F.col("src").alias("own"), F.col("bucket").alias("bkt"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("base"))
+    inner = Window.partitionBy("src", "bucket").orderBy("place", "id")
+    d = d.withColumn("inner", F.row_number().over(inner) - 1).join(base, F.col("src").eqNullSafe(F.col("own")) & (F.col("bucket") == F.col("bkt")))
+    d = d.select("id", "shard", "slot", "src", "blocks", "quota", (F.col("base") + F.col("inner")).alias("j"))
+    got = counts.groupBy(F.col("src").alias("own")).agg(F.sum("n").alias("n"))
+    order = Window.orderBy(F.col("src").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    n = F.coalesce("n", F.lit(0))
+    b = quota.join(got, F.col("src").eqNullSafe(F.col("own")), "left").select("src", "blocks", n.alias("n"), F.greatest(n - F.col("quota"), F.lit(0)).alias("over"), F.greatest(F.col("quota") - n, F.lit(0)).alias("under"))
+    b = b.withColumns({"over_lo": F.coalesce(F.sum("over").over(order), F.lit(0)), "under_lo": F.coalesce(F.sum("under").over(order), F.lit(0))})
+    spare = d.where("j >= quota").join(b.select(F.col("src").alias("own"), "over_lo"), F.col("src").eqNullSafe(F.col("own")))
+    spare = spare.select("id", "shard", "slot", (F.col("over_lo") + F.col("j") - F.col("quota")).alias("r"))
+    lack = b.where("under > 0").withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("under") - 1))).select((F.col("under_lo") + F.col("i")).alias("r"), "src", "blocks", (F.col("n") + F.col("i")).alias("j"))
+    names = ["id", "shard", "slot", "src", "blocks", "j"]
+    return d.where("j < quota").select(*names).unionByName(spare.join(lack, "r").select(*names))
+
+
 def mix(docs: DataFrame, block: int = 64, shard_slots: int = 1024, seed: int = 7, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> tuple[DataFrame, DataFrame]:
     """(spans, sizes). spans: shard, slot, source, pass, doc_id, row, number, first, last (words of the document that the
     slot takes, 0-based, last exclusive). sizes: doc_id, row, number, source, size, source_size, target.
 
-    docs: doc_id, source, text and anything else.
+    docs: doc_id, source, text and anything else. No document is taken more than `most` times, a whole number, as a source
+    has no more passes than its target allows.
     """
     return mix_numbered(numbered(docs), block, shard_slots, seed, weights, share, most)
 
@@ -108,32 +164,22 @@ def mix_numbered(docs: DataFrame, block: int = 64, shard_slots: int = 1024, seed
     """`mix` of documents that `numbered` made."""
     d = docs.select("doc_id", "source", "size", "row", "number")
     t = materialize(targets(d.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most))
-    t = t.select(F.col("source").alias("src"), "source_size", "target")
-    sizes = d.join(F.broadcast(t), d.source.eqNullSafe(t.src)).drop("src")  # a row per source
-    # cumulated strata of each source: [lo, lo + share of all strata)
-    up = Window.orderBy(F.col("src").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy(F.lit(0))
-    cut = t.withColumn("hi", F.sum("target").over(up) / block).withColumn("lo", F.col("hi") - F.col("target") / block)
-    cut = cut.withColumn("slots", F.greatest(F.lit(1), F.ceil(F.max("hi").over(every))).cast("long")).withColumn("blocks", F.ceil(F.col("source_size") / block).cast("long")).where("target > 0")
-    # strata of each source; a stratum on a border goes to the source that its uniform falls into
-    cut = cut.withColumn("base", F.floor("lo")).withColumn("top", F.greatest(F.floor("lo"), F.ceil("hi") - 1))
-    runs = cut.withColumn("run", F.explode(F.sequence("base", "top", F.lit(65536).cast("long")))).repartition("src", "run")
-    drawn = runs.withColumn("stratum", F.explode(F.sequence(F.col("run"), F.least(F.col("top"), F.col("run") + 65535))))
-    uniform = F.col("stratum") + F.pmod(F.xxhash64(F.lit(seed), "stratum"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    drawn = drawn.where((uniform >= F.col("lo")) & (uniform < F.col("hi")))
-    j = F.col("stratum") - F.col("base")
-    turn = F.floor(j / F.col("blocks")).cast("int")
-    place = _permute(F.col("stratum"), F.col("slots"), F.lit(seed))
-    slots = drawn.select(
-        F.floor(place / shard_slots).alias("shard"), (place % shard_slots).alias("slot"), "src", turn.alias("pass"),
-        _permute(j, F.col("blocks"), F.coalesce(F.col("src"), F.lit(""))).alias("block"),
-    ).where(F.col("pass") < int(most))
-    packed = pack(d, block).where("size > 0")
+    own = t.select(F.col("source").alias("src"), "source_size", "target")
+    sizes = d.join(own, d.source.eqNullSafe(own.src)).drop("src")
+    quota = materialize(quotas(t, block))
+    total = quota.agg(F.coalesce(F.max("hi"), F.lit(0))).first()[0]
+    slots = settle(materialize(draw(quota, total, shard_slots, seed)), quota, total, seed) if total else None
+    if slots is None:
+        none = "shard long, slot long, source string, pass int, doc_id long, row long, number long, first long, last long"
+        return docs.sparkSession.createDataFrame([], none), sizes
+    turn = F.floor(F.col("j") / F.col("blocks"))
+    slots = slots.withColumn("pass", turn).withColumn("block", permute(F.col("j") % F.col("blocks"), F.col("blocks"), F.xxhash64(F.lit(seed), "src", "pass")))
+    packed = pack(d).where("size > 0")
     pieces = packed.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))))
     pieces = pieces.withColumn("first", F.greatest(F.lit(0), F.col("block") * block - F.col("start"))).withColumn("last", F.least(F.col("size"), (F.col("block") + 1) * block - F.col("start")))
     # the planner cannot see how many rows the sequences make, so it is told not to broadcast them
     spans = slots.hint("merge").join(pieces, slots.src.eqNullSafe(pieces.source) & (slots.block == pieces.block))
-    return spans.select("shard", "slot", "source", "pass", "doc_id", "row", "number", "first", "last"), sizes
+    return spans.select("shard", "slot", "source", F.col("pass").cast("int").alias("pass"), "doc_id", "row", "number", "first", "last"), sizes
 
 
 def taken(docs: DataFrame, **how) -> DataFrame:

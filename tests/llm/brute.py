@@ -1,6 +1,7 @@
 """Plain definitions that the operators are held against."""
 
 import hashlib
+import struct
 from collections import Counter, defaultdict
 
 
@@ -76,3 +77,57 @@ def targets(sizes, share=1.5, most=2.0):
         out |= {s: most * sizes[s] for s in over}
         free -= over
     return out
+
+
+def xx(*values):
+    """Spark's xxhash64 of whole numbers (int or ("long", n)) and strings, nulls skipped; signed."""
+    import xxhash
+
+    h = 42
+    for v in values:
+        if v is None:
+            continue
+        raw = v.encode() if isinstance(v, str) else struct.pack("<i", v) if isinstance(v, int) else struct.pack("<q", v[1])
+        h = xxhash.xxh64_intdigest(raw, h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def permuted(x, n, key, rounds=32):
+    long = lambda v: ("long", v)
+    for r in range(rounds):
+        other = (xx(long(key), r) % n - x) % n
+        if xx(long(key), long(max(x, other)), r) & 1:
+            x = other
+    return x
+
+
+def mixed(rows, block=64, seed=7):
+    """Words taken of each of rows(doc_id, source, text), every slot in a plain loop; rows differ in id or text."""
+    size = [len((t or "").encode().split()) for _, _, t in rows]
+    of = defaultdict(int)
+    for (_, s, _), n in zip(rows, size):
+        of[s] += n
+    target = targets(of)
+    names = sorted([s for s in of if s is not None]) + ([None] if None in of else [])
+    blocks = {s: -(-of[s] // block) for s in names}
+    exact = {s: target[s] * blocks[s] / of[s] if of[s] else 0 for s in names}
+    quota = {s: int(exact[s] + 0.5) for s in names}
+    line = [s for s in names for _ in range(quota[s])]
+    drawn = defaultdict(list)
+    for i in range(len(line)):
+        drawn[line[xx(seed, ("long", i)) % len(line)]].append((xx(seed + 1, ("long", i)) % (1 << 64) >> 1, i))
+    slots, spare = defaultdict(int), 0
+    for s in names:
+        slots[s] = min(len(drawn[s]), quota[s])
+        spare += len(drawn[s]) - slots[s]
+    assert spare == sum(quota[s] - slots[s] for s in names)
+    out = [0] * len(rows)
+    for s in names:
+        mine = sorted((i for i, r in enumerate(rows) if r[1] == s), key=lambda i: (xx(("long", rows[i][0]), ("long", xx(rows[i][2]))) % (1 << 64) >> 1, rows[i][0]))
+        owner = [i for i in mine for _ in range(size[i])]
+        for j in range(quota[s]):
+            turn, at = divmod(j, blocks[s])
+            b = permuted(at, blocks[s], xx(seed, s, ("long", turn)))
+            for i in owner[b * block : (b + 1) * block]:
+                out[i] += 1
+    return out

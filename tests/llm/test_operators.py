@@ -331,7 +331,7 @@ def test_mixed_documents_keep_words(spark, docs):
 
 def test_mixed_documents_of_repeated_rows(spark):
     rows = [(i % 7 if i % 3 else None, prose(i % 5, 150), "en", "s", 0) for i in range(40)] + [(1, prose(1, 150), "de", "s", 0)] * 3
-    d = spark.createDataFrame(rows, SCHEMA).repartition(3).localCheckpoint()
+    d = spark.createDataFrame(rows, SCHEMA).repartition(3)
     total = sum(r.taken for r in mixing.taken(d).collect())
     m = mixing.mixed_documents(d, ["doc_id", "text", "lang", "source", "n_chars"]).select("lang", mixing.n_words(F.col("text")).alias("n")).collect()
     assert sum(r.n for r in m) == total > 0
@@ -341,8 +341,39 @@ def test_mixed_documents_of_repeated_rows(spark):
 
 def test_packing_does_not_follow_the_cluster(spark, docs):
     d = mixing.numbered(docs)
-    got = [sorted(map(tuple, mixing.pack(d, 64, spread).select("source", "doc_id", "row", "size", "start").collect()), key=repr) for spread in (1, 8, 57, 4096)]
-    assert got[0] == got[1] == got[2] == got[3] == sorted(map(tuple, mixing.pack(d, 64).select("source", "doc_id", "row", "size", "start").collect()), key=repr)
+    got = [sorted(map(tuple, mixing.pack(d, spread).select("source", "doc_id", "row", "size", "start").collect()), key=repr) for spread in (1, 8, 57, 4096)]
+    assert got[0] == got[1] == got[2] == got[3] == sorted(map(tuple, mixing.pack(d).select("source", "doc_id", "row", "size", "start").collect()), key=repr)
+
+
+def test_mixing_against_a_plain_loop(spark, docs):
+    rows = [(r[0], r[3], r[1]) for r in corpus()] + [(500 + i, f"tiny{i}", prose(i, 3 + i)) for i in range(9)] + [(600, "none", " "), (601, "none", None)]
+    d = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(5)
+    for block in (64, 7):
+        got = {r.doc_id: r.taken for r in mixing.taken(d, block=block).collect()}
+        assert got == dict(zip([r[0] for r in rows], brute.mixed(rows, block)))
+
+
+def test_permutation(spark):
+    for n in (1, 2, 3, 7, 64, 1000):
+        d = spark.range(n).select("id", mixing.permute(F.col("id"), F.lit(n).cast("long"), F.xxhash64(F.lit(7), F.lit("s"), F.lit(0).cast("long"))).alias("x"))
+        got = [r.x for r in d.orderBy("id").collect()]
+        assert sorted(got) == list(range(n)) and got == [brute.permuted(i, n, brute.xx(7, "s", ("long", 0))) for i in range(n)]
+    steps = [(b - a) % 1000 for a, b in zip(got, got[1:])]
+    assert len(set(steps)) > 500  # no rotation, no constant stride
+
+
+def test_shard_counts_are_multinomial(spark):
+    """Counts of a source over shards vary as independent draws do, and the settled slots meet the quotas."""
+    t = spark.createDataFrame([("a", 64 * 2000, 64 * 3000.0), ("b", 64 * 3000, 64 * 1000.0), ("c", 64 * 500, 64 * 1000.0)], "source string, source_size long, target double")
+    q = mixing.quotas(t, 64)
+    assert [(r.quota, r.lo, r.hi) for r in q.orderBy("lo").collect()] == [(3000, 0, 3000), (1000, 3000, 4000), (1000, 4000, 5000)]
+    drawn = mixing.draw(q, 5000, 50, 7)
+    n = [r.n for r in mixing.shard_counts(drawn).where("src = 'a'").collect()]
+    assert len(n) == 100 and 0.6 < np.var(n) / (50 * 0.6 * 0.4) < 1.5
+    s = mixing.settle(drawn, q, 5000, 7)
+    assert {(r.src, r.n, r.d, r.hi) for r in s.groupBy("src").agg(F.count("*").alias("n"), F.count_distinct("j").alias("d"), F.max("j").alias("hi")).collect()} == {("a", 3000, 3000, 2999), ("b", 1000, 1000, 999), ("c", 1000, 1000, 999)}
+    moved = s.join(drawn.select("id", F.col("src").alias("was")), "id").where("src <> was").count()
+    assert s.count() == s.select("id").distinct().count() == 5000 and 0 < moved < 200
 
 
 def test_components(spark):
