@@ -220,7 +220,8 @@ class Codec:
 _CODECS: dict[tuple[str, str], Codec] = {}
 
 
-def _codec(ranks: bytes, pattern: str) -> Codec:
+def codec(ranks: bytes, pattern: str = PATTERN) -> Codec:
+    """The codec of a vocabulary, made once in a process."""
     key = (hashlib.sha256(ranks).hexdigest(), pattern)
     if key not in _CODECS:
         _CODECS[key] = Codec(read_ranks(ranks), pattern)
@@ -231,7 +232,7 @@ def _run(ranks, pattern: str, digests: bool):
     names = ["doc_id", "n_tokens", *(["ids_sha256", "decoded_sha256"] if digests else ["ids", "decoded"])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(ranks.value, pattern)
+        own = codec(ranks.value, pattern)
         for batch in batches:
             buf, off = utf8(batch.column(1))
             out, size, done = [], 0, 0
@@ -240,8 +241,8 @@ def _run(ranks, pattern: str, digests: bool):
                 got = [pa.array(x) for x in zip(*out)]
                 return pa.RecordBatch.from_arrays([batch.column(0).slice(done, len(out)), *got], names=names)
 
-            for ids in codec.encode(buf, off):
-                coded, text = ids.tobytes(), codec.decode(ids)
+            for ids in own.encode(buf, off):
+                coded, text = ids.tobytes(), own.decode(ids)
                 out.append((len(ids), hashlib.sha256(coded).hexdigest(), hashlib.sha256(text).hexdigest()) if digests else (len(ids), coded, text))
                 size += 200 if digests else len(coded) + len(text)
                 if size > 4 << 20:

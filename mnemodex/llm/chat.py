@@ -2,8 +2,8 @@
 
 A turn is written `<s>[role]text</s>`; inside role and text the characters that start or end control
 strings are escaped (backslash, `<`, `[`, `]`), so no control string of this or another template
-survives in a text, and reading back is exact. Prefix sums of the turns' token counts choose spans of
-whole turns that fit the budget; a window repeats the conversation's system turn and limited history
+survives in a text, and reading back is exact. A turn's tokens are those of its formatted text under a byte-level BPE
+vocabulary. Prefix sums of the turns' token counts choose spans of whole turns that fit the budget; a window repeats the conversation's system turn and limited history
 before them. Only assistant texts of its own span are under the loss mask, so each is learned once.
 
 A conversation is cut after every `segment` turn numbers, so that one that holds a third of all rows is
@@ -13,7 +13,7 @@ conversation, as `read_back` does, streams over its windows.
 
 Defined cases: null texts and roles are empty; a null turn number comes first; equal turn numbers are
 ordered by role and text and repeated rows are repeated turns; a turn beyond the budget has a window of
-its own; an empty table gives no windows.
+its own; extra columns are left out; an empty table gives no windows.
 """
 
 from __future__ import annotations
@@ -28,6 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import bpe
+from .common import utf8
+
 WINDOWS = "conv_id long, segment long, window long, n_context int, n_tokens long, text string, loss array<struct<start:int,end:int>>"
 READ = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_windows long"
 BLOCK_TURNS, BLOCK_CHARS = 512, 4 << 20
@@ -44,9 +47,12 @@ def unescape(s: str) -> str:
     return re.sub(r"\\(.)", lambda m: _BACK[m[1]], s) if "\\" in s else s
 
 
-def turn_tokens(text: str) -> int:
-    """About four bytes a token, and four for the marks."""
-    return (len(text.encode()) + 3) // 4 + 4
+def turn(role: str, text: str) -> str:
+    return f"<s>[{escape(role)}]{escape(text)}</s>"
+
+
+def turn_tokens(codec: bpe.Codec, turns: list[str]) -> list[int]:
+    return [len(ids) for ids in codec.encode(*utf8(pa.array(turns, pa.large_string())))]
 
 
 def parse(text: str) -> list[tuple[str, str]]:
@@ -64,7 +70,7 @@ def spans(tokens: np.ndarray, room_at) -> Iterator[tuple[int, int]]:
         a = b
 
 
-def _format(budget: int, history_tokens: int, history_turns: int):
+def _format(ranks, budget: int, history_tokens: int, history_turns: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         size = 0
@@ -126,13 +132,16 @@ def _format(budget: int, history_tokens: int, history_turns: int):
             size = 0
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["conv_id", "segment", "window", "n_context", "n_tokens", "text", "loss"])
 
+        codec = bpe.codec(ranks.value)
         for batch in batches:
-            for conv, seg, kind, turn, role, text in zip(*(batch.column(i).to_pylist() for i in range(6))):
+            cols = [batch.column(i).to_pylist() for i in range(6)]
+            tokens = turn_tokens(codec, [*map(turn, cols[4], cols[5])])
+            for conv, seg, kind, place, role, text, n in zip(*cols, tokens):
                 if (conv, seg) != key:
                     close()
                     key, system, window = (conv, seg), None, 0
                     past.clear()
-                item = (turn, role, text, turn_tokens(text))
+                item = (place, role, text, n)
                 if kind == 0:
                     system = item
                 elif kind == 1:
@@ -151,8 +160,10 @@ def _format(budget: int, history_tokens: int, history_turns: int):
     return run
 
 
-def chat_windows(conversations: DataFrame, budget: int = 2048, history_tokens: int = 256, history_turns: int = 8, segment: int = 256) -> DataFrame:
-    """Windows of formatted turns: text, the number of repeated turns that lead it, and the loss spans in it."""
+def chat_windows(conversations: DataFrame, ranks: bytes, budget: int = 2048, history_tokens: int = 256, history_turns: int = 8, segment: int = 256) -> DataFrame:
+    """Windows of formatted turns: text, the number of repeated turns that lead it, and the loss spans in it. ranks: the content of
+    a .tiktoken file, of a fixed size, by which tokens are counted."""
+    ranks = conversations.sparkSession.sparkContext.broadcast(ranks)
     c = conversations.select(
         F.col("conv_id").cast("long").alias("conv_id"),
         F.col("turn").cast("long").alias("turn"),
@@ -167,7 +178,7 @@ def chat_windows(conversations: DataFrame, budget: int = 2048, history_tokens: i
     copies = parts.join(first, parts.conv_id.eqNullSafe(first.conv_id)).select(parts.conv_id, F.col("s.turn").alias("turn"), F.lit("system").alias("role"), F.col("s.text").alias("text"), "segment", "kind")
     rows = own.unionByName(tail).unionByName(copies).select("conv_id", "segment", "kind", "turn", "role", "text")
     keys = ["conv_id", "segment"]
-    return rows.repartition(*keys).sortWithinPartitions(*keys, "kind", "turn", "role", "text").mapInArrow(_format(budget, history_tokens, history_turns), WINDOWS)
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "kind", "turn", "role", "text").mapInArrow(_format(ranks, budget, history_tokens, history_turns), WINDOWS)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

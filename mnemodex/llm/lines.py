@@ -10,8 +10,12 @@ A line that a third of all documents hold is one row per task after partial aggr
 their lines back by id, never by line, so a hot line gathers nowhere; the set of boilerplate lines is
 joined by Spark's choice (broadcast only below its size limit).
 
+At 8 sites a sketch still lists what it was given and is all but exact; for a large `min_sites` the margin is about 4.6
+standard errors of a sketch of 2**10 registers, beyond which the estimate alone decides.
+
 Defined cases: a null text stays null with 0 lines; a null site is a site; repeated rows of one id are
-treated alike; documents with the same id keep their own texts; an empty table gives an empty result.
+treated alike; documents with the same id keep their own texts; a text of boilerplate alone becomes empty; extra columns of
+any name stay, but for n_lines and n_removed, which are replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -50,27 +54,30 @@ def boilerplate(docs: DataFrame, site: str = "source", text: str = "text", min_s
     return sure.unionByName(exact)
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", site: str = "source", text: str = "text", min_sites: int = MIN_SITES, sketch: int = SKETCH, margin: float = MARGIN, max_removed: float | None = 0.5) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", site: str = "source", text: str = "text", min_sites: int = MIN_SITES, sketch: int = SKETCH, margin: float = MARGIN, max_removed: float | None = 1.0) -> DataFrame:
     """The rows with their text freed of boilerplate lines, and n_lines, n_removed.
 
-    Where boilerplate would be more than `max_removed` of a document's characters, the document is a copy
-    of others rather than a carrier of boilerplate; it stays whole, for document deduplication to judge.
-    With `max_removed` None only a document that has no line of its own stays whole.
+    All boilerplate goes. A caller may exempt documents of which it would be more than the share `max_removed` of the
+    characters, or with None those that have no line of their own, as copies for document deduplication to judge.
     """
     found = boilerplate(docs, site, text, min_sites, sketch, margin)
-    mine = docs.select(F.col(id_col).alias("k_"), F.xxhash64(text).alias("t_"), F.explode(F.split(F.col(text), "\n")).alias("line")).where(_solid(F.col("line"))).select("k_", "t_", _hash(F.col("line")).alias("h"))
-    bad = mine.join(found, "h", "left_semi").groupBy("k_", "t_").agg(F.collect_set("h").alias("bad_"))
-    d = docs.withColumn("own_", F.xxhash64(text))
-    d = d.join(bad, d[id_col].eqNullSafe(bad.k_) & (d.own_ == bad.t_), "left")
-    lines = F.split(F.col(text), "\n")
-    kept = F.filter(lines, lambda x: ~(_solid(x) & F.array_contains("bad_", _hash(x))))
-    d = d.withColumn("kept_", F.when(F.col("bad_").isNotNull(), F.array_join(kept, "\n")))
-    left = F.exists(kept, _solid) if max_removed is None else F.length(text) - F.length("kept_") <= F.lit(max_removed) * F.length(text)
-    changed = F.col("kept_").isNotNull() & left
-    n = F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(lines))
-    out = d.select(
-        *[F.when(changed, F.col("kept_")).otherwise(F.col(text)).alias(text) if c == text else F.col(c) for c in docs.columns],
-        n.cast("long").alias("n_lines"),
-        F.when(changed, F.size(lines) - F.size(kept)).otherwise(F.lit(0)).cast("long").alias("n_removed"),
+    # the row is one column, so that no name of its own can clash
+    d = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("r"), docs[id_col].alias("k"), docs[text].cast("string").alias("t")).withColumn("x", F.xxhash64("t"))
+    mine = d.select("k", "x", F.explode(F.split("t", "\n")).alias("line")).where(_solid(F.col("line"))).select("k", "x", _hash(F.col("line")).alias("h"))
+    bad = mine.join(found, "h", "left_semi").groupBy("k", "x").agg(F.collect_set("h").alias("bad")).select(F.col("k").alias("bk"), F.col("x").alias("bx"), "bad")
+    d = d.join(bad, F.col("k").eqNullSafe(F.col("bk")) & (F.col("x") == F.col("bx")), "left")
+    lines = F.split("t", "\n")
+    kept = F.filter(lines, lambda y: ~(_solid(y) & F.array_contains("bad", _hash(y))))
+    d = d.select("r", "t", F.when(F.col("t").isNull(), F.lit(0)).otherwise(F.size(lines)).alias("n"), F.when(F.col("bad").isNotNull(), kept).alias("kept"))
+    joined = F.array_join("kept", "\n")
+    if max_removed is None:
+        left = F.exists("kept", _solid)
+    else:
+        left = F.length("t") - F.length(joined) <= F.lit(max_removed) * F.length("t")
+    changed = F.col("kept").isNotNull() & left
+    own = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
+    return d.select(
+        *[F.when(changed, joined).otherwise(F.col("t")).alias(c) if c == text else F.col("r")[c].alias(c) for c in own],
+        F.col("n").cast("long").alias("n_lines"),
+        F.when(changed, F.col("n") - F.size("kept")).otherwise(F.lit(0)).cast("long").alias("n_removed"),
     )
-    return out

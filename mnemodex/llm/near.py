@@ -7,8 +7,9 @@
 3. The global order is (count, hash), hot ones last. Shingles of a single class cannot be shared, so a
    class of too many is alone; of the rest, two that link share one of the first
    n - ceil(t n) + 1 shingles of each (prefix bound). Classes that share one are put together, as
-   connected clusters, so every set moves once. A cluster above the memory bound is cut into blocks and
-   every pair of blocks is joined, which is exact too.
+   connected clusters, so that a set does not move for each of its prefix shingles. Two that link lie in one band of sizes or
+   in neighbouring ones, so a cluster is joined band by band, and a band of many sets block by block: of a hot cluster a
+   task sees some hundred sets, and sets of far sizes never meet.
 4. In a cluster the ordered sets form a compressed prefix tree. Each set walks it with its overlap so
    far, computed once for all sets below a node, and leaves a subtree when even the remaining lengths
    cannot reach the needed overlap. Links leave a task as a spanning forest.
@@ -39,8 +40,8 @@ _U = np.uint64
 HOT = (1 << 31) - 1
 #: Classes of one batch that make a shingle hot, and bytes of text in a batch.
 HOT_IN_BATCH, BATCH_BYTES = 16, 8 << 20
-#: Shingles of a cluster that one task joins at once.
-BLOCK_SHINGLES = 4 << 20
+#: Sets, and shingles, of a band of a cluster in one block.
+BLOCK_SETS, BLOCK_SHINGLES = 384, 4 << 20
 #: Parts in which a bucket's shingles are sorted.
 PARTS = 8
 
@@ -344,9 +345,31 @@ class PrefixTree:
         return (np.concatenate(hits), np.concatenate(counts)) if hits else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
+NEXT_TREE, NEXT_ASK = -1, -2
+
+
+def _blocks(alive: DataFrame, clusters: DataFrame, percent: int) -> DataFrame:
+    """(component, band, i, j, next, block, rep): which sets meet in which task, without the sets."""
+    ratio = F.log(F.lit(100 / percent)) if percent < 100 else None
+    band = F.floor(F.log("n") / ratio + 1e-9).cast("int") if ratio is not None else F.col("n")
+    c = alive.select("rep", "n", (F.octet_length("hashes") / 8).alias("size"))
+    c = c.join(clusters, c.rep == clusters.id).select("rep", "size", "component", band.alias("band"))
+    t = c.groupBy("component", "band").agg(F.count("*").alias("sets"), F.sum("size").alias("size"))
+    t = t.withColumn("blocks", F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("size") / BLOCK_SHINGLES)).cast("int"))
+    w = Window.partitionBy("component").orderBy("band")
+    beside = lambda f, by: F.when(f("band").over(w) == F.col("band") + by, f("blocks").over(w)).otherwise(F.lit(0))
+    t = t.select("component", "band", "sets", "blocks", beside(F.lead, 1).alias("up"), beside(F.lag, -1).alias("down"))
+    c = c.drop("size").join(t, ["component", "band"]).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    upto = lambda n: F.filter(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda x: x < n)
+    same = F.transform(upto(F.when(F.col("sets") > 1, F.col("blocks")).otherwise(0)), lambda x: F.struct(F.col("band").alias("band"), F.least("own", x).alias("i"), F.greatest("own", x).alias("j"), F.lit(False).alias("next"), F.col("own").alias("block")))
+    tree = F.transform(upto(F.col("up")), lambda x: F.struct(F.col("band").alias("band"), F.col("own").alias("i"), x.alias("j"), F.lit(True).alias("next"), F.lit(NEXT_TREE).alias("block")))
+    ask = F.transform(upto(F.col("down")), lambda x: F.struct((F.col("band") - 1).alias("band"), x.alias("i"), F.col("own").alias("j"), F.lit(True).alias("next"), F.lit(NEXT_ASK).alias("block")))
+    return c.select("rep", "component", F.explode(F.concat(same, tree, ask)).alias("m")).select("component", "m.*", "rep")
+
+
 def _join(percent: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        i, j = int(key[1].as_py()), int(key[2].as_py())
+        i, j = int(key[2].as_py()), int(key[3].as_py())
         rep, n, side = (table[c].combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("rep", "n", "block"))
         raw = [np.frombuffer(x.as_py(), _U) for x in table["hashes"]]
         length = np.array([*map(len, raw)], np.int64)
@@ -356,7 +379,10 @@ def _join(percent: int):
         rank[np.lexsort((names, count))] = np.arange(len(names))
         ranks = np.split(rank[inv], np.cumsum(length)[:-1])
         sets = [np.sort(x).astype(">u4") for x in ranks]
-        tree_rows, query_rows = np.flatnonzero(side == j), np.flatnonzero(side == i)
+        # a band with itself: blocks i and j; with the next one: that one's sets ask the tree
+        tree_rows, query_rows = (np.flatnonzero(side == x) for x in ((NEXT_TREE, NEXT_ASK) if (side < 0).any() else (j, i)))
+        if not len(tree_rows) or not len(query_rows):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
         tree = PrefixTree([sets[x] for x in tree_rows], n[tree_rows])
         has = np.zeros(len(names), bool)
         a, b = [], []
@@ -381,8 +407,7 @@ def _join(percent: int):
 def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, classes, best). rows: doc_id, row (the text's hash), n_shingles, sig. classes: sig, n_shingles, component
     (its smallest sig). best: component, best (the document of the smallest id, ids before null: no_id, doc_id, row)."""
-    spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = parts_for(docs, text_col)
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     own = materialize(d.withColumn("row", F.xxhash64("text")).mapInArrow(_classes(width), "doc_id long, row long, n_shingles long, sig long"))
     filled = own.where("n_shingles > 0")
@@ -395,12 +420,9 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, percent: i
     alive = materialize(left.cogroup(right).applyInArrow(_alive(percent), _ALIVE))
     links = materialize(alive.select("rep", "lead", "hashes").mapInArrow(_leads(n), _PACKED).groupBy("bucket").applyInArrow(_meet, "a long, b long"))
     clusters = components(links)
-    c = alive.join(clusters, alive.rep == clusters.id).select("rep", "n", "hashes", "component")
-    total = c.groupBy("component").agg(F.ceil(F.sum(F.octet_length("hashes") / 8) / BLOCK_SHINGLES).cast("int").alias("blocks"))
-    c = c.join(total, "component").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    c = c.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    c = c.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "n", "hashes")
-    found = c.groupBy("component", "i", "j").applyInArrow(_join(percent), "a long, b long")
+    # sets join their blocks by name, so a hot cluster's sets never gather
+    c = _blocks(alive, clusters, percent).join(alive.select("rep", "n", "hashes"), "rep")
+    found = c.groupBy("component", "band", "i", "j", "next").applyInArrow(_join(percent), "a long, b long")
     labels = components(found)
     classes = reps.join(labels, reps.sig == labels.id, "left").select("sig", "n_shingles", "best", F.coalesce("component", "sig").alias("component"))
     best = materialize(classes.groupBy("component").agg(F.min("best").alias("best")))
@@ -423,12 +445,15 @@ def near_kept(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     own, _, best = _grouped(docs, id_col, text_col, width, percent)
     alone = own.where("n_shingles = 0 and doc_id is not null").select("doc_id", "row").distinct()
     wanted = best.select("best.doc_id", "best.row").union(alone)
-    # a document's key has no null, so that rows of a key meet in the join and stay together for their count
-    key = [F.coalesce("doc_id", F.lit(0)).alias("k_"), F.xxhash64("row", F.col("doc_id").isNull()).alias("t_")]
-    name = docs.select("*", F.col(id_col).cast("long").alias("id_"), F.xxhash64(F.col(text_col).cast("string")).alias("row_"))
-    d = name.select(*docs.columns, F.coalesce("id_", F.lit(0)).alias("k_"), F.xxhash64("row_", F.col("id_").isNull()).alias("t_"))
-    kept = d.join(wanted.select(*key), ["k_", "t_"], "left_semi")
-    order = [c for c in docs.columns if c not in (id_col, text_col)] or [id_col]
-    kept = kept.withColumn("n_", F.row_number().over(Window.partitionBy("k_", "t_").orderBy(*order))).where("n_ = 1").select(*docs.columns)
-    solid = F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), " \t\n\x0b\x0c\r", "") != ""
-    return kept.union(docs.where(F.col(id_col).isNull() & ~solid))
+    # a document's key has no null, so that rows of a key meet in the join and stay together for their count; the row is one
+    # column, so that no name of its own can clash
+    key = lambda i, t: [F.coalesce(i, F.lit(0)).alias("k"), F.xxhash64(t, i.isNull()).alias("t")]
+    row = F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("r")
+    d = docs.select(row, docs[id_col].cast("long").alias("id"), F.xxhash64(docs[text_col].cast("string")).alias("h"), docs[text_col].cast("string").alias("s"))
+    d = d.select("r", "id", "s", *key(F.col("id"), F.col("h")))
+    kept = d.join(wanted.select(*key(F.col("doc_id"), F.col("row"))), ["k", "t"], "left_semi")
+    order = [F.col("r")[c] for c in docs.columns if c not in (id_col, text_col)] or [F.col("id")]
+    kept = kept.withColumn("n", F.row_number().over(Window.partitionBy("k", "t").orderBy(*order))).where("n = 1").select("r")
+    solid = F.translate(F.coalesce("s", F.lit("")), " \t\n\x0b\x0c\r", "") != ""
+    out = kept.union(d.where(F.col("id").isNull() & ~solid).select("r"))
+    return out.select(*[F.col("r")[c].alias(c) for c in docs.columns])

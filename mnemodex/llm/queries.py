@@ -47,7 +47,7 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
-    return chat.read_back(chat.chat_windows(c.unionByName(probe)))
+    return chat.read_back(chat.chat_windows(c.unionByName(probe), vocabulary()))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,7 +112,7 @@ l AS (SELECT source, unnest(ls) AS line FROM d),
 b AS (SELECT line FROM l WHERE trim(translate(line, chr(9) || chr(11) || chr(12) || chr(13), '    ')) <> '' GROUP BY line HAVING count(DISTINCT coalesce(source, chr(1))) >= 8),
 x AS (SELECT doc_id, text, ls, (SELECT list(line) FROM b) AS bad FROM d),
 k AS (SELECT doc_id, text, ls, list_filter(ls, lambda y: NOT coalesce(list_contains(bad, y), false)) AS kept FROM x),
-r AS (SELECT doc_id, text, ls, kept, length(text) - length(array_to_string(kept, chr(10))) <= 0.5 * length(text) AND len(kept) < len(ls) AS changed FROM k)
+r AS (SELECT doc_id, text, ls, kept, len(kept) < len(ls) AS changed FROM k)
 SELECT doc_id, CAST(coalesce(len(ls), 0) AS BIGINT) AS n_lines, CAST(CASE WHEN changed THEN len(ls) - len(kept) ELSE 0 END AS BIGINT) AS n_removed,
   md5(CASE WHEN changed THEN array_to_string(kept, chr(10)) ELSE coalesce(text, '') END) AS kept_md5
 FROM r""",

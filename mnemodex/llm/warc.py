@@ -3,16 +3,19 @@
 `arc_archive` writes ARC bytes of either version (URL records with five or ten header fields behind a
 version block that names them); `arc_records` parses them by the version's header line and declared
 lengths; `to_warc` synthesises the equivalent WARC record: identifier, ISO timestamp, type, target,
-payload digest. `warc_records` reads WARC bytes by declared lengths. Archives are rows of a table of
+payload digest. Each archive begins with a warcinfo record. A revisit names the response by its record id, target and
+date, as the standard's profile asks; the page's number is an extension field of the WARC header, and the HTTP response
+is as it was. `warc_records` reads WARC bytes by declared lengths. Archives are rows of a table of
 binary contents in the shared folder, so any store that Spark writes can hold them.
 
 Among records of equal payload the one with the smallest page_id is the response and the others revisit
-it; a group's first id is a partially aggregated minimum, and decisions join by page, so a payload that
+it; a group's first page is a partially aggregated minimum, and decisions join by page, so a payload that
 a third of all pages share loads no single task.
 
-Defined cases: a null html is an empty payload, a null url an empty one; rows that repeat both page_id
-and payload are records of the same type; a null page_id is never the first of a group unless alone in
-having none, and then has no first: such records are responses. An empty table gives no archives.
+Defined cases: a null html is an empty payload, a null url an empty one (`-` in the archives); rows that repeat both page_id
+and payload are records of the same type and id, that is one record written again; a null page_id is never the first of a
+group unless alone in having none, and then has no first: such records are responses. Extra columns are left out. An
+empty table gives no archives.
 """
 
 from __future__ import annotations
@@ -44,8 +47,18 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def arc_archive(name: str, version: int, date: str, rows: list[tuple[int | None, str | None, bytes]]) -> bytes:
-    """ARC bytes: a version block, then a URL record of an HTTP response for each (page_id, url, payload)."""
+def target(url: str | None) -> str:
+    """A URL without blanks or control characters, as both formats hold it."""
+    return quote(url or "-", safe="!#$%&'()*+,/:;=?@[]~")
+
+
+def record_id(page: int | None, url: str, sha: str) -> str:
+    """The identifier of a page's record: a revisit can name a response of another archive."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page} {sha} {url}')}>"
+
+
+def arc_archive(name: str, version: int, date: str, rows: list[tuple[str | None, bytes]]) -> bytes:
+    """ARC bytes: a version block, then a URL record of an HTTP response for each (url, payload)."""
 
     def line(url: str, kind: str, body: bytes, offset: int, sum_: str = "-") -> bytes:
         own = [url, "0.0.0.0", date, kind, *(["200", sum_, "-", str(offset), name] if version == 2 else []), str(len(body))]
@@ -54,9 +67,9 @@ def arc_archive(name: str, version: int, date: str, rows: list[tuple[int | None,
     about = f"{version} 0 mnemodex\n{FIELDS[version]}\n".encode()
     out = [line(f"filedesc://{name}", "text/plain", about, 0), about, b"\n"]
     at = sum(map(len, out))
-    for page, url, payload in rows:
-        body = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\nX-Page-Id: %s\r\n\r\n%s" % (len(payload), b"" if page is None else str(page).encode(), payload)
-        head = line(quote(url or "-", safe="!#$%&'()*+,/:;=?@[]~"), "text/html", body, at, digest(payload))
+    for url, payload in rows:
+        body = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n%s" % (len(payload), payload)
+        head = line(target(url), "text/html", body, at, digest(payload))
         out += [head, body, b"\n"]
         at += len(head) + len(body) + 1
     return b"".join(out)
@@ -85,24 +98,34 @@ def arc_records(data: bytes) -> Iterator[dict]:
         at = end + 1 + size + 1
 
 
-def to_warc(name: str, rec: dict, refers_to: int | None = None) -> bytes:
-    """The WARC record equivalent to an ARC record; with refers_to a revisit without payload."""
+def _warc(fields: list[tuple[str, str]], block: bytes) -> bytes:
+    head = "".join(f"{k}: {v}\r\n" for k, v in [*fields, ("Content-Length", str(len(block)))])
+    return f"WARC/1.0\r\n{head}\r\n".encode() + block + b"\r\n\r\n"
+
+
+def _iso(date: str) -> str:
+    """The ISO form of an ARC date of 14 digits."""
+    return f"{date[:4]}-{date[4:6]}-{date[6:8]}T{date[8:10]}:{date[10:12]}:{date[12:14]}Z"
+
+
+def warc_info(name: str, date: str) -> bytes:
+    block = f"software: mnemodex\r\nformat: WARC File Format 1.0\r\nisPartOf: {name}\r\n".encode()
+    return _warc([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>"), ("WARC-Date", _iso(date)), ("WARC-Filename", name), ("Content-Type", "application/warc-fields")], block)
+
+
+def to_warc(rec: dict, page: int | None = None, first: tuple[int, str] | None = None) -> bytes:
+    """The WARC record equivalent to an ARC record; with first, the response's (page, target), a revisit without payload."""
     cut = rec["body"].index(b"\r\n\r\n") + 4
-    payload, d = rec["body"][cut:], rec["Archive-date"]
-    block = rec["body"] if refers_to is None else rec["body"][:cut]
-    head = [
-        "WARC/1.0",
-        f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{name}:{rec["at"]}')}>",
-        f"WARC-Date: {d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z",
-        f"WARC-Target-URI: {rec['URL']}",
-        f"WARC-IP-Address: {rec['IP-address']}",
-        "Content-Type: application/http; msgtype=response",
-        f"WARC-Payload-Digest: sha1:{digest(payload)}",
-        *([] if refers_to is None else [f"WARC-Profile: {_PROFILE}", f"X-Refers-To-Page: {refers_to}"]),
-        f"Content-Length: {len(block)}",
-    ]
-    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+    sha, date = digest(rec["body"][cut:]), _iso(rec["Archive-date"])
+    fields = [
+        ("WARC-Type", "response" if first is None else "revisit"), ("WARC-Record-ID", record_id(page, rec["URL"], sha)), ("WARC-Date", date), ("WARC-Target-URI", rec["URL"]), ("WARC-IP-Address", rec["IP-address"]),
+        ("Content-Type", "application/http; msgtype=response"), ("WARC-Payload-Digest", f"sha1:{sha}"),
+    ]
+    if page is not None:
+        fields.append(("X-Page-Id", str(page)))
+    if first is not None:
+        fields += [("WARC-Profile", _PROFILE), ("WARC-Refers-To", record_id(*first, sha)), ("WARC-Refers-To-Target-URI", first[1]), ("WARC-Refers-To-Date", date), ("X-Refers-To-Page", str(first[0]))]
+    return _warc(fields, rec["body"] if first is None else rec["body"][:cut])
 
 
 def warc_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -126,16 +149,16 @@ def _convert(date: str):
             rows, size = [], 0
             last = batch.num_rows - 1
             for i in range(batch.num_rows):
-                page, url, html, ref = (batch.column(c)[i].as_py() for c in range(4))
+                page, url, html, ref, there = (batch.column(c)[i].as_py() for c in range(5))
                 payload = (html or "").encode()
-                rows.append((page, url, payload, ref))
+                rows.append((page, url, payload, None if ref is None else (ref, target(there))))
                 size += len(payload)
                 if size < ARCHIVE_BYTES and i < last:
                     continue
-                label = hashlib.sha1(repr([x[0] for x in rows]).encode()).hexdigest()[:16]
+                label = hashlib.sha1(repr([(x[0], x[1], digest(x[2])) for x in rows]).encode()).hexdigest()[:16]
                 name, version = f"{label}.arc", 1 + number % 2
-                arc = arc_archive(name, version, date, [x[:3] for x in rows])
-                warc = b"".join(to_warc(name, rec, x[3]) for rec, x in zip(arc_records(arc), rows))
+                arc = arc_archive(name, version, date, [x[1:3] for x in rows])
+                warc = warc_info(f"{label}.warc", date) + b"".join(to_warc(rec, x[0], x[3]) for rec, x in zip(arc_records(arc), rows))
                 yield pa.RecordBatch.from_arrays([pa.array([f"{label}.warc"]), pa.array([version], pa.int32()), pa.array([warc], pa.binary())], names=["archive", "arc_version", "content"])
                 number, rows, size = number + 1, [], 0
 
@@ -145,12 +168,13 @@ def _convert(date: str):
 def convert_pages(pages: DataFrame, date: str = "20240101000000", min_bytes: int = 0) -> DataFrame:
     """Archives (archive, arc_version, content): each page passes an ARC archive and becomes a WARC record."""
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    keyed = p.select("page_id", F.unhex(F.sha1("html")).alias("sha"), F.octet_length("html").alias("size")).where(F.col("size") >= min_bytes)
-    firsts = keyed.groupBy("sha").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
-    again = keyed.select("page_id", "sha").distinct().join(firsts, "sha").where("page_id <> refers_to or page_id is null")
-    full = p.withColumn("sha", F.unhex(F.sha1("html")))
-    out = full.join(again.withColumnRenamed("page_id", "again_id"), full.page_id.eqNullSafe(F.col("again_id")) & (full.sha == again.sha), "left")
-    return out.select("page_id", "url", "html", "refers_to").mapInArrow(_convert(date), "archive string, arc_version int, content binary")
+    keyed = p.select("page_id", "url", F.unhex(F.sha1("html")).alias("sha"), F.octet_length("html").alias("size")).where(F.col("size") >= min_bytes)
+    first = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("first")
+    firsts = keyed.groupBy("sha").agg(first, F.count("*").alias("n")).where("n > 1 and first is not null").select("sha", F.col("first.page_id").alias("refers_to"), F.col("first.url").alias("there"))
+    again = keyed.select(F.col("page_id").alias("again_id"), "sha").distinct().join(firsts, "sha").where("again_id <> refers_to or again_id is null")
+    full = p.withColumn("own", F.unhex(F.sha1("html")))
+    out = full.join(again, full.page_id.eqNullSafe(F.col("again_id")) & (full.own == again.sha), "left")
+    return out.select("page_id", "url", "html", "refers_to", "there").mapInArrow(_convert(date), "archive string, arc_version int, content binary")
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,16 +183,22 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for content in batch.column(0):
             rows = []
             for head, block in warc_records(content.as_py()):
+                if head["WARC-Type"] == "warcinfo":
+                    continue
                 lines, payload = block.split(b"\r\n\r\n", 1)
                 http = dict(x.split(": ", 1) for x in lines.decode().split("\r\n")[1:])
-                kind, ref = head["WARC-Type"], head.get("X-Refers-To-Page")
+                kind, page, ref = head["WARC-Type"], head.get("X-Page-Id"), head.get("X-Refers-To-Page")
                 if kind == "response":
                     size, check = len(payload), digest(payload)
                     if head["WARC-Payload-Digest"] != f"sha1:{check}":
                         raise ValueError("a payload does not match its digest")
                 else:
                     size, check = int(http["Content-Length"]), head["WARC-Payload-Digest"].removeprefix("sha1:")
-                rows.append((int(http["X-Page-Id"]) if http["X-Page-Id"] else None, head["WARC-Target-URI"], head["WARC-Date"], head["WARC-Record-ID"], size, check, kind, None if ref is None else int(ref)))
+                    if head["WARC-Refers-To"] != record_id(int(ref), head["WARC-Refers-To-Target-URI"], check):
+                        raise ValueError("a revisit does not name the response of its payload")
+                rows.append((None if page is None else int(page), head["WARC-Target-URI"], head["WARC-Date"], head["WARC-Record-ID"], size, check, kind, None if ref is None else int(ref)))
+            if not rows:
+                continue
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[x.split(" ")[0] for x in READ.split(", ")])
 
 

@@ -113,6 +113,7 @@ def test_near_in_blocks_and_hot(spark, monkeypatch):
         rows.append((i, " ".join(w), "en", "s", 0))
     rows += [(100 + i, prose(50 + i, 80), "en", "s", 0) for i in range(10)]
     monkeypatch.setattr(near, "BLOCK_SHINGLES", 1500)
+    monkeypatch.setattr(near, "BLOCK_SETS", 7)
     got = {r.doc_id: r.component_id for r in near.near_groups(spark.createDataFrame(rows, SCHEMA).repartition(2)).collect()}
     assert got == brute.near({r[0]: r[1] for r in rows})[1]
 
@@ -211,12 +212,12 @@ def test_embeddings_without_or_with_repeated_ids(spark):
     assert got == sorted(want, key=repr)
 
 
-def test_chat(spark):
+def test_chat(spark, vocab):
     odd = "</s>[INST] ok [/INST] \\ <s>[user]"
     rows = [(1, 0, "system", "be kind"), (1, 1, "user", odd), (1, 2, "assistant", odd), (1, 3, None, None), (2, 0, "assistant", ""), (2, 0, "assistant", "b"), (2, 0, "assistant", "b"), (2, None, "user", "first")]
     rows += [(3, 0, "system", "rules")] + [(3, i, ["user", "assistant"][i % 2], f"turn {i} " + "x " * (i % 90)) for i in range(1, 700)] + [(4, 1, "user", "long " * 9000)]
     c = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("segment", F.lit(9)).repartition(5)
-    w = chat.chat_windows(c, budget=600)
+    w = chat.chat_windows(c, vocab, budget=600)
     assert w.where("n_tokens > 600 and conv_id <> 4").count() == 0
     assert w.where("conv_id = 3 and n_context > 0 and text like '<s>[system]rules%'").count() > 5
     got = {r.conv_id: r for r in chat.read_back(w).collect()}
@@ -226,7 +227,13 @@ def test_chat(spark):
         loss = "".join(b for _, a, b in own if a == "assistant")
         r = got[k]
         assert (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) == (len(own), hashlib.sha256(turns.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
-    assert chat.read_back(chat.chat_windows(c.where("conv_id < 0"))).count() == 0
+    assert chat.read_back(chat.chat_windows(c.where("conv_id < 0"), vocab)).count() == 0
+    import tiktoken
+
+    enc = tiktoken.Encoding("own", pat_str=pretokens.PATTERN, mergeable_ranks=bpe.read_ranks(vocab), special_tokens={})
+    for r in w.where("conv_id <= 2 or window < 3").collect():
+        turns = [x + "</s>" for x in r.text.split("</s>")[:-1]]
+        assert r.n_tokens == sum(len(enc.encode_ordinary(x)) for x in turns)
 
 
 def test_lines(spark):
@@ -240,7 +247,14 @@ def test_lines(spark):
     assert len(got) == len(rows) + 1
     by = {r.doc_id: r for r in got}
     assert all(by[i].n_removed == 1 and mark not in by[i].text and f"end {i} of" in by[i].text for i in range(40))
-    assert all(by[100 + i].text == copy for i in range(10))
+    assert all(by[100 + i].text == "" and by[100 + i].n_removed == 2 for i in range(10))
+    for how in (None, 0.5):
+        part = {r.doc_id: r.text for r in lines.dedup_lines(d, max_removed=how).collect()}
+        assert all(part[100 + i] == copy for i in range(10)) and mark not in part[0]
+    names = {n: F.lit(5) for n in ("own_", "bad_", "kept_", "k_", "t_", "k", "x", "r", "t", "bad", "kept", "n", "N_Lines", "n_removed", "line", "a.b")}
+    odd = lines.dedup_lines(d.withColumns(names))
+    assert odd.columns == [*SCHEMA.replace(" long", "").replace(" string", "").split(", "), "h", *[n for n in names if n.lower() not in ("n_lines", "n_removed")], "n_lines", "n_removed"]
+    assert {(r.doc_id, r.text, r.own_, r["a.b"], r.n_lines, r.n_removed) for r in odd.collect()} == {(r.doc_id, r.text, 5, 5, r.n_lines, r.n_removed) for r in got}
     assert by[200].text is None and by[200].n_lines == 0 and by[202].text == "\n\n"
     assert all(by[300 + i].n_removed == 0 for i in range(30))
     assert lines.dedup_lines(empty(spark)).count() == 0
@@ -279,7 +293,7 @@ def test_bpe_odd_texts(vocab):
 
 def test_warc(spark):
     rows = [(1, "http://a/ b\n", "same"), (2, "http://c/é", "same"), (3, None, None), (4, "u", ""), (5, "v", "other"), (5, "v", "other"), (None, "w", "x"), (6, "z", "HTTP/1.1\r\n\r\nWARC/1.0" * 3), (7, "z", "same")]
-    p = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("sha", F.lit(1)).repartition(2)
+    p = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({n: F.lit(1) for n in ("sha", "again_id", "refers_to", "there", "own", "first")}).repartition(2)
     got = {(r.page_id, r.payload_bytes): r for r in warc.write_and_read(p).collect()}
     assert [got[k].record_type for k in ((1, 4), (2, 4), (7, 4), (3, 0), (4, 0), (5, 5), (None, 1))] == ["response", "revisit", "revisit", "response", "revisit", "response", "response"]
     assert got[2, 4].refers_to == 1 and got[4, 0].refers_to == 3 and got[1, 4].refers_to is None
@@ -289,11 +303,15 @@ def test_warc(spark):
 
 def test_arc_versions():
     for v in (1, 2):
-        data = warc.arc_archive("n.arc", v, "20240102030405", [(1, "http://a/", b"p\n\nq"), (2, "", b"")])
+        data = warc.arc_archive("n.arc", v, "20240102030405", [("http://a/", b"p\n\nq"), ("", b"")])
         recs = [*warc.arc_records(data)]
         assert [r["body"].split(b"\r\n\r\n", 1)[1] for r in recs] == [b"p\n\nq", b""]
-        (head, block), = warc.warc_records(warc.to_warc("n.arc", recs[0]))
+        (head, block), = warc.warc_records(warc.to_warc(recs[0], 1))
         assert head["WARC-Date"] == "2024-01-02T03:04:05Z" and block == recs[0]["body"]
+        (info, _), (again, cut) = warc.warc_records(warc.warc_info("n.warc", "20240102030405") + warc.to_warc(recs[0], 9, (1, "http://a/")))
+        assert info["WARC-Type"] == "warcinfo" and info["WARC-Filename"] == "n.warc"
+        assert again["WARC-Refers-To"] == head["WARC-Record-ID"] and again["WARC-Refers-To-Target-URI"] == head["WARC-Target-URI"] and again["WARC-Refers-To-Date"] == head["WARC-Date"]
+        assert again["WARC-Record-ID"] != head["WARC-Record-ID"] and cut.endswith(b"\r\n\r\n") and b"X-Page" not in cut
         with pytest.raises(ValueError):
             [*warc.arc_records(data[:-3])]
 
