@@ -131,3 +131,35 @@ def mixed(rows, block=64, seed=7):
             for i in owner[b * block : (b + 1) * block]:
                 out[i] += 1
     return out
+
+
+def token_counts(text, ranks, pattern):
+    """(pre-tokens, tokens, score) by a plain dynamic program over every split of every pre-token, with its own scores."""
+    import math
+
+    import regex
+
+    total = math.log(sum(1 / (r + 1) for r in ranks.values()))
+    cost = {t: round(1000 * math.log(r + 1)) + round(1000 * total) for t, r in ranks.items()}
+    out, longest = [0, 0, 0], max(map(len, cost))
+    for word in regex.findall(pattern, text or ""):
+        w = word.encode()
+        best = [(0, 0)]
+        for d in range(1, len(w) + 1):
+            best.append(min((best[a][0] + cost[w[a:d]], best[a][1] + 1) for a in range(max(0, d - longest), d) if w[a:d] in cost))
+        out = [out[0] + 1, out[1] + best[-1][1], out[2] - best[-1][0]]
+    return tuple(out)
+
+
+def boilerplate_free(rows, least=8):
+    """Texts of rows(text, source) without lines on `least` sources or more; one left without a line of its own stays."""
+    sites = defaultdict(set)
+    for text, source in rows:
+        for line in (text or "").split("\n"):
+            if line.encode().split():
+                sites[line].add(source)
+    out = []
+    for text, _ in rows:
+        kept = [x for x in (text or "").split("\n") if len(sites[x]) < least]
+        out.append("\n".join(kept) if text is not None and any(x.encode().split() for x in kept) else text)
+    return out

@@ -72,15 +72,59 @@ def test_suffix_array_and_prefixes():
 
 
 def test_token_counts(spark, docs, texts, vocab):
-    model = unigram.Unigram(unigram.piece_scores(bpe.read_ranks(vocab)))
-    import regex
-
+    ranks = bpe.read_ranks(vocab)
     for r in unigram.token_counts(docs, vocab).collect():
-        parts = [model.alone(x.encode()) for x in regex.findall(pretokens.PATTERN, texts[r.doc_id] or "")]
-        assert (r.n_pretokens, r.n_tokens, r.score) == (len(parts), sum(p[1] for p in parts), sum(p[0] for p in parts))
+        assert (r.n_pretokens, r.n_tokens, r.score) == brute.token_counts(texts[r.doc_id], ranks, pretokens.PATTERN), r.doc_id
     assert unigram.token_counts(empty(spark), vocab).count() == 0
 
 
+def test_token_counts_of_long_words(vocab):
+    r = random.Random(4)
+    ranks = bpe.read_ranks(vocab)
+    head = "".join(r.choice("abc") for _ in range(900))
+    words = [head + "x", head + "y" * 300, head, "a", "", head[:500], head + "x"] + ["".join(r.choice("ab") for _ in range(r.randint(1, 90))) for _ in range(50)]
+    model = unigram.Unigram(unigram.piece_scores(ranks))
+    best, count = model.forward([w.encode() for w in words])
+    assert [(int(n), int(x)) for x, n in zip(best, count)] == [brute.token_counts(w, ranks, r"(?s).+")[1:] for w in words]
+    few = unigram.Unigram({b"a": -1, b"ab": -5})
+    assert [x.tolist() for x in few.forward([b"ab", b"b", b"aa"])] == [[-5, unigram.LOW, -2], [1, 0, 2]]
+
+
+def thue_morse(n):
+    """A word over a and b, and its complement: polynomial hashes modulo powers of two cannot tell long ones apart."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_that_polynomial_hashes_confuse(spark, vocab):
+    x, y = thue_morse(2048)
+    tail = prose(1, 30)
+    texts = {1: x, 2: y, 3: f"{x}\n{y}\n{x}", 4: f"{x} {tail}", 5: f"{y} {tail}", 6: " ".join([x, y] * 6), 7: y + x, 8: f"{tail}\n{x[:2048]}\n{y[:2048]}"}
+    d = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in texts.items()], SCHEMA).repartition(3)
+    for r in quality.quality_rules(d).collect():
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == brute.quality(texts[r.doc_id])
+    sets, comp = brute.near(texts)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in near.near_groups(d).collect()} == {k: (len(sets[k]), comp[k]) for k in texts}
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.dedup_substrings(d).collect()} == brute.substrings(texts)
+    assert {r.doc_id: bytes(r.decoded).decode() for r in bpe.bpe(d, vocab).collect()} == texts
+    ranks = bpe.read_ranks(vocab)
+    assert {r.doc_id: (r.n_pretokens, r.n_tokens, r.score) for r in unigram.token_counts(d, vocab).collect()} == {k: brute.token_counts(t, ranks, pretokens.PATTERN) for k, t in texts.items()}
+
+
+def test_very_long_words_and_lines(spark, vocab):
+    r = random.Random(9)
+    word = "".join(r.choice("abcdefgh") for _ in range(1 << 20))
+    line = prose(2, 200_000)
+    texts = {1: word, 2: line, 3: word[:-1] + "z", 4: f"x {line}"}
+    d = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in texts.items()], SCHEMA)
+    q = {r.doc_id: r for r in quality.quality_rules(d).collect()}
+    assert [(q[k].n_words, q[k].word_chars) for k in texts] == [(1, 1 << 20), (200_000, len(line.replace(" ", ""))), (1, 1 << 20), (200_001, len(line.replace(" ", "")) + 1)]
+    t = {r.doc_id: r for r in unigram.token_counts(d, vocab).collect()}
+    assert t[1].n_pretokens == 1 and t[1].n_tokens > 1 << 18 and t[4].n_tokens >= t[2].n_tokens
+    s = {r.doc_id: r for r in substrings.dedup_substrings(d).collect()}
+    assert (s[1].n_removed, s[3].n_removed, s[3].n_spans) == (0, (1 << 20) - 1, 1) and s[4].n_removed >= len(line)
+
+
 def test_near(spark, docs, texts):
     sets, comp = brute.near(texts)
     got = {r.doc_id: r for r in near.near_groups(docs).collect()}
@@ -394,6 +438,22 @@ def test_shard_counts_are_multinomial(spark):
     assert s.count() == s.select("id").distinct().count() == 5000 and 0 < moved < 200
 
 
+def test_embeddings_unite_only_verified_pairs(spark):
+    """Vectors in a loose cloud, of cosines around 0.7, chain under coarse hashes: none may be united."""
+    r = np.random.default_rng(2)
+    middle = r.standard_normal(64)
+    v = middle / np.linalg.norm(middle) + 0.65 * r.standard_normal((3000, 64)) / 8
+    u = v / np.linalg.norm(v, axis=1)[:, None]
+    link = [(int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(u @ u.T >= 0.9, 1)))]
+    comp = brute.groups(range(3000), link)
+    assert 0.6 < np.median(u[:100] @ u[100:200].T) < 0.8
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>").repartition(3)
+    got = {x.vec_id: x.component_id for x in embed.embedding_groups(df).collect()}
+    sizes = np.unique([*got.values()], return_counts=True)[1]
+    assert sizes.max() <= np.unique([*comp.values()], return_counts=True)[1].max()
+    assert all(comp[got[i]] == comp[i] for i in range(3000))
+
+
 def test_components(spark):
     from mnemodex.llm import graph
 
