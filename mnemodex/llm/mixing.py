@@ -60,14 +60,14 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float
     return t.select("source", "source_size", F.when(found.isNull() | (F.col("stop") <= found["level"]), F.col("cap")).otherwise(F.col("weight") * found["level"]).alias("target"))
 
 
-def permute(x: Column, n: Column, key: Column) -> Column:
-    """A permutation of 0..n-1 keyed by a number: in each round a hash of the greater of x and its mirror image decides which of both goes on."""
-
-    def step(a: Column, r: Column) -> Column:
-        mirror = F.pmod(F.pmod(F.xxhash64(key, r), n) - a, n)
-        return F.when(F.xxhash64(key, F.greatest(a, mirror), r).bitwiseAND(F.lit(1)) == 1, mirror).otherwise(a)
-
-    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), x.cast("long"), step)
+def permute(df: DataFrame, x: str, n: str, key: str) -> DataFrame:
+    """The frame with column `x` mapped through a permutation of 0..n-1 keyed by a number: in each round a hash of the greater of x
+    and its mirror image decides which of both goes on. A round is a projection of its own, so all stay in generated code."""
+    rest = [c for c in df.columns if c != x]
+    for r in range(ROUNDS):
+        df = df.select(*rest, x, F.pmod(F.pmod(F.xxhash64(key, F.lit(r)), F.col(n)) - F.col(x), F.col(n)).alias("mirror"))
+        df = df.select(*rest, F.when(F.xxhash64(key, F.greatest(x, "mirror"), F.lit(r)).bitwiseAND(F.lit(1)) == 1, F.col("mirror")).otherwise(F.col(x)).alias(x))
+    return df
 
 
 def _bucket(place: Column, spread: int) -> Column:
@@ -173,7 +173,8 @@ def mix_numbered(docs: DataFrame, block: int = 64, shard_slots: int = 1024, seed
         none = "shard long, slot long, source string, pass int, doc_id long, row long, number long, first long, last long"
         return docs.sparkSession.createDataFrame([], none), sizes
     turn = F.floor(F.col("j") / F.col("blocks"))
-    slots = slots.withColumn("pass", turn).withColumn("block", permute(F.col("j") % F.col("blocks"), F.col("blocks"), F.xxhash64(F.lit(seed), "src", "pass")))
+    slots = slots.withColumn("pass", turn).select("shard", "slot", "src", "blocks", "pass", F.xxhash64(F.lit(seed), "src", "pass").alias("key"), (F.col("j") % F.col("blocks")).alias("block"))
+    slots = permute(slots, "block", "blocks", "key").drop("key", "blocks")
     packed = pack(d).where("size > 0")
     pieces = packed.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))))
     pieces = pieces.withColumn("first", F.greatest(F.lit(0), F.col("block") * block - F.col("start"))).withColumn("last", F.least(F.col("size"), (F.col("block") + 1) * block - F.col("start")))

@@ -417,7 +417,8 @@ def test_mixing_against_a_plain_loop(spark, docs):
 
 def test_permutation(spark):
     for n in (1, 2, 3, 7, 64, 1000):
-        d = spark.range(n).select("id", mixing.permute(F.col("id"), F.lit(n).cast("long"), F.xxhash64(F.lit(7), F.lit("s"), F.lit(0).cast("long"))).alias("x"))
+        d = spark.range(n).select("id", F.col("id").alias("x"), F.lit(n).cast("long").alias("n"), F.xxhash64(F.lit(7), F.lit("s"), F.lit(0).cast("long")).alias("key"))
+        d = mixing.permute(d, "x", "n", "key")
         got = [r.x for r in d.orderBy("id").collect()]
         assert sorted(got) == list(range(n)) and got == [brute.permuted(i, n, brute.xx(7, "s", ("long", 0))) for i in range(n)]
     steps = [(b - a) % 1000 for a, b in zip(got, got[1:])]
