@@ -92,7 +92,7 @@ def xx(*values):
     return h - (1 << 64) if h >> 63 else h
 
 
-def permuted(x, n, key, rounds=32):
+def permuted(x, n, key, rounds=16):
     long = lambda v: ("long", v)
     for r in range(rounds):
         other = (xx(long(key), r) % n - x) % n
