@@ -62,7 +62,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", site: str = "source", t
     """
     found = boilerplate(docs, site, text, min_sites, sketch, margin)
     # the row is one column, so that no name of its own can clash
-    d = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("r"), docs[id_col].alias("k"), docs[text].cast("string").alias("t")).withColumn("x", F.xxhash64("t"))
+    d = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns if c != text]).alias("r"), docs[id_col].alias("k"), docs[text].cast("string").alias("t")).withColumn("x", F.xxhash64("t"))
     mine = d.select("k", "x", F.explode(F.split("t", "\n")).alias("line")).where(_solid(F.col("line"))).select("k", "x", _hash(F.col("line")).alias("h"))
     bad = mine.join(found, "h", "left_semi").groupBy("k", "x").agg(F.collect_set("h").alias("bad")).select(F.col("k").alias("bk"), F.col("x").alias("bx"), "bad")
     d = d.join(bad, F.col("k").eqNullSafe(F.col("bk")) & (F.col("x") == F.col("bx")), "left")
