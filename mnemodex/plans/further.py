@@ -331,3 +331,44 @@ def session_validation(spark, sf):
     s = S.sessions(spark, sf).withColumn("summary", F.lit("")).withColumn("parent", F.when(~((F.col("kind") == "subagent") & (F.col("id") % 2 == 0)), F.coalesce("parent", F.lit(0).cast("long"))))
     chunk = lambda seq: F.struct(seq.alias("seq"), F.col("messages").alias("n"))
     return listing.session_problem(s.withColumn("chunks", F.array(chunk(F.when(F.col("id") % 5 == 2, 1).otherwise(0))))).select("id", "problem")
+
+
+@query("""WITH d AS (SELECT *, epoch_ms(1704067200123 + doc_id * 1000) AS ts, substr(text, 1, 40) AS head FROM documents WHERE text IS NOT NULL)
+SELECT doc_id AS id, lower(lang) || ',' || lower(source) AS tags, strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ') AS written, 1704067200123 + doc_id * 1000 AS millis, doc_id % 2 = 0 AS valid, CASE WHEN doc_id % 3 <> 0 THEN source END AS opened,
+ CASE WHEN length(head) > 20 THEN substr(head, 1, 19) || '…' ELSE head END AS clipped, CAST(least(greatest(doc_id / 10, 1), 60) AS DOUBLE) AS tick, source || chr(10) || lang || chr(10) || lang || chr(10) || source AS lexical FROM d""")
+def scalar_functions_3(spark, sf):
+    d = S.table(spark, sf, "documents").where("text is not null")
+    id_, lang, source = F.col("doc_id"), F.col("lang"), F.col("source")
+    ms = id_ * 1000 + 1_704_067_200_123
+    at = T.format_time(F.timestamp_millis(ms))
+    sealed = T.seal(source.cast("binary"), "0123456789abcdef")
+    opened = F.when(id_ % 3 != 0, T.open_sealed(sealed, "0123456789abcdef")).otherwise(T.open_sealed(sealed, "fedcba9876543210"))
+    return d.select(
+        id_.alias("id"), F.array_join(T.normalize_tags(F.array(F.upper(lang), F.concat(F.lit(" "), source), F.lit(" "), lang)), ",").alias("tags"), at.alias("written"), F.unix_millis(T.parse_time(at)).alias("millis"),
+        T.valid_id(F.when(id_ % 2 == 0, F.md5("text")).otherwise(F.substring(F.md5("text"), 2, 40))).alias("valid"), opened.cast("string").alias("opened"), T.clip_title(F.substring("text", 1, 40), 20).alias("clipped"),
+        T.flush_tick(id_.cast("double")).alias("tick"), T.lexical_text(source, lang, F.array(lang), F.array(source)).alias("lexical"),
+    )
+
+
+@query("""SELECT event_id AS id, CASE event_type WHEN 'click' THEN coalesce(props, '') WHEN 'error' THEN '[tool call n ' || user_id || ']' WHEN 'purchase' THEN '[tool result ' || user_id || '] ' || coalesce(props, '') ELSE '[image]' END AS part,
+ CASE WHEN event_id % 5 > 0 THEN '' WHEN user_id % 2 = 0 THEN 'the cursor is past the last record' WHEN user_id % 3 = 0 THEN 'the filters match nothing' ELSE 'nothing is stored yet' END AS browse,
+ CASE WHEN event_id % 5 > 0 THEN '' WHEN event_id % 7 > 0 THEN 'no further results' WHEN user_id % 2 = 0 THEN 'nothing is stored yet' WHEN user_id % 3 = 0 THEN 'every candidate is outside the scope' WHEN user_id % 5 = 0 THEN 'every candidate is superseded' ELSE 'nothing matched' END AS recalled,
+ CASE WHEN user_id % 4 > 0 AND event_id % 3 = 0 THEN (user_id % 4) || ' near duplicates; every tag is common' WHEN user_id % 4 > 0 THEN (user_id % 4) || ' near duplicates' WHEN event_id % 3 = 0 THEN 'every tag is common' ELSE '' END AS advice,
+ CASE WHEN event_id % 2 = 0 THEN 'a..b' ELSE 'a' END AS span FROM events""")
+def texts_of_answers(spark, sf):
+    e = S.table(spark, sf, "events")
+    id_, user = F.col("event_id"), F.col("user_id")
+    on = lambda c, n: F.when(c % n == 0, 1).otherwise(0)
+    kind = F.when(F.col("event_type") == "click", "text").when(F.col("event_type") == "error", "tool_call").when(F.col("event_type") == "purchase", "tool_result").otherwise("image")
+    span = T.parse_span(F.when(id_ % 2 == 0, " a .. b").otherwise("a.."))
+    return e.select(
+        id_.alias("id"), T.part_text(kind, F.col("props"), F.lit("n"), user.cast("string")).alias("part"), listing.browse_hint(id_ % 5, on(user, 2), on(user, 3), True).alias("browse"),
+        retrieval.recall_hint(id_ % 5, id_ % 7, on(user, 3), 1 - on(user, 2), on(user, 5)).alias("recalled"), listing.write_advice(user % 4, F.lit(2), F.when(id_ % 3 == 0, 2).otherwise(3)).alias("advice"), T.format_span(span["first"], span["last"]).alias("span"),
+    )
+
+
+@query(f"WITH {S.TURNS}, b AS (SELECT session, pos, CASE WHEN pos % 2 = 0 THEN 'result' ELSE 'call' END AS x FROM turns) SELECT session, pos, 0 AS at, '0' AS path, 'text' AS type FROM b UNION ALL SELECT session, pos, 1, '1', 'tool_' || x FROM b UNION ALL SELECT session, pos, 2, '1.0', 'text' FROM b WHERE pos % 2 = 0")
+def nested_parts(spark, sf):
+    t = S.turns(spark, sf)
+    flat = F.when(F.col("pos") % 2 == 0, F.lit('[{"type":"text","text":"a"},{"type":"tool_result","call_id":"c","content":[{"type":"text","text":"in"}]}]')).otherwise(F.lit('[{"type":"text","text":"a"},{"type":"tool_call","call_id":"c","name":"n"}]'))
+    return transcripts.walk_parts(t.withColumn("parts", flat)).select("session", "pos", "at", F.array_join(F.transform("path", lambda x: x.cast("string")), ".").alias("path"), "type")
