@@ -60,13 +60,15 @@ def catalog_counts(folded: DataFrame, deleted: str = "deleted") -> DataFrame:
     return folded.agg(F.count_if(~d).alias("live"), F.count("*").alias("named"), F.count_if(d).alias("dropped"))
 
 
-def feed_counters(events: DataFrame, key: str, order: str, deleted, readable) -> DataFrame:
-    """A change feed's fold as one row: events, unreadable, deleted, superseded, live. Later events of a key win; unreadable ones drop out."""
+def feed_counters(events: DataFrame, key: str, order: str, deleted, readable, page: int = 0) -> DataFrame:
+    """A change feed's fold as one row: events, unreadable, deleted, superseded, live. Later events of a key win; unreadable ones drop out.
+    With the rows of a page, also `pages`, the number of full or short ones read."""
     e = events.withColumn("bad_", ~readable).withColumn("gone_", deleted)
     ok = e.where(~F.col("bad_"))
     f = ok.groupBy(key).agg(F.max_by("gone_", order).alias("gone"), F.count("*").alias("n"))
     a = f.agg(F.count_if("gone").alias("deleted"), F.sum(F.col("n") - 1).alias("superseded"), F.count_if(~F.col("gone")).alias("live"))
-    return e.agg(F.count("*").alias("events"), F.count_if("bad_").alias("unreadable")).crossJoin(a)  # one row each
+    pages = [F.ceil(F.count("*") / page).alias("pages")] if page else []
+    return e.agg(F.count("*").alias("events"), F.count_if("bad_").alias("unreadable"), *pages).crossJoin(a)  # one row each
 
 
 def first_created(writes: DataFrame, key: str, order: str, created: str) -> DataFrame:

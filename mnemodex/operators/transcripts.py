@@ -229,3 +229,61 @@ def import_census(lines: DataFrame) -> DataFrame:
     j = F.from_json("value", "type string, uuid string, sessionId string, message struct<role:string>")
     outcome = F.when(F.col("j.sessionId").isNull(), "refused").when(~F.coalesce(F.col("j.message.role").isin(*C.ROLES), F.lit(False)), "diverged").otherwise("rebuilt")
     return lines.select(j.alias("j")).groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n"))
+
+
+def message_problems(messages: DataFrame) -> DataFrame:
+    """messages(session, pos, id, role, parts: JSON array) with `problem`: the first rule broken, or null; a tool part needs
+    a call id at any depth."""
+    at = ["session", "pos"]
+    walked = walk_parts(messages).groupBy(*at).agg(F.count_if(F.size("path") == 1).alias("n_"), F.count_if(F.col("type").isin("tool_call", "tool_result") & (F.trim(F.coalesce("call_id", F.lit(""))) == "")).alias("bad_"))
+    n = F.coalesce("n_", F.lit(0))
+    problem = (
+        F.when(F.trim(F.coalesce("id", F.lit(""))) == "", "missing id").when(F.octet_length("id") > C.MESSAGE_ID_MAX, "id too long").when(~F.coalesce(F.col("role").isin(*C.ROLES), F.lit(False)), "unknown role")
+        .when(n == 0, "no parts").when(n > C.PARTS_MAX, "too many parts").when(F.coalesce("bad_", F.lit(0)) > 0, "tool part without call id")
+    )
+    return messages.join(walked, at, "left").withColumn("problem", problem).drop("n_", "bad_")
+
+
+def framing(turns: DataFrame, heads: DataFrame) -> DataFrame:
+    """(session, turns, dated, span): when a conversation of turns(session, pos, created) took place, as far as its turns say.
+
+    `both` ends dated give a span; `some` turns give bounds, as an undated end lies before or after the nearest dated
+    turn; with `none` the time at which the head(id, updated_at) was stored last bounds it, if there is one.
+    """
+    is_dated = F.col("created").isNotNull()
+    a = turns.groupBy("session").agg(
+        F.count("*").alias("turns"), F.min("pos").alias("p0"), F.max("pos").alias("p1"), F.min(F.when(is_dated, F.col("pos"))).alias("d0"), F.max(F.when(is_dated, F.col("pos"))).alias("d1"),
+        F.min_by("created", F.when(is_dated, F.col("pos"))).alias("first"), F.max_by("created", F.when(is_dated, F.col("pos"))).alias("last"),
+    )
+    a = a.join(heads.select(F.col("id").alias("session"), "updated_at"), "session", "left")
+    say = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    c = F.col
+    began, ended = F.when(c("d0") > c("p0"), "before ").otherwise("at "), F.when(c("d1") < c("p1"), "after ").otherwise("at ")
+    kind = F.when(c("d0").isNull(), "none").when((c("d0") == c("p0")) & (c("d1") == c("p1")), "both").otherwise("some")
+    span = (
+        F.when(kind == "both", say("from ", c("first"), " to ", c("last"))).when(kind == "some", say("began ", began, c("first"), ", ended ", ended, c("last")))
+        .otherwise(F.coalesce(say("no later than ", c("updated_at")), F.lit("")))
+    )
+    return a.select("session", "turns", kind.alias("dated"), span.alias("span"))
+
+
+def save_sessions(heads: DataFrame, saves: DataFrame, turns: DataFrame, target: int = C.CHUNK_TARGET_BYTES) -> tuple[DataFrame, DataFrame]:
+    """Appends to conversations: (heads, chunks) after saves(id, expect), one a conversation, of new turns(session, pos, id, bytes).
+
+    heads(id, version, chunks, messages); a save is accepted iff it expects the stored version (0 where there is none): the head
+    then counts the new chunks and turns, one version on. Heads come back with `outcome` (accepted, stale, not_found, or null
+    where nothing was saved). Chunks (session, seq, first, last, n, bytes) follow the stored ones; those of a refused
+    save are marked `withdrawn`. Repeated saves of one conversation in a batch go through `logs.head_cas` first.
+    """
+    none = F.lit(0).cast("long")
+    s = saves.select("id", "expect").join(heads, "id", "left").withColumn("now_", F.coalesce("version", none))
+    verdict = F.when(F.col("expect") == F.col("now_"), "accepted").when(F.col("version").isNull(), "not_found").otherwise("stale")
+    s = s.select("id", verdict.alias("outcome"), F.coalesce("chunks", none).alias("stored_"))
+    numbers = chunk_numbers(turns, target=target).select("session", "pos", "chunk")
+    refs = chunk_refs(turns.join(numbers, ["session", "pos"])).join(s.withColumnRenamed("id", "session"), "session")
+    refs = refs.select("session", (F.col("seq") + F.col("stored_")).alias("seq"), "first", "last", "n", "bytes", (F.col("outcome") != "accepted").alias("withdrawn"))
+    added = refs.where(~F.col("withdrawn")).groupBy(F.col("session").alias("id")).agg(F.count("*").alias("c_"), F.sum("n").alias("m_"))
+    h = heads.join(s.drop("stored_"), "id", "full_outer").join(added, "id", "left").where("version is not null or outcome = 'accepted'")
+    step = F.when(F.col("outcome") == "accepted", 1).otherwise(0)
+    grown = [(F.coalesce(c, none) + F.coalesce(n, none)).alias(c) for c, n in (("chunks", "c_"), ("messages", "m_"))]
+    return h.select("id", (F.coalesce("version", none) + step).alias("version"), *grown, "outcome"), refs

@@ -114,18 +114,32 @@ def decode_entry(body: bytes) -> tuple[str, bytes, list[float]]:
     return model, id_, list(struct.unpack_from(f"<{dim}f", body, 20 + n))
 
 
+def holds_whole_record(blob: bytes, start: int = 0) -> bool:
+    """Whether a vector record begins at any place from `start` on, as a damaged length does not tell where the next one is."""
+    for at in range(start, len(blob) - 23):
+        n = struct.unpack_from("<I", blob, at)[0]
+        if 20 <= n <= len(blob) - at - 4:
+            try:
+                decode_entry(blob[at + 4 : at + 4 + n])
+                return True
+            except (ValueError, struct.error, UnicodeDecodeError):
+                continue
+    return False
+
+
 def read_vector_log(blob: bytes, delta: bool) -> tuple[list[tuple[str, bytes, list[float]]], int, bool]:
     """(entries, damaged, interrupted): a bad record of good length is skipped, an impossible length loses the rest;
-    what is wrong with the very end of a delta is an interrupted append and no damage."""
+    what is wrong with the very end of a delta is an interrupted append and no damage, unless a whole record lies in it."""
     out, damaged, at = [], 0, 0
     while at < len(blob):
         if at + 4 > len(blob) or at + 4 + struct.unpack_from("<I", blob, at)[0] > len(blob):
-            return out, damaged + (not delta), delta
+            cut = delta and not holds_whole_record(blob, at + 1)
+            return out, damaged + (not cut), cut
         n = struct.unpack_from("<I", blob, at)[0]
         try:
             out.append(decode_entry(blob[at + 4 : at + 4 + n]))
         except (ValueError, struct.error, UnicodeDecodeError):
-            if delta and at + 4 + n == len(blob):
+            if delta and at + 4 + n == len(blob) and not holds_whole_record(blob, at + 1):
                 return out, damaged, True
             damaged += 1
         at += 4 + n

@@ -14,10 +14,13 @@ from ..operators import logs
 
 
 class Versioned:
-    """Base and delta of a log under `root`. The newest pointer row names the base and the deltas that count."""
+    """Base and delta of a log under `root`. The newest pointer row names the base and the deltas that count.
 
-    def __init__(self, spark: SparkSession, root: str, schema: str, key: str = "id", order: str = "seq"):
-        self.spark, self.root, self.schema, self.key, self.order = spark, root.rstrip("/"), schema, key, order
+    `keep` says which of the last rows a compaction keeps; appends compact when the delta has outgrown its base.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, schema: str, key: str = "id", order: str = "seq", keep=None):
+        self.spark, self.root, self.schema, self.key, self.order, self.keep = spark, root.rstrip("/"), schema, key, order, keep
 
     def _pointer(self) -> tuple[int, list[str]]:
         from pyspark.errors import AnalysisException
@@ -37,6 +40,30 @@ class Versioned:
         part = f"{self.root}/part-{uuid.uuid4().hex}"
         rows.write.parquet(part)
         self._point(version + 1, [*parts, part])
+        base, delta = self._sizes([*parts, part])
+        if logs.due_for_compaction(delta, base):
+            self.compact(self.keep)
+
+    def _bytes(self, parts: list[str]) -> int:
+        """Stored bytes, from file listings: contents are not read."""
+        if not parts:
+            return 0
+        files = self.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(parts)
+        return files.agg(F.sum("length")).first()[0] or 0
+
+    def _sizes(self, parts: list[str]) -> tuple[int, int]:
+        base = [p for p in parts if "/base-" in p]
+        return self._bytes(base), self._bytes([p for p in parts if p not in base])
+
+    def stats(self) -> dict[str, int]:
+        """version, base_bytes and delta_bytes of the current version, bytes_written by all versions, compactions."""
+        version, parts = self._pointer()
+        if not version:
+            return dict.fromkeys(("version", "base_bytes", "delta_bytes", "bytes_written", "compactions"), 0)
+        base, delta = self._sizes(parts)
+        rows = self.spark.read.schema("version long, parts array<string>").parquet(f"{self.root}/pointer")
+        ever = [r.p for r in rows.select(F.explode("parts").alias("p")).distinct().collect()]  # one name for each write
+        return {"version": version, "base_bytes": base, "delta_bytes": delta, "bytes_written": self._bytes(ever), "compactions": sum("/base-" in p for p in ever)}
 
     def read(self) -> DataFrame:
         """All rows of the current version; a reader keeps its version while writers go on."""
