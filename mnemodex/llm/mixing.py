@@ -60,14 +60,24 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float
     return t.select("source", "source_size", F.when(found.isNull() | (F.col("stop") <= found["level"]), F.col("cap")).otherwise(F.col("weight") * found["level"]).alias("target"))
 
 
-def permute(x: Column, n: Column, key: Column) -> Column:
-    """A permutation of 0..n-1 keyed by a number: in each round a hash of the greater of x and its mirror image decides which of both goes on."""
+def round_keys(n: Column, key: Column) -> Column:
+    """What `permute` adds in each round, and the round."""
+    return F.array(*[F.struct(F.pmod(F.xxhash64(key, F.lit(r)), n).alias("add"), F.lit(r).alias("round")) for r in range(ROUNDS)])
 
-    def step(a: Column, r: Column) -> Column:
-        mirror = F.pmod(F.pmod(F.xxhash64(key, r), n) - a, n)
-        return F.when(F.xxhash64(key, F.greatest(a, mirror), r).bitwiseAND(F.lit(1)) == 1, mirror).otherwise(a)
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), x.cast("long"), step)
+def permute(x: Column, n: Column, key: Column, keys: Column | None = None) -> Column:
+    """A permutation of 0..n-1 keyed by a number: in each round a hash of the greater of x and its mirror image decides which of both goes on.
+
+    keys: `round_keys` of n and key, as a column, so that generated code makes them once a row.
+    """
+    keys = round_keys(n, key) if keys is None else keys
+
+    def step(a: Column, k: Column) -> Column:
+        mirror = F.pmod(k["add"] - a, n)
+        return F.when(F.xxhash64(key, F.greatest(a, mirror), k["round"]).bitwiseAND(F.lit(1)) == 1, mirror).otherwise(a)
+
+    # never null; said so, as a join would else test it for null and compute it twice
+    return F.coalesce(F.aggregate(keys, x.cast("long"), step), F.lit(0).cast("long"))
 
 
 def _bucket(place: Column, spread: int) -> Column:
@@ -173,7 +183,9 @@ def mix_numbered(docs: DataFrame, block: int = 64, shard_slots: int = 1024, seed
         none = "shard long, slot long, source string, pass int, doc_id long, row long, number long, first long, last long"
         return docs.sparkSession.createDataFrame([], none), sizes
     turn = F.floor(F.col("j") / F.col("blocks"))
-    slots = slots.withColumn("pass", turn).withColumn("block", permute(F.col("j") % F.col("blocks"), F.col("blocks"), F.xxhash64(F.lit(seed), "src", "pass")))
+    # each step's columns are read more than once by the next one, so the planner keeps the steps apart
+    slots = slots.withColumn("pass", turn).withColumn("key", F.xxhash64(F.lit(seed), "src", "pass")).withColumn("keys", round_keys(F.col("blocks"), F.col("key")))
+    slots = slots.withColumn("block", permute(F.col("j") % F.col("blocks"), F.col("blocks"), F.col("key"), F.col("keys"))).drop("key", "keys")
     packed = pack(d).where("size > 0")
     pieces = packed.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))))
     pieces = pieces.withColumn("first", F.greatest(F.lit(0), F.col("block") * block - F.col("start"))).withColumn("last", F.least(F.col("size"), (F.col("block") + 1) * block - F.col("start")))
