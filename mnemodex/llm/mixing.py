@@ -26,16 +26,19 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: Fixed value: a word.
+#: A word, and the characters between words.
 WORD = r"[^\x20\x09-\x0D]+"
+SPACE = " \t\n\x0b\x0c\r"
 #: Rows of a bucket in which running counts are taken, cells of a stretch, slots of a cell, rounds of a permutation.
 BUCKET_ROWS, STRETCH, CELL, ROUNDS = 4096, 65536, 64, 16
 
 
 def n_words(text: Column) -> Column:
     """Words of a text: split at single characters of white space, without the empty pieces."""
-    pieces = F.split(F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\x0c\r", "     "), " ")
-    return F.size(F.array_remove(pieces, "")).cast("long")
+    spaced = F.coalesce(text, F.lit(""))
+    for c in SPACE[1:]:  # replaces bytes, where translate would look up each character
+        spaced = F.replace(spaced, F.lit(c), F.lit(SPACE[0]))
+    return F.size(F.array_remove(F.split(spaced, SPACE[0]), "")).cast("long")
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -214,10 +217,12 @@ def mixed_documents(docs: DataFrame, columns: list[str], **how) -> DataFrame:
     """
     d = numbered(docs, columns)
     spans, _ = mix_numbered(d, **how)
-    used = spans.groupBy("number", "pass").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("spans")).withColumnRenamed("number", "number_")
-    d = d.select("number", "own").join(used, F.col("number") == F.col("number_")).select("own.*", F.col("spans").alias("spans_"))
+    part = F.struct("first", "last")
+    used = spans.groupBy("number", "pass").agg(F.array_sort(F.collect_list(part)).alias("spans_"), F.sum(F.col("last") - F.col("first")).alias("sum_")).withColumnRenamed("number", "number_")
+    d = d.select("number", "size", "own").join(used, F.col("number") == F.col("number_")).select("own.*", "spans_", (F.col("sum_") == F.col("size")).alias("whole_"))
     words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     # the words are bound once by the outer transform; as a column the optimizer would copy their extraction into every slice
     cut = F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.transform("spans_", lambda s: F.slice(w, (s["first"] + 1).cast("int"), (s["last"] - s["first"]).cast("int")))), ""))
-    text = F.get(cut, F.lit(0))
+    # a pass's spans do not overlap, so one that takes as many words as there are takes them all
+    text = F.when(F.col("whole_"), F.rtrim("text", F.lit(SPACE))).otherwise(F.get(cut, F.lit(0)))
     return d.withColumn("text", text).select(*columns)
