@@ -26,9 +26,9 @@ SNIPPET_BYTES, TITLE_RUNES = 320, 72
 RESUME_TURNS, RESUME_MAX, RESUME_CHOICES = 30, 100, 15
 MODEL_DIM = 384
 TYPES = ("fact", "preference", "insight", "doc", "profile", "correction")
-MESSAGE_ID_MAX, PARTS_MAX = 256, 1024
 ROLES = ("user", "assistant", "system", "tool")
 KINDS = ("memory", "session", "chunk")
+MESSAGE_SCHEMA = "mnemodex/v1"
 SESSION_KINDS = ("main", "subagent", "background")
 #: Worst last.
 ORIGINS = ("chunk", "derived", "observed", "reverse", "synthesised", "lost")

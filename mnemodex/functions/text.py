@@ -145,7 +145,13 @@ def query_stamp(x: Column) -> Column:
 
 
 def clip_title(x: Column, width: int) -> Column:
-    return F.when(F.length(x) > width, F.concat(F.substring(x, 1, width - 1), F.lit("…"))).otherwise(x)
+    """At most `width` characters, the mark of the cut included; cut at the last blank of the second half, if it has one."""
+    flat = trimmed(F.regexp_replace(x, f"{_SPACE}+", " "))
+    head = F.substring(flat, 1, width)
+    # the last blank among the first `width` characters, if it lies beyond the middle
+    blank = width - F.instr(F.reverse(head), " ") + 1
+    at = F.when((F.instr(head, " ") > 0) & (blank - 1 >= width // 2), blank - 1).otherwise(width - 1)
+    return F.when(F.length(flat) > width, F.concat(F.trim(F.substring(flat, F.lit(1), at)), F.lit("…"))).otherwise(flat)
 
 
 def saturating_minus(a: Column, b: Column) -> Column:
@@ -157,16 +163,6 @@ def flush_tick(shortest: Column) -> Column:
     return F.least(F.greatest(shortest / 10, F.lit(1.0)), F.lit(60.0))
 
 
-def part_text(part_type: Column, text: Column, name: Column, call_id: Column) -> Column:
-    """A transcript part as text, by its type."""
-    return (
-        F.when(part_type.isin("text", "thinking"), F.coalesce(text, F.lit("")))
-        .when(part_type == "tool_call", F.concat(F.lit("[tool call "), F.coalesce(name, F.lit("")), F.lit(" "), F.coalesce(call_id, F.lit("")), F.lit("]")))
-        .when(part_type == "tool_result", F.concat(F.lit("[tool result "), F.coalesce(call_id, F.lit("")), F.lit("] "), F.coalesce(text, F.lit(""))))
-        .otherwise(F.concat(F.lit("["), part_type, F.lit("]")))
-    )
-
-
 def seal(body: Column, key: str) -> Column:
     return F.aes_encrypt(body, F.lit(key), F.lit("GCM"))
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
+from ..functions import text as T
 
 
 def tag_rows(records: DataFrame) -> DataFrame:
@@ -140,14 +141,13 @@ def labels(ids: DataFrame, sessions: DataFrame, memories: DataFrame) -> DataFram
 
 
 def first_failing_rule(memories: DataFrame) -> DataFrame:
-    """memories with `problem`: the first rule of the record format that a row breaks, or null."""
-    c = F.col
+    """memories with `problem`: the first rule of the record format that a row breaks, or null. kind and schema_version are judged where they are columns."""
+    c, no, tag = F.col, F.lit(False), tag_problem(F.col("tags"))
     rules = [
-        (c("id").isNull(), "missing id"), (c("created_at").isNull(), "missing created_at"), (c("type").isNull(), "missing type"),
+        (c("id").isNull(), "missing id"), (~c("kind").eqNullSafe("memory") if "kind" in memories.columns else no, "unknown kind"), (F.coalesce("schema_version", F.lit(0)) <= 0 if "schema_version" in memories.columns else no, "missing schema version"), (c("created_at").isNull(), "missing created_at"), (c("type").isNull(), "missing type"),
         (~c("type").isin(*C.TYPES), "unknown type"), (F.coalesce(F.trim("statement"), F.lit("")) == "", "empty statement"), (F.coalesce(F.trim("context"), F.lit("")) == "", "empty context"),
         (F.octet_length("statement") > C.STATEMENT_MAX, "statement too long"), (F.octet_length("context") > C.CONTEXT_MAX, "context too long"),
-        (F.size("tags") > C.TAGS_MAX, "too many tags"), (F.exists("tags", lambda t: F.octet_length(t) > C.TAG_BYTES_MAX), "tag too long"),
-        (~c("importance").between(0, 1), "importance out of range"), (~c("confidence").between(0, 1), "confidence out of range"), (c("valid_until") < c("valid_from"), "validity ends before it starts"),
+        *[(tag == name, name) for name in ("too many tags", "empty tag", "tag too long")], (~c("importance").between(0, 1), "importance out of range"), (~c("confidence").between(0, 1), "confidence out of range"), (c("valid_until") < c("valid_from"), "validity ends before it starts"),
     ]
     return memories.withColumn("problem", F.coalesce(*[F.when(F.coalesce(cond, F.lit(False)), F.lit(name)) for cond, name in rules]))
 
@@ -170,9 +170,18 @@ def recent_conversations(sessions: DataFrame, n: int = C.RESUME_CHOICES) -> Data
     return sessions.orderBy(F.desc_nulls_last("updated_at"), "id").limit(n).select("id", "title", "updated_at")
 
 
-def browse_hint(shown, matching, total, after: bool):
-    """Which condition emptied a page: columns of counts to a text."""
-    return F.when(shown > 0, F.lit("")).when(F.lit(after) & (matching > 0), F.lit("the cursor is past the last record")).when(total > 0, F.lit("the filters match nothing")).otherwise(F.lit("nothing is stored yet"))
+def browse_hint(shown: Column, filtered: Column, cursor: Column, replaced: Column, history: Column | None = None, missing: Column | None = None) -> Column:
+    """Why a page is empty. filtered, cursor: whether filters and a cursor were given; replaced: records past the cursor that the
+    filters select and others replace; history: whether those are listed too; missing: catalogued records that this device lacks.
+
+    Filters are blamed on a first page only: behind a cursor the listing has ended, or the rest of it has been replaced.
+    """
+    no = F.lit(False)
+    nothing = F.when(F.coalesce(missing, F.lit(0)) > 0, "nothing is stored here, and not all that the catalog names has been restored") if missing is not None else F.when(no, "")
+    return (
+        F.when(shown > 0, "").when(~cursor & filtered, "the filters select nothing").when(~cursor, nothing.otherwise("nothing is stored yet"))
+        .when(~(history if history is not None else no) & (replaced > 0), "all that is left past the cursor has been replaced").otherwise("the listing ends here")
+    )
 
 
 def write_advice(conflicts, too_common, tags):
@@ -182,12 +191,36 @@ def write_advice(conflicts, too_common, tags):
     return F.concat_ws("; ", dup, tag)
 
 
+def tag_problem(tags: Column) -> Column:
+    """The first tag rule broken, in the order of the tags; or null."""
+    bad = F.transform(tags, lambda t: F.when(T.trimmed(F.coalesce(t, F.lit(""))) == "", "empty tag").when(F.octet_length(t) > C.TAG_BYTES_MAX, "tag too long"))
+    return F.when(F.size(tags) > C.TAGS_MAX, "too many tags").otherwise(F.try_element_at(F.array_compact(bad), F.lit(1)))
+
+
+def _blank(x: Column) -> Column:
+    return T.trimmed(F.coalesce(x, F.lit(""))) == ""
+
+
 def session_problem(sessions: DataFrame) -> DataFrame:
-    """sessions(id, title, summary, kind, parent, chunks array<struct<seq, n>>) with `problem`: the first rule broken, or null."""
+    """sessions(id, schema, schema_version, version, kind, title, summary, tags, parent, chunks array<struct<id, seq>>) with
+    `problem`: the first rule of the record format that a head breaks, or null. Rules that need an absent column are of null values."""
+    c = F.col
+    number = lambda x: F.coalesce(c(x), F.lit(0))
+    chunk = F.transform("chunks", lambda x, i: F.when(_blank(x["id"].cast("string")), "chunk without id").when(~x["seq"].eqNullSafe(i), "chunks out of sequence"))
+    rules = [
+        F.when(_blank(c("id").cast("string")), "missing id"), F.when(~c("schema").eqNullSafe(C.MESSAGE_SCHEMA), "unknown schema"), F.when(number("schema_version") <= 0, "missing schema version"), F.when(number("version") <= 0, "version below 1"),
+        F.when(~F.coalesce(c("kind").isin(*C.SESSION_KINDS), F.lit(False)), "unknown kind"), F.when(_blank(c("title")), "empty title"), F.when(F.octet_length("title") > C.TITLE_MAX, "title too long"), F.when(F.octet_length("summary") > C.SUMMARY_MAX, "summary too long"),
+        tag_problem(c("tags")), F.when((c("kind") == "subagent") & c("parent").isNull(), "subagent without parent"), F.try_element_at(F.array_compact(chunk), F.lit(1)),
+    ]
+    return sessions.withColumn("problem", F.coalesce(*rules))
+
+
+def chunk_problem(chunks: DataFrame) -> DataFrame:
+    """chunks(id, kind, schema, schema_version, session, seq, messages) with `problem`, messages being their number; the messages' own rules are `parts.message_problems`."""
     c = F.col
-    order = F.exists(F.transform("chunks", lambda x, i: x["seq"] != i), lambda b: b)
+    number = lambda x: F.coalesce(c(x), F.lit(0))
     rules = [
-        (c("id").isNull(), "missing id"), (~c("kind").isin(*C.SESSION_KINDS), "unknown kind"), (F.octet_length("title") > C.TITLE_MAX, "title too long"), (F.octet_length("summary") > C.SUMMARY_MAX, "summary too long"),
-        ((c("kind") == "subagent") & c("parent").isNull(), "subagent without parent"), (order, "chunks out of sequence"), (F.exists("chunks", lambda x: x["n"] <= 0), "empty chunk"),
+        F.when(_blank(c("id").cast("string")), "missing id"), F.when(~c("kind").eqNullSafe("chunk"), "unknown kind"), F.when(~c("schema").eqNullSafe(C.MESSAGE_SCHEMA), "unknown schema"), F.when(number("schema_version") <= 0, "missing schema version"),
+        F.when(_blank(c("session").cast("string")), "no session"), F.when(number("seq") < 0, "negative sequence"), F.when(number("messages") == 0, "no messages"),
     ]
-    return sessions.withColumn("problem", F.coalesce(*[F.when(F.coalesce(cond, F.lit(False)), F.lit(name)) for cond, name in rules]))
+    return chunks.withColumn("problem", F.coalesce(*rules))

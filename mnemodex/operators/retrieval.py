@@ -314,16 +314,20 @@ def zero_overlap(queries: DataFrame, gold: DataFrame) -> DataFrame:
     return q.join(g, "query_id").groupBy("query_id").agg(F.bool_or(F.arrays_overlap("a", "b")).alias("any")).where(~F.col("any")).select("query_id")
 
 
-def recall_hint(results: Column, offset: Column, scope_excluded: Column, searched: Column, hidden: Column) -> Column:
-    """Why a page is short: the ordered cases over the counters."""
-    return (
-        F.when(results > 0, F.lit(""))
-        .when(offset > 0, F.lit("no further results"))
-        .when(searched == 0, F.lit("nothing is stored yet"))
-        .when(scope_excluded > 0, F.lit("every candidate is outside the scope"))
-        .when(hidden > 0, F.lit("every candidate is superseded"))
-        .otherwise(F.lit("nothing matched"))
-    )
+def recall_hint(results: Column, offset: Column, scope_excluded: Column, searched: Column, hidden: Column, missing: Column | None = None) -> Column:
+    """Why an answer is short, or empty: the first case that holds. A scope may shorten an answer that has results.
+
+    missing: records of the catalog that this device has not restored; what the search could not reach is said behind every other hint.
+    """
+    n = lambda x: x.cast("string")
+    lacks = missing if missing is not None else F.lit(0)
+    nothing = F.when(lacks > 0, F.concat(F.lit("nothing to search here; not restored: "), n(lacks))).otherwise("nothing to search")
+    hint = (
+        F.when((results > 0) & (scope_excluded > 0), F.concat(F.lit("the scope removed candidates: "), n(scope_excluded))).when(results > 0, "").when(offset > 0, "nothing ranks past this cursor")
+        .when(scope_excluded > 0, F.concat(F.lit("nothing in scope matched; outside it: "), n(scope_excluded))).when(searched == 0, None).when(hidden > 0, F.concat(F.lit("nothing current matched; replaced: "), n(hidden)))
+    )
+    reach = F.when(lacks > 0, F.concat(F.lit("not restored: "), n(lacks)))
+    return F.when(hint.isNull(), nothing).otherwise(F.concat_ws("; ", F.nullif(hint, F.lit("")), reach))
 
 
 def weight_sweep(vectors: DataFrame, texts: DataFrame, meta: DataFrame, req: Request, weights: list[tuple[float, float]]) -> DataFrame:
@@ -382,33 +386,71 @@ def hashing_embedder(dim: int = C.MODEL_DIM):
     return embed
 
 
-def parse_scope(scope: str | None) -> list[str]:
-    """The kinds of a scope argument; none means no limit, an unknown one is an error."""
-    if not scope:
-        return []
-    known = {"all": [], "memory": ["memory"], "memories": ["memory"], "session": ["session"], "sessions": ["session"]}
-    if scope.strip().lower() not in known:
-        raise ValueError(f"unknown scope: {scope}")
-    return known[scope.strip().lower()]
+def parse_scope(scope: list[str] | None) -> list[str]:
+    """The kinds of a scope argument; none means no limit. A scope excludes, so one that is not known, in spelling and case, is refused."""
+    out = [x.strip() for x in scope or []]
+    for x in out:
+        if x not in ("memory", "session"):
+            raise ValueError(f"not a class of record: {x}")
+    return out
 
 
 def parse_types(types: list[str] | None) -> list[str]:
-    out = [t.strip().lower() for t in types or []]
+    """The types of a soft filter; one outside the vocabulary could never match and is refused."""
+    out = [t.strip() for t in types or []]
     for t in out:
         if t not in C.TYPES:
-            raise ValueError(f"unknown type: {t}")
+            raise ValueError(f"not a memory type: {t}")
     return out
 
 
-def read_resume(argument: str, known_ids: set[str]) -> tuple[str, str, int]:
-    """(how, value, turns) of a resume argument: an address, an id, `recent`, else a topic; a trailing number is a turn count."""
-    words = argument.split()
-    turns = C.RESUME_TURNS
-    if len(words) > 1 and words[-1].isdigit():
-        turns = min(int(words.pop()), C.RESUME_MAX)
-    value = " ".join(words)
-    if value.startswith(f"{T.SCHEME}://"):
-        return "address", value, turns
-    if value in known_ids:
-        return "id", value, turns
-    return ("recent", "", turns) if value.lower() == "recent" or not value else ("topic", value, turns)
+def _count(word: str) -> int | None:
+    """A whole number of turns, 0 where a resume does not replay so many; None for any other word."""
+    digits = word[1:] if word[:1] in ("+", "-") else word
+    if not digits or digits.strip("0123456789"):
+        return None
+    n = int(word) if len(digits) < 10 else 0
+    return n if 1 <= n <= C.RESUME_MAX else 0
+
+
+def read_resume(session: str = "", topic: str = "", turns: str = "") -> tuple[str, str, int]:
+    """(how, value, turns) of the words behind a resume command: `address`, `id`, `recent`, `topic`, or `` where nothing is named.
+
+    The first word decides; behind one that names a conversation only a count of turns may follow, in either place, and counts
+    that a resume does not replay are refused rather than cut or searched for.
+    """
+    first, topic, last = session.strip(), topic.strip(), turns.strip()
+
+    def counted(word: str) -> int:
+        n = _count(word)
+        if not n:
+            raise ValueError(f"not a number of turns from 1 to {C.RESUME_MAX}: {word}")
+        return n
+
+    if first.startswith(f"{T.SCHEME}://"):
+        kind, _, id_ = first[len(T.SCHEME) + 3 :].removesuffix("/transcript").partition("/")
+        if kind != "session" or not _is_id(id_):
+            raise ValueError(f"not the address of a conversation: {first}")
+        named = ("address", id_.lower())
+    elif _is_id(first):
+        named = ("id", first.lower())
+    elif first.lower() == "recent":
+        named = ("recent", "")
+    else:
+        words = f"{first} {topic}".strip()
+        if not last:
+            return ("topic" if words else "", words, C.RESUME_TURNS)
+        n = _count(last)
+        if n is None and first:
+            return ("topic", f"{words} {last}", C.RESUME_TURNS)
+        return ("topic" if words else "", words, counted(last))
+    if topic:
+        n = counted(topic)
+        if last:
+            raise ValueError(f"only a number of turns can follow {first}: {last}")
+        return (*named, n)
+    return (*named, counted(last) if last else C.RESUME_TURNS)
+
+
+def _is_id(word: str) -> bool:
+    return len(word) == 32 and not word.lower().strip("0123456789abcdef")

@@ -251,9 +251,10 @@ def delete_batches(stale: DataFrame, order: str = "seq", size: int = 64) -> Data
 
 
 def release_claims(queue: DataFrame, ids: DataFrame) -> DataFrame:
-    """The queue after a failed flush: these records are unclaimed again."""
+    """The queue after a failed flush: these records are unclaimed again, of time and claimant."""
     asked = ids.select("record_id").distinct().withColumn("asked_", F.lit(True))
-    return queue.join(asked, "record_id", "left").withColumn("claimed_at", F.when(F.col("asked_").isNull(), F.col("claimed_at"))).drop("asked_").select(*queue.columns)
+    mine = [c for c in ("claimed_at", "claimed_by") if c in queue.columns]
+    return queue.join(asked, "record_id", "left").withColumns({c: F.when(F.col("asked_").isNull(), F.col(c)) for c in mine}).select(*queue.columns)
 
 
 def drop_queued(queue: DataFrame, ids: DataFrame) -> DataFrame:
@@ -262,9 +263,11 @@ def drop_queued(queue: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def mark_claims(queue: DataFrame, claimed: DataFrame, now, by: str) -> DataFrame:
-    """The queue with the rows of `claimed`(seq) under a claim."""
+    """The queue with the rows of `claimed`(seq) under a claim; others keep theirs."""
     c = claimed.select("seq").distinct().withColumn("mine_", F.lit(True))
-    return queue.join(c, "seq", "left").withColumn("claimed_at", F.when(F.col("mine_"), F.lit(now).cast("timestamp")).otherwise(F.col("claimed_at"))).withColumn("claimed_by", F.when(F.col("mine_"), F.lit(by))).drop("mine_")
+    was = F.col("claimed_by") if "claimed_by" in queue.columns else F.lit(None).cast("string")
+    taken = {"claimed_at": F.when(F.col("mine_"), F.lit(now).cast("timestamp")).otherwise(F.col("claimed_at")), "claimed_by": F.when(F.col("mine_"), F.lit(by)).otherwise(was)}
+    return queue.join(c, "seq", "left").withColumns(taken).drop("mine_")
 
 
 def tracked_slabs(ledger: DataFrame) -> DataFrame:

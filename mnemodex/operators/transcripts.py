@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions import text as T
+from .parts import message_problems, walk_parts  # noqa: F401  nested parts, beside the other transcript operators
 
 
 def message_bytes(message: Column) -> Column:
@@ -108,41 +109,6 @@ def select_span(turns: DataFrame, spans: DataFrame) -> DataFrame:
     return turns.join(s, "session").where("pos >= a and pos <= b").drop("a", "b")
 
 
-_PART = "path array<int>, type string, call_id string, name string, text string"
-
-
-def walk_parts(messages: DataFrame) -> DataFrame:
-    """(session, pos, id, at, path, type, call_id, name, text): every part of messages(session, pos, id, parts: JSON array), nested
-    ones behind the part that holds them; `at` counts a message's parts in that order."""
-    import json
-
-    import pyarrow as pa
-
-    kinds = dict(messages.dtypes)
-    schema = f"session {kinds['session']}, pos {kinds['pos']}, id {kinds['id']}, at int, {_PART}"
-
-    def walk(parts, path, out):
-        for i, p in enumerate(parts or []):
-            here = [*path, i]
-            out.append((here, p.get("type"), p.get("call_id"), p.get("name"), p.get("text")))
-            walk(p.get("content"), here, out)
-        return out
-
-    def run(batches):
-        for batch in batches:
-            rows, which = [], []
-            for i, raw in enumerate(batch.column(3).to_pylist()):
-                found = walk(json.loads(raw) if raw else [], [], [])
-                rows += [(n, *p) for n, p in enumerate(found)]
-                which += [i] * len(found)
-            own = [batch.column(i).take(pa.array(which, pa.int64())) for i in range(3)]
-            cols = [*zip(*rows)] or [[]] * 6
-            types = [pa.int32(), pa.list_(pa.int32()), *[pa.string()] * 4]
-            yield pa.RecordBatch.from_arrays([*own, *(pa.array(c, t) for c, t in zip(cols, types))], names=["session", "pos", "id", "at", "path", "type", "call_id", "name", "text"])
-
-    return messages.select("session", "pos", "id", "parts").mapInArrow(run, schema)
-
-
 def tool_pairs(parts: DataFrame) -> DataFrame:
     """parts(session, pos, kind, call_id, name, text), pos in reading order: what was met of each call id, by first appearance.
 
@@ -220,28 +186,8 @@ def revise_edges(current: DataFrame, revisions: DataFrame) -> DataFrame:
 
 
 def render(turns: DataFrame) -> DataFrame:
-    """(session, pos, line): a turn as shown when a conversation is resumed."""
-    return turns.select("session", "pos", F.concat(F.col("role"), F.lit(": "), F.coalesce("text", F.lit(""))).alias("line"))
-
-
-def import_census(lines: DataFrame) -> DataFrame:
-    """(outcome, n) of agent-log lines(value): refused ones do not parse or lack a session, diverged ones lack a role."""
-    j = F.from_json("value", "type string, uuid string, sessionId string, message struct<role:string>")
-    outcome = F.when(F.col("j.sessionId").isNull(), "refused").when(~F.coalesce(F.col("j.message.role").isin(*C.ROLES), F.lit(False)), "diverged").otherwise("rebuilt")
-    return lines.select(j.alias("j")).groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n"))
-
-
-def message_problems(messages: DataFrame) -> DataFrame:
-    """messages(session, pos, id, role, parts: JSON array) with `problem`: the first rule broken, or null; a tool part needs
-    a call id at any depth."""
-    at = ["session", "pos"]
-    walked = walk_parts(messages).groupBy(*at).agg(F.count_if(F.size("path") == 1).alias("n_"), F.count_if(F.col("type").isin("tool_call", "tool_result") & (F.trim(F.coalesce("call_id", F.lit(""))) == "")).alias("bad_"))
-    n = F.coalesce("n_", F.lit(0))
-    problem = (
-        F.when(F.trim(F.coalesce("id", F.lit(""))) == "", "missing id").when(F.octet_length("id") > C.MESSAGE_ID_MAX, "id too long").when(~F.coalesce(F.col("role").isin(*C.ROLES), F.lit(False)), "unknown role")
-        .when(n == 0, "no parts").when(n > C.PARTS_MAX, "too many parts").when(F.coalesce("bad_", F.lit(0)) > 0, "tool part without call id")
-    )
-    return messages.join(walked, at, "left").withColumn("problem", problem).drop("n_", "bad_")
+    """(session, pos, line): turns of one text each, as shown when a conversation is resumed; `parts.rendered_turns` shows turns of parts."""
+    return turns.select("session", "pos", F.concat(F.lit("### "), "role", F.lit("\n"), F.coalesce("text", F.lit("")), F.lit("\n\n")).alias("line"))
 
 
 def framing(turns: DataFrame, heads: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions import constants as C
 from ..operators import listing, logs, retrieval, storage, transcripts
 from ..sources import formats
 from . import stand_ins as S
@@ -59,7 +60,7 @@ def edge_revisions(spark, sf):
     return transcripts.revise_edges(now, rev)
 
 
-@query(f"WITH {S.TURNS} SELECT session, pos, role || ': ' || coalesce(text, '') AS line FROM turns")
+@query(f"WITH {S.TURNS} SELECT session, pos, '### ' || role || chr(10) || coalesce(text, '') || chr(10) || chr(10) AS line FROM turns")
 def transcript_render(spark, sf):
     return transcripts.render(S.turns(spark, sf))
 
@@ -87,14 +88,6 @@ def duplicate_appends(spark, sf):
     return transcripts.duplicate_appends(new, transcripts.chunk_refs(t.withColumn("chunk", F.lit(0))))
 
 
-@query("SELECT CASE WHEN event_id % 10 = 3 THEN 'refused' WHEN event_type = 'error' THEN 'diverged' ELSE 'rebuilt' END AS outcome, count(*) AS n FROM events GROUP BY 1")
-def import_census(spark, sf):
-    e = S.table(spark, sf, "events")
-    role = F.when(F.col("event_type") == "error", "other").otherwise("user")
-    v = F.to_json(F.struct(F.lit("m").alias("type"), F.col("user_id").cast("string").alias("sessionId"), F.struct(role.alias("role")).alias("message")))
-    return transcripts.import_census(e.select(F.when(F.col("event_id") % 10 == 3, "{broken").otherwise(v).alias("value")))
-
-
 @query(f"WITH {S.TURNS} SELECT session, CAST(CASE WHEN max(CASE WHEN id = '3:5' THEN 1 ELSE 0 END) = 1 THEN min(pos // 4) FILTER (WHERE id = '3:5') ELSE 0 END AS BIGINT) AS seq FROM (SELECT *, first_value(id) OVER w AS f, last_value(id) OVER w AS l FROM turns WINDOW w AS (PARTITION BY session, pos // 4 ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) WHERE id IN (f, l) GROUP BY session")
 def start_chunk(spark, sf):
     refs = transcripts.chunk_refs(S.turns(spark, sf).withColumn("chunk", F.floor(F.col("pos") / 4)))
@@ -193,10 +186,15 @@ def repack_refusal(spark, sf):
     return storage.repack_refusal(_repack(spark, sf)[0], ledger)
 
 
-@query(f"WITH {S.QUEUE} SELECT seq, record_id, CASE WHEN record_id NOT IN ('r7', 'r8') THEN claimed_at END AS claimed_at FROM queue")
+def _claimed_queue(spark, sf):
+    """The queue with the claimants of what is claimed."""
+    return S.queue(spark, sf).withColumn("claimed_by", F.when(F.col("claimed_at").isNotNull(), F.concat(F.lit("c"), "key")))
+
+
+@query(f"WITH {S.QUEUE} SELECT seq, record_id, CASE WHEN record_id NOT IN ('r7', 'r8') THEN claimed_at END AS claimed_at, CASE WHEN record_id NOT IN ('r7', 'r8') AND claimed_at IS NOT NULL THEN 'c' || key END AS claimed_by FROM queue")
 def queue_release(spark, sf):
-    q = S.queue(spark, sf)
-    return storage.release_claims(q, q.where("record_id in ('r7', 'r8')")).select("seq", "record_id", "claimed_at")
+    q = _claimed_queue(spark, sf)
+    return storage.release_claims(q, q.where("record_id in ('r7', 'r8')")).select("seq", "record_id", "claimed_at", "claimed_by")
 
 
 @query(f"WITH {S.QUEUE} SELECT seq, record_id FROM queue WHERE record_id NOT IN ('r7', 'r8')")
@@ -205,9 +203,9 @@ def queue_drop(spark, sf):
     return storage.drop_queued(q, q.where("record_id in ('r7', 'r8')")).select("seq", "record_id")
 
 
-@query(f"WITH {S.QUEUE}, c AS (SELECT seq FROM queue WHERE claimed_at IS NULL OR claimed_at < TIMESTAMP '2024-01-15 00:00:00' - INTERVAL 600 SECOND ORDER BY seq LIMIT 50) SELECT seq, CASE WHEN seq IN (SELECT seq FROM c) THEN TIMESTAMP '2024-01-15 00:00:00' ELSE claimed_at END AS claimed_at, CASE WHEN seq IN (SELECT seq FROM c) THEN 'me' END AS claimed_by FROM queue")
+@query(f"WITH {S.QUEUE}, c AS (SELECT seq FROM queue WHERE claimed_at IS NULL OR claimed_at < TIMESTAMP '2024-01-15 00:00:00' - INTERVAL 600 SECOND ORDER BY seq LIMIT 50) SELECT seq, CASE WHEN seq IN (SELECT seq FROM c) THEN TIMESTAMP '2024-01-15 00:00:00' ELSE claimed_at END AS claimed_at, CASE WHEN seq IN (SELECT seq FROM c) THEN 'me' WHEN claimed_at IS NOT NULL THEN 'c' || key END AS claimed_by FROM queue")
 def queue_mark_claims(spark, sf):
-    q = S.queue(spark, sf)
+    q = _claimed_queue(spark, sf)
     return storage.mark_claims(q, storage.claimable(q, "2024-01-15 00:00:00", limit=50), "2024-01-15 00:00:00", "me").select("seq", "claimed_at", "claimed_by")
 
 
@@ -326,16 +324,21 @@ def owed_minus_written(spark, sf):
     return storage.settle(owed).select("id", F.array_join("left", ",").alias("left_over"))
 
 
-@query(f"WITH {S.SESS} SELECT id, CASE WHEN kind = 'subagent' AND id % 2 = 0 THEN 'subagent without parent' WHEN id % 5 = 2 AND messages > 0 THEN 'chunks out of sequence' END AS problem FROM sess")
+@query(f"""WITH {S.SESS} SELECT id, CASE WHEN id % 13 = 1 THEN 'unknown schema' WHEN id % 13 = 2 THEN 'missing schema version' WHEN id % 13 = 3 THEN 'version below 1' WHEN id % 13 = 4 THEN 'empty title' WHEN id % 13 = 5 THEN 'empty tag'
+ WHEN id % 13 = 6 THEN 'tag too long' WHEN id % 13 = 7 THEN 'too many tags' WHEN kind = 'subagent' AND id % 2 = 0 THEN 'subagent without parent' WHEN id % 13 = 8 THEN 'chunk without id' WHEN id % 5 = 2 THEN 'chunks out of sequence' END AS problem FROM sess""")
 def session_validation(spark, sf):
-    s = S.sessions(spark, sf).withColumn("summary", F.lit("")).withColumn("parent", F.when(~((F.col("kind") == "subagent") & (F.col("id") % 2 == 0)), F.coalesce("parent", F.lit(0).cast("long"))))
-    chunk = lambda seq: F.struct(seq.alias("seq"), F.col("messages").alias("n"))
-    return listing.session_problem(s.withColumn("chunks", F.array(chunk(F.when(F.col("id") % 5 == 2, 1).otherwise(0))))).select("id", "problem")
+    n = F.col("id") % 13
+    s = S.sessions(spark, sf).withColumns({
+        "schema": F.when(n == 1, "other").otherwise(C.MESSAGE_SCHEMA), "schema_version": F.when(n == 2, 0).otherwise(1), "version": F.when(n == 3, 0).otherwise(2), "title": F.when(n == 4, " \n").otherwise("t"), "summary": F.lit(""),
+        "tags": F.when(n == 5, F.array(F.lit("a"), F.lit(" "))).when(n == 6, F.array(F.repeat(F.lit("é"), 33))).when(n == 7, F.array_repeat(F.lit("a"), 33)).otherwise(F.array()), "parent": F.when(~((F.col("kind") == "subagent") & (F.col("id") % 2 == 0)), F.coalesce("parent", F.lit(0).cast("long"))),
+        "chunks": F.array(*[F.struct(F.when((n == 8) & F.lit(i == 1), "").otherwise("c").alias("id"), F.when(F.col("id") % 5 == 2, 2 * i).otherwise(i).alias("seq")) for i in range(3)]),
+    })
+    return listing.session_problem(s).select("id", "problem")
 
 
-@query("""WITH d AS (SELECT *, epoch_ms(1704067200123 + doc_id * 1000) AS ts, substr(text, 1, 40) AS head FROM documents WHERE text IS NOT NULL)
+@query("""WITH d AS (SELECT *, epoch_ms(1704067200123 + doc_id * 1000) AS ts, trim(regexp_replace(substr(text, 1, 40), '\\s+', ' ', 'g')) AS flat FROM documents WHERE text IS NOT NULL)
 SELECT doc_id AS id, lower(lang) || ',' || lower(source) AS tags, strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ') AS written, 1704067200123 + doc_id * 1000 AS millis, doc_id % 2 = 0 AS valid, CASE WHEN doc_id % 3 <> 0 THEN source END AS opened,
- CASE WHEN length(head) > 20 THEN substr(head, 1, 19) || '…' ELSE head END AS clipped, CAST(least(greatest(doc_id / 10, 1), 60) AS DOUBLE) AS tick, source || chr(10) || lang || chr(10) || lang || chr(10) || source AS lexical FROM d""")
+ CASE WHEN length(flat) <= 20 THEN flat WHEN strpos(reverse(substr(flat, 11, 10)), ' ') > 0 THEN trim(substr(flat, 1, 20 - strpos(reverse(substr(flat, 11, 10)), ' '))) || '…' ELSE trim(substr(flat, 1, 19)) || '…' END AS clipped, CAST(least(greatest(doc_id / 10, 1), 60) AS DOUBLE) AS tick, source || chr(10) || lang || chr(10) || lang || chr(10) || source AS lexical FROM d""")
 def scalar_functions_3(spark, sf):
     d = S.table(spark, sf, "documents").where("text is not null")
     id_, lang, source = F.col("doc_id"), F.col("lang"), F.col("source")
@@ -350,20 +353,23 @@ def scalar_functions_3(spark, sf):
     )
 
 
-@query("""SELECT event_id AS id, CASE event_type WHEN 'click' THEN coalesce(props, '') WHEN 'error' THEN '[tool call n ' || user_id || ']' WHEN 'purchase' THEN '[tool result ' || user_id || '] ' || coalesce(props, '') ELSE '[image]' END AS part,
- CASE WHEN event_id % 5 > 0 THEN '' WHEN user_id % 2 = 0 THEN 'the cursor is past the last record' WHEN user_id % 3 = 0 THEN 'the filters match nothing' ELSE 'nothing is stored yet' END AS browse,
- CASE WHEN event_id % 5 > 0 THEN '' WHEN event_id % 7 > 0 THEN 'no further results' WHEN user_id % 2 = 0 THEN 'nothing is stored yet' WHEN user_id % 3 = 0 THEN 'every candidate is outside the scope' WHEN user_id % 5 = 0 THEN 'every candidate is superseded' ELSE 'nothing matched' END AS recalled,
+@query("""SELECT event_id AS id, CASE WHEN event_id % 5 > 0 THEN '' WHEN event_id % 3 > 0 AND user_id % 2 = 0 THEN 'the filters select nothing' WHEN event_id % 3 > 0 AND user_id % 7 > 0 THEN 'nothing is stored here, and not all that the catalog names has been restored'
+  WHEN event_id % 3 > 0 THEN 'nothing is stored yet' WHEN user_id % 5 > 0 AND event_id % 11 > 0 THEN 'all that is left past the cursor has been replaced' ELSE 'the listing ends here' END AS browse,
+ CASE WHEN event_id % 5 > 0 AND user_id % 3 > 0 THEN 'the scope removed candidates: ' || user_id % 3 || CASE WHEN user_id % 7 > 0 THEN '; not restored: ' || user_id % 7 ELSE '' END
+  WHEN event_id % 5 > 0 THEN CASE WHEN user_id % 7 > 0 THEN 'not restored: ' || user_id % 7 ELSE '' END
+  WHEN event_id % 7 > 0 THEN 'nothing ranks past this cursor' || CASE WHEN user_id % 7 > 0 THEN '; not restored: ' || user_id % 7 ELSE '' END
+  WHEN user_id % 3 > 0 THEN 'nothing in scope matched; outside it: ' || user_id % 3 || CASE WHEN user_id % 7 > 0 THEN '; not restored: ' || user_id % 7 ELSE '' END
+  WHEN user_id % 2 > 0 AND user_id % 5 > 0 THEN 'nothing current matched; replaced: ' || user_id % 5 || CASE WHEN user_id % 7 > 0 THEN '; not restored: ' || user_id % 7 ELSE '' END
+  WHEN user_id % 7 > 0 THEN 'nothing to search here; not restored: ' || user_id % 7 ELSE 'nothing to search' END AS recalled,
  CASE WHEN user_id % 4 > 0 AND event_id % 3 = 0 THEN (user_id % 4) || ' near duplicates; every tag is common' WHEN user_id % 4 > 0 THEN (user_id % 4) || ' near duplicates' WHEN event_id % 3 = 0 THEN 'every tag is common' ELSE '' END AS advice,
  CASE WHEN event_id % 2 = 0 THEN 'a..b' ELSE 'a' END AS span FROM events""")
 def texts_of_answers(spark, sf):
     e = S.table(spark, sf, "events")
     id_, user = F.col("event_id"), F.col("user_id")
-    on = lambda c, n: F.when(c % n == 0, 1).otherwise(0)
-    kind = F.when(F.col("event_type") == "click", "text").when(F.col("event_type") == "error", "tool_call").when(F.col("event_type") == "purchase", "tool_result").otherwise("image")
     span = T.parse_span(F.when(id_ % 2 == 0, " a .. b").otherwise("a.."))
     return e.select(
-        id_.alias("id"), T.part_text(kind, F.col("props"), F.lit("n"), user.cast("string")).alias("part"), listing.browse_hint(id_ % 5, on(user, 2), on(user, 3), True).alias("browse"),
-        retrieval.recall_hint(id_ % 5, id_ % 7, on(user, 3), 1 - on(user, 2), on(user, 5)).alias("recalled"), listing.write_advice(user % 4, F.lit(2), F.when(id_ % 3 == 0, 2).otherwise(3)).alias("advice"), T.format_span(span["first"], span["last"]).alias("span"),
+        id_.alias("id"), listing.browse_hint(id_ % 5, user % 2 == 0, id_ % 3 == 0, user % 5, id_ % 11 == 0, user % 7).alias("browse"), retrieval.recall_hint(id_ % 5, id_ % 7, user % 3, user % 2, user % 5, user % 7).alias("recalled"),
+        listing.write_advice(user % 4, F.lit(2), F.when(id_ % 3 == 0, 2).otherwise(3)).alias("advice"), T.format_span(span["first"], span["last"]).alias("span"),
     )
 
 

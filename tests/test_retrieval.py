@@ -144,21 +144,64 @@ def test_withdraw_all_or_none(spark):
 
 
 def test_arguments():
-    assert retrieval.parse_scope(None) == [] and retrieval.parse_scope("Sessions") == ["session"] and retrieval.parse_types([" Fact"]) == ["fact"]
-    for bad in (lambda: retrieval.parse_scope("x"), lambda: retrieval.parse_types(["x"]), lambda: retrieval.decode_rank_cursor("r1:5:AAAAAAAA", "q")):
+    assert retrieval.parse_scope(None) == [] and retrieval.parse_scope([" session", "memory"]) == ["session", "memory"] and retrieval.parse_types([" fact "]) == ["fact"]
+    refused = [lambda x=x: retrieval.parse_scope([x]) for x in ("x", "all", "ALL", "Memory", "memories", "sessions", "")] + [lambda x=x: retrieval.parse_types([x]) for x in ("x", "Fact", "")]
+    for bad in (*refused, lambda: retrieval.decode_rank_cursor("r1:5:AAAAAAAA", "q")):
         with pytest.raises(ValueError):
             bad()
     assert retrieval.decode_rank_cursor(retrieval.encode_rank_cursor("q", 15), "q") == 15
-    assert retrieval.read_resume("recent 7", set()) == ("recent", "", 7) and retrieval.read_resume("plan the trip", set())[0] == "topic" and retrieval.read_resume("ab 500", {"ab"}) == ("id", "ab", 100)
+
+
+def test_words_behind_a_resume():
+    id_, read = "0123456789abcdef" * 2, retrieval.read_resume
+    for words, want in {
+        (): ("", "", 30), ("recent",): ("recent", "", 30), ("RECENT", "7"): ("recent", "", 7), ("recent", "", "+7"): ("recent", "", 7), (id_.upper(), "", "100"): ("id", id_, 100), (f"mnemodex://session/{id_}", "3"): ("address", id_, 3),
+        ("plan", "the", "trip"): ("topic", "plan the trip", 30), ("plan", "2024"): ("topic", "plan 2024", 30), ("plan", "the", "5"): ("topic", "plan the", 5), ("", "harbour survey"): ("topic", "harbour survey", 30), ("", "", "9"): ("", "", 9),
+    }.items():
+        assert read(*words) == want, words
+    for words in [("recent", "foo"), ("recent", "0"), (id_, "more"), (id_, "3", "4"), (id_, "", "0"), (id_, "", "101"), (id_, "", "-1"), (f"mnemodex://memory/{id_}",), ("mnemodex://session/ab",), ("plan", "the", "0"), ("", "", "words"), ("", "harbour", "survey")]:
+        with pytest.raises(ValueError):
+            read(*words)
 
 
 def test_hints_and_advice(spark):
-    d = spark.range(1)
-    row = d.select(
-        listing.browse_hint(F.lit(0), F.lit(3), F.lit(9), True).alias("a"), listing.browse_hint(F.lit(0), F.lit(0), F.lit(9), False).alias("b"), listing.write_advice(F.lit(2), F.lit(1), F.lit(1)).alias("c"),
-        retrieval.recall_hint(F.lit(0), F.lit(0), F.lit(4), F.lit(9), F.lit(1)).alias("d"),
+    n, yes, no = F.lit, F.lit(True), F.lit(False)
+    row = spark.range(1).select(
+        listing.browse_hint(n(0), yes, yes, n(3)).alias("a"), listing.browse_hint(n(0), yes, no, n(3)).alias("b"), listing.write_advice(n(2), n(1), n(1)).alias("c"), listing.browse_hint(n(0), yes, yes, n(0)).alias("f"), listing.browse_hint(n(0), yes, yes, n(3), yes).alias("g"),
+        listing.browse_hint(n(0), no, no, n(0), missing=n(4)).alias("h"), retrieval.recall_hint(n(0), n(0), n(4), n(0), n(1)).alias("d"), retrieval.recall_hint(n(2), n(0), n(4), n(9), n(1)).alias("e"), retrieval.recall_hint(n(2), n(0), n(0), n(9), n(1)).alias("i"),
+        retrieval.recall_hint(n(0), n(0), n(0), n(0), n(5)).alias("j"), retrieval.recall_hint(n(0), n(5), n(4), n(0), n(5), n(2)).alias("k"),
     ).first()
-    assert row.a.startswith("the cursor") and row.b.startswith("the filters") and row.c == "2 near duplicates; every tag is common" and "scope" in row.d
+    assert "replaced" in row.a and row.b == "the filters select nothing" and row.c == "2 near duplicates; every tag is common" and row.f == row.g == "the listing ends here" and "restored" in row.h
+    assert "scope" in row.d and row.e == "the scope removed candidates: 4" and row.i == "" and row.j == "nothing to search" and row.k == "nothing ranks past this cursor; not restored: 2"
+
+
+def test_claims_keep_their_owner(spark):
+    q = spark.createDataFrame([(1, "a", "2024-01-01 00:00:00", "other"), (2, "b", None, None), (3, "c", "2024-01-01 00:00:00", "me")], "seq long, record_id string, claimed_at string, claimed_by string").withColumn("claimed_at", F.col("claimed_at").cast("timestamp"))
+    marked = storage.mark_claims(q, q.where("seq = 2"), "2024-01-02 00:00:00", "me")
+    assert {r.seq: r.claimed_by for r in marked.collect()} == {1: "other", 2: "me", 3: "me"}
+    free = storage.release_claims(marked, q.where("seq = 3"))
+    assert {r.seq: (r.claimed_at is None, r.claimed_by) for r in free.collect()} == {1: (False, "other"), 2: (False, "me"), 3: (True, None)}
+
+
+def test_clipped_titles(spark):
+    def plain(title, limit):  # the rule, in a plain loop
+        t = " ".join(title.split())
+        if len(t) <= limit:
+            return t
+        cut = limit - 1
+        while cut > limit // 2 and t[cut] != " ":
+            cut -= 1
+        if t[cut] != " ":
+            cut = limit - 1
+        return t[:cut].strip() + "…"
+
+    import random
+
+    r = random.Random(4)
+    texts = ["".join(r.choice("ab \n😀") for _ in range(r.randrange(40))) for _ in range(300)] + ["", " ", "a" * 30]
+    for width in (5, 10, 20):
+        got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", T.clip_title(F.col("t"), width).alias("c")).orderBy("i").collect()
+        assert [x.c for x in got] == [plain(t, width) for t in texts]
 
 
 def test_hashing_embedder(spark):
