@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions import text as T
+from ..sources.lexical import LexicalIndex
 
 
 def dot(vector: Column, query: list[float]) -> Column:
@@ -79,9 +80,18 @@ def bm25_scores(texts: DataFrame, query: list[str]) -> DataFrame:
     want = sorted(set(query))
     if not want:
         return texts.select("id", F.lit(0.0).alias("score")).where(F.lit(False))
-    f = [F.col(f"f{i}") for i in range(len(want))]
     t = tokens(texts).groupBy("id").agg(F.count("*").alias("dl"), *[F.count_if(F.col("term") == w).alias(f"f{i}") for i, w in enumerate(want)])
-    stats = t.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(x > 0).alias(f"n{i}") for i, x in enumerate(f)])
+    return bm25_of_terms(t, query)
+
+
+def bm25_of_terms(t: DataFrame, query: list[str], n: Column | None = None, avgdl: Column | None = None) -> DataFrame:
+    """(id, score) of t(id, dl, f0, f1...), the counts of the query's distinct terms in their order. n and avgdl, the records with terms and
+    their mean length, are taken from t where they are not given; then t must hold all records, else those with a query term."""
+    want = sorted(set(query))
+    if not want:
+        return t.select("id", F.lit(0.0).alias("score")).where(F.lit(False))
+    f = [F.col(f"f{i}") for i in range(len(want))]
+    stats = t.agg((F.count("*") if n is None else n).alias("n"), (F.avg("dl") if avgdl is None else avgdl).alias("avgdl"), *[F.count_if(x > 0).alias(f"n{i}") for i, x in enumerate(f)])
     score = F.lit(0.0)
     for i, w in enumerate(want):
         raw = F.log((F.col("n") - F.col(f"n{i}") + 0.5) / (F.col(f"n{i}") + 0.5))
@@ -104,8 +114,9 @@ def bm25_indexed(postings: DataFrame, lengths: DataFrame, query: list[str]) -> D
     return j.groupBy("id").agg(F.sum(part).alias("score"))
 
 
-def bm25_topk(texts: DataFrame, query: list[str], k: int, meta: DataFrame | None = None, kinds: list[str] | None = None) -> DataFrame:
-    s = bm25_scores(texts, query)
+def bm25_topk(texts: DataFrame | LexicalIndex, query: list[str], k: int, meta: DataFrame | None = None, kinds: list[str] | None = None) -> DataFrame:
+    """The best k by texts(id, text), or by a stored index of them, of which only the asked terms are read."""
+    s = texts.scores(query) if isinstance(texts, LexicalIndex) else bm25_scores(texts, query)
     return top(in_scope(s, meta, kinds) if kinds else s, "score", k)
 
 
@@ -161,7 +172,7 @@ class Request:
         return max(self.candidates or C.DEFAULT_CANDIDATES, self.offset + self.limit)
 
 
-def draw(vectors: DataFrame, texts: DataFrame, meta: DataFrame, req: Request, scoped: bool = True) -> DataFrame:
+def draw(vectors: DataFrame, texts: DataFrame | LexicalIndex, meta: DataFrame, req: Request, scoped: bool = True) -> DataFrame:
     """The fused candidate pool: at most twice the pool size, whatever the corpus."""
     kinds = req.kinds if scoped else []
     d = dense_topk_scoped(vectors, meta, req.vector, req.pool, kinds) if kinds else dense_topk(vectors, req.vector, req.pool)
@@ -194,12 +205,12 @@ def rank(described: DataFrame, req: Request) -> DataFrame:
     return shown(shown(out, 9, "score", "fused", "boost"), 6, "similarity")
 
 
-def recall(vectors: DataFrame, texts: DataFrame, meta: DataFrame, req: Request) -> DataFrame:
-    """The whole read path up to the ranked ids; bodies are joined to the few that remain."""
+def recall(vectors: DataFrame, texts: DataFrame | LexicalIndex, meta: DataFrame, req: Request) -> DataFrame:
+    """The whole read path up to the ranked ids; bodies are joined to the few that remain. Over a stored index no text is read."""
     return rank(describe(draw(vectors, texts, meta, req), meta), req)
 
 
-def recall_counters(vectors: DataFrame, texts: DataFrame, meta: DataFrame, req: Request) -> DataFrame:
+def recall_counters(vectors: DataFrame, texts: DataFrame | LexicalIndex, meta: DataFrame, req: Request) -> DataFrame:
     """One row: searched, considered, lexical_hits, superseded_hidden, scope_excluded; with a scope, lexical hits and what the scope leaves out are of the unscoped pool."""
     pool = bounded(describe(draw(vectors, texts, meta, req), meta))
     hidden = F.count_if(F.col("superseded")) if not req.include_superseded else F.lit(0).cast("long")
@@ -360,6 +371,11 @@ def encode_rank_cursor(query: str, offset: int) -> str:
     return f"r1:{offset}:{base64.urlsafe_b64encode(hashlib.sha256(query.encode()).digest()[:6]).decode()}"
 
 
+def next_cursor(query: str, offset: int, limit: int, shown: int) -> str:
+    """The cursor behind a page of `shown` results: only a full page has one; the next may be empty."""
+    return encode_rank_cursor(query, offset + limit) if shown == limit else ""
+
+
 def decode_rank_cursor(cursor: str, query: str) -> int:
     """The offset; a cursor of another query or form is refused."""
     parts = cursor.split(":")

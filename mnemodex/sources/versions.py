@@ -1,6 +1,6 @@
-"""A directory of immutable versions with a pointer table: snapshot reads, appends, compaction.
+"""A directory of immutable versions named by a commit log: snapshot reads, appends, compaction.
 
-Everything goes through Spark's writers and readers, so any store they reach will do.
+Rows go through Spark's writers and readers; which parts count stands in the log.
 """
 
 from __future__ import annotations
@@ -11,36 +11,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import logs
+from .commits import CommitLog
 
 
 class Versioned:
-    """Base and delta of a log under `root`. The newest pointer row names the base and the deltas that count.
+    """Base and delta of a log under `root`. The newest commit names the base and the deltas that count.
 
     `keep` says which of the last rows a compaction keeps; appends compact when the delta has outgrown its base.
     """
 
     def __init__(self, spark: SparkSession, root: str, schema: str, key: str = "id", order: str = "seq", keep=None):
         self.spark, self.root, self.schema, self.key, self.order, self.keep = spark, root.rstrip("/"), schema, key, order, keep
+        self.log = CommitLog(spark, self.root)
 
     def _pointer(self) -> tuple[int, list[str]]:
-        from pyspark.errors import AnalysisException
-
-        try:
-            row = self.spark.read.schema("version long, parts array<string>").parquet(f"{self.root}/pointer").orderBy(F.desc("version")).first()
-        except AnalysisException:
-            row = None
-        return (row.version, list(row.parts)) if row else (0, [])
-
-    def _point(self, version: int, parts: list[str]) -> None:
-        row = self.spark.createDataFrame([(version, parts)], "version long, parts array<string>")
-        row.coalesce(1).write.mode("append").parquet(f"{self.root}/pointer")
+        version, entry = self.log.newest()
+        return version, entry.get("parts", [])
 
     def append(self, rows: DataFrame) -> None:
-        version, parts = self._pointer()
+        """Add rows; of two writers at once both are kept."""
         part = f"{self.root}/part-{uuid.uuid4().hex}"
         rows.write.parquet(part)
-        self._point(version + 1, [*parts, part])
-        base, delta = self._sizes([*parts, part])
+        parts = self.log.update(lambda e: {"parts": [*e.get("parts", []), part]})["parts"]
+        base, delta = self._sizes(parts)
         if logs.due_for_compaction(delta, base):
             self.compact(self.keep)
 
@@ -61,24 +54,26 @@ class Versioned:
         if not version:
             return dict.fromkeys(("version", "base_bytes", "delta_bytes", "bytes_written", "compactions"), 0)
         base, delta = self._sizes(parts)
-        rows = self.spark.read.schema("version long, parts array<string>").parquet(f"{self.root}/pointer")
-        ever = [r.p for r in rows.select(F.explode("parts").alias("p")).distinct().collect()]  # one name for each write
+        ever = sorted({p for n in range(1, version + 1) for p in self.log.read(n)["parts"]})  # one name for each write
         return {"version": version, "base_bytes": base, "delta_bytes": delta, "bytes_written": self._bytes(ever), "compactions": sum("/base-" in p for p in ever)}
 
     def read(self) -> DataFrame:
         """All rows of the current version; a reader keeps its version while writers go on."""
-        _, parts = self._pointer()
-        reader = self.spark.read.schema(self.schema)
-        return reader.parquet(*parts) if parts else self.spark.createDataFrame([], self.schema)
+        return self._rows(self._pointer()[1])
+
+    def _rows(self, parts: list[str]) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*parts) if parts else self.spark.createDataFrame([], self.schema)
 
     def state(self) -> DataFrame:
         return logs.latest(self.read(), self.key, self.order)
 
     def compact(self, keep=None) -> None:
-        """One base with the last row of each key (and of those only what `keep` holds for), then the pointer moves: a crash before leaves the old version."""
-        version, _ = self._pointer()
-        folded = self.state()
+        """One base with the last row of each key (and of those only what `keep` holds for), then the pointer moves: a crash before
+        leaves the old version, and parts appended meanwhile stay behind the base."""
+        _, old = self._pointer()
+        folded = logs.latest(self._rows(old), self.key, self.order)
         folded = folded.where(keep) if keep is not None else folded
         part = f"{self.root}/base-{uuid.uuid4().hex}"
-        folded.select(*self.read().columns).write.parquet(part)
-        self._point(version + 1, [part])
+        folded.select(*self._rows([]).columns).write.parquet(part)
+        # another compaction's base stands in place of parts folded here: then this one is dropped
+        self.log.update(lambda e: {"parts": [part, *(p for p in e.get("parts", []) if p not in old)]} if set(old) <= set(e.get("parts", [])) else e)
