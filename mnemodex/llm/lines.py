@@ -6,6 +6,8 @@ apart by two 64-bit hashes. A first aggregation, partial before its shuffle, kee
 per line, merged by aggregation, estimates the distinct sites. Estimates further than `margin` from the
 threshold decide; the lines near it get exact distinct counts. The texts then lose the lines found.
 
+A document's boilerplate lines come back as their places, in order; it keeps the stretches between them, so its cost is linear in its lines.
+
 A line that a third of all documents hold is one row per task after partial aggregation. Documents get
 their lines back by id, never by line, so a hot line gathers nowhere; the set of boilerplate lines is
 joined by Spark's choice (broadcast only below its size limit).
@@ -63,11 +65,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", site: str = "source", t
     found = boilerplate(docs, site, text, min_sites, sketch, margin)
     # the row is one column, so that no name of its own can clash
     d = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns if c != text]).alias("r"), docs[id_col].alias("k"), docs[text].cast("string").alias("t")).withColumn("x", F.xxhash64("t"))
-    mine = d.select("k", "x", F.explode(F.split("t", "\n")).alias("line")).where(_solid(F.col("line"))).select("k", "x", _hash(F.col("line")).alias("h"))
-    bad = mine.join(found, "h", "left_semi").groupBy("k", "x").agg(F.collect_set("h").alias("bad")).select(F.col("k").alias("bk"), F.col("x").alias("bx"), "bad")
+    mine = d.select("k", "x", F.posexplode(F.split("t", "\n")).alias("at", "line")).where(_solid(F.col("line"))).select("k", "x", "at", _hash(F.col("line")).alias("h"))
+    bad = mine.join(found, "h", "left_semi").groupBy("k", "x").agg(F.array_sort(F.collect_set("at")).alias("bad")).select(F.col("k").alias("bk"), F.col("x").alias("bx"), "bad")
     d = d.join(bad, F.col("k").eqNullSafe(F.col("bk")) & (F.col("x") == F.col("bx")), "left")
     lines = F.split("t", "\n")
-    kept = F.filter(lines, lambda y: ~(_solid(y) & F.array_contains("bad", _hash(y))))
+    # the stretches between removed lines, each a slice of the lines, which are split once
+    ends = F.concat(F.col("bad"), F.array(F.size(lines)))
+    between = lambda w: F.flatten(F.zip_with(F.concat(F.array(F.lit(-1)), "bad"), ends, lambda a, b: F.slice(w, a + 2, b - a - 1)))
+    kept = F.get(F.transform(F.array(lines), between), F.lit(0))
     d = d.select("r", "t", F.when(F.col("t").isNull(), F.lit(0)).otherwise(F.size(lines)).alias("n"), F.when(F.col("bad").isNotNull(), kept).alias("kept"))
     joined = F.array_join("kept", "\n")
     if max_removed is None:
