@@ -1,6 +1,7 @@
 """Operator 10, mixing sources to target weights. DataFrame functions only.
 
-1. Each source's documents are packed, in the order of a hash of doc_id and text, into blocks of a fixed number of words.
+1. Each source's documents are packed, in the order of a hash of doc_id and text, into blocks of a fixed number of words: `block`, or
+   fewer where the source or its target has less than 100 such blocks, so that whole blocks come near every target.
 2. The mix is a sequence of slots in output shards. Every slot draws its source by one hashed uniform number, so the
    source counts of a shard are a multinomial draw (`shard_counts`). Of a source that was drawn more often than its target
    has blocks the surplus slots, which a hash picks, go to the sources that were drawn too seldom: a few in ten thousand,
@@ -16,7 +17,7 @@ cluster. Tables with a row for each source (targets) are windowed by one task; n
 Defined cases: a null text has no words and takes part with size 0; a null source is a source, the last;
 every row has a number, by which it is packed and its words are taken, so rows that repeat others take
 part like others (`taken` shares out what equal rows take among them); sources of no words have target 0; a source whose
-target is less than half a block may get no slot; extra columns are left out. An empty table gives an empty result.
+target is less than half a word gets no slot; extra columns are left out. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE = " \t\n\x0b\x0c\r"
 #: Rows of a bucket in which running counts are taken, cells of a stretch, slots of a cell, rounds of a permutation.
 BUCKET_ROWS, STRETCH, CELL, ROUNDS = 4096, 65536, 64, 16
+#: Blocks that a source and its target have at least, unless a block is a word.
+LEAST_BLOCKS = 100
 
 
 def n_words(text: Column) -> Column:
@@ -98,7 +101,7 @@ def numbered(docs: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 
 def pack(docs: DataFrame, spread: int | None = None) -> DataFrame:
-    """(source, doc_id, row, number, size, start): each document's first word's place among its source's words.
+    """(source, doc_id, row, number, size, start): each document's first word's place among its source's words; a column words stays.
 
     docs: source, doc_id, row and number (tell rows of equal ids apart), size. spread: buckets of a source; the result does not depend on it.
     """
@@ -111,14 +114,20 @@ def pack(docs: DataFrame, spread: int | None = None) -> DataFrame:
     inner = Window.partitionBy("source", "bucket").orderBy("place", "doc_id", "row", "number").rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("inner", F.coalesce(F.sum("size").over(inner), F.lit(0)))
     d = d.join(sums, d.source.eqNullSafe(sums.src) & (d.bucket == sums.bkt))
-    return d.select("source", "doc_id", "row", "number", "size", (F.col("base") + F.col("inner")).alias("start"))
+    return d.select("source", "doc_id", "row", "number", "size", *(["words"] if "words" in docs.columns else []), (F.col("base") + F.col("inner")).alias("start"))
+
+
+def block_words(block: int) -> Column:
+    """The words of a block of a source, by its source_size and target."""
+    least = F.floor(F.least(F.col("source_size").cast("double"), F.col("target")) / LEAST_BLOCKS)
+    return F.greatest(F.lit(1), F.least(F.lit(block), least)).cast("long")
 
 
 def quotas(targets: DataFrame, block: int) -> DataFrame:
     """(src, blocks, quota, lo, hi) of targets(source, source_size, target): the slots that come nearest to each target, as blocks
     of a source hold source_size / blocks words each, laid end to end."""
     up = Window.orderBy(F.col("src").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-    q = targets.where("target > 0").select(F.col("source").alias("src"), "source_size", "target", F.ceil(F.col("source_size") / block).cast("long").alias("blocks"))
+    q = targets.where("target > 0").select(F.col("source").alias("src"), "source_size", "target", F.ceil(F.col("source_size") / block_words(block)).cast("long").alias("blocks"))
     q = q.withColumn("quota", F.round(F.col("target") * F.col("blocks") / F.col("source_size")).cast("long")).where("quota > 0")
     return q.withColumn("hi", F.sum("quota").over(up)).withColumn("lo", F.col("hi") - F.col("quota")).select("src", "blocks", "quota", "lo", "hi")
 
@@ -189,9 +198,10 @@ def mix_numbered(docs: DataFrame, block: int = 64, shard_slots: int = 1024, seed
     # each step's columns are read more than once by the next one, so the planner keeps the steps apart
     slots = slots.withColumn("pass", turn).withColumn("key", F.xxhash64(F.lit(seed), "src", "pass")).withColumn("keys", round_keys(F.col("blocks"), F.col("key")))
     slots = slots.withColumn("block", permute(F.col("j") % F.col("blocks"), F.col("blocks"), F.col("key"), F.col("keys"))).drop("key", "keys")
-    packed = pack(d).where("size > 0")
-    pieces = packed.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))))
-    pieces = pieces.withColumn("first", F.greatest(F.lit(0), F.col("block") * block - F.col("start"))).withColumn("last", F.least(F.col("size"), (F.col("block") + 1) * block - F.col("start")))
+    packed = pack(sizes.withColumn("words", block_words(block))).where("size > 0")
+    words = F.col("words")
+    pieces = packed.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / words), F.floor((F.col("start") + F.col("size") - 1) / words))))
+    pieces = pieces.withColumn("first", F.greatest(F.lit(0), F.col("block") * words - F.col("start"))).withColumn("last", F.least(F.col("size"), (F.col("block") + 1) * words - F.col("start")))
     # the planner cannot see how many rows the sequences make, so it is told not to broadcast them
     spans = slots.hint("merge").join(pieces, slots.src.eqNullSafe(pieces.source) & (slots.block == pieces.block))
     return spans.select("shard", "slot", "source", F.col("pass").cast("int").alias("pass"), "doc_id", "row", "number", "first", "last"), sizes

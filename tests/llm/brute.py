@@ -109,7 +109,8 @@ def mixed(rows, block=64, seed=7):
         of[s] += n
     target = targets(of)
     names = sorted([s for s in of if s is not None]) + ([None] if None in of else [])
-    blocks = {s: -(-of[s] // block) for s in names}
+    words = {s: max(1, min(block, int(min(of[s], target[s]) / 100))) for s in names}
+    blocks = {s: -(-of[s] // words[s]) for s in names}
     exact = {s: target[s] * blocks[s] / of[s] if of[s] else 0 for s in names}
     quota = {s: int(exact[s] + 0.5) for s in names}
     line = [s for s in names for _ in range(quota[s])]
@@ -128,7 +129,7 @@ def mixed(rows, block=64, seed=7):
         for j in range(quota[s]):
             turn, at = divmod(j, blocks[s])
             b = permuted(at, blocks[s], xx(seed, s, ("long", turn)))
-            for i in owner[b * block : (b + 1) * block]:
+            for i in owner[b * words[s] : (b + 1) * words[s]]:
                 out[i] += 1
     return out
 

@@ -415,6 +415,19 @@ def test_mixing_against_a_plain_loop(spark, docs):
         assert got == dict(zip([r[0] for r in rows], brute.mixed(rows, block)))
 
 
+def test_small_sources_come_near_their_targets(spark):
+    r = random.Random(8)
+    rows = [(i, f"s{i % 500}", prose(i, r.randint(20, 60))) for i in range(500)] + [(1000 + i, "big", prose(i, 900)) for i in range(40)]
+    got = mixing.taken(spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(4)).collect()
+    source, taken, target = {i: s for i, s, _ in rows}, {}, {}
+    for x in got:
+        s = source[x.doc_id]
+        taken[s], target[s] = taken.get(s, 0) + x.taken, x.target
+        assert x.taken <= 2 * x["size"]
+    assert len(taken) == 501 and all(abs(taken[s] - target[s]) <= max(1, 0.02 * target[s]) for s in taken)
+    assert abs(sum(taken.values()) / sum(x["size"] for x in got) - 1.5) < 0.01
+
+
 def test_permutation(spark):
     for n in (1, 2, 3, 7, 64, 1000):
         d = spark.range(n).select("id", mixing.permute(F.col("id"), F.lit(n).cast("long"), F.xxhash64(F.lit(7), F.lit("s"), F.lit(0).cast("long"))).alias("x"))
