@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import in_ranges, number_rows
+
 KS = (1, 3, 5, 10)
 
 
@@ -22,11 +24,10 @@ def quality(first: DataFrame) -> DataFrame:
 
 def density_halves(first: DataFrame, dense: DataFrame) -> DataFrame:
     """(half, queries, hit_5): the crowded half (the floor of n/2 densest queries) and the rest."""
-    d = first.join(dense, "query_id")
+    d = number_rows(first.join(dense, "query_id"), F.desc("density"), "query_id", name="place")
     n = d.agg(F.count("*").alias("n"))
-    place = F.row_number().over(Window.orderBy(F.desc("density"), "query_id"))  # a labelled query set is small
-    half = F.when(F.col("place") <= F.floor(F.col("n") / 2), "crowded").otherwise("sparse")
-    return d.withColumn("place", place).crossJoin(n).groupBy(half.alias("half")).agg(F.count("*").alias("queries"), F.round(F.avg(F.when(F.col("rank") <= 5, 1.0).otherwise(0.0)), 6).alias("hit_5"))
+    half = F.when(F.col("place") < F.floor(F.col("n") / 2), "crowded").otherwise("sparse")
+    return d.crossJoin(F.broadcast(n)).groupBy(half.alias("half")).agg(F.count("*").alias("queries"), F.round(F.avg(F.when(F.col("rank") <= 5, 1.0).otherwise(0.0)), 6).alias("hit_5"))  # one row
 
 
 def by_shape(first: DataFrame, shapes: DataFrame) -> DataFrame:
@@ -34,11 +35,14 @@ def by_shape(first: DataFrame, shapes: DataFrame) -> DataFrame:
 
 
 def percentile_lower(values: DataFrame, column: str, key: str, p: float) -> DataFrame:
-    """The lower nearest-rank percentile of each key: the value at place int(p * (n - 1)) of the sorted ones.
+    """The lower nearest-rank percentile of each key: the value at place int(p * (n - 1)) of the sorted ones, exactly.
 
-    Counts of distinct values are summed in order, so equal values do not pile up.
+    Values are dealt into ranges of equal depth by key and value, so a key of a third of all rows has many; counts of keys in
+    ranges say which range holds a key's place, and one row of it is fetched. Only those counts are windowed. Nulls are left out.
     """
-    c = values.where(F.col(column).isNotNull()).groupBy(key, column).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(key)
-    c = c.withColumn("upto", F.sum("c").over(w.orderBy(column))).withColumn("n", F.sum("c").over(w))
-    return c.where(F.col("upto") > F.floor(F.lit(p) * (F.col("n") - 1))).groupBy(key).agg(F.min(column).alias("value"))
+    d = in_ranges(values.where(F.col(column).isNotNull()).select(F.col(key).alias("k"), F.col(column).alias("v")), "k", "v")
+    c = d.groupBy(F.col("row.k").alias("k"), "part").agg(F.count("*").alias("n"), F.min("place").alias("first"))
+    w = Window.partitionBy("k")
+    c = c.withColumns({"base": F.sum("n").over(w.orderBy("part")) - F.col("n"), "place": F.floor(F.lit(p) * (F.sum("n").over(w) - 1))})
+    at = c.where((F.col("place") >= F.col("base")) & (F.col("place") < F.col("base") + F.col("n"))).select("part", (F.col("first") + F.col("place") - F.col("base")).alias("place"))
+    return d.join(at, ["part", "place"]).select(F.col("row.k").alias(key), F.col("row.v").alias("value"))

@@ -137,19 +137,11 @@ def object_deleted(folded: DataFrame, gone: DataFrame, key: str, order: str) ->
     return f.join(a, [key, "object_ref"]).select(key, order, F.lit("").alias("object_ref"), F.lit("").alias("slab_id"), *rest)
 
 
-def number_rows(df: DataFrame, order: str, name: str = "number", rows: int = 1 << 16) -> DataFrame:
-    """Places from 0 by a whole-number column, ties apart by nothing else. Two levels: ranges of the column are counted, and
-    rows are numbered inside each, so no task sees more than a range; the ranges follow the number of rows."""
-    from pyspark.sql import Window
-
-    n, low, high = df.agg(F.count("*"), F.min(order), F.max(order)).first()
-    cells = max(1, -(-n // rows))
-    width = max(1, -(-((high or 0) - (low or 0) + 1) // cells))
-    d = df.withColumn("cell_", F.floor((F.col(order) - F.lit(low or 0)) / width))
-    counts = d.groupBy("cell_").agg(F.count("*").alias("n_"))
-    before = counts.select("cell_", F.coalesce(F.sum("n_").over(Window.orderBy("cell_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base_"))  # a row for each range
-    place = F.row_number().over(Window.partitionBy("cell_").orderBy(order)) - 1
-    return d.withColumn(name, place).join(before, "cell_").withColumn(name, F.col("base_") + F.col(name)).drop("cell_", "base_")
+def number_rows(df: DataFrame, order: str, name: str = "number") -> DataFrame:
+    """Places from 0 by a column, ties apart by nothing else, in ranges of equal depth (`ordering.number_rows`)."""
+    from .ordering import number_rows as places
+
+    return places(df, order, name=name)
 
 
 def stale_objects(folded: DataFrame) -> DataFrame:

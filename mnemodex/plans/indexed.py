@@ -1,4 +1,4 @@
-"""Registered queries over a lexical index on disk, after it was written, written again in part, and forgotten in part."""
+"""Registered queries over stores on disk: a lexical index that was written, written again in part and forgotten in part, and packed slabs."""
 
 from __future__ import annotations
 
@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import retrieval
 from ..sources.lexical import LexicalIndex
-from ..sources.shared import shared_dir
+from ..sources.shared import shared_dir, written
+from ..sources.slabs import SlabStore
 from . import stand_ins as S
 from .catalogue import _BEST, _RANK, BM25, QUERY_TEXT, _parts, _pool, _request, query
 
@@ -38,3 +39,24 @@ def recall_stored(spark, sf):
 def recall_stored_scoped(spark, sf):
     v, _, m = _parts(spark, sf)
     return retrieval.recall(v, _index(spark, sf), m, _request(spark, sf, kinds=["memory"]))
+
+
+def _blobs(spark, sf):
+    d = S.records(spark, sf)
+    body = F.coalesce("text", F.lit("")).cast("binary")
+    return d.select(F.md5(F.col("id").cast("string").cast("binary")).alias("id"), F.lit("memory").alias("kind"), F.sha2(body, 256).alias("cid"), body.alias("payload"), F.col("id").alias("n"))
+
+
+@query("""SELECT md5(CAST(doc_id AS VARCHAR)) AS id, md5(coalesce(text, '')) AS payload_md5, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS bytes, true AS moved FROM documents WHERE doc_id % 3 > 0""")
+def repacked_blobs(spark, sf):
+    """Texts as blobs of two writes, a third of them forgotten; after a repack each is read back from a slab of the repack."""
+    store = SlabStore(spark, shared_dir(spark, "slabs"), slab_bytes=1 << 20)
+    b = _blobs(spark, sf)
+    for part in (0, 1):
+        store.put(b.where(F.col("n") % 2 == part).drop("n"))
+    before = written(store.ledger.state().where("state = 'pinned'").select("slab"))
+    store.forget(b.where("n % 3 = 0").select("id"))
+    store.repack()
+    live = store.live().select("id", F.col("object_ref").alias("ref"), F.col("slab_id").alias("slab"), "bytes")
+    old = before.withColumn("old", F.lit(True))
+    return live.join(store.read(live), "ref").join(old, "slab", "left").select("id", F.md5("payload").alias("payload_md5"), "bytes", F.col("old").isNull().alias("moved"))

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from mnemodex.operators.evaluation import percentile_lower
 from mnemodex.operators.ordering import in_ranges, number_rows
 
 
@@ -26,3 +27,20 @@ def test_places_of_no_rows_and_clashing_names(spark):
     assert number_rows(spark.range(0), "id").collect() == []
     d = spark.createDataFrame([(2, "a"), (1, "b")], "part_ long, number string")
     assert sorted(map(tuple, number_rows(d, "part_").collect())) == [(1, 0), (2, 1)]
+
+
+def test_percentiles_of_skewed_keys(spark):
+    import random
+
+    r = random.Random(3)
+    rows = [(r.choice(["hot"] * 6 + ["a", "b", None]), r.choice([1, 1, 2, r.randrange(1000), None])) for _ in range(4000)] + [("one", 5), ("none", None)]
+    d = spark.createDataFrame(rows, "k string, v long").repartition(5)
+    for p in (0.0, 0.5, 0.95, 1.0):
+        want = {}
+        for k in {k for k, _ in rows}:
+            v = sorted(v for j, v in rows if j == k and v is not None)
+            if v:
+                want[k] = v[int(p * (len(v) - 1))]
+        assert {x.k: x.value for x in percentile_lower(d, "v", "k", p).collect()} == want
+    plan = percentile_lower(d, "v", "k", 0.5)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") == plan.count("Window [sum(n#") == 2  # over the counts of keys in ranges

@@ -53,7 +53,7 @@ def test_compare_and_set_outcomes(spark):
 
 def test_numbering_and_batches(spark):
     d = spark.createDataFrame([(i * i % 1009, f"r{i}") for i in range(500)], "seq long, id string").dropDuplicates(["seq"]).repartition(7)
-    got = {r.seq: r.number for r in logs.number_rows(d, "seq", rows=20).collect()}
+    got = {r.seq: r.number for r in logs.number_rows(d, "seq").collect()}
     assert got == {s: i for i, s in enumerate(sorted(got))}
     b = storage.delete_batches(d, size=64).groupBy("batch").agg(F.count("*").alias("n"), F.min("seq").alias("lo"), F.max("seq").alias("hi")).orderBy("batch").collect()
     assert all(r.n == 64 for r in b[:-1]) and all(x.hi < y.lo for x, y in zip(b, b[1:]))
