@@ -104,13 +104,15 @@ class SlabStore:
         self._append(self.objects, written.dropDuplicates(["ref"]).select("ref", "slab", "pos", "bytes", F.lit(False).alias("deleted")))
         step("objects")
 
-    def put(self, blobs: DataFrame) -> None:
-        """Write blobs(id, kind, cid, payload) and name them in the catalog."""
+    def put(self, blobs: DataFrame, step: Callable[[str], None] = lambda _: None) -> None:
+        """Write blobs(id, kind, cid, payload) and name them in the catalog; `step` is called behind each step."""
         run = uuid.uuid4().hex[:16]
         written = self.upload(blobs, run)
-        self.pin(written, run)
+        step("upload")
+        self.pin(written, run, step)
         named = blobs.select("id", "kind", "cid").join(written.select("id", "ref", "slab", "bytes"), "id")
         self._append(self.catalog, named.select("id", "kind", "cid", F.col("ref").alias("object_ref"), F.col("slab").alias("slab_id"), "bytes", F.lit(False).alias("deleted")))
+        step("catalog")
 
     def _written(self, run: str, blobs: DataFrame) -> DataFrame:
         place = self.spark.read.schema("key string, slab string, pos long").parquet(f"{self.root}/placed/{run}")
@@ -158,7 +160,7 @@ class SlabStore:
         """
         n, now = self.journal.newest()
         if not now or now["phase"] == "released":
-            self._sweep(now.get("run", ""))
+            self.sweep()
             live = self.live().select("id", "kind", "cid", F.col("object_ref").alias("ref"), F.col("slab_id").alias("slab"))
             foreign = live.where("slab <> ''").select("slab").distinct().join(self.ledger.state().where((F.col("origin") == self.device) & (F.col("state") == "pinned")), "slab", "left_anti").count()
             if foreign:
@@ -213,7 +215,7 @@ class SlabStore:
         step(phase)
         return entry
 
-    def _sweep(self, run: str) -> None:
+    def sweep(self) -> None:
         """Release this device's slabs whose run never came to be: written or pinned, but with no object that the catalog names."""
         named = self.live().select(F.col("slab_id").alias("slab")).distinct()
         begun = self.ledger.state().drop("first_seen").where((F.col("origin") == self.device) & (F.col("state") != "released"))
