@@ -61,14 +61,13 @@ def catalog_counts(folded: DataFrame, deleted: str = "deleted") -> DataFrame:
 
 
 def feed_counters(events: DataFrame, key: str, order: str, deleted, readable, page: int = 0) -> DataFrame:
-    """A change feed's fold as one row: events, unreadable, deleted, superseded, live. Later events of a key win; unreadable ones drop out.
-    With the rows of a page, also `pages`, the number of full or short ones read."""
-    e = events.withColumn("bad_", ~readable).withColumn("gone_", deleted)
-    ok = e.where(~F.col("bad_"))
-    f = ok.groupBy(key).agg(F.max_by("gone_", order).alias("gone"), F.count("*").alias("n"))
-    a = f.agg(F.count_if("gone").alias("deleted"), F.sum(F.col("n") - 1).alias("superseded"), F.count_if(~F.col("gone")).alias("live"))
-    pages = [F.ceil(F.count("*") / page).alias("pages")] if page else []
-    return e.agg(F.count("*").alias("events"), F.count_if("bad_").alias("unreadable"), *pages).crossJoin(a)  # one row each
+    """A change feed's walk as one row: events, deleted and unreadable ones, those that a later or earlier one of their key supersedes,
+    and live keys: those whose last event neither deletes them nor is unreadable. With the rows of a page, also `pages`."""
+    e = events.withColumn("gone_", F.coalesce(deleted, F.lit(False))).withColumn("bad_", ~F.col("gone_") & ~F.coalesce(readable, F.lit(False)))
+    f = e.groupBy(key).agg(F.max_by(F.col("gone_") | F.col("bad_"), order).alias("off"), F.count("*").alias("n"), F.count_if("gone_").alias("gone"), F.count_if("bad_").alias("bad"))
+    none = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    pages = [F.ceil(none(F.col("n")) / page).alias("pages")] if page else []
+    return f.agg(none(F.col("n")).alias("events"), none(F.col("bad")).alias("unreadable"), *pages, none(F.col("gone")).alias("deleted"), none(F.col("n") - 1).alias("superseded"), F.count_if(~F.col("off")).alias("live"))
 
 
 def first_created(writes: DataFrame, key: str, order: str, created: str) -> DataFrame:

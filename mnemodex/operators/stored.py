@@ -9,8 +9,9 @@ from . import logs
 
 
 def feed_live(events: DataFrame, key: str, order: str, deleted: Column, readable: Column) -> DataFrame:
-    """The live rows of a change feed, in the order in which their keys were first seen; unreadable events count for nothing."""
-    folded = logs.latest(events.where(F.coalesce(readable, F.lit(False))).withColumn("gone_", deleted), key, order)
+    """The live rows of a change feed, in the order in which their keys were first seen. The last event of a key is the truth: one that
+    deletes it, or that cannot be read, leaves nothing of it."""
+    folded = logs.latest(events.withColumn("gone_", deleted | ~F.coalesce(readable, F.lit(False))), key, order)
     return logs.live(folded, "gone_").drop("gone_").orderBy("first_seen")
 
 

@@ -356,8 +356,8 @@ def catalog_counts(spark, sf):
     return logs.catalog_counts(_folded(spark, sf))
 
 
-@query(f"""WITH {S.LOG}, ok AS (SELECT * FROM log WHERE bytes >= 1), k AS (SELECT id, arg_max(deleted, seq) AS gone, count(*) AS n FROM ok GROUP BY id)
-SELECT (SELECT count(*) FROM log) AS events, (SELECT count(*) FROM log WHERE NOT bytes >= 1) AS unreadable, count(*) FILTER (WHERE gone) AS deleted, CAST(sum(n - 1) AS BIGINT) AS superseded, count(*) FILTER (WHERE NOT gone) AS live FROM k""")
+@query(f"""WITH {S.LOG}, k AS (SELECT id, arg_max(deleted OR NOT bytes >= 1, seq) AS off, count(*) AS n FROM log GROUP BY id)
+SELECT (SELECT count(*) FROM log) AS events, (SELECT count(*) FROM log WHERE NOT deleted AND NOT bytes >= 1) AS unreadable, (SELECT count(*) FROM log WHERE deleted) AS deleted, CAST(sum(n - 1) AS BIGINT) AS superseded, count(*) FILTER (WHERE NOT off) AS live FROM k""")
 def feed_counters(spark, sf):
     return logs.feed_counters(S.catalog(spark, sf), "id", "seq", F.col("deleted"), F.col("bytes") >= 1)
 

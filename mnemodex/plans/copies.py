@@ -14,12 +14,12 @@ def _feed(spark, sf):
     return S.catalog(spark, sf).select("seq", "id", "deleted", (F.col("seq") % 11 != 3).alias("readable"))
 
 
-@query(f"WITH {S.LOG}, ok AS (SELECT * FROM log WHERE seq % 11 <> 3) SELECT id, max(seq) AS seq, min(seq) AS first_seen FROM ok GROUP BY id HAVING NOT arg_max(deleted, seq)")
+@query(f"WITH {S.LOG} SELECT id, max(seq) AS seq, min(seq) AS first_seen FROM log GROUP BY id HAVING NOT arg_max(deleted OR seq % 11 = 3, seq)")
 def feed_live(spark, sf):
     return stored.feed_live(_feed(spark, sf), "id", "seq", F.col("deleted"), F.col("readable")).select("id", "seq", "first_seen")
 
 
-@query(f"WITH {S.LOG}, f AS (SELECT id, arg_max(deleted, seq) AS gone, count(*) AS n FROM log WHERE seq % 11 <> 3 GROUP BY id) SELECT count(*) AS events, count(*) FILTER (WHERE seq % 11 = 3) AS unreadable, CAST(ceil(count(*) / 300) AS BIGINT) AS pages, (SELECT count(*) FROM f WHERE gone) AS deleted, (SELECT CAST(sum(n - 1) AS BIGINT) FROM f) AS superseded, (SELECT count(*) FROM f WHERE NOT gone) AS live FROM log")
+@query(f"WITH {S.LOG}, f AS (SELECT id, arg_max(deleted OR seq % 11 = 3, seq) AS off, count(*) AS n FROM log GROUP BY id) SELECT count(*) AS events, count(*) FILTER (WHERE NOT deleted AND seq % 11 = 3) AS unreadable, CAST(ceil(count(*) / 300) AS BIGINT) AS pages, count(*) FILTER (WHERE deleted) AS deleted, (SELECT CAST(sum(n - 1) AS BIGINT) FROM f) AS superseded, (SELECT count(*) FROM f WHERE NOT off) AS live FROM log")
 def feed_pages(spark, sf):
     return logs.feed_counters(_feed(spark, sf), "id", "seq", F.col("deleted"), F.col("readable"), page=300)
 
