@@ -151,21 +151,6 @@ def duplicate_appends(new: DataFrame, refs: DataFrame) -> DataFrame:
     return again.union(new.select("session", "id").join(ends, ["session", "id"], "left_semi")).distinct()
 
 
-def rebuild_heads(turns: DataFrame, links: DataFrame) -> DataFrame:
-    """Heads from stored turns(session, pos, id, role, text, created, bytes) and links(session, n): every field with its origin.
-
-    observed: seen in the turns; derived: counted from them; synthesised: made up; reverse: from records that point here; lost: nothing is left.
-    """
-    f, t = facts(turns), titles(turns)
-    out = f.join(t, "session").join(links.select("session", F.col("n").alias("memories")), "session", "left")
-    recovered = F.col("title").startswith("Recovered session ")
-    return out.select(
-        "session", "title", "messages", "bytes", "first_dated", "last_dated", "head_message", F.coalesce("memories", F.lit(0)).alias("memories"),
-        F.when(recovered, "synthesised").otherwise("derived").alias("title_origin"), F.when(F.col("first_dated").isNull(), "lost").otherwise("observed").alias("created_origin"),
-        F.when(F.col("memories").isNull(), "lost").otherwise("reverse").alias("memories_origin"),
-    )
-
-
 def children(sessions: DataFrame) -> DataFrame:
     """(id, pos, child, title): subagents of each session in the order of their ids; sessions(id, title, parent)."""
     c = sessions.where("parent is not null").select(F.col("parent").alias("id"), F.col("id").alias("child"), "title")

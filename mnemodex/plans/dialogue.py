@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import importer, listing
+from ..operators import heads, importer, listing
 from ..operators import parts as P
 from . import stand_ins as S
 from .catalogue import query
@@ -134,3 +134,48 @@ def chunk_validation(spark, sf):
         F.when(n == 4, "").otherwise("s").alias("session"), F.when(n == 5, -1).otherwise(0).alias("seq"), F.when(n == 6, 0).otherwise(3).alias("messages"),
     )
     return listing.chunk_problem(chunks).select("id", "problem")
+
+
+def _transcript(spark, sf):
+    """Messages of models, tokens and memories in context, their chunks, and the memories that name a session."""
+    n, s = F.col("session") * 7 + F.col("pos"), F.col("session")
+    m = _messages(spark, sf).withColumns({
+        "model": F.when(s % 4 > 0, F.when(n % 3 == 0, "").otherwise(_say("m", n % 4))), "tokens_in": F.when(s % 3 > 0, n % 50), "tokens_out": F.when(s % 3 > 0, n % 20), "created": F.when(s % 5 > 0, F.col("created")),
+        "memory_refs": F.when((s % 2 == 0) & (F.col("pos") % 4 == 1), F.array(F.col("pos") % 6, F.lit(1000).cast("long"))).otherwise(F.array().cast("array<long>")),
+    })
+    chunks = S.turns(spark, sf).groupBy("session", F.floor(F.col("pos") / 4).alias("seq")).agg(F.sum("bytes").alias("bytes"))
+    back = S.records(spark, sf).where("id % 6 <> 2").select((F.col("id") % 97).alias("session"), "id")
+    return m, chunks, back
+
+
+_HEAD = _TALK + r""", x AS (SELECT session, pos, id, role, CASE WHEN session % 4 > 0 AND (session * 7 + pos) % 3 > 0 THEN 'm' || (session * 7 + pos) % 4 END AS model, CASE WHEN session % 3 > 0 THEN (session * 7 + pos) % 50 ELSE 0 END AS ti, CASE WHEN session % 3 > 0 THEN (session * 7 + pos) % 20 ELSE 0 END AS tout,
+  CASE WHEN session % 5 > 0 THEN created END AS created, CASE WHEN session % 2 = 0 AND pos % 4 = 1 THEN [pos % 6, 1000] ELSE [] END AS refs FROM m),
+a AS (SELECT session, count(*) AS messages, CAST(sum(ti) AS BIGINT) AS tokens_in, CAST(sum(tout) AS BIGINT) AS tokens_out, arg_min(created, pos) FILTER (WHERE created IS NOT NULL) AS created, arg_max(created, pos) FILTER (WHERE created IS NOT NULL) AS updated, arg_max(id, pos) AS head_message FROM x GROUP BY session),
+mo AS (SELECT session, string_agg(model, ',' ORDER BY met) AS models FROM (SELECT session, model, min(pos) AS met FROM x WHERE model IS NOT NULL GROUP BY ALL) GROUP BY session),
+ch AS (SELECT session, count(*) AS chunks, CAST(sum(b) AS BIGINT) AS bytes FROM (SELECT session, pos // 4 AS q, sum(bytes) AS b FROM turns GROUP BY ALL) GROUP BY session),
+li AS (SELECT session, count(DISTINCT id) AS memories FROM (SELECT doc_id % 97 AS session, doc_id AS id FROM documents WHERE doc_id % 6 <> 2 UNION ALL SELECT session, unnest(refs) FROM x) GROUP BY session),
+u AS (SELECT session, arg_min(said, pos) AS t FROM m WHERE role = 'user' AND n IN (0, 2) AND trim(regexp_replace(said, '\s+', ' ', 'g')) <> '' GROUP BY session),
+h AS (SELECT a.*, coalesce(mo.models, '') AS models, chunks, bytes, coalesce(memories, 0) AS memories, trim(regexp_replace(t, '\s+', ' ', 'g')) AS t FROM a JOIN ch USING (session) LEFT JOIN mo USING (session) LEFT JOIN li USING (session) LEFT JOIN u USING (session))"""
+
+
+@query(f"""WITH {_HEAD} SELECT session, messages, chunks, bytes, tokens_in, tokens_out, created, updated, models, head_message, memories,
+ CASE WHEN t IS NULL THEN 'Recovered session ' || lpad(CAST(session AS VARCHAR), 8, '0') WHEN length(t) <= 72 THEN t ELSE rtrim(substr(t, 1, 72)) || '…' END AS title FROM h""")
+def head_rebuild(spark, sf):
+    h = heads.rebuild_heads(*_transcript(spark, sf))
+    return h.drop("origins", "kind", "version").withColumn("models", F.array_join("models", ","))
+
+
+@query(f"""WITH {_HEAD}, o AS (SELECT session, unnest([
+ {{'f': 'id', 'o': 'chunk'}}, {{'f': 'schema', 'o': 'chunk'}}, {{'f': 'schemaVersion', 'o': 'chunk'}}, {{'f': 'version', 'o': 'synthesised'}}, {{'f': 'title', 'o': 'synthesised'}}, {{'f': 'summary', 'o': 'lost'}}, {{'f': 'tags', 'o': 'lost'}}, {{'f': 'project', 'o': 'lost'}},
+ {{'f': 'created', 'o': CASE WHEN created IS NULL THEN 'lost' ELSE 'observed' END}}, {{'f': 'updated', 'o': CASE WHEN created IS NULL THEN 'lost' ELSE 'observed' END}}, {{'f': 'archived', 'o': 'lost'}}, {{'f': 'agent', 'o': 'lost'}}, {{'f': 'agentRef', 'o': 'lost'}},
+ {{'f': 'models', 'o': CASE WHEN models = '' THEN 'lost' ELSE 'observed' END}}, {{'f': 'counts.messages', 'o': 'derived'}}, {{'f': 'counts.chunks', 'o': 'derived'}}, {{'f': 'counts.bytes', 'o': 'derived'}}, {{'f': 'counts.tokens', 'o': CASE WHEN tokens_in > 0 OR tokens_out > 0 THEN 'observed' ELSE 'lost' END}},
+ {{'f': 'counts.durationMs', 'o': 'lost'}}, {{'f': 'kind', 'o': 'synthesised'}}, {{'f': 'lineage', 'o': 'lost'}}, {{'f': 'headMessage', 'o': 'derived'}}, {{'f': 'preservedTail', 'o': 'lost'}}, {{'f': 'chunks', 'o': 'derived'}},
+ {{'f': 'links.memories', 'o': CASE WHEN memories > 0 THEN 'reverse' ELSE 'lost' END}}, {{'f': 'embedding', 'o': 'lost'}}]) AS x FROM h) SELECT session, x.f AS field, x.o AS origin FROM o""")
+def head_origins(spark, sf):
+    return heads.rebuild_heads(*_transcript(spark, sf)).select("session", F.explode("origins").alias("field", "origin"))
+
+
+@query(f"""WITH {_HEAD}, o AS (SELECT 'title' AS field, 1 AS k, 'synthesised' AS origin UNION ALL SELECT 'created', CASE WHEN count(*) FILTER (WHERE created IS NULL) > 0 THEN 1 ELSE 0 END, CASE WHEN count(*) FILTER (WHERE created IS NULL) > 0 THEN 'lost' ELSE 'observed' END FROM h
+ UNION ALL SELECT 'links.memories', 0, CASE WHEN count(*) FILTER (WHERE memories = 0) > 0 THEN 'lost' ELSE 'reverse' END FROM h UNION ALL SELECT 'counts.bytes', 0, 'derived') SELECT field, origin FROM o""")
+def head_origins_worst(spark, sf):
+    return heads.worst_origins(heads.rebuild_heads(*_transcript(spark, sf))).where("field in ('title', 'created', 'links.memories', 'counts.bytes')")

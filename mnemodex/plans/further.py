@@ -65,14 +65,6 @@ def transcript_render(spark, sf):
     return transcripts.render(S.turns(spark, sf))
 
 
-@query(rf"""WITH {S.TURNS}, f AS (SELECT session, count(*) AS messages, CAST(sum(bytes) AS BIGINT) AS bytes, arg_max(id, pos) AS head_message, count(created) AS dated, arg_min(text, pos) FILTER (WHERE role = 'user' AND trim(text) <> '') AS t FROM turns GROUP BY session),
-l AS (SELECT doc_id % 97 AS session, count(*) AS n FROM documents WHERE doc_id % 3 <> 0 GROUP BY 1)
-SELECT session, messages, bytes, head_message, coalesce(n, 0) AS memories, CASE WHEN t IS NULL THEN 'synthesised' ELSE 'derived' END AS title_origin, CASE WHEN dated = 0 THEN 'lost' ELSE 'observed' END AS created_origin, CASE WHEN n IS NULL THEN 'lost' ELSE 'reverse' END AS memories_origin FROM f LEFT JOIN l USING (session)""")
-def head_rebuild(spark, sf):
-    m = S.records(spark, sf).select("id", F.when(F.col("id") % 3 != 0, F.col("id") % 97).alias("session"))
-    return transcripts.rebuild_heads(S.turns(spark, sf), transcripts.backlinks(m)).drop("title", "first_dated", "last_dated")
-
-
 @query(f"WITH {S.SESS} SELECT id, CASE WHEN id % 2 = 0 THEN 'new' ELSE title END AS title, messages + CASE WHEN id % 2 = 0 THEN 2 ELSE 0 END AS messages, CASE WHEN id % 2 = 0 THEN 'a,b' ELSE 'a' END AS models FROM sess")
 def head_merge(spark, sf):
     s = S.sessions(spark, sf)
