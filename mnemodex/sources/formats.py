@@ -1,4 +1,4 @@
-"""Byte formats: frames, vector records, a catalog log of lines; readers count what they cannot read.
+"""Byte formats: frames, a catalog log of lines; readers count what they cannot read. Vector records are in `vectors`.
 
 Parsers run in mapInArrow over `binaryFile` rows or any frame with a binary column, a blob at a time.
 """
@@ -7,7 +7,6 @@ from __future__ import annotations
 
 import base64
 import json
-import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -97,69 +96,6 @@ def pack_frames(records: DataFrame) -> DataFrame:
     return records.groupBy("ref").applyInArrow(run, "ref string, content binary")
 
 
-def encode_entry(model: str, id_: bytes, vector: list[float]) -> bytes:
-    """A vector record: lengths little-endian, model, 16-byte id, floats; no floats means removal."""
-    m = model.encode()
-    body = struct.pack("<H", len(m)) + m + struct.pack("<H", len(vector)) + id_ + struct.pack(f"<{len(vector)}f", *vector)
-    return struct.pack("<I", len(body)) + body
-
-
-def decode_entry(body: bytes) -> tuple[str, bytes, list[float]]:
-    n = struct.unpack_from("<H", body)[0]
-    model = body[2 : 2 + n].decode()
-    dim = struct.unpack_from("<H", body, 2 + n)[0]
-    id_ = body[4 + n : 20 + n]
-    if len(body) != 20 + n + 4 * dim:
-        raise ValueError("a vector record of the wrong length")
-    return model, id_, list(struct.unpack_from(f"<{dim}f", body, 20 + n))
-
-
-def holds_whole_record(blob: bytes, start: int = 0) -> bool:
-    """Whether a vector record begins at any place from `start` on, as a damaged length does not tell where the next one is."""
-    for at in range(start, len(blob) - 23):
-        n = struct.unpack_from("<I", blob, at)[0]
-        if 20 <= n <= len(blob) - at - 4:
-            try:
-                decode_entry(blob[at + 4 : at + 4 + n])
-                return True
-            except (ValueError, struct.error, UnicodeDecodeError):
-                continue
-    return False
-
-
-def read_vector_log(blob: bytes, delta: bool) -> tuple[list[tuple[str, bytes, list[float]]], int, bool]:
-    """(entries, damaged, interrupted): a bad record of good length is skipped, an impossible length loses the rest;
-    what is wrong with the very end of a delta is an interrupted append and no damage, unless a whole record lies in it."""
-    out, damaged, at = [], 0, 0
-    while at < len(blob):
-        if at + 4 > len(blob) or at + 4 + struct.unpack_from("<I", blob, at)[0] > len(blob):
-            cut = delta and not holds_whole_record(blob, at + 1)
-            return out, damaged + (not cut), cut
-        n = struct.unpack_from("<I", blob, at)[0]
-        try:
-            out.append(decode_entry(blob[at + 4 : at + 4 + n]))
-        except (ValueError, struct.error, UnicodeDecodeError):
-            if delta and at + 4 + n == len(blob) and not holds_whole_record(blob, at + 1):
-                return out, damaged, True
-            damaged += 1
-        at += 4 + n
-    return out, damaged, False
-
-
-def read_vectors(blobs: DataFrame) -> DataFrame:
-    """blobs(seq, content, delta boolean) to (seq, pos, model, id, dim, vector, damaged); the last column counts on pos -1 rows."""
-
-    def run(batches):
-        for batch in batches:
-            for seq, blob, delta in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                found, damaged, _ = read_vector_log(blob or b"", delta)
-                rows = [(seq, i, m, d.hex(), len(v), v, 0) for i, (m, d, v) in enumerate(found)] + [(seq, -1, None, None, 0, None, damaged)]
-                kinds = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.list_(pa.float32()), pa.int32()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["seq", "pos", "model", "id", "dim", "vector", "damaged"])
-
-    return blobs.select(F.col("seq").cast("long"), "content", "delta").mapInArrow(run, "seq long, pos int, model string, id string, dim int, vector array<float>, damaged int")
-
-
 def catalog_line(entry: dict) -> str:
     return base64.b64encode(json.dumps(entry, separators=(",", ":")).encode()).decode()
 

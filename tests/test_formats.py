@@ -18,22 +18,6 @@ def test_frames(spark):
     assert bytes(back.first().content) == blob
 
 
-def test_vector_log():
-    a, b, c = (formats.encode_entry("m", bytes([i] * 16), [float(i), 0.5]) for i in range(3))
-    broken = b[:4] + b"\xff\xff" + b[6:]
-    assert [len(x) if isinstance(x, list) else x for x in formats.read_vector_log(a + broken + c, False)] == [2, 1, False]
-    assert [len(x) if isinstance(x, list) else x for x in formats.read_vector_log(a + c[:-3], True)] == [1, 0, True]
-    assert [len(x) if isinstance(x, list) else x for x in formats.read_vector_log(a + c[:-3], False)] == [1, 1, False]
-    assert [len(x) if isinstance(x, list) else x for x in formats.read_vector_log(a + broken, True)] == [1, 0, True]
-    assert formats.decode_entry(formats.encode_entry("m", b"0" * 16, [])[4:])[2] == []
-
-
-def test_read_vectors(spark):
-    a = formats.encode_entry("m", b"0" * 16, [1.0, 2.0])
-    got = formats.read_vectors(spark.createDataFrame([(1, bytearray(a + b"\xff"), False)], "seq long, content binary, delta boolean")).orderBy("pos").collect()
-    assert got[0].damaged == 1 and got[1].vector == [1.0, 2.0]
-
-
 def test_catalog_lines(spark):
     rows = [(1, formats.catalog_line({"id": "a", "version": 2, "tags": ["x"]})), (2, "%%%"), (3, formats.catalog_line({"id": "a", "deleted": True, "unknown": 1}))]
     got = formats.read_catalog(spark.createDataFrame(rows, "seq long, value string")).orderBy("seq").collect()

@@ -5,20 +5,10 @@ from pyspark.sql import functions as F
 
 from mnemodex.operators import stored, transcripts
 from mnemodex.plans.copies import STEPS
-from mnemodex.sources import formats, migrations, paged
+from mnemodex.sources import migrations, paged
 from mnemodex.sources.versions import Versioned
 
 
-def test_damage_in_a_delta():
-    a, b, c = (formats.encode_entry("m", bytes([i] * 16), [float(i), 0.5]) for i in range(3))
-    wild = b"\xff\xff\xff\x7f" + b[4:]
-    # a wild length with a whole record behind it is damage, at the end of a delta too; without one it is an interrupted append
-    assert [len(x) if isinstance(x, list) else x for x in formats.read_vector_log(a + wild + c, True)] == [1, 1, False]
-    assert [len(x) if isinstance(x, list) else x for x in formats.read_vector_log(a + wild, True)] == [1, 0, True]
-    assert formats.holds_whole_record(b"xyz" + c) and not formats.holds_whole_record(c[:-1]) and not formats.holds_whole_record(b"")
-    assert not formats.holds_whole_record(bytes(100))
-
-
 def test_versions_compact_themselves(spark, tmp_path):
     schema = "id long, seq long, word string"
     v = Versioned(spark, str(tmp_path / "log"), schema)
