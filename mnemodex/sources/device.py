@@ -175,7 +175,7 @@ class Device:
                 report["dropped"] += n
             damage = v.check(now)
             if damage.skipped or damage.lost:
-                v.compact()
+                v.compact(removals=True)
             missing = plan.where("action = 'embed'").select("id")
             if not missing.isEmpty():
                 made = self._embed(missing, embed)

@@ -373,7 +373,7 @@ class VectorLog:
         part = self._write(vectors, "delta")
         self.log.update(lambda e: {**e, "parts": [*e.get("parts", []), part]})
         if logs.due_for_compaction(*self._sizes()):
-            self.compact()
+            self.compact(removals=True)
 
     def remove(self, ids: DataFrame) -> None:
         """Withdraw ids(id); one that the log lacks stays unknown to `state`."""
@@ -388,12 +388,13 @@ class VectorLog:
                 of["/base-" if "/base-" in part else "/delta-"] += sum(s[1] for s in json.loads(f.read()))
         return of["/delta-"], of["/base-"]
 
-    def compact(self) -> Damage:
-        """Fold all into a new base; what was added meanwhile stays behind it. Removals end here, and so does damage: since nothing on disk shows it
-        afterwards, that a rebuild is owed is committed before the base is."""
+    def compact(self, removals: bool = False) -> Damage:
+        """Fold all into a new base; what was added meanwhile stays behind it. Damage ends here: since nothing on disk shows it afterwards, that a rebuild
+        is owed is committed before the base is. So do removals, unless they are to stay: a rebuild passes removed ids over, so neither a compaction that an
+        append makes due nor one within a rebuild takes them off."""
         now = self.reading()
         damage = self.check(now)
-        base, old = self._write(now.state(), "base"), set(now.parts)
+        base, old = self._write(now._last(True) if removals else now.state(), "base"), set(now.parts)
         # another compaction's base stands in place of parts folded here: then this one is dropped
         self.log.update(lambda e: {**e, "parts": [base, *(p for p in e.get("parts", []) if p not in old)]} if old <= set(e.get("parts", [])) else e)
         return damage

@@ -106,6 +106,19 @@ def test_append_remove_compact(spark, tmp_path):
     assert stats["compactions"] == 1 and stats["delta_bytes"] == 0 < stats["base_bytes"] < stats["bytes_written"] and not log.owed()
 
 
+def test_a_compaction_that_an_append_makes_due_keeps_removals(spark, tmp_path):
+    log = VectorLog(spark, str(tmp_path / "log"))
+    ids = spark.range(2500).select(F.lpad(F.lower(F.hex("id")), 32, "0").alias("id"))
+    log.append(ids.select("id", F.lit("m").alias("model"), F.array(F.lit(1.0), F.lit(2.0)).alias("vector")))
+    log.remove(ids)
+    assert log.stats()["compactions"] == 2 and log.stats()["delta_bytes"] == 0
+    assert log.reading().state().count() == 0 and log.reading().removed().count() == 2500
+    log.append(ids.limit(1).select("id", F.lit("m").alias("model"), F.array(F.lit(3.0)).alias("vector")))
+    assert log.reading().state().count() == 1 and log.reading().removed().count() == 2499
+    log.compact()
+    assert log.reading().state().count() == 1 and log.reading().removed().count() == 0
+
+
 def test_empty(spark, tmp_path):
     log = VectorLog(spark, str(tmp_path / "none"))
     assert state(log) == [] and log.reading().damage() == Damage(0, 0)
