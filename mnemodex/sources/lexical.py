@@ -27,6 +27,8 @@ from ..functions import text as T
 from .commits import CommitLog
 
 BUCKETS = 64
+#: Bytes of text, and postings, of a task that writes; there are at least as many tasks as the session's shuffle partitions.
+TASK_BYTES, TASK_ROWS = 8 << 20, 1 << 20
 
 
 class LexicalIndex:
@@ -89,7 +91,9 @@ class LexicalIndex:
     def put(self, texts: DataFrame, order: str | None = None) -> None:
         """Write texts(id, text); records that are there lose their old terms."""
         one = F.max_by("text", order) if order else F.first("text")
-        texts = texts.groupBy("id").agg(F.coalesce(one, F.lit("")).alias("text"))
+        # a task counts the terms of all its records at once, so it is dealt a bounded part of the texts
+        size = texts.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+        texts = texts.repartition(self._parts(size, TASK_BYTES), "id").groupBy("id").agg(F.coalesce(one, F.lit("")).alias("text"))
         words = texts.select("id", T.terms(F.col("text")).alias("terms"))
         words = words.select("id", F.size("terms").cast("long").alias("dl"), F.explode_outer("terms").alias("term"))
         counted = words.groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
@@ -98,7 +102,7 @@ class LexicalIndex:
         staged = f"{self.root}/staged-{name}"
         counted.write.parquet(staged)
         counted = self.spark.read.parquet(staged)
-        self._write(name, counted.where("term is not null"), counted.select("id", "dl").distinct())
+        self._write(name, counted.where("term is not null"), counted.select("id", "dl").distinct(), counted.count())
         self._add(name)
 
     def forget(self, ids: DataFrame) -> None:
@@ -107,12 +111,15 @@ class LexicalIndex:
         self._write(name, None, ids.select("id", F.lit(0).cast("long").alias("dl")).distinct())
         self._add(name)
 
-    def _write(self, name: str, postings: DataFrame | None, touched: DataFrame) -> None:
+    def _parts(self, size: int, most: int) -> int:
+        return max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-size // most))
+
+    def _write(self, name: str, postings: DataFrame | None, touched: DataFrame, rows: int = 0) -> None:
+        """A segment's files; `postings` are about `rows`."""
         touched.write.option("compression", "zstd").parquet(f"{self.root}/{name}/touched")
         p = postings if postings is not None else self.spark.createDataFrame([], self.postings_schema)
         p = p.select("term", "id", "tf", "dl", (F.crc32(F.col("term").cast("binary")) % BUCKETS).cast("int").alias("bucket"))
-        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        p = p.repartitionByRange(parts, "bucket", "term", "id").sortWithinPartitions("bucket", "term", "id")
+        p = p.repartitionByRange(self._parts(rows, TASK_ROWS), "bucket", "term", "id").sortWithinPartitions("bucket", "term", "id")
         p.write.option("compression", "zstd").option("parquet.block.size", 8 << 20).partitionBy("bucket").parquet(f"{self.root}/{name}/postings")
 
     def _add(self, name: str) -> None:
@@ -139,7 +146,8 @@ class LexicalIndex:
             return
         name = f"seg-{uuid.uuid4().hex}"
         live = self._touched(old).where("dl > 0").select("id", "dl")
-        self._write(name, self._postings(old), live)
+        written = sum(self.spark.read.schema(self.postings_schema).parquet(f"{self.root}/{s['path']}/postings").count() for s in old)
+        self._write(name, self._postings(old), live, written)
         rows = self.spark.read.schema(self.touched_schema).parquet(f"{self.root}/{name}/touched").count()
         paths = [s["path"] for s in old]
 

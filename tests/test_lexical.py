@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from mnemodex.functions import text as T
 from mnemodex.operators import retrieval
+from mnemodex.sources import lexical
 from mnemodex.sources.commits import CommitLog
 from mnemodex.sources.lexical import LexicalIndex
 from mnemodex.sources.versions import Versioned
@@ -113,3 +114,16 @@ def test_two_writers(spark, tmp_path):
 
 def test_cursors_of_full_pages():
     assert retrieval.next_cursor("q", 10, 5, 4) == "" and retrieval.decode_rank_cursor(retrieval.next_cursor("q", 10, 5, 5), "q") == 15
+
+
+def test_tasks_that_write_follow_the_texts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(lexical, "TASK_BYTES", 500)
+    monkeypatch.setattr(lexical, "TASK_ROWS", 100)
+    index, live = LexicalIndex(spark, f"{tmp_path}/i"), texts(7, range(300))
+    index.put(frame(spark, live))
+    size = sum(len(t.encode()) for t in live.values())
+    staged, segment = next(tmp_path.glob("i/staged-*")), next(tmp_path.glob("i/seg-*"))
+    tasks = lambda d, p: {f.name.split("-")[1] for f in d.glob(p)}
+    assert len(tasks(staged, "*.parquet")) > size // 1000 > 4
+    assert len(tasks(segment, "postings/*/*.parquet")) > 8
+    assert scores(index.scores(["apple", "plum"])) == scores(retrieval.bm25_scores(frame(spark, live), ["apple", "plum"]))
