@@ -59,4 +59,5 @@ def repacked_blobs(spark, sf):
     store.repack()
     live = store.live().select("id", F.col("object_ref").alias("ref"), F.col("slab_id").alias("slab"), "bytes")
     old = before.withColumn("old", F.lit(True))
-    return live.join(store.read(live), "ref").join(old, "slab", "left").select("id", F.md5("payload").alias("payload_md5"), "bytes", F.col("old").isNull().alias("moved"))
+    read = store.read(live).select("ref", F.md5("payload").alias("payload_md5"))
+    return live.join(read, "ref").join(old, "slab", "left").select("id", "payload_md5", "bytes", F.col("old").isNull().alias("moved"))

@@ -13,7 +13,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
@@ -81,17 +81,19 @@ class SlabStore:
 
     # ---- blobs
 
-    def upload(self, blobs: DataFrame, run: str) -> DataFrame:
-        """Write blobs(id hex, kind, cid, payload) as slabs of `run` and return where each is: (cid, id, ref, slab, pos, bytes). Nothing is pinned yet."""
-        b = blobs.select("cid", "id", "kind", "payload", F.octet_length("payload").cast("long").alias("bytes"))
+    def upload(self, blobs: DataFrame, run: str, sizes: DataFrame | None = None) -> DataFrame:
+        """Write blobs(id hex, kind, cid, payload) as slabs of `run` and return where each is: (cid, id, ref, slab, pos, bytes). Nothing is pinned yet.
+        sizes(cid, id, bytes) may stand for the payloads where only their lengths count, if the blobs take long to read."""
+        b = blobs.select("cid", "id", "kind", "payload")
+        sizes = b.select("cid", "id", F.octet_length("payload").cast("long").alias("bytes")) if sizes is None else sizes
         placed = f"{self.root}/placed/{run}"
-        sized = b.select(F.col("cid").alias("key"), "bytes").groupBy("key").agg(F.max("bytes").alias("bytes"))  # equal blobs are one
+        sized = sizes.select(F.col("cid").alias("key"), "bytes").groupBy("key").agg(F.max("bytes").alias("bytes"))  # equal blobs are one
         pack(sized, run, self.slab_bytes).write.parquet(placed)
         place = self.spark.read.schema("key string, slab string, pos long").parquet(placed)
         one = b.groupBy("cid").agg(F.min_by(F.struct("id", "kind", "payload"), "id").alias("b"))
         frames = one.join(place, F.col("cid") == F.col("key")).select(F.col("slab").alias("ref"), "pos", "b.kind", "b.id", F.col("b.payload").alias("sealed"))
         pack_frames(frames).write.parquet(f"{self.root}/data/run={run}")
-        return self._written(run, blobs)
+        return self._written(run, sizes)
 
     def pin(self, written: DataFrame, run: str, step: Callable[[str], None] = lambda _: None) -> None:
         """Make uploaded blobs retrievable, in the order that leaves no slab billed and unknown: ledger, slabs, objects."""
@@ -114,9 +116,9 @@ class SlabStore:
         self._append(self.catalog, named.select("id", "kind", "cid", F.col("ref").alias("object_ref"), F.col("slab").alias("slab_id"), "bytes", F.lit(False).alias("deleted")))
         step("catalog")
 
-    def _written(self, run: str, blobs: DataFrame) -> DataFrame:
+    def _written(self, run: str, sizes: DataFrame) -> DataFrame:
         place = self.spark.read.schema("key string, slab string, pos long").parquet(f"{self.root}/placed/{run}")
-        return blobs.select("cid", "id", F.octet_length("payload").cast("long").alias("bytes")).join(place, F.col("cid") == F.col("key")).select("cid", "id", F.concat("slab", F.lit(":"), "pos").alias("ref"), "slab", "pos", "bytes")
+        return sizes.select("cid", "id", "bytes").join(place, F.col("cid") == F.col("key")).select("cid", "id", F.concat("slab", F.lit(":"), "pos").alias("ref"), "slab", "pos", "bytes")
 
     def forget(self, ids: DataFrame, objects: bool = True) -> None:
         """Take records(id) out of the catalog, and their objects off the network where no live record shares them."""
@@ -134,15 +136,18 @@ class SlabStore:
 
     def read(self, refs: DataFrame) -> DataFrame:
         """(ref, payload) of refs(ref) that are there: only their slabs are read, each split into its frames once."""
-        o = self.objects.state().where("not deleted").join(refs.select("ref").distinct(), "ref", "left_semi").select("ref", "slab", "pos")
+        return self._frames(refs.select("ref").distinct(), F.col("payload"))
+
+    def _frames(self, asked: DataFrame, what: Column) -> DataFrame:
+        """Rows of asked(ref...), whose objects are there, with `what` of their payload. It is taken where a slab is split, and the other joins are
+        of narrow rows, so a payload is shuffled once and a number made of it instead of it."""
+        o = self.objects.state().where("not deleted").select("ref", "slab", "pos").join(asked, "ref")
         led = self.ledger.state().where("state = 'pinned'").join(o.select("slab").distinct(), "slab", "left_semi").select("slab", "run")
         runs = [r.run for r in led.select("run").distinct().collect()]  # one name for each write
-        if not runs:
-            return self.spark.createDataFrame([], "ref string, payload binary")
-        data = self.spark.read.schema("ref string, content binary, run string").parquet(f"{self.root}/data").where(F.col("run").isin(runs))
-        data = data.join(led.select(F.col("slab").alias("ref")), "ref", "left_semi")
-        f = split_frames(data).select(F.col("ref").alias("slab"), F.col("pos").cast("long").alias("pos"), F.col("sealed").alias("payload"))
-        return f.join(o, ["slab", "pos"]).select("ref", "payload")
+        data = self.spark.read.schema("ref string, content binary, run string").parquet(f"{self.root}/data").where(F.col("run").isin(runs)) if runs else self.spark.createDataFrame([], "ref string, content binary, run string")
+        data = data.join(F.broadcast(led.select(F.col("slab").alias("ref"))), "ref", "left_semi")  # a name for each slab
+        f = split_frames(data).withColumnRenamed("sealed", "payload").select(F.col("ref").alias("slab"), F.col("pos").cast("long").alias("pos"), what)
+        return f.join(o, ["slab", "pos"]).drop("slab", "pos")
 
     def live(self) -> DataFrame:
         return self.catalog.state().drop("first_seen").where("not deleted")
@@ -168,10 +173,12 @@ class SlabStore:
             run = uuid.uuid4().hex[:16]
             live.write.parquet(f"{self.root}/runs/{run}/held")
             held = self._held(run)
-            blobs = held.join(self.read(held), "ref")
-            self.upload(blobs.select("id", "kind", "cid", "payload"), run)
+            asked = held.select("ref", "id", "kind", "cid")
+            self._frames(asked, F.octet_length("payload").cast("long").alias("bytes")).select("id", "cid", "bytes").write.parquet(f"{self.root}/runs/{run}/sizes")
+            sizes = self.spark.read.schema("id string, cid string, bytes long").parquet(f"{self.root}/runs/{run}/sizes")
+            self.upload(self._frames(asked, F.col("payload")), run, sizes)
             step("upload")
-            moves = self._written(run, blobs.select("id", "cid", "payload")).withColumnRenamed("ref", "to").withColumnRenamed("slab", "new_slab")
+            moves = self._written(run, sizes).withColumnRenamed("ref", "to").withColumnRenamed("slab", "new_slab")
             held.join(moves, ["id", "cid"]).select("id", "cid", F.col("ref").alias("from"), "to", F.col("slab").alias("old_slab"), "new_slab", "pos", "bytes").write.parquet(f"{self.root}/runs/{run}/moves")
             self.pin(self._moves(run).select("cid", "id", F.col("to").alias("ref"), F.col("new_slab").alias("slab"), "pos", "bytes"), run, step)
             (owed if owed is not None else self.spark.createDataFrame([], "slab string")).select("slab").write.parquet(f"{self.root}/runs/{run}/owed")

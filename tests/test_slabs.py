@@ -132,3 +132,24 @@ def test_what_stays(spark, store):
 def test_nothing_to_repack(spark, tmp_path):
     s = slabs.SlabStore(spark, f"{tmp_path}/e")
     assert s.repack()["moved"] == 0 and found(s) == {}
+
+
+def _moved(plan, names):
+    """How often a column of these names is shuffled."""
+    kids = plan.children()
+    below = sum(_moved(kids.apply(i), names) for i in range(kids.size()))
+    return below + (plan.nodeName() == "Exchange" and any(n in plan.output().toString() for n in names))
+
+
+def test_a_payload_is_shuffled_once_to_be_read(spark, store):
+    s, want = store
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with tables too large to broadcast
+    try:
+        refs = s.live().select(F.col("object_ref").alias("ref"), "id")
+        read, sizes = s.read(refs), s._frames(refs, F.octet_length("payload").alias("bytes"))
+        plans = [d._jdf.queryExecution().executedPlan().initialPlan() for d in (read, sizes)]
+        assert [_moved(p, ("payload#", "content#")) for p in plans] == [1, 0]
+        assert {r.id: r.bytes for r in sizes.collect()} == {k: len(v) for k, v in want.items()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
